@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillrank.functions.core import let
+
 # HTML named character references decoded by the engine
 # (name, character).  ``amp`` is applied last, separately.
 NAMED_ENTITIES = [
@@ -41,6 +43,7 @@ TAG_RE = r"<[A-Za-z/!?][^>]*>"
 PRE_RE = r"(?is)<pre\b[^>]*>(.*?)</pre\s*>"
 DEC_REF_RE = r"&#([0-9]{1,7});"
 HEX_REF_RE = r"&#x([0-9a-fA-F]{1,6});"
+NAMED_REF_RE = r"&([A-Za-z][A-Za-z0-9]{1,31});"
 
 
 def _c(col) -> Column:
@@ -53,8 +56,7 @@ def _codepoint_to_char(n: Column) -> Column:
 
 
 def _replace_refs(s: Column, pattern: str, radix: int) -> Column:
-    refs = F.array_distinct(F.regexp_extract_all(s, F.lit(pattern), 1))
-
+    """Replace every numeric reference matching ``pattern`` (digits in group 1)."""
     def step(acc, digits):
         lit_ref = F.concat(F.lit("&#x" if radix == 16 else "&#"), digits, F.lit(";"))
         cp = F.conv(digits, radix, 10).cast("bigint")
@@ -62,20 +64,35 @@ def _replace_refs(s: Column, pattern: str, radix: int) -> Column:
         char = F.when(ok, _codepoint_to_char(cp)).otherwise(F.lit("\ufffd"))
         return F.replace(acc, lit_ref, char)
 
-    return F.aggregate(refs, s, step)
+    return let(s, lambda v: F.aggregate(
+        F.array_distinct(F.regexp_extract_all(v, F.lit(pattern), 1)), v, step))
+
+
+def _replace_named(s: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in NAMED_ENTITIES for x in pair])
+
+    def step(acc, name):
+        ch = F.element_at(table, name)
+        return F.when(ch.isNotNull(), F.replace(acc, F.concat(F.lit("&"), name, F.lit(";")), ch)
+                      ).otherwise(acc)
+
+    return let(s, lambda v: F.aggregate(
+        F.array_distinct(F.regexp_extract_all(v, F.lit(NAMED_REF_RE), 1)), v, step))
 
 
 def decode_entities(col) -> Column:
-    """Decode named (fixed list) and numeric character references; ``&amp;`` last."""
-    s = _c(col)
-    out = s
-    for name, ch in NAMED_ENTITIES:
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(ch))
-    out = _replace_refs(out, DEC_REF_RE, 10)
-    out = _replace_refs(out, HEX_REF_RE, 16)
-    out = F.replace(out, F.lit("&amp;"), F.lit("&"))
-    # Most text carries no '&': skip the chain for it.
-    return F.when(F.instr(s, "&") > 0, out).otherwise(s)
+    """Decode named (fixed list) and numeric character references; ``&amp;`` last.
+
+    One regex pass finds the names present; only those are replaced, so text
+    full of bare ``&`` costs one scan, not one per known entity.
+    """
+    def body(s):
+        out = _replace_refs(_replace_refs(_replace_named(s), DEC_REF_RE, 10), HEX_REF_RE, 16)
+        out = F.replace(out, F.lit("&amp;"), F.lit("&"))
+        # Most text carries no '&': skip the work for it.
+        return F.when(F.instr(s, "&") > 0, out).otherwise(s)
+
+    return let(_c(col), body)
 
 
 def collapse_ws(col) -> Column:

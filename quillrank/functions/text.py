@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillrank.functions.core import let
 from quillrank.functions.html import decode_entities, html_to_text, html_code_blocks  # noqa: F401
 
 # Java regex for "any Unicode whitespace run"; Python's str.split() splits on
@@ -44,11 +45,10 @@ def truncate_tokens(col, n: int | None, always_rejoin: bool = False) -> Column:
     c = _c(col)
     if n is None:
         return c
-    toks = tokens(c)
-    cut = F.array_join(F.slice(toks, 1, n), " ")
     if always_rejoin:
-        return cut
-    return F.when(F.size(toks) > n, cut).otherwise(c)
+        return F.array_join(F.slice(tokens(c), 1, n), " ")
+    return let(c, lambda s: let(tokens(s), lambda toks: F.when(
+        F.size(toks) > n, F.array_join(F.slice(toks, 1, n), " ")).otherwise(s)))
 
 
 def strip_unicode(col) -> Column:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quillrank.functions.text import bm25_tokens
 from quillrank.operators.index import B, EPSILON, K1, Bm25Index
-from quillrank.operators.util import maybe_broadcast
+from quillrank.operators.util import BROADCAST_MAX_ROWS
 
 SCORE_SUM = "decimal(38,12)"
 SCORE_OUT = "decimal(18,6)"
@@ -68,13 +68,15 @@ def score_matches(index: Bm25Index, queries: DataFrame, key_cols: list[str],
                   text_col: str) -> DataFrame:
     """Sparse scores: (key..., seq, score) for every document sharing a term."""
     qt = query_terms(queries, key_cols, text_col)
+    # One count of the query side bounds both broadcasts (qidf <= qt rows).
+    small = qt.count() <= BROADCAST_MAX_ROWS
     stats = F.broadcast(index.corpus_stats.select("avgdl", "mean_idf"))
-    qidf = (index.term_stats.join(maybe_broadcast(qt), "term")
+    qidf = (index.term_stats.join(F.broadcast(qt) if small else qt, "term")
             .crossJoin(stats)
             .select(*key_cols, "term", "qtf", "avgdl",
                     F.when(F.col("raw_idf") < 0, F.lit(EPSILON) * F.col("mean_idf"))
                     .otherwise(F.col("raw_idf")).alias("idf")))
-    matched = index.postings.join(maybe_broadcast(qidf), "term")
+    matched = index.postings.join(F.broadcast(qidf) if small else qidf, "term")
     contrib = (contribution(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"))
                .cast("decimal(28,12)") * F.col("qtf"))
     return matched.select(*key_cols, "seq", contrib.alias("c"))

@@ -23,22 +23,31 @@ MIN_ANSWER_TOKENS = 10
 def with_clean_columns(pairs: DataFrame, max_answer_tokens: int | None = MAX_ANSWER_TOKENS,
                        max_body_tokens: int | None = MAX_BODY_TOKENS,
                        max_embed_tokens: int | None = MAX_EMBED_TOKENS) -> DataFrame:
-    """Add the five derived fields and a ``keep`` flag; drops nothing."""
+    """Add the five derived fields and a ``keep`` flag; drops nothing.
+
+    The HTML-derived fields come out of a one-row ``inline`` generator: a later
+    filter on them cannot be pushed below it, so the regex work runs once per
+    row instead of once in the filter and again in the projection.
+    """
     raw = F.coalesce(F.col("accepted_answer"), F.lit(""))
-    prose = truncate_tokens(html_to_text(html_without_code(raw)), max_answer_tokens)
-    out = pairs.withColumns({
-        "answer_prose": prose,
-        "answer_code_blocks": html_code_blocks(raw),
-        "question_prose": truncate_tokens(html_to_text(F.col("question_body")), max_body_tokens),
-        "tags_list": tags_to_array(F.col("tags")),
-    })
-    return out.withColumns({
+    derived = F.struct(
+        truncate_tokens(html_to_text(html_without_code(raw)), max_answer_tokens)
+        .alias("answer_prose"),
+        html_code_blocks(raw).alias("answer_code_blocks"),
+        truncate_tokens(html_to_text(F.col("question_body")), max_body_tokens)
+        .alias("question_prose"),
+        tags_to_array(F.col("tags")).alias("tags_list"),
+        (strip_unicode(raw) != F.lit("")).alias("_has_answer"),
+    )
+    out = pairs.select("*", F.inline(F.array(derived)))
+    out = out.withColumns({
         "text_for_embedding": embedding_text(F.coalesce(F.col("question_title"), F.lit("")),
                                              F.col("tags_list"), F.col("answer_prose"),
                                              max_embed_tokens),
-        "keep": (strip_unicode(raw) != F.lit(""))
+        "keep": F.col("_has_answer")
         & (F.size(tokens(F.col("answer_prose"))) >= MIN_ANSWER_TOKENS),
     })
+    return out.drop("_has_answer")
 
 
 def clean_pairs(pairs: DataFrame, **limits) -> DataFrame:

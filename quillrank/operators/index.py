@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +32,13 @@ class Bm25Index:
     postings: DataFrame      # seq, term, tf, dl
     term_stats: DataFrame    # term, n_t, raw_idf
     corpus_stats: DataFrame  # n_docs, sum_dl, avgdl, mean_idf (one row)
-    docs: DataFrame          # the indexed corpus rows (seq + payload), for late joins
+    docs: DataFrame          # indexed documents: seq, dl + payload, for fill and late joins
 
-    def persist(self):
-        for df in (self.postings, self.term_stats, self.corpus_stats):
-            df.persist()
-        return self
+    def persist(self, storage: StorageLevel = StorageLevel.MEMORY_AND_DISK):
+        """Each table is read by several branches of a search plan (and by
+        every later batch); keep them instead of recomputing the lineage."""
+        return Bm25Index(self.postings.persist(storage), self.term_stats.persist(storage),
+                         self.corpus_stats.persist(storage), self.docs)
 
     def checkpoint(self):
         """Cut lineage into the session's checkpoint folder (a shared folder on
@@ -45,36 +47,43 @@ class Bm25Index:
                          self.corpus_stats.checkpoint(), self.docs)
 
 
-def bm25_text(df: DataFrame) -> DataFrame:
-    """``lower(title + ' ' + answer_prose)`` tokens, per document."""
-    text = F.concat(F.coalesce(F.col("question_title"), F.lit("")), F.lit(" "),
-                    F.coalesce(F.col("answer_prose"), F.lit("")))
-    return df.select("seq", bm25_tokens(text).alias("toks"))
-
-
 def raw_idf(n_docs, n_t):
     """``ln(N - n + 0.5) - ln(n + 0.5)`` (before the negative-idf floor)."""
     return F.log(n_docs - n_t + F.lit(0.5)) - F.log(n_t + F.lit(0.5))
 
 
-def build_index(clean: DataFrame) -> Bm25Index:
-    """R1 over a cleaned corpus with a ``seq`` column (corpus position)."""
-    toks = bm25_text(clean)
-    postings = (toks.select("seq", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+def build_index(clean: DataFrame, payload: list[str] | None = None,
+                storage: StorageLevel | None = StorageLevel.MEMORY_AND_DISK) -> Bm25Index:
+    """R1 over a cleaned corpus with a ``seq`` column (corpus position).
+
+    The tokenised corpus feeds postings, sizes, the zero fill and the payload
+    join; it is persisted once (``storage=None`` leaves it lazy) so the HTML
+    cleaning runs a single time per build.
+    """
+    payload = payload if payload is not None else [
+        c for c in ("doc_id", "question_id", "question_score", "tags_list", "creation_date")
+        if c in clean.columns]
+    text = F.concat(F.coalesce(F.col("question_title"), F.lit("")), F.lit(" "),
+                    F.coalesce(F.col("answer_prose"), F.lit("")))
+    docs = clean.select("seq", *payload, bm25_tokens(text).alias("toks"))
+    docs = docs.withColumn("dl", F.size("toks"))
+    if storage is not None:
+        docs = docs.persist(storage)
+    postings = (docs.select("seq", "dl", F.explode("toks").alias("term"))
                 .groupBy("seq", "dl", "term")
                 .agg(F.count(F.lit(1)).cast("int").alias("tf")))
-    sizes = toks.agg(F.count(F.lit(1)).alias("n_docs"),
-                     F.sum(F.size("toks")).cast("bigint").alias("sum_dl"))
+    sizes = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").cast("bigint").alias("sum_dl"))
     n_t = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     # idf needs N: join the one-row statistics frame (no driver round trip).
     term_stats = n_t.crossJoin(F.broadcast(sizes.select("n_docs"))).select(
         "term", "n_t", raw_idf(F.col("n_docs"), F.col("n_t")).alias("raw_idf"))
     # Mean idf over every term, summed exactly (order-free) as a decimal.
     mean = term_stats.agg(
-        (F.sum(F.col("raw_idf").cast("decimal(30,18)")).cast("double")
+        (F.sum(F.col("raw_idf").cast("decimal(30,12)")).cast("double")
          / F.count(F.lit(1)).cast("double")).alias("mean_idf"))
     corpus_stats = sizes.crossJoin(mean).select(
         "n_docs", "sum_dl",
         (F.col("sum_dl").cast("double") / F.col("n_docs").cast("double")).alias("avgdl"),
         "mean_idf")
-    return Bm25Index(postings, term_stats, corpus_stats, clean)
+    index = Bm25Index(postings, term_stats, corpus_stats, docs.drop("toks"))
+    return index.persist(storage) if storage is not None else index

@@ -17,5 +17,16 @@ def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFr
     return F.broadcast(df) if n <= max_rows else df
 
 
-def session_of(df: DataFrame):
-    return df.sparkSession
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition ``df`` by ``cols`` when its scan yields fewer partitions
+    than the cluster can run at once (e.g. one large row group).
+
+    Text work is CPU-bound; one task per file would serialise it.  A scan that
+    already splits into enough tasks is left alone -- no extra shuffle of raw
+    text at scale.  Partitioning by the document key also lets a later
+    aggregation keyed by (key, ...) run without another exchange.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *cols)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.functions.text import tokens
+from quillrank.operators.util import spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -32,7 +33,7 @@ def _date_from(base: str, days: Column) -> Column:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` -> qa_pairs shape (A3) plus ``seq`` = corpus position."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     qid = d.doc_id.cast("string")
     title = _first8(d.text)
     return d.select(
