@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
-from quillrank.plans import retrieval
+from quillrank.plans import analytics, retrieval
 
 QUERIES = {
     "bm25_topk": retrieval.bm25_topk,
     "bm25_filtered": retrieval.bm25_filtered,
+    "log_metrics": analytics.log_metrics,
+    "judge_score_avg": analytics.judge_score_avg,
+    "feedback_pct": analytics.feedback_pct,
+    "query_volume_hourly": analytics.query_volume_hourly,
+    "latency_by_stage": analytics.latency_by_stage,
+    "recent_queries": analytics.recent_queries,
+    "top_rewritten": analytics.top_rewritten,
+    "feedback_latest": analytics.feedback_latest,
+    "service_health": analytics.service_health,
+    "tag_top20": analytics.tag_top20,
+    "score_histogram": analytics.score_histogram,
+    "length_describe": analytics.length_describe,
+    "posts_per_year": analytics.posts_per_year,
+    "top_post": analytics.top_post,
 }

@@ -184,3 +184,35 @@ SELECT {kk}, seq, score, rank FROM (
     ) GROUP BY {kk}, seq
   ) WHERE seq IN (SELECT seq FROM ({allowed}))
 ) WHERE rank <= {top_k}"""
+
+
+# --- query log (FIXTURES.md part C) -----------------------------------------
+
+_K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
+
+QUERY_LOGS = f"""
+SELECT event_id AS id, concat('u', CAST(user_id AS VARCHAR)) AS session_id, ts AS timestamp,
+       concat(event_type, ' ', props) AS question,
+       CASE WHEN event_id%10=0 THEN NULL ELSE CAST(1+event_id%5 AS INTEGER) END AS judge_relevance,
+       CAST(1+(event_id // 5)%5 AS INTEGER) AS judge_accuracy,
+       1 + {_K} % 5 AS judge_completeness,
+       CAST(floor(value) AS INTEGER) AS rewrite_ms, CAST(floor(value*2) AS INTEGER) AS retrieval_ms,
+       CAST(floor(value*3) AS INTEGER) AS reranker_ms, CAST(floor(value*10) AS INTEGER) AS generation_ms,
+       CAST(floor(value*5) AS INTEGER) AS judge_ms,
+       CAST(floor(value)+floor(value*2)+floor(value*3)+floor(value*10)+floor(value*5) AS INTEGER) AS total_ms,
+       [event_type, concat(event_type, '-', CAST({_K} % 7 AS VARCHAR))] AS rewritten_queries
+FROM events WHERE event_type IN ('view','click','purchase')"""
+
+FEEDBACK = """
+SELECT concat('u', CAST(user_id AS VARCHAR)) AS session_id, ts, event_id AS seq,
+       CASE event_type WHEN 'signup' THEN 1 ELSE -1 END AS feedback
+FROM events WHERE event_type IN ('signup','error') AND user_id%3<>0"""
+
+LOG_TABLE = f"""
+SELECT l.*, CAST(CASE WHEN f.last_ts >= l.timestamp THEN f.last_feedback END AS INTEGER) AS user_feedback
+FROM ({QUERY_LOGS}) l LEFT JOIN (
+  SELECT session_id, feedback AS last_feedback, ts AS last_ts FROM (
+    SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, seq DESC) AS rn
+    FROM ({FEEDBACK})) WHERE rn = 1) f USING (session_id)"""
+
+STAGES = ["rewrite", "retrieval", "reranker", "generation", "judge"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from quillrank.plans import duck
 
 _CLEAN = f"clean AS ({duck.clean_corpus()}),"
+_LOG = f"WITH lg AS ({duck.LOG_TABLE})"
+D = "CAST({} AS DOUBLE)".format
 
 
 def _bm25(top_k: int, allowed: str) -> str:
@@ -14,10 +16,81 @@ SELECT r.query_id, r.rank, c.doc_id, c.question_id, CAST(r.score AS DOUBLE) AS s
 FROM ({duck.bm25_ranked(allowed, duck.QUESTIONS, top_k)}) r JOIN clean c USING (seq)"""
 
 
-def oracle_sql() -> dict[str, str]:
+def _logs() -> dict[str, str]:
+    pos = "sum(CASE WHEN user_feedback=1 THEN 1 ELSE 0 END)"
+    unpivot = " UNION ALL ".join(f"SELECT '{s}' AS stage, {s}_ms AS ms FROM lg" for s in duck.STAGES)
+    return {
+        "log_metrics": f"""{_LOG}
+SELECT count(*) AS total_queries, round(avg(judge_relevance),2) AS avg_relevance,
+       round(avg(judge_accuracy),2) AS avg_accuracy, round(avg(judge_completeness),2) AS avg_completeness,
+       round(avg(total_ms),0) AS avg_latency_ms,
+       round({D('100.0')}*{pos}/greatest(count(user_feedback),1),1) AS feedback_pct FROM lg""",
+        "judge_score_avg": f"""{_LOG}
+SELECT round(avg(judge_relevance+judge_accuracy+judge_completeness)/{D('3.0')},2) AS score
+FROM lg WHERE judge_relevance IS NOT NULL""",
+        "feedback_pct": f"""{_LOG}
+SELECT round({D('100.0')}*{pos}/NULLIF(count(user_feedback),0),1) AS pct
+FROM lg WHERE user_feedback IS NOT NULL""",
+        "query_volume_hourly": f"""{_LOG}
+SELECT date_trunc('hour', timestamp) AS time, count(*) AS queries FROM lg GROUP BY 1 ORDER BY 1""",
+        "latency_by_stage": f"""{_LOG}
+SELECT stage, CAST(round(avg(ms)) AS INTEGER) AS ms FROM ({unpivot}) GROUP BY stage""",
+        "recent_queries": f"""{_LOG}
+SELECT timestamp, left(question, 80) AS question, judge_relevance, judge_accuracy,
+       judge_completeness, total_ms FROM lg ORDER BY timestamp DESC, id DESC LIMIT 20""",
+        "top_rewritten": f"""{_LOG}
+SELECT tag_word, count(*) AS occurrences FROM (SELECT unnest(rewritten_queries) AS tag_word FROM lg)
+GROUP BY tag_word ORDER BY occurrences DESC, tag_word LIMIT 20""",
+        "feedback_latest": f"{_LOG} SELECT id, session_id, user_feedback FROM lg",
+        "service_health": f"""{_LOG}
+SELECT CASE WHEN bool_and(ok) THEN 'healthy' ELSE 'degraded' END AS status,
+       count(*) AS n_services, count(*) FILTER (WHERE NOT ok) AS n_down
+FROM (SELECT stage AS service, avg(ms) < 500 AS ok FROM ({unpivot}) GROUP BY stage)""",
+    }
+
+
+def _profiles() -> dict[str, str]:
+    ntok = f"len({duck.tokens('answer_prose')})"
+    meas = " UNION ALL ".join(
+        f"SELECT '{k}' AS metric, CAST(CASE WHEN {v} IS NOT NULL THEN least({v}, {b}) END AS DOUBLE) AS x FROM clean"
+        for k, v, b in (("question_score", "question_score", 200), ("answer_score", "answer_score", 100),
+                        ("ans_len", ntok, 600)))
+    w = f"((hi - lo) / {D('40.0')})"
     return {
+        "tag_top20": f"""WITH {_CLEAN[:-1]}
+SELECT tag, count(*) AS count FROM (SELECT unnest(tags_list) AS tag FROM clean)
+GROUP BY tag ORDER BY count DESC, tag LIMIT 20""",
+        "score_histogram": f"""WITH {_CLEAN}
+m AS (SELECT * FROM ({meas}) WHERE x IS NOT NULL),
+r AS (SELECT metric, min(x) AS lo, max(x) AS hi FROM m GROUP BY metric),
+c AS (SELECT metric, CAST(CASE WHEN hi = lo THEN 0 ELSE
+          least(floor((x - lo) * ({D('40.0')} / (hi - lo))), 39) END AS INTEGER) AS bin, count(*) AS n
+      FROM m JOIN r USING (metric) GROUP BY ALL)
+SELECT r.metric, g.bin, round(lo + g.bin * {w}, 6) AS bin_lo, round(lo + (g.bin + 1) * {w}, 6) AS bin_hi,
+       coalesce(c.n, 0) AS count
+FROM r CROSS JOIN (SELECT CAST(unnest(range(0, 40)) AS INTEGER) AS bin) g
+LEFT JOIN c ON c.metric = r.metric AND c.bin = g.bin""",
+        "length_describe": f"""WITH {_CLEAN} t AS (SELECT {ntok} AS n FROM clean)
+SELECT round(CAST(count(n) AS DOUBLE), 1) AS count, round(avg(n), 1) AS mean, round(stddev_samp(n), 1) AS std,
+       round(CAST(min(n) AS DOUBLE), 1) AS min, round(quantile_cont(n, 0.25), 1) AS p25,
+       round(quantile_cont(n, 0.5), 1) AS p50, round(quantile_cont(n, 0.75), 1) AS p75,
+       round(CAST(max(n) AS DOUBLE), 1) AS max FROM t""",
+        "posts_per_year": f"""WITH {_CLEAN[:-1]}
+SELECT CAST(year(TRY_CAST(creation_date AS DATE)) AS INTEGER) AS year, count(*) AS posts FROM clean
+WHERE TRY_CAST(creation_date AS DATE) IS NOT NULL GROUP BY 1 ORDER BY 1""",
+        "top_post": f"""WITH {_CLEAN[:-1]}
+SELECT question_id, question_title, tags_list, question_score, substring(answer_prose, 1, 500) AS answer_head
+FROM clean ORDER BY question_score DESC, seq LIMIT 1""",
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    out = {
         "bm25_topk": _bm25(10, "SELECT seq FROM clean"),
         "bm25_filtered": _bm25(10, "SELECT seq FROM clean WHERE coalesce(question_score, 0) >= 20 "
                                    "AND list_has_any(coalesce(tags_list, []), ['en', 'de']) "
                                    "AND coalesce(creation_date, '') >= '2021-06-01'"),
     }
+    out.update(_logs())
+    out.update(_profiles())
+    return out
