@@ -7,6 +7,15 @@ from quillrank.plans import analytics, retrieval
 QUERIES = {
     "bm25_topk": retrieval.bm25_topk,
     "bm25_filtered": retrieval.bm25_filtered,
+    "bm25_zero_fill": retrieval.bm25_zero_fill,
+    "term_stats": retrieval.term_stats,
+    "postings_stats": retrieval.postings_stats,
+    "dense_topk": retrieval.dense_topk,
+    "dense_topk_filtered": retrieval.dense_topk_filtered,
+    "embed_hash": retrieval.embed_hash,
+    "rrf_fusion": retrieval.rrf_fusion,
+    "hybrid_retrieve": retrieval.hybrid_retrieve,
+    "rerank_topk": retrieval.rerank_topk,
     "log_metrics": analytics.log_metrics,
     "judge_score_avg": analytics.judge_score_avg,
     "feedback_pct": analytics.feedback_pct,

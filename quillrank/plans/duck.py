@@ -121,8 +121,9 @@ SELECT *, {emb} AS text_for_embedding FROM (
 ) {'WHERE ' + keep if keep_filter else ''}"""
 
 
-def clean_corpus(max_answer_tokens: int | None = None) -> str:
-    return clean_select(CORPUS, max_answer_tokens=max_answer_tokens)
+def clean_corpus(max_answer_tokens: int | None = None, max_embed_tokens: int | None = None) -> str:
+    """The registered queries' corpus: whole answers and whole embedding text."""
+    return clean_select(CORPUS, max_answer_tokens=max_answer_tokens, max_embed_tokens=max_embed_tokens)
 
 
 QUESTIONS = "SELECT item_id AS query_id, text AS question FROM benchmark"
@@ -216,3 +217,54 @@ FROM ({QUERY_LOGS}) l LEFT JOIN (
     FROM ({FEEDBACK})) WHERE rn = 1) f USING (session_id)"""
 
 STAGES = ["rewrite", "retrieval", "reranker", "generation", "judge"]
+
+
+# --- dense (default embedder) -------------------------------------------------
+
+def hash_sparse(src: str, key: str, text: str) -> str:
+    """(key, bucket, cnt) of the hashed bag of words of ``text`` over ``src``."""
+    b = "CAST(('0x' || substr(md5(t), 1, 6)) AS INTEGER) % 384"
+    return (f"SELECT {key}, bucket, CAST(count(*) AS INTEGER) AS cnt FROM ("
+            f"SELECT {key}, {b} AS bucket FROM (SELECT {key}, unnest({tokens(f'lower({text})')}) AS t "
+            f"FROM ({src}))) GROUP BY {key}, bucket")
+
+
+def dense_ranked(docs: str, queries: str, top_k: int, qkey: str = "query_id",
+                 qtext: str = "question", dtext: str = "text_for_embedding") -> str:
+    """(query_id, seq, score DECIMAL(18,6), rank) by cosine of hashed vectors,
+    with the zero-score fill (docs sharing no bucket) in position order."""
+    return f"""
+SELECT {qkey}, seq, score, rank FROM (
+  SELECT {qkey}, seq, score, row_number() OVER (PARTITION BY {qkey} ORDER BY score DESC, seq) AS rank
+  FROM (
+    SELECT {qkey}, seq, CAST(max(cos) AS DECIMAL(18,6)) AS score FROM (
+      SELECT q.{qkey}, d.seq, CASE WHEN dn.n * qn.n > 0 THEN CAST(d.dot AS DOUBLE) / (dn.n * qn.n) ELSE 0 END AS cos
+      FROM (SELECT q.{qkey}, d.seq, sum(q.cnt * d.cnt) AS dot
+            FROM ({hash_sparse(queries, qkey, qtext)}) q JOIN ({hash_sparse(docs, 'seq', dtext)}) d USING (bucket)
+            GROUP BY q.{qkey}, d.seq) d
+      JOIN (SELECT seq, sqrt(CAST(sum(cnt * cnt) AS DOUBLE)) AS n FROM ({hash_sparse(docs, 'seq', dtext)}) GROUP BY seq) dn USING (seq)
+      JOIN (SELECT {qkey}, sqrt(CAST(sum(cnt * cnt) AS DOUBLE)) AS n FROM ({hash_sparse(queries, qkey, qtext)}) GROUP BY {qkey}) qn USING ({qkey})
+      JOIN (SELECT {qkey} FROM ({queries})) q USING ({qkey})
+      UNION ALL
+      SELECT q.{qkey}, f.seq, 0.0 AS cos FROM (SELECT DISTINCT {qkey} FROM ({queries})) q,
+             (SELECT seq FROM ({docs}) ORDER BY seq LIMIT {top_k}) f
+    ) GROUP BY {qkey}, seq
+  )
+) WHERE rank <= {top_k}"""
+
+
+def rrf_fused(lists: str, top_n: int | None = None) -> str:
+    """RRF over a relation (query_id, list_no, rank, seq): fused rows with
+    rrf_score DECIMAL, first_list, first_rank, fused_rank."""
+    cut = f"WHERE fused_rank <= {top_n}" if top_n else ""
+    return f"""
+SELECT * FROM (
+  SELECT query_id, seq, rrf_score, first_list, first_rank,
+         row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, first_list, first_rank) AS fused_rank
+  FROM (
+    SELECT query_id, seq,
+           sum(CAST(CAST(1.0 AS DOUBLE) / (CAST(60.0 AS DOUBLE) + CAST(rank AS DOUBLE)) AS DECIMAL(28,15))) AS rrf_score,
+           min(list_no * 1000000 + rank) // 1000000 AS first_list,
+           min(list_no * 1000000 + rank) % 1000000 AS first_rank
+    FROM ({lists}) GROUP BY query_id, seq)
+) {cut}"""

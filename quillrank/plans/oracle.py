@@ -9,11 +9,86 @@ _LOG = f"WITH lg AS ({duck.LOG_TABLE})"
 D = "CAST({} AS DOUBLE)".format
 
 
-def _bm25(top_k: int, allowed: str) -> str:
+_BM_DOCS = "SELECT seq, question_title, answer_prose FROM clean"
+FILTER_SQL = ("coalesce(question_score, 0) >= 20 AND list_has_any(coalesce(tags_list, []), ['en', 'de']) "
+              "AND coalesce(creation_date, '') >= '2021-06-01'")
+
+
+def _bm25(top_k: int, allowed: str, queries: str = duck.QUESTIONS) -> str:
+    return f"""
+WITH {_CLEAN} {duck.bm25_ctes(_BM_DOCS, queries)}
+SELECT r.query_id, CAST(r.rank AS INTEGER) AS rank, c.doc_id, c.question_id, CAST(r.score AS DOUBLE) AS score
+FROM ({duck.bm25_ranked(allowed, queries, top_k)}) r JOIN clean c USING (seq)"""
+
+
+def _hybrid_lists(top_k: int) -> str:
+    """CTEs (after clean + bm25 CTEs): hl = union of BM25 (0) and dense (1) lists."""
+    allowed = "SELECT seq FROM clean WHERE coalesce(question_score, 0) >= 5"
+    dense_docs = "SELECT seq, text_for_embedding FROM clean WHERE coalesce(question_score, 0) >= 5"
     return f"""
-WITH {_CLEAN} {duck.bm25_ctes('SELECT seq, question_title, answer_prose FROM clean', duck.QUESTIONS)}
-SELECT r.query_id, r.rank, c.doc_id, c.question_id, CAST(r.score AS DOUBLE) AS score
-FROM ({duck.bm25_ranked(allowed, duck.QUESTIONS, top_k)}) r JOIN clean c USING (seq)"""
+hl AS (
+  SELECT query_id, 0 AS list_no, rank, seq FROM ({duck.bm25_ranked(allowed, duck.QUESTIONS, top_k)})
+  UNION ALL
+  SELECT query_id, 1 AS list_no, rank, seq FROM ({duck.dense_ranked(dense_docs, duck.QUESTIONS, top_k)}))"""
+
+
+def _retrieval() -> dict[str, str]:
+    ntok = duck.tokens("text")
+    last_word = f"SELECT item_id AS query_id, list_extract({ntok}, -1) AS question FROM benchmark"
+    first8 = f"array_to_string(list_slice({ntok}, 1, 8), ' ')"
+    two = (f"SELECT item_id AS query_id, 0 AS list_no, text AS question FROM benchmark UNION ALL "
+           f"SELECT item_id AS query_id, 1 AS list_no, {first8} AS question FROM benchmark")
+    filt_docs = f"SELECT * FROM clean WHERE {FILTER_SQL}"
+    qidf = """
+qidf AS (SELECT q.query_id, q.term, coalesce(CAST(CASE WHEN ts.raw_idf < 0 THEN CAST(0.25 AS DOUBLE) * s.mean_idf
+                ELSE ts.raw_idf END AS DECIMAL(28,12)), CAST(0 AS DECIMAL(28,12))) AS idf
+         FROM (SELECT DISTINCT query_id, term FROM qterms) q LEFT JOIN term_stats ts USING (term), stats s)"""
+    return {
+        "bm25_zero_fill": _bm25(10, "SELECT seq FROM clean", last_word),
+        "term_stats": f"""WITH {_CLEAN} {duck.bm25_ctes(_BM_DOCS, duck.QUESTIONS)}
+SELECT term, n_t, round(raw_idf, 6) AS idf FROM term_stats""",
+        "postings_stats": f"""WITH {_CLEAN} {duck.bm25_ctes(_BM_DOCS, duck.QUESTIONS)}
+SELECT c.question_id, CAST(p.dl AS INTEGER) AS dl, count(*) AS n_terms, CAST(max(p.tf) AS INTEGER) AS max_tf
+FROM postings p JOIN clean c USING (seq) GROUP BY c.question_id, p.dl""",
+        "dense_topk": """
+WITH c AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS v
+           FROM (SELECT label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS pos FROM embeddings)
+           GROUP BY label, pos),
+q AS (SELECT label AS query_id, list(v ORDER BY pos) AS qv FROM c GROUP BY label),
+d AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS dv FROM embeddings),
+s AS (SELECT query_id, vec_id, CAST(CASE WHEN sqrt(list_dot_product(dv, dv)) * sqrt(list_dot_product(qv, qv)) > 0
+             THEN list_dot_product(dv, qv) / (sqrt(list_dot_product(dv, dv)) * sqrt(list_dot_product(qv, qv)))
+             ELSE 0 END AS DECIMAL(18,6)) AS score FROM q, d)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS DOUBLE) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 10""",
+        "dense_topk_filtered": f"""WITH {_CLEAN[:-1]}
+SELECT r.query_id, CAST(r.rank AS INTEGER) AS rank, c.doc_id, c.question_id, CAST(r.score AS DOUBLE) AS score
+FROM ({duck.dense_ranked(filt_docs, duck.QUESTIONS, 10)}) r JOIN clean c USING (seq)""",
+        "embed_hash": f"""WITH {_CLEAN[:-1]}
+{duck.hash_sparse('SELECT question_id, text_for_embedding FROM clean', 'question_id', 'text_for_embedding')}""",
+        "rrf_fusion": f"""WITH {_CLEAN} {duck.bm25_ctes(_BM_DOCS, two, key='query_id, list_no')},
+lists AS ({duck.bm25_ranked('SELECT seq FROM clean', two, 10, key='query_id, list_no')})
+SELECT f.query_id, CAST(f.fused_rank AS INTEGER) AS fused_rank, c.doc_id, CAST(f.rrf_score AS DOUBLE) AS rrf_score,
+       CAST(f.first_list AS INTEGER) AS first_list, CAST(f.first_rank AS INTEGER) AS first_rank
+FROM ({duck.rrf_fused('SELECT query_id, list_no, rank, seq FROM lists')}) f JOIN clean c USING (seq)""",
+        "hybrid_retrieve": f"""WITH {_CLEAN} {duck.bm25_ctes(_BM_DOCS, duck.QUESTIONS)}, {_hybrid_lists(40)}
+SELECT f.query_id, CAST(f.fused_rank AS INTEGER) AS fused_rank, c.doc_id, CAST(f.rrf_score AS DOUBLE) AS rrf_score
+FROM ({duck.rrf_fused('SELECT * FROM hl', 40)}) f JOIN clean c USING (seq)""",
+        "rerank_topk": f"""WITH {_CLEAN} {duck.bm25_ctes(_BM_DOCS, duck.QUESTIONS)}, {_hybrid_lists(10)},
+pool AS ({duck.rrf_fused('SELECT * FROM hl', 20)}), {qidf},
+tot AS (SELECT query_id, sum(idf) AS total FROM qidf GROUP BY query_id),
+hit AS (SELECT p.query_id, p.seq, sum(q.idf) AS hit FROM pool p JOIN qidf q USING (query_id)
+        WHERE EXISTS (SELECT 1 FROM postings x WHERE x.seq = p.seq AND x.term = q.term) GROUP BY p.query_id, p.seq),
+sc AS (SELECT p.query_id, p.seq, p.fused_rank,
+              CAST(CASE WHEN t.total > 0 THEN CAST(coalesce(h.hit, 0) AS DOUBLE) / CAST(t.total AS DOUBLE) ELSE 0.0 END
+                   AS DECIMAL(18,6)) AS reranker_score
+       FROM pool p LEFT JOIN hit h USING (query_id, seq) LEFT JOIN tot t USING (query_id))
+SELECT r.query_id, CAST(r.rerank_rank AS INTEGER) AS rerank_rank, c.doc_id,
+       CAST(r.reranker_score AS DOUBLE) AS reranker_score, CAST(r.fused_rank AS INTEGER) AS fused_rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY reranker_score DESC, fused_rank) AS rerank_rank
+      FROM sc) r JOIN clean c USING (seq) WHERE r.rerank_rank <= 10""",
+    }
 
 
 def _logs() -> dict[str, str]:
@@ -87,10 +162,9 @@ FROM clean ORDER BY question_score DESC, seq LIMIT 1""",
 def oracle_sql() -> dict[str, str]:
     out = {
         "bm25_topk": _bm25(10, "SELECT seq FROM clean"),
-        "bm25_filtered": _bm25(10, "SELECT seq FROM clean WHERE coalesce(question_score, 0) >= 20 "
-                                   "AND list_has_any(coalesce(tags_list, []), ['en', 'de']) "
-                                   "AND coalesce(creation_date, '') >= '2021-06-01'"),
+        "bm25_filtered": _bm25(10, f"SELECT seq FROM clean WHERE {FILTER_SQL}"),
     }
+    out.update(_retrieval())
     out.update(_logs())
     out.update(_profiles())
     return out

@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.operators.bm25 import bm25_search, with_payload
+from quillrank.functions.text import tokens
+from quillrank.operators import dense, fusion
+from quillrank.operators.bm25 import bm25_search, doc_filter, with_payload
 from quillrank.operators.clean import clean_pairs
 from quillrank.operators.index import Bm25Index, build_index
+from quillrank.operators.rerank import coverage_scores, rerank
 from quillrank.sources import tables
 
-# The registered queries index whole documents (no 512-token cut of the
-# answer); pass max_answer_tokens=512 to clean_pairs for the reference's
-# truncated index.
-INDEX_LIMITS = {"max_answer_tokens": None}
+# The registered queries index and embed whole documents (no 512-token cut of
+# answer or embedding text); pass the reference's limits to clean_pairs to
+# reproduce its truncated index.
+INDEX_LIMITS = {"max_answer_tokens": None, "max_embed_tokens": None}
+# The reference's default metadata filter and list sizes.
+MIN_VOTE_SCORE = 5
+POOL = 40
+# The F7/F8 filter exercised by the *_filtered queries.
+FILTER = {"min_score": 20, "tags": ["en", "de"], "after_date": "2021-06-01"}
 
 
 def clean_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,20 +32,148 @@ def corpus_index(spark: SparkSession, sf_dir: str) -> Bm25Index:
     return build_index(clean_corpus(spark, sf_dir))
 
 
-def bm25_topk(spark: SparkSession, sf_dir: str, top_k: int = 10) -> DataFrame:
-    """Flagship: every benchmark item against the whole corpus, top 10 by BM25."""
-    index = corpus_index(spark, sf_dir)
-    ranked = bm25_search(index, tables.questions(spark, sf_dir), top_k=top_k)
+def _out(ranked: DataFrame, index: Bm25Index) -> DataFrame:
     out = with_payload(ranked, index.docs, ["doc_id", "question_id"])
     return out.select("query_id", "rank", "doc_id", "question_id",
                       F.col("score").cast("double").alias("score"))
 
 
+def bm25_topk(spark: SparkSession, sf_dir: str, top_k: int = 10) -> DataFrame:
+    """Flagship: every benchmark item against the whole corpus, top 10 by BM25."""
+    index = corpus_index(spark, sf_dir)
+    return _out(bm25_search(index, tables.questions(spark, sf_dir), top_k=top_k), index)
+
+
 def bm25_filtered(spark: SparkSession, sf_dir: str, top_k: int = 10) -> DataFrame:
     """question score >= 20, tag 'en' or 'de', created on/after 2021-06-01."""
     index = corpus_index(spark, sf_dir)
-    ranked = bm25_search(index, tables.questions(spark, sf_dir), top_k=top_k,
-                         min_score=20, tags=["en", "de"], after_date="2021-06-01")
-    out = with_payload(ranked, index.docs, ["doc_id", "question_id"])
+    return _out(bm25_search(index, tables.questions(spark, sf_dir), top_k=top_k, **FILTER),
+                index)
+
+
+def bm25_zero_fill(spark: SparkSession, sf_dir: str, top_k: int = 10) -> DataFrame:
+    """R2 fill: one-word queries (each item's last word, punctuation kept) match
+    few documents; the rest of each list is unmatched documents in corpus order."""
+    index = corpus_index(spark, sf_dir)
+    q = tables.questions(spark, sf_dir).select(
+        "query_id", F.element_at(tokens(F.col("question")), -1).alias("question"))
+    return _out(bm25_search(index, q, top_k=top_k), index)
+
+
+def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: every term with its document frequency and idf (6 places)."""
+    index = corpus_index(spark, sf_dir)
+    return index.term_stats.select("term", "n_t",
+                                   F.round("raw_idf", 6).alias("idf"))
+
+
+def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: per indexed document: length, distinct terms, largest term frequency."""
+    index = corpus_index(spark, sf_dir)
+    per_doc = index.postings.groupBy("seq", "dl").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.max("tf").alias("max_tf"))
+    return per_doc.join(index.docs.select("seq", "question_id"), "seq").select(
+        "question_id", "dl", "n_terms", "max_tf")
+
+
+# --- dense -------------------------------------------------------------------
+
+def label_centroids(emb: DataFrame) -> DataFrame:
+    """Mean vector per label: (query_id, embedding array<double>)."""
+    long = emb.select("label", F.posexplode("embedding").alias("pos", "x"))
+    per_dim = long.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("v"))
+    return per_dim.groupBy("label").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"])
+        .alias("embedding")).withColumnRenamed("label", "query_id")
+
+
+def dense_topk(spark: SparkSession, sf_dir: str, top_k: int = 10) -> DataFrame:
+    """R4 on ``embeddings``: the vectors nearest to each label's centroid."""
+    emb = tables.table(spark, sf_dir, "embeddings")
+    docs = emb.select(F.col("vec_id").alias("seq"), "embedding")
+    ranked = dense.dense_search(docs, label_centroids(emb), top_k=top_k)
+    return ranked.select("query_id", "rank", F.col("seq").alias("vec_id"),
+                         F.col("score").cast("double").alias("score"))
+
+
+def corpus_vectors(clean: DataFrame) -> DataFrame:
+    """Hashed bag-of-words vectors of the embedding text, per document."""
+    return dense.hash_embed(clean, ["seq"], "text_for_embedding")
+
+
+def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense.hash_embed(tables.questions(spark, sf_dir), ["query_id"], "question")
+
+
+def dense_topk_filtered(spark: SparkSession, sf_dir: str, top_k: int = 10) -> DataFrame:
+    """R4 + F8 on the corpus with the default embedder; the date bound applies
+    to the dense leg too (``date_filter_dense``, default on)."""
+    clean = clean_corpus(spark, sf_dir)
+    docs = corpus_vectors(doc_filter(clean, **FILTER))
+    ranked = dense.dense_search(docs, question_vectors(spark, sf_dir), top_k=top_k)
+    out = with_payload(ranked, clean, ["doc_id", "question_id"])
     return out.select("query_id", "rank", "doc_id", "question_id",
                       F.col("score").cast("double").alias("score"))
+
+
+def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: the sparse hashed vectors of the corpus embedding text."""
+    clean = clean_corpus(spark, sf_dir)
+    return dense.hash_buckets(clean, ["question_id"], "text_for_embedding")
+
+
+# --- fusion, hybrid, rerank -------------------------------------------------
+
+def rrf_fusion(spark: SparkSession, sf_dir: str, top_k: int = 10) -> DataFrame:
+    """Fuse BM25 of the full question (list 0) and of its first 8 words (list 1)."""
+    index = corpus_index(spark, sf_dir)
+    q = tables.questions(spark, sf_dir)
+    both = (q.select("query_id", F.lit(0).alias("list_no"), "question")
+            .unionByName(q.select("query_id", F.lit(1).alias("list_no"),
+                                  F.array_join(F.slice(tokens(F.col("question")), 1, 8), " ")
+                                  .alias("question"))))
+    lists = bm25_search(index, both, top_k=top_k, key_cols=["query_id", "list_no"])
+    fused = fusion.rrf(lists)
+    out = with_payload(fused, index.docs, ["doc_id"])
+    return out.select("query_id", "fused_rank", "doc_id",
+                      F.col("rrf_score").cast("double").alias("rrf_score"),
+                      "first_list", "first_rank")
+
+
+def hybrid_lists(index: Bm25Index, clean: DataFrame, questions: DataFrame, top_k: int,
+                 min_score: int = MIN_VOTE_SCORE) -> DataFrame:
+    """R5 legs for one sub-query per question: BM25 (list 0) and dense (list 1),
+    both under the default vote filter; rows (query_id, list_no, rank, seq, score)."""
+    bm = bm25_search(index, questions, top_k=top_k, min_score=min_score)
+    vecs = corpus_vectors(doc_filter(clean, min_score=min_score))
+    qv = dense.hash_embed(questions, ["query_id"], "question")
+    dn = dense.dense_search(vecs, qv, top_k=top_k)
+    return (fusion.tag_list(bm.select("query_id", "rank", "seq", "score"), 0)
+            .unionByName(fusion.tag_list(dn.select("query_id", "rank", "seq", "score"), 1)))
+
+
+def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 top-40 + dense top-40 per question, fused by RRF, cut at 40.
+    (Sub-queries come from the default rewriter, which echoes the question.)"""
+    clean = clean_corpus(spark, sf_dir)
+    index = build_index(clean)
+    lists = hybrid_lists(index, clean, tables.questions(spark, sf_dir), POOL)
+    fused = fusion.rrf(lists, top_n=POOL)
+    out = with_payload(fused, index.docs, ["doc_id"])
+    return out.select("query_id", "fused_rank", "doc_id",
+                      F.col("rrf_score").cast("double").alias("rrf_score"))
+
+
+def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fused top-20 of BM25-10 + dense-10 reranked by the default
+    scorer, top 10 kept (the evaluation setting)."""
+    clean = clean_corpus(spark, sf_dir)
+    index = build_index(clean)
+    q = tables.questions(spark, sf_dir)
+    pool = fusion.rrf(hybrid_lists(index, clean, q, 10), top_n=20)
+    scores = coverage_scores(index, pool, q, ["query_id"])
+    ranked = rerank(pool, scores, ["query_id"], top_k=10)
+    out = with_payload(ranked, index.docs, ["doc_id"])
+    return out.select("query_id", "rerank_rank", "doc_id",
+                      F.col("reranker_score").cast("double").alias("reranker_score"),
+                      "fused_rank")
