@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillrank.plans import analytics, retrieval
+from quillrank.plans import analytics, evaluation, retrieval
 
 QUERIES = {
     "bm25_topk": retrieval.bm25_topk,
@@ -16,6 +16,10 @@ QUERIES = {
     "rrf_fusion": retrieval.rrf_fusion,
     "hybrid_retrieve": retrieval.hybrid_retrieve,
     "rerank_topk": retrieval.rerank_topk,
+    "build_eval_set": evaluation.build_eval_set,
+    "retrieval_eval": evaluation.retrieval_eval,
+    "method_comparison": evaluation.method_comparison,
+    "rrf_contributions": evaluation.rrf_contributions,
     "log_metrics": analytics.log_metrics,
     "judge_score_avg": analytics.judge_score_avg,
     "feedback_pct": analytics.feedback_pct,

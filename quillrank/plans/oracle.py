@@ -21,15 +21,88 @@ SELECT r.query_id, CAST(r.rank AS INTEGER) AS rank, c.doc_id, c.question_id, CAS
 FROM ({duck.bm25_ranked(allowed, queries, top_k)}) r JOIN clean c USING (seq)"""
 
 
-def _hybrid_lists(top_k: int) -> str:
+def _hybrid_lists(top_k: int, queries: str = duck.QUESTIONS) -> str:
     """CTEs (after clean + bm25 CTEs): hl = union of BM25 (0) and dense (1) lists."""
     allowed = "SELECT seq FROM clean WHERE coalesce(question_score, 0) >= 5"
     dense_docs = "SELECT seq, text_for_embedding FROM clean WHERE coalesce(question_score, 0) >= 5"
     return f"""
 hl AS (
-  SELECT query_id, 0 AS list_no, rank, seq FROM ({duck.bm25_ranked(allowed, duck.QUESTIONS, top_k)})
+  SELECT query_id, 0 AS list_no, rank, seq FROM ({duck.bm25_ranked(allowed, queries, top_k)})
   UNION ALL
-  SELECT query_id, 1 AS list_no, rank, seq FROM ({duck.dense_ranked(dense_docs, duck.QUESTIONS, top_k)}))"""
+  SELECT query_id, 1 AS list_no, rank, seq FROM ({duck.dense_ranked(dense_docs, queries, top_k)}))"""
+
+
+_QIDF = """
+qidf AS (SELECT q.query_id, q.term, coalesce(CAST(CASE WHEN ts.raw_idf < 0 THEN CAST(0.25 AS DOUBLE) * s.mean_idf
+                ELSE ts.raw_idf END AS DECIMAL(28,12)), CAST(0 AS DECIMAL(28,12))) AS idf
+         FROM (SELECT DISTINCT query_id, term FROM qterms) q LEFT JOIN term_stats ts USING (term), stats s)"""
+
+
+def _rerank_ctes(pool: str, top_k: int) -> str:
+    """CTEs qidf, tot, hit, sc, rr: coverage scores of ``pool`` rows and the cut."""
+    return f"""{_QIDF},
+tot AS (SELECT query_id, sum(idf) AS total FROM qidf GROUP BY query_id),
+hit AS (SELECT p.query_id, p.seq, sum(q.idf) AS hit FROM {pool} p JOIN qidf q USING (query_id)
+        WHERE EXISTS (SELECT 1 FROM postings x WHERE x.seq = p.seq AND x.term = q.term) GROUP BY p.query_id, p.seq),
+sc AS (SELECT p.query_id, p.seq, p.fused_rank,
+              CAST(CASE WHEN t.total > 0 THEN CAST(coalesce(h.hit, 0) AS DOUBLE) / CAST(t.total AS DOUBLE) ELSE 0.0 END
+                   AS DECIMAL(18,6)) AS reranker_score
+       FROM {pool} p LEFT JOIN hit h USING (query_id, seq) LEFT JOIN tot t USING (query_id)),
+rr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY reranker_score DESC, fused_rank)
+                             AS rerank_rank FROM sc) WHERE rerank_rank <= {top_k})"""
+
+
+_GT = """
+gt AS (SELECT row_number() OVER (ORDER BY question_score DESC, seq) AS gt_rank, *
+       FROM (SELECT * FROM clean WHERE coalesce(question_score, 0) >= 50 ORDER BY question_score DESC, seq LIMIT 100))"""
+_GTQ = "SELECT gt_rank AS query_id, question_title AS question FROM gt"
+
+
+def _evaluation() -> dict[str, str]:
+    base = f"""WITH {_CLEAN} {_GT}, {duck.bm25_ctes(_BM_DOCS, _GTQ)}, {_hybrid_lists(10, _GTQ)},
+pool AS ({duck.rrf_fused('SELECT * FROM hl', 20)}), {_rerank_ctes('pool', 10)},
+lists AS (SELECT 'bm25' AS method, query_id, rank, seq FROM hl WHERE list_no = 0
+          UNION ALL SELECT 'dense', query_id, rank, seq FROM hl WHERE list_no = 1
+          UNION ALL SELECT 'hybrid', query_id, rerank_rank, seq FROM rr)"""
+    return {
+        "build_eval_set": f"""WITH {_CLEAN} {_GT}
+SELECT CAST(gt_rank AS INTEGER) AS gt_rank, question_id, question_title, question_prose AS question_body,
+       question_url, answer_prose AS accepted_answer, tags_list, question_score FROM gt""",
+        "retrieval_eval": f"""{base},
+per_q AS (
+  SELECT m.method, g.gt_rank, min(l.rank) AS gold_rank
+  FROM gt g CROSS JOIN (SELECT unnest(['bm25', 'dense', 'hybrid']) AS method) m
+  LEFT JOIN (SELECT l.*, c.question_id FROM lists l JOIN clean c USING (seq)) l
+    ON l.method = m.method AND l.query_id = g.gt_rank AND l.question_id = g.question_id
+  GROUP BY m.method, g.gt_rank)
+SELECT method,
+       round(CAST(sum(CASE WHEN gold_rank <= 5 THEN 1 ELSE 0 END) AS DOUBLE) / greatest(count(*), 1), 4) AS hit_rate_at_5,
+       round(CAST(sum(CASE WHEN gold_rank <= 10 THEN 1 ELSE 0 END) AS DOUBLE) / greatest(count(*), 1), 4) AS hit_rate_at_10,
+       round(sum(CASE WHEN gold_rank IS NOT NULL THEN CAST(1.0 AS DOUBLE) / CAST(gold_rank AS DOUBLE) ELSE 0.0 END)
+             / greatest(count(*), 1), 4) AS mrr,
+       greatest(count(*), 1) AS n_questions
+FROM per_q GROUP BY method""",
+        "method_comparison": f"""{base},
+all5 AS (SELECT method, query_id, rank, seq FROM lists WHERE method <> 'hybrid' AND rank <= 5
+         UNION ALL SELECT 'hybrid', query_id, fused_rank, seq FROM pool WHERE fused_rank <= 5
+         UNION ALL SELECT 'reranked', query_id, rerank_rank, seq FROM rr WHERE rerank_rank <= 5),
+grid AS (SELECT g.gt_rank AS query_id, g.seq AS gold_seq, m.method FROM gt g
+         CROSS JOIN (SELECT unnest(['bm25', 'dense', 'hybrid', 'reranked']) AS method) m)
+SELECT g.query_id, g.method, min(a.rank) IS NOT NULL AS found, CAST(min(a.rank) AS INTEGER) AS rank
+FROM grid g LEFT JOIN all5 a ON a.query_id = g.query_id AND a.method = g.method AND a.seq = g.gold_seq
+GROUP BY g.query_id, g.method""",
+        "rrf_contributions": f"""WITH {_CLEAN} {_GT}, {duck.bm25_ctes(_BM_DOCS, _GTQ)}, {_hybrid_lists(10, _GTQ)},
+f AS ({duck.rrf_fused('SELECT * FROM hl', 10)}),
+parts AS (SELECT query_id, seq,
+                 sum(CASE WHEN list_no = 0 THEN CAST(CAST(1.0 AS DOUBLE) / (CAST(60.0 AS DOUBLE) + CAST(rank AS DOUBLE)) AS DECIMAL(28,15)) END) AS bm25_part,
+                 sum(CASE WHEN list_no = 1 THEN CAST(CAST(1.0 AS DOUBLE) / (CAST(60.0 AS DOUBLE) + CAST(rank AS DOUBLE)) AS DECIMAL(28,15)) END) AS dense_part
+          FROM hl GROUP BY query_id, seq)
+SELECT f.query_id, CAST(f.fused_rank AS INTEGER) AS fused_rank, c.question_id,
+       round(CAST(f.rrf_score AS DOUBLE), 6) AS rrf_score,
+       round(CAST(coalesce(p.bm25_part, 0) AS DOUBLE), 6) AS bm25_part,
+       round(CAST(coalesce(p.dense_part, 0) AS DOUBLE), 6) AS dense_part
+FROM f LEFT JOIN parts p USING (query_id, seq) JOIN clean c USING (seq)""",
+    }
 
 
 def _retrieval() -> dict[str, str]:
@@ -165,6 +238,7 @@ def oracle_sql() -> dict[str, str]:
         "bm25_filtered": _bm25(10, f"SELECT seq FROM clean WHERE {FILTER_SQL}"),
     }
     out.update(_retrieval())
+    out.update(_evaluation())
     out.update(_logs())
     out.update(_profiles())
     return out

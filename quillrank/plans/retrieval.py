@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,10 @@ FILTER = {"min_score": 20, "tags": ["en", "de"], "after_date": "2021-06-01"}
 
 
 def clean_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_pairs(tables.corpus(spark, sf_dir), **INDEX_LIMITS)
+    """The cleaned corpus, persisted: index, vectors and ground truth all read it,
+    and the HTML cleaning is the costliest step of every plan above it."""
+    return clean_pairs(tables.corpus(spark, sf_dir), **INDEX_LIMITS).persist(
+        StorageLevel.MEMORY_AND_DISK)
 
 
 def corpus_index(spark: SparkSession, sf_dir: str) -> Bm25Index:
