@@ -132,9 +132,11 @@ def parse_rewrites(raw, question) -> Column:
 
 
 def clamp_score(v: Column) -> Column:
-    """int() then clamp into 1..5; null / NaN stay null (least/greatest skip nulls)."""
+    """``max(1, min(5, int(v)))``; null / NaN stay null (least/greatest skip
+    nulls, so the guard matters).  Clamping before the truncation is the same
+    for every input and cannot overflow the int cast."""
     return F.when(v.isNotNull() & ~F.isnan(v),
-                  F.greatest(F.lit(1), F.least(F.lit(5), v.cast("int"))))
+                  F.floor(F.greatest(F.lit(1.0), F.least(F.lit(5.0), v))).cast("int"))
 
 
 def judge_struct(raw) -> Column:

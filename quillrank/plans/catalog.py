@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillrank.plans import analytics, evaluation, retrieval
+from quillrank.plans import analytics, evaluation, ingest, retrieval
 
 QUERIES = {
     "bm25_topk": retrieval.bm25_topk,
@@ -20,6 +20,17 @@ QUERIES = {
     "retrieval_eval": evaluation.retrieval_eval,
     "method_comparison": evaluation.method_comparison,
     "rrf_contributions": evaluation.rrf_contributions,
+    "qa_pairs_join": ingest.qa_pairs_join,
+    "posts_self_join_top": ingest.posts_self_join_top,
+    "safe_int": ingest.safe_ints,
+    "doc_ids": ingest.doc_ids,
+    "html_to_text": ingest.html_text,
+    "code_blocks": ingest.code_blocks,
+    "clean_records": ingest.clean_records,
+    "ingest_counts": ingest.ingest_count,
+    "parse_rewrites": ingest.parse_rewrite,
+    "parse_judge": ingest.parse_judge,
+    "validate_requests": ingest.validate_requests,
     "log_metrics": analytics.log_metrics,
     "judge_score_avg": analytics.judge_score_avg,
     "feedback_pct": analytics.feedback_pct,

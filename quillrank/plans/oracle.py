@@ -232,6 +232,132 @@ FROM clean ORDER BY question_score DESC, seq LIMIT 1""",
     }
 
 
+POSTS = f"""
+SELECT CAST(conv_id*1000+turn AS VARCHAR) AS Id,
+       CASE role WHEN 'user' THEN '1' WHEN 'assistant' THEN '2' ELSE '4' END AS PostTypeId,
+       CASE WHEN role = 'user' THEN CAST(conv_id*1000+turn+1 AS VARCHAR) END AS AcceptedAnswerId,
+       CAST((conv_id*7+turn)%20 AS VARCHAR) AS Score,
+       CASE WHEN conv_id%3 <> 0 THEN concat('<python><t', CAST(conv_id%5 AS VARCHAR), '>') ELSE '<java>' END AS Tags,
+       {duck.date_from('2019-07-01', '(conv_id*7)%900')} AS CreationDate,
+       CASE WHEN conv_id%11 = 0 THEN '2024-01-01' END AS ClosedDate,
+       {duck.first8('text')} AS Title, concat('<p>', text, '</p>') AS Body, conv_id*1000+turn AS seq
+FROM conversations"""
+
+_NUM = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def safe_int_sql(x: str) -> str:
+    s = f"trim(CAST({x} AS VARCHAR))"
+    d = f"TRY_CAST({s} AS DOUBLE)"
+    return (f"coalesce(CASE WHEN regexp_full_match({s}, '{_NUM}') AND NOT isnan({d}) AND abs({d}) < 2147483648 "
+            f"THEN CAST(trunc({d}) AS INTEGER) END, 0)")
+
+
+def _ingest() -> dict[str, str]:
+    st = duck.strip
+    keep_last = """
+typed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY PostTypeId, Id ORDER BY seq DESC) AS rn
+                         FROM posts WHERE PostTypeId IN ('1', '2')) WHERE rn = 1)"""
+    html_code = (f"concat('<p>', coalesce(string_split(text, chr(10))[1], ''), '</p><pre><code>', "
+                 f"coalesce(string_split(text, chr(10))[2], ''), '</code></pre><p>', "
+                 f"array_to_string(list_slice(string_split(text, chr(10)), 3, 1073741824), chr(10)), '</p>')")
+    k = "json_extract_string(props, '$.k')"
+    rewrite_raw = (f"CASE event_type WHEN 'view' THEN concat('[\"view ', {k}, '\", \"  value ', CAST(value AS VARCHAR), ' \"]') "
+                   f"WHEN 'click' THEN concat('```json' || chr(10) || '[\"click\", \"k', {k}, '\"]' || chr(10) || '```') "
+                   f"WHEN 'purchase' THEN '[]' WHEN 'signup' THEN '[\"\", \"  \"]' ELSE concat('not json ', {k}) END")
+    judge_raw = (f"CASE event_type WHEN 'view' THEN concat('{{\"relevance\": ', CAST(CAST({k} AS INTEGER) % 7 AS VARCHAR), "
+                 f"', \"accuracy\": ', CAST(value AS VARCHAR), ', \"completeness\": 3, \"reasoning\": \"ok ', {k}, '\"}}') "
+                 f"WHEN 'click' THEN concat('```json' || chr(10) || '{{\"relevance\": 4.7, \"accuracy\": \"3\", \"completeness\": ', "
+                 f"CAST(CAST({k} AS INTEGER) % 9 - 2 AS VARCHAR), '}}' || chr(10) || '```') "
+                 f"WHEN 'purchase' THEN '[1, 2]' WHEN 'signup' THEN 'oops' ELSE '{{\"relevance\": null}}' END")
+
+    def fences(x):
+        s1 = st(x)
+        s2 = f"(CASE WHEN starts_with({s1}, '```json') THEN substring({s1}, 8) ELSE {s1} END)"
+        s3 = f"(CASE WHEN starts_with({s2}, '```') THEN substring({s2}, 4) ELSE {s2} END)"
+        s4 = f"(CASE WHEN ends_with({s3}, '```') THEN substring({s3}, 1, length({s3}) - 3) ELSE {s3} END)"
+        return st(s4)
+
+    def clamp(v):
+        return (f"CASE WHEN {v} IS NOT NULL AND NOT isnan({v}) THEN "
+                f"CAST(floor(greatest(CAST(1.0 AS DOUBLE), least(CAST(5.0 AS DOUBLE), {v}))) AS INTEGER) END")
+    jv = "j"
+    is_obj = f"coalesce(json_type({jv}) = 'OBJECT', false)"
+
+    def num(key):
+        return f"TRY_CAST(json_extract_string({jv}, '$.{key}') AS DOUBLE)"
+    labels = "['Any', '2020+', '2022+', '2023+', '2024+', '2021']"
+    presets = "MAP {'2020+': '2020-01-01', '2022+': '2022-01-01', '2023+': '2023-01-01', '2024+': '2024-01-01'}"
+    return {
+        "qa_pairs_join": f"""WITH posts AS ({POSTS}), {keep_last},
+q AS (SELECT * FROM typed WHERE PostTypeId = '1'), a AS (SELECT * FROM typed WHERE PostTypeId = '2')
+SELECT md5(q.Id) AS doc_id, q.Id AS question_id, coalesce(q.Title, '') AS question_title,
+       coalesce(q.Body, '') AS question_body, {safe_int_sql('q.Score')} AS question_score,
+       coalesce(q.Tags, '') AS tags, substring(coalesce(q.CreationDate, ''), 1, 10) AS creation_date,
+       coalesce(a.Body, '') AS accepted_answer, {safe_int_sql('a.Score')} AS answer_score,
+       concat('https://stackoverflow.com/q/', q.Id) AS question_url
+FROM q JOIN a ON q.AcceptedAnswerId = a.Id
+WHERE {safe_int_sql('q.Score')} >= 5 AND contains(coalesce(q.Tags, ''), '<python>')
+  AND substring(coalesce(q.CreationDate, ''), 1, 10) >= '2020-01-01'
+  AND q.AcceptedAnswerId IS NOT NULL AND q.AcceptedAnswerId <> '' AND {safe_int_sql('a.Score')} >= 3""",
+        "posts_self_join_top": f"""WITH posts AS ({POSTS}),
+ex AS (SELECT q.Id, q.Title, q.Body, q.Score, q.Tags, substring(q.CreationDate, 1, 10) AS CreationDate,
+              a.Body AS AcceptedAnswerBody, a.Score AS AnswerScore, q.seq
+       FROM posts q JOIN posts a ON q.AcceptedAnswerId = a.Id
+       WHERE {safe_int_sql('q.Score')} >= 5 AND q.Tags LIKE '%<python>%' AND q.CreationDate >= '2020-01-01'
+         AND q.ClosedDate IS NULL AND {safe_int_sql('a.Score')} >= 3
+       ORDER BY {safe_int_sql('q.Score')} DESC, q.seq LIMIT 50000)
+SELECT md5({st("coalesce(Id, '')")}) AS doc_id, {st("coalesce(Id, '')")} AS question_id,
+       {st("coalesce(Title, '')")} AS question_title, {st("coalesce(Body, '')")} AS question_body,
+       {safe_int_sql('Score')} AS question_score, {st("coalesce(Tags, '')")} AS tags,
+       {st("coalesce(CreationDate, '')")} AS creation_date, {st("coalesce(AcceptedAnswerBody, '')")} AS accepted_answer,
+       {safe_int_sql('AnswerScore')} AS answer_score, concat('https://stackoverflow.com/q/', {st("coalesce(Id, '')")}) AS question_url
+FROM ex WHERE {st("coalesce(Id, '')")} <> ''""",
+        "safe_int": f"""SELECT event_id, {safe_int_sql(k)} AS k_int, {safe_int_sql('value')} AS value_int,
+       {safe_int_sql('event_type')} AS type_int FROM events""",
+        "doc_ids": f"""SELECT question_id, md5(question_id) AS doc_id,
+       regexp_replace(md5(question_id), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') AS point_id,
+       concat('https://stackoverflow.com/q/', question_id) AS question_url, substring(creation_date, 1, 10) AS creation_day
+FROM ({duck.CORPUS})""",
+        "html_to_text": f"SELECT page_id, {duck.html_to_text('html')} AS text FROM pages",
+        "code_blocks": f"""SELECT doc_id, {duck.html_to_text(duck.html_without_code('html'))} AS prose,
+       {duck.html_code_blocks('html')} AS blocks FROM (SELECT doc_id, {html_code} AS html FROM documents)""",
+        "clean_records": f"""SELECT question_id, answer_prose, answer_code_blocks, question_prose, tags_list, text_for_embedding
+FROM ({duck.clean_select(duck.CORPUS)})""",
+        "ingest_counts": f"""SELECT count(*) AS total, count(*) FILTER (WHERE keep) AS kept, count(*) FILTER (WHERE NOT keep) AS filtered
+FROM (SELECT ({st("coalesce(accepted_answer, '')")} <> '' AND len({duck.tokens('answer_prose')}) >= 10) AS keep
+      FROM ({duck.clean_select(duck.CORPUS, keep_filter=False)}))""",
+        "parse_rewrites": f"""SELECT event_id, CASE WHEN arr IS NOT NULL AND len(arr) > 0
+           THEN list_filter(list_transform(arr, lambda x: {st('x')}), lambda x: x IS NOT NULL AND x <> '')
+           ELSE [concat(event_type, ' ', props)] END AS queries
+FROM (SELECT event_id, event_type, props, CASE WHEN json_valid(r) AND json_type(r) = 'ARRAY'
+             THEN CAST(json_extract_string(r, '$[*]') AS VARCHAR[]) END AS arr
+      FROM (SELECT *, {fences(rewrite_raw)} AS r FROM events))""",
+        "parse_judge": f"""SELECT event_id,
+       CASE WHEN {is_obj} THEN {clamp(num('relevance'))} END AS relevance,
+       CASE WHEN {is_obj} THEN {clamp(num('accuracy'))} END AS accuracy,
+       CASE WHEN {is_obj} THEN {clamp(num('completeness'))} END AS completeness,
+       CASE WHEN {is_obj} THEN json_extract_string(j, '$.reasoning') ELSE 'judge error' END AS reasoning
+FROM (SELECT event_id, CASE WHEN json_valid(jr) THEN jr END AS j
+      FROM (SELECT event_id, {fences(judge_raw)} AS jr FROM events))""",
+        "validate_requests": f"""SELECT request_id, after_date,
+       list_filter([CASE WHEN question IS NULL OR length(question) < 10 THEN 'question: too short' END,
+                    CASE WHEN length(question) > 1000 THEN 'question: too long' END,
+                    CASE WHEN min_vote_score < 0 OR min_vote_score > 500 THEN 'min_vote_score: out of range' END,
+                    CASE WHEN after_date IS NOT NULL AND NOT regexp_matches(after_date, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$')
+                         THEN 'after_date: bad format' END,
+                    CASE WHEN top_k < 1 OR top_k > 20 THEN 'top_k: out of range' END], lambda x: x IS NOT NULL) AS errors,
+       len(list_filter([CASE WHEN question IS NULL OR length(question) < 10 THEN 1 END,
+                        CASE WHEN length(question) > 1000 THEN 1 END,
+                        CASE WHEN min_vote_score < 0 OR min_vote_score > 500 THEN 1 END,
+                        CASE WHEN after_date IS NOT NULL AND NOT regexp_matches(after_date, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN 1 END,
+                        CASE WHEN top_k < 1 OR top_k > 20 THEN 1 END], lambda x: x IS NOT NULL)) = 0 AS valid
+FROM (SELECT item_id AS request_id, text AS question, CAST((item_id*37)%600 - 20 AS INTEGER) AS min_vote_score,
+             coalesce({presets}[{labels}[item_id % 6 + 1]], CASE WHEN item_id % 6 = 5 THEN '2021' END) AS after_date,
+             CAST(item_id % 25 AS INTEGER) AS top_k FROM benchmark)""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "bm25_topk": _bm25(10, "SELECT seq FROM clean"),
@@ -239,6 +365,7 @@ def oracle_sql() -> dict[str, str]:
     }
     out.update(_retrieval())
     out.update(_evaluation())
+    out.update(_ingest())
     out.update(_logs())
     out.update(_profiles())
     return out

@@ -60,7 +60,7 @@ def bm25_zero_fill(spark: SparkSession, sf_dir: str, top_k: int = 10) -> DataFra
     few documents; the rest of each list is unmatched documents in corpus order."""
     index = corpus_index(spark, sf_dir)
     q = tables.questions(spark, sf_dir).select(
-        "query_id", F.element_at(tokens(F.col("question")), -1).alias("question"))
+        "query_id", F.try_element_at(tokens(F.col("question")), F.lit(-1)).alias("question"))
     return _out(bm25_search(index, q, top_k=top_k), index)
 
 
