@@ -36,9 +36,10 @@ NAMED_ENTITIES = [
     ("zwj", "\u200d"),
 ]
 
-COMMENT_RE = r"(?s)<!--.*?-->"
-SCRIPT_RE = r"(?is)<script\b[^>]*>.*?</script\s*>"
-STYLE_RE = r"(?is)<style\b[^>]*>.*?</style\s*>"
+# Comments, script and style bodies in one left-to-right pass: whichever
+# construct opens first is removed whole (a comment marker inside a script is
+# script text, and the reverse).
+NON_TEXT_RE = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
 TAG_RE = r"<[A-Za-z/!?][^>]*>"
 PRE_RE = r"(?is)<pre\b[^>]*>(.*?)</pre\s*>"
 DEC_REF_RE = r"&#([0-9]{1,7});"
@@ -103,9 +104,7 @@ def collapse_ws(col) -> Column:
 def html_to_text(col) -> Column:
     """Tags -> separators, entities decoded, whitespace collapsed and trimmed."""
     s = F.coalesce(_c(col), F.lit(""))
-    s = F.regexp_replace(s, COMMENT_RE, " ")
-    s = F.regexp_replace(s, SCRIPT_RE, " ")
-    s = F.regexp_replace(s, STYLE_RE, " ")
+    s = F.regexp_replace(s, NON_TEXT_RE, " ")
     s = F.regexp_replace(s, TAG_RE, " ")
     return collapse_ws(decode_entities(s))
 

@@ -10,10 +10,11 @@ All questions of a batch are scored in one job:
 
 Exactness rules (SURVEY 7.4):
 
-* contributions are rounded to 12 decimals and summed as DECIMAL, so the sum
-  does not depend on the order rows meet in the shuffle;
-* ranking is on the score rounded to 6 places, ties broken by corpus position
-  (``seq``), which is the reference's stable-sort order;
+* contributions are rounded to integers of 1e-9 and summed as BIGINT: exact,
+  so the sum does not depend on the order rows meet in the shuffle, and on
+  the fast fixed-width path (a DECIMAL(38,x) sum would go through BigDecimal);
+* ranking is on the score rounded to 6 places (integer micro-units), ties
+  broken by corpus position (``seq``), the reference's stable-sort order;
 * corpus statistics are global; metadata filters only restrict which documents
   may be returned (filtering after scoring equals filtering the doc side);
 * zero fill: the reference ranks every document, so when fewer than k
@@ -32,8 +33,7 @@ from quillrank.functions.text import bm25_tokens
 from quillrank.operators.index import B, EPSILON, K1, Bm25Index
 from quillrank.operators.util import BROADCAST_MAX_ROWS
 
-SCORE_SUM = "decimal(38,12)"
-SCORE_OUT = "decimal(18,6)"
+NANO = 1e9
 
 
 def query_terms(queries: DataFrame, key_cols: list[str], text_col: str) -> DataFrame:
@@ -77,8 +77,8 @@ def score_matches(index: Bm25Index, queries: DataFrame, key_cols: list[str],
                     F.when(F.col("raw_idf") < 0, F.lit(EPSILON) * F.col("mean_idf"))
                     .otherwise(F.col("raw_idf")).alias("idf")))
     matched = index.postings.join(F.broadcast(qidf) if small else qidf, "term")
-    contrib = (contribution(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"))
-               .cast("decimal(28,12)") * F.col("qtf"))
+    contrib = (F.floor(contribution(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"))
+                       * F.lit(NANO) + F.lit(0.5)) * F.col("qtf"))
     return matched.select(*key_cols, "seq", contrib.alias("c"))
 
 
@@ -92,7 +92,8 @@ def bm25_search(index: Bm25Index, queries: DataFrame, top_k: int = 10,
                 key_cols: list[str] | None = None, text_col: str = "question",
                 min_score: int | None = None, tags: list[str] | None = None,
                 after_date: str | None = None, fill_zero: bool = True) -> DataFrame:
-    """R2: ranked lists (key..., rank, seq, score) with score DECIMAL(18,6)."""
+    """R2: ranked lists (key..., rank, seq, score_micro, score); ``score`` is the
+    double of the score rounded to 6 places, ``score_micro`` its integer form."""
     key_cols = key_cols or ["query_id"]
     parts = score_matches(index, queries, key_cols, text_col)
     filtered = min_score is not None or bool(tags) or bool(after_date)
@@ -100,13 +101,15 @@ def bm25_search(index: Bm25Index, queries: DataFrame, top_k: int = 10,
     if fill_zero:
         fill = (queries.select(*key_cols).crossJoin(F.broadcast(first_docs(allowed, top_k)))
                 .select(*key_cols, F.explode("fill").alias("seq"),
-                        F.lit(0).cast("decimal(28,12)").alias("c")))
+                        F.lit(0).cast("bigint").alias("c")))
         parts = parts.unionByName(fill)
-    scores = parts.groupBy(*key_cols, "seq").agg(F.sum("c").cast(SCORE_SUM).alias("raw"))
+    scores = parts.groupBy(*key_cols, "seq").agg(F.sum("c").alias("nano"))
     if filtered:
         scores = scores.join(allowed.select("seq"), "seq", "left_semi")
-    scores = scores.select(*key_cols, "seq", F.col("raw").cast(SCORE_OUT).alias("score"))
-    w = Window.partitionBy(*key_cols).orderBy(F.col("score").desc(), F.col("seq").asc())
+    micro = F.floor((F.col("nano") + F.lit(500)) / F.lit(1000))
+    scores = scores.select(*key_cols, "seq", micro.alias("score_micro"),
+                           (micro / F.lit(1e6)).alias("score"))
+    w = Window.partitionBy(*key_cols).orderBy(F.col("score_micro").desc(), F.col("seq").asc())
     return (scores.withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= top_k))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.functions.html import html_code_blocks, html_to_text, html_without_code
-from quillrank.functions.text import (embedding_text, strip_unicode, tags_to_array, tokens,
+from quillrank.functions.text import (embedding_text, tags_to_array, tokens,
                                       truncate_tokens)
 
 # Token limits of the cleaning stage.
@@ -37,7 +37,7 @@ def with_clean_columns(pairs: DataFrame, max_answer_tokens: int | None = MAX_ANS
         truncate_tokens(html_to_text(F.col("question_body")), max_body_tokens)
         .alias("question_prose"),
         tags_to_array(F.col("tags")).alias("tags_list"),
-        (strip_unicode(raw) != F.lit("")).alias("_has_answer"),
+        raw.rlike(r"(?U)\S").alias("_has_answer"),
     )
     out = pairs.select("*", F.inline(F.array(derived)))
     out = out.withColumns({

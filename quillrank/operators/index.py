@@ -5,9 +5,8 @@
 * ``corpus_stats(n_docs, avgdl, mean_idf)`` -- one row.
 
 Postings come from one exploding projection and one aggregation keyed by
-(seq, term): the partial aggregate runs before the shuffle, so each task sends
-one row per distinct term of its documents, and the key spreads stop-words
-evenly.  Term statistics aggregate postings by term, again pre-aggregated
+(seq, term) over token arrays partitioned by document; the key spreads
+stop-words evenly (a term held by every document costs one row per document).  Term statistics aggregate postings by term, again pre-aggregated
 map-side, so a term held by a third of the corpus costs one row per task.
 """
 
@@ -69,7 +68,12 @@ def build_index(clean: DataFrame, payload: list[str] | None = None,
     docs = docs.withColumn("dl", F.size("toks"))
     if storage is not None:
         docs = docs.persist(storage)
-    postings = (docs.select("seq", "dl", F.explode("toks").alias("term"))
+    # Token arrays are hash-partitioned by document, so the (seq, dl, term)
+    # aggregation needs no further exchange and every document's postings sit
+    # in one partition: a search's partial aggregate by (query, doc) then
+    # collapses all of a document's matching terms before its shuffle.
+    postings = (docs.select("seq", "dl", "toks").repartition("seq")
+                .select("seq", "dl", F.explode("toks").alias("term"))
                 .groupBy("seq", "dl", "term")
                 .agg(F.count(F.lit(1)).cast("int").alias("tf")))
     sizes = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").cast("bigint").alias("sum_dl"))

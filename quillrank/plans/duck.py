@@ -54,9 +54,8 @@ def collapse_ws(x: str) -> str:
 
 def html_to_text(x: str) -> str:
     s = f"coalesce({x}, '')"
-    s = f"regexp_replace({s}, '(?s)<!--.*?-->', ' ', 'g')"
-    s = f"regexp_replace({s}, '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g')"
-    s = f"regexp_replace({s}, '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g')"
+    s = (f"regexp_replace({s}, '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>"
+         f"|<style\\b[^>]*>.*?</style\\s*>', ' ', 'g')")
     s = f"regexp_replace({s}, '<[A-Za-z/!?][^>]*>', ' ', 'g')"
     return collapse_ws(decode_entities(s))
 
@@ -152,18 +151,18 @@ qterms AS (SELECT {key}, term, count(*) AS qtf
            GROUP BY {key}, term),
 contrib AS (
   SELECT {', '.join('qt.' + k.strip() for k in key.split(','))}, p.seq,
-         CAST(
+         CAST(floor(
            (CASE WHEN ts.raw_idf < 0 THEN CAST(0.25 AS DOUBLE) * s.mean_idf ELSE ts.raw_idf END)
            * ((CAST(p.tf AS DOUBLE) * CAST(2.5 AS DOUBLE))
               / (CAST(p.tf AS DOUBLE) + CAST(1.5 AS DOUBLE) * ((CAST(1.0 AS DOUBLE) - CAST(0.75 AS DOUBLE))
                  + (CAST(0.75 AS DOUBLE) * CAST(p.dl AS DOUBLE)) / s.avgdl)))
-         AS DECIMAL(28,12)) * qt.qtf AS c
+           * CAST(1e9 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) * qt.qtf AS c
   FROM qterms qt JOIN term_stats ts ON qt.term = ts.term
   JOIN postings p ON p.term = qt.term, stats s)"""
 
 
 def bm25_ranked(allowed: str, queries: str, top_k: int, key: str = "query_id") -> str:
-    """SELECT giving (key..., seq, score DECIMAL(18,6), rank) after fill + cut.
+    """SELECT giving (key..., seq, score DOUBLE (6 places), rank) after fill + cut.
 
     Needs the ``contrib`` CTE.  ``allowed`` is a relation of allowed ``seq``.
     """
@@ -175,11 +174,11 @@ SELECT {kk}, seq, score, rank FROM (
   SELECT {kk}, seq, score,
          row_number() OVER (PARTITION BY {kk} ORDER BY score DESC, seq ASC) AS rank
   FROM (
-    SELECT {kk}, seq, CAST(CAST(sum(c) AS DECIMAL(38,12)) AS DECIMAL(18,6)) AS score
+    SELECT {kk}, seq, floor(CAST(sum(c) + 500 AS DOUBLE) / CAST(1000 AS DOUBLE)) / CAST(1e6 AS DOUBLE) AS score
     FROM (
       SELECT {kk}, seq, c FROM contrib
       UNION ALL
-      SELECT {kq}, f.seq, CAST(0 AS DECIMAL(28,12)) AS c
+      SELECT {kq}, f.seq, CAST(0 AS BIGINT) AS c
       FROM (SELECT DISTINCT {kk} FROM ({queries})) q,
            (SELECT seq FROM ({allowed}) ORDER BY seq LIMIT {top_k}) f
     ) GROUP BY {kk}, seq
