@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.functions.text import bm25_tokens
+from quillrank.operators.util import materialize
 
 # Largest query matrix (query rows x dimensions) held by one broadcast.
 MAX_QUERY_CELLS = 2_000_000
@@ -94,7 +95,8 @@ def dense_search(docs: DataFrame, queries: DataFrame, top_k: int = 10,
     """(key..., rank, seq, score) by cosine, score DECIMAL(18,6)."""
     key_cols = key_cols or ["query_id"]
     spark = docs.sparkSession
-    q = queries.select(*key_cols, vec_col)
+    # Counted, sized and collected below: fill it once.
+    q = materialize(queries.select(*key_cols, vec_col))
     n_q = q.count()
     dim = len(q.select(vec_col).first()[0]) if n_q else 1
     chunk_rows = max(1, MAX_QUERY_CELLS // max(dim, 1))

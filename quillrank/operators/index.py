@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.functions.text import bm25_tokens
+from quillrank.operators.util import materialize
 
 # BM25Okapi constants (library defaults the reference relies on).
 K1 = 1.5
@@ -35,9 +36,9 @@ class Bm25Index:
 
     def persist(self, storage: StorageLevel = StorageLevel.MEMORY_AND_DISK):
         """Each table is read by several branches of a search plan (and by
-        every later batch); keep them instead of recomputing the lineage."""
-        return Bm25Index(self.postings.persist(storage), self.term_stats.persist(storage),
-                         self.corpus_stats.persist(storage), self.docs)
+        every later batch): keep them, filled now, instead of recomputing."""
+        return Bm25Index(materialize(self.postings, storage), materialize(self.term_stats, storage),
+                         materialize(self.corpus_stats, storage), self.docs)
 
     def checkpoint(self):
         """Cut lineage into the session's checkpoint folder (a shared folder on
@@ -67,7 +68,7 @@ def build_index(clean: DataFrame, payload: list[str] | None = None,
     docs = clean.select("seq", *payload, bm25_tokens(text).alias("toks"))
     docs = docs.withColumn("dl", F.size("toks"))
     if storage is not None:
-        docs = docs.persist(storage)
+        docs = materialize(docs, storage)
     # Token arrays are hash-partitioned by document, so the (seq, dl, term)
     # aggregation needs no further exchange and every document's postings sit
     # in one partition: a search's partial aggregate by (query, doc) then

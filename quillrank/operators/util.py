@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,18 @@ def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFr
     return F.broadcast(df) if n <= max_rows else df
 
 
+def materialize(df: DataFrame, storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
+    """Persist ``df`` and fill the cache now.
+
+    A frame read by several branches of one plan is otherwise computed by each
+    of the concurrent jobs that broadcast or shuffle those branches (a cache
+    is only shared once filled).  Executors lost later recompute their blocks
+    from lineage; for a shared, lineage-free copy use ``df.checkpoint()``."""
+    df = df.persist(storage)
+    df.count()
+    return df
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Hash-partition ``df`` by ``cols`` when its scan yields fewer partitions
     than the cluster can run at once (e.g. one large row group).

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillrank.plans import analytics, evaluation, ingest, retrieval
+from quillrank.plans import analytics, evaluation, ingest, pipeline, retrieval
 
 QUERIES = {
     "bm25_topk": retrieval.bm25_topk,
@@ -20,6 +20,12 @@ QUERIES = {
     "retrieval_eval": evaluation.retrieval_eval,
     "method_comparison": evaluation.method_comparison,
     "rrf_contributions": evaluation.rrf_contributions,
+    "prompt_context": pipeline.prompt_context,
+    "pipeline_answers": pipeline.pipeline_answers,
+    "generation_eval": pipeline.generation_eval,
+    "ragas_eval": pipeline.ragas_eval,
+    "batch_complete": pipeline.batch_complete_query,
+    "title_similarity": pipeline.title_similarity,
     "qa_pairs_join": ingest.qa_pairs_join,
     "posts_self_join_top": ingest.posts_self_join_top,
     "safe_int": ingest.safe_ints,

@@ -12,6 +12,7 @@ from quillrank.operators.bm25 import bm25_search, doc_filter, with_payload
 from quillrank.operators.clean import clean_pairs
 from quillrank.operators.index import Bm25Index, build_index
 from quillrank.operators.rerank import coverage_scores, rerank
+from quillrank.operators.util import materialize
 from quillrank.sources import tables
 
 # The registered queries index and embed whole documents (no 512-token cut of
@@ -28,8 +29,8 @@ FILTER = {"min_score": 20, "tags": ["en", "de"], "after_date": "2021-06-01"}
 def clean_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned corpus, persisted: index, vectors and ground truth all read it,
     and the HTML cleaning is the costliest step of every plan above it."""
-    return clean_pairs(tables.corpus(spark, sf_dir), **INDEX_LIMITS).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    return materialize(clean_pairs(tables.corpus(spark, sf_dir), **INDEX_LIMITS),
+                       StorageLevel.MEMORY_AND_DISK)
 
 
 def corpus_index(spark: SparkSession, sf_dir: str) -> Bm25Index:
@@ -152,8 +153,10 @@ def hybrid_lists(index: Bm25Index, clean: DataFrame, questions: DataFrame, top_k
     vecs = corpus_vectors(doc_filter(clean, min_score=min_score))
     qv = dense.hash_embed(questions, ["query_id"], "question")
     dn = dense.dense_search(vecs, qv, top_k=top_k)
-    return (fusion.tag_list(bm.select("query_id", "rank", "seq", "score"), 0)
-            .unionByName(fusion.tag_list(dn.select("query_id", "rank", "seq", "score"), 1)))
+    lists = (fusion.tag_list(bm.select("query_id", "rank", "seq", "score"), 0)
+             .unionByName(fusion.tag_list(dn.select("query_id", "rank", "seq", "score"), 1)))
+    # Small (questions x 2k rows) and read by several later branches.
+    return materialize(lists)
 
 
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
