@@ -358,6 +358,100 @@ FROM (SELECT item_id AS request_id, text AS question, CAST((item_id*37)%600 - 20
     }
 
 
+def _share(a: str, b: str) -> str:
+    """|distinct(a) & distinct(b)| / |distinct(a)| (0 when a is empty)."""
+    return (f"CASE WHEN len(list_distinct({a})) > 0 THEN CAST(len(list_intersect(list_distinct({a}), "
+            f"list_distinct({b}))) AS DOUBLE) / CAST(len(list_distinct({a})) AS DOUBLE) ELSE 0.0 END")
+
+
+def _pipeline(questions: str) -> str:
+    """CTEs through ``ans`` (query_id, question, answer, n_sources, context,
+    source_ids, source_texts, relevance, accuracy, completeness) for a relation
+    of (query_id, question), with the default rewriter, retriever, reranker,
+    generator and judge."""
+    subq = f"SELECT query_id, {duck.strip('question')} AS question FROM qs WHERE {duck.strip('question')} <> ''"
+    rejoin = lambda x: f"array_to_string(list_slice({duck.tokens(x)}, 1, 300), ' ')"
+    fenced = ("array_to_string(list_transform(list_slice(coalesce(answer_code_blocks, []), 1, 2), "
+              "lambda c: concat('```' || chr(10), c, chr(10) || '```')), chr(10))")
+    prose = rejoin("coalesce(answer_prose, '')")
+    block = (f"concat('[', CAST(rerank_rank AS VARCHAR), '] ', coalesce(question_title, ''), chr(10), "
+             f"{prose}, chr(10), {fenced}, chr(10) || 'URL: ', coalesce(question_url, ''))")
+    lq = duck.tokens("lower(question)")
+    la = duck.tokens("lower(answer)")
+    return f"""WITH {_CLEAN} qs AS ({questions}), {duck.bm25_ctes(_BM_DOCS, subq)}, {_hybrid_lists(40, subq)},
+pool AS ({duck.rrf_fused('SELECT * FROM hl', 40)}), {_rerank_ctes('pool', 5)},
+src AS (SELECT r.query_id, r.rerank_rank, c.question_id, c.answer_prose, {block} AS block,
+               concat(coalesce(c.question_title, ''), ' ', coalesce(c.answer_prose, '')) AS text
+        FROM rr r JOIN clean c USING (seq)),
+ctx AS (SELECT query_id, count(*) AS n_sources, string_agg(block, chr(10) || chr(10) ORDER BY rerank_rank) AS context,
+               first(answer_prose ORDER BY rerank_rank) AS first_prose,
+               list(question_id ORDER BY rerank_rank) AS source_ids, list(text ORDER BY rerank_rank) AS source_texts
+        FROM src GROUP BY query_id),
+a0 AS (SELECT qs.query_id, qs.question, ctx.n_sources, ctx.context, ctx.source_ids, ctx.source_texts,
+              CASE WHEN coalesce(ctx.n_sources, 0) > 0 THEN {rejoin('ctx.first_prose')}
+                   ELSE 'No relevant Stack Overflow answers found for this question.' END AS answer
+       FROM qs LEFT JOIN ctx USING (query_id)),
+ans AS (SELECT *, CAST(1 + floor(CAST(4.0 AS DOUBLE) * ({_share(lq, la)})) AS INTEGER) AS relevance,
+               CASE WHEN coalesce(n_sources, 0) > 0 THEN 5 ELSE 1 END AS accuracy,
+               CAST(1 + floor(CAST(4.0 AS DOUBLE) * least(CAST(1.0 AS DOUBLE), len({la}) / CAST(100.0 AS DOUBLE))) AS INTEGER) AS completeness
+        FROM a0)"""
+
+
+def _pipelines() -> dict[str, str]:
+    gt_q = lambda n: (f"SELECT gt_rank AS query_id, question_title AS question, answer_prose AS accepted_answer "
+                      f"FROM (SELECT row_number() OVER (ORDER BY question_score DESC, seq) AS gt_rank, * FROM "
+                      f"(SELECT * FROM clean WHERE coalesce(question_score, 0) >= 50 ORDER BY question_score DESC, seq LIMIT {n}))")
+    k = "CAST(('0x' || substr(md5(text), 1, 4)) AS INTEGER) % 4"
+    prompt_head = "'Question: ' || question || chr(10) || chr(10) || '--- Stack Overflow Context ---' || chr(10)"
+    prompt_tail = ("chr(10) || '--- End Context ---' || chr(10) || chr(10) || "
+                   "'Write a concise, accurate answer. If multiple approaches exist, compare them briefly.' || chr(10) || "
+                   "'End with a Sources section listing the question URLs.'")
+    ctx_toks = f"flatten(list_transform(contexts, lambda c: {duck.tokens('lower(c)')}))"
+    gt_toks = f"flatten(list_transform(ground_truths, lambda c: {duck.tokens('lower(c)')}))"
+    return {
+        "batch_complete": f"""SELECT item_id AS query_id,
+       CASE WHEN {k} IN (0, 1) THEN concat('answer: ', array_to_string(list_slice({duck.tokens('text')}, 1, 5), ' ')) END AS completion,
+       CASE {k} WHEN 2 THEN 'HTTP 401' WHEN 3 THEN 'failed after 3 attempts: HTTP 503' END AS error,
+       CAST(CASE {k} WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 3 END AS INTEGER) AS attempts
+FROM benchmark""",
+        "title_similarity": f"""WITH {_CLEAN}
+top3 AS ({duck.dense_ranked('SELECT seq, text_for_embedding FROM clean', duck.QUESTIONS, 3)}),
+qb AS ({duck.hash_sparse(duck.QUESTIONS, 'query_id', 'question')}),
+tb AS ({duck.hash_sparse('SELECT seq, question_title FROM clean', 'seq', 'question_title')}),
+qn AS (SELECT query_id, sqrt(CAST(sum(cnt * cnt) AS DOUBLE)) AS n FROM qb GROUP BY query_id),
+tn AS (SELECT seq, sqrt(CAST(sum(cnt * cnt) AS DOUBLE)) AS n FROM tb GROUP BY seq),
+dots AS (SELECT t.query_id, t.seq, sum(qb.cnt * tb.cnt) AS dot FROM top3 t JOIN qb ON qb.query_id = t.query_id
+         JOIN tb ON tb.seq = t.seq AND tb.bucket = qb.bucket GROUP BY t.query_id, t.seq)
+SELECT t.query_id, CAST(t.rank AS INTEGER) AS rank, c.question_id,
+       round(CASE WHEN qn.n * tn.n > 0 THEN CAST(coalesce(d.dot, 0) AS DOUBLE) / (qn.n * tn.n) ELSE 0.0 END, 6) AS sim
+FROM top3 t LEFT JOIN dots d ON d.query_id = t.query_id AND d.seq = t.seq
+LEFT JOIN qn ON qn.query_id = t.query_id LEFT JOIN tn ON tn.seq = t.seq JOIN clean c ON c.seq = t.seq""",
+        "pipeline_answers": f"""{_pipeline(duck.QUESTIONS)}
+SELECT query_id, answer, coalesce(source_ids, []) AS source_ids,
+       CASE WHEN {duck.strip('question')} <> '' THEN [{duck.strip('question')}] ELSE [] END AS rewritten_queries,
+       relevance, accuracy, completeness, 'overlap stub' AS reasoning FROM ans""",
+        "prompt_context": f"""{_pipeline(duck.QUESTIONS)}
+SELECT query_id, coalesce(n_sources, 0) AS n_sources,
+       {prompt_head} || coalesce(context, '') || {prompt_tail} AS prompt FROM ans""",
+        "generation_eval": f"""{_pipeline(gt_q(100))}
+SELECT round(avg(CAST(relevance AS DOUBLE)), 4) AS avg_relevance, round(avg(CAST(accuracy AS DOUBLE)), 4) AS avg_accuracy,
+       round(avg(CAST(completeness AS DOUBLE)), 4) AS avg_completeness, CAST(NULL AS DOUBLE) AS avg_latency_ms,
+       count(*) AS n_questions FROM ans""",
+        "ragas_eval": f"""{_pipeline(gt_q(50))},
+rows AS (SELECT a.question, a.answer, coalesce(a.source_texts, []) AS contexts, [q.accepted_answer] AS ground_truths
+         FROM ans a JOIN qs q USING (query_id)),
+rg AS (SELECT {_share(duck.tokens('lower(answer)'), ctx_toks)} AS faithfulness,
+              {_share(duck.tokens('lower(question)'), duck.tokens('lower(answer)'))} AS answer_relevancy,
+              CASE WHEN len(contexts) > 0 THEN CAST(len(list_filter(contexts, lambda c: len(list_intersect(
+                   list_distinct({duck.tokens('lower(c)')}), list_distinct({gt_toks}))) > 0)) AS DOUBLE)
+                   / CAST(len(contexts) AS DOUBLE) ELSE 0.0 END AS context_precision,
+              {_share(gt_toks, ctx_toks)} AS context_recall FROM rows)
+SELECT round(avg(faithfulness), 4) AS faithfulness, round(avg(answer_relevancy), 4) AS answer_relevancy,
+       round(avg(context_precision), 4) AS context_precision, round(avg(context_recall), 4) AS context_recall,
+       count(*) AS n_questions FROM rg""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "bm25_topk": _bm25(10, "SELECT seq FROM clean"),
@@ -366,6 +460,7 @@ def oracle_sql() -> dict[str, str]:
     out.update(_retrieval())
     out.update(_evaluation())
     out.update(_ingest())
+    out.update(_pipelines())
     out.update(_logs())
     out.update(_profiles())
     return out
