@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillrank.plans import analytics, evaluation, ingest, pipeline, retrieval
+from quillrank.streaming import logs_stream
 
 QUERIES = {
     "bm25_topk": retrieval.bm25_topk,
@@ -37,6 +38,9 @@ QUERIES = {
     "parse_rewrites": ingest.parse_rewrite,
     "parse_judge": ingest.parse_judge,
     "validate_requests": ingest.validate_requests,
+    "stream_query_volume": logs_stream.stream_query_volume,
+    "stream_feedback": logs_stream.stream_feedback,
+    "stream_clean": logs_stream.stream_clean,
     "log_metrics": analytics.log_metrics,
     "judge_score_avg": analytics.judge_score_avg,
     "feedback_pct": analytics.feedback_pct,

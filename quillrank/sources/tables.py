@@ -33,7 +33,11 @@ def _date_from(base: str, days: Column) -> Column:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` -> qa_pairs shape (A3) plus ``seq`` = corpus position."""
-    d = spread(table(spark, sf_dir, "documents"), "doc_id")
+    return corpus_from(spread(table(spark, sf_dir, "documents"), "doc_id"))
+
+
+def corpus_from(d: DataFrame) -> DataFrame:
+    """The corpus projection over a ``documents`` frame (batch or stream)."""
     qid = d.doc_id.cast("string")
     title = _first8(d.text)
     return d.select(
@@ -78,7 +82,12 @@ def _k(props: Column) -> Column:
 
 def query_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` (view/click/purchase) -> query_logs shape (A12) + rewritten_queries."""
-    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click", "purchase"))
+    return query_logs_from(table(spark, sf_dir, "events"))
+
+
+def query_logs_from(events: DataFrame) -> DataFrame:
+    """The query-log projection over an ``events`` frame (batch or stream)."""
+    e = events.where(F.col("event_type").isin("view", "click", "purchase"))
     v = e.value
     k = _k(e.props)
     parts = [F.floor(v), F.floor(v * 2), F.floor(v * 3), F.floor(v * 10), F.floor(v * 5)]
@@ -104,7 +113,12 @@ def query_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` (signup/error, two users in three) -> feedback rows (A10) + ts, seq."""
-    e = table(spark, sf_dir, "events").where(
+    return feedback_from(table(spark, sf_dir, "events"))
+
+
+def feedback_from(events: DataFrame) -> DataFrame:
+    """The feedback projection over an ``events`` frame (batch or stream)."""
+    e = events.where(
         F.col("event_type").isin("signup", "error") & (F.col("user_id") % 3 != 0))
     return e.select(
         F.concat(F.lit("u"), e.user_id.cast("string")).alias("session_id"),
