@@ -29,6 +29,8 @@ QUERIES = {
     "title_similarity": pipeline.title_similarity,
     "qa_pairs_join": ingest.qa_pairs_join,
     "posts_self_join_top": ingest.posts_self_join_top,
+    "csv_roundtrip": ingest.csv_roundtrip,
+    "xml_roundtrip": ingest.xml_roundtrip,
     "safe_int": ingest.safe_ints,
     "doc_ids": ingest.doc_ids,
     "html_to_text": ingest.html_text,

@@ -139,3 +139,39 @@ def validate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """each request with its broken rules and a valid flag."""
     return request_errors(requests(spark, sf_dir)).select(
         "request_id", "after_date", "errors", "valid")
+
+
+def _scratch(spark: SparkSession, job: str) -> str:
+    """A fresh folder under the session's checkpoint directory (shared on a cluster)."""
+    import os
+    import uuid
+
+    from quillrank.session import ensure_checkpoint_dir
+    return os.path.join(ensure_checkpoint_dir(spark), "tables", f"{job}-{uuid.uuid4().hex[:12]}")
+
+
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 + K1: the export rows written as CSV, read back with the export
+    reader and converted; equals ``posts_self_join_top``."""
+    from quillrank.operators.pairs import csv_rows_to_pairs, export_rows
+    from quillrank.sources.readers import EXPORT_COLUMNS, load_posts_csv
+    path = _scratch(spark, "export-csv")
+    (export_rows(tables.posts(spark, sf_dir)).select(*EXPORT_COLUMNS).write
+     .option("header", True).option("quote", '"').option("escape", '"').csv(path))
+    return csv_rows_to_pairs(load_posts_csv(spark, path))
+
+
+def xml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 + K1 + S3: posts written as XML rows (attributes), read back, paired,
+    written as JSON lines and read again; equals ``qa_pairs_join``."""
+    from quillrank.sources.readers import POST_ATTRIBUTES, load_posts_xml, read_jsonl
+    from quillrank.sources.sinks import write_jsonl
+    base = _scratch(spark, "posts-xml")
+    posts = tables.posts(spark, sf_dir)
+    (posts.select(*[F.col(a).alias(f"_{a}") for a in POST_ATTRIBUTES], F.col("seq").alias("_seq"))
+     .write.format("xml").option("rowTag", "row").option("rootTag", "posts").save(f"{base}/xml"))
+    schema_attrs = POST_ATTRIBUTES + ["seq"]
+    back = load_posts_xml(spark, f"{base}/xml", schema_attrs).withColumn(
+        "seq", F.col("seq").cast("bigint"))
+    write_jsonl(pairs_from_posts(back), f"{base}/pairs")
+    return read_jsonl(spark, f"{base}/pairs")

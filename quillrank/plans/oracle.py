@@ -467,4 +467,7 @@ def oracle_sql() -> dict[str, str]:
     out["stream_query_volume"] = out["query_volume_hourly"]
     out["stream_feedback"] = out["feedback_latest"]
     out["stream_clean"] = out["clean_records"]
+    # Written out and read back through the sources and sinks.
+    out["csv_roundtrip"] = out["posts_self_join_top"]
+    out["xml_roundtrip"] = out["qa_pairs_join"]
     return out
