@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.functions.html import html_code_blocks, html_to_text, html_without_code
-from quillrank.functions.text import (embedding_text, tags_to_array, tokens,
+from quillrank.functions.text import (embedding_text, tags_to_array,
                                       truncate_tokens)
 
 # Token limits of the cleaning stage.
@@ -44,8 +44,10 @@ def with_clean_columns(pairs: DataFrame, max_answer_tokens: int | None = MAX_ANS
         "text_for_embedding": embedding_text(F.coalesce(F.col("question_title"), F.lit("")),
                                              F.col("tags_list"), F.col("answer_prose"),
                                              max_embed_tokens),
-        "keep": F.col("_has_answer")
-        & (F.size(tokens(F.col("answer_prose"))) >= MIN_ANSWER_TOKENS),
+        # ">= 10 tokens" without splitting the whole text: the anchored
+        # pattern stops after the tenth token.
+        "keep": F.col("_has_answer") & F.coalesce(F.col("answer_prose").rlike(
+            rf"(?U)^\s*(\S+\s+){{{MIN_ANSWER_TOKENS - 1}}}\S"), F.lit(False)),
     })
     return out.drop("_has_answer")
 

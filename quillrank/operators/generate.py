@@ -26,6 +26,74 @@ ANSWER_PROMPT = (
     "End with a Sources section listing the question URLs.")
 
 
+# The rewriter and judge prompt texts.
+REWRITE_PROMPT = (
+    "You are a Stack Overflow search expert.\n"
+    "Rewrite the developer question into 2-3 focused sub-queries for retrieval.\n"
+    "Rules:\n"
+    "- Each sub-query targets a distinct aspect of the question\n"
+    "- Use technical terms found on Stack Overflow\n"
+    "- Max 20 words per sub-query\n"
+    "- Return ONLY a JSON array of strings \u2014 nothing else\n\n"
+    "Question: {question}\n\n"
+    "JSON array:")
+JUDGE_PROMPT = (
+    "Evaluate this AI answer to a developer question.\n\n"
+    "Question: {question}\n"
+    "{gt_section}\n"
+    "AI Answer: {answer}\n\n"
+    "Score each dimension 1 (very poor) to 5 (excellent):\n"
+    "1. relevance   \u2014 directly addresses the question?\n"
+    "2. accuracy    \u2014 technically correct?\n"
+    "3. completeness \u2014 covers key aspects?\n\n"
+    "Return ONLY valid JSON \u2014 no text outside the object:\n"
+    '{{"relevance": N, "accuracy": N, "completeness": N, "reasoning": "one sentence"}}')
+JUDGE_ANSWER_CHARS = 1500
+JUDGE_TRUTH_CHARS = 300
+
+
+def _fill(template: str, **cols) -> F.Column:
+    """Substitute ``{name}`` slots of a fixed template with columns."""
+    import re
+    parts = re.split(r"(\{\w+\})", template.replace("{{", "\0").replace("}}", "\1"))
+    out = []
+    for p in parts:
+        if re.fullmatch(r"\{\w+\}", p):
+            out.append(cols[p[1:-1]])
+        elif p:
+            out.append(F.lit(p.replace("\0", "{").replace("\1", "}")))
+    return F.concat(*out)
+
+
+def rewrite_prompt(question) -> F.Column:
+    """The rewriter prompt for each question."""
+    return _fill(REWRITE_PROMPT, question=question)
+
+
+def judge_prompt(question, answer, ground_truth=None) -> F.Column:
+    """The judge prompt; answer cut to 1,500 characters, ground truth
+    (when given) to 300."""
+    gt = F.lit("") if ground_truth is None else F.when(
+        F.coalesce(ground_truth, F.lit("")) != "",
+        F.concat(F.lit("Ground Truth: "), F.substring(ground_truth, 1, JUDGE_TRUTH_CHARS),
+                 F.lit("\n"))).otherwise(F.lit(""))
+    return _fill(JUDGE_PROMPT, question=question, gt_section=gt,
+                 answer=F.substring(answer, 1, JUDGE_ANSWER_CHARS))
+
+
+def source_view(sources: DataFrame, key_cols: list[str], rank_col: str = "rerank_rank") -> DataFrame:
+    """The API's source projection with defaults for missing fields."""
+    return sources.select(
+        *key_cols, F.col(rank_col).alias("rank"),
+        F.coalesce("doc_id", F.lit("")).alias("doc_id"),
+        F.coalesce("question_title", F.lit("")).alias("question_title"),
+        F.coalesce("question_url", F.lit("")).alias("question_url"),
+        F.coalesce("tags_list", F.array().cast("array<string>")).alias("tags"),
+        F.coalesce("question_score", F.lit(0)).alias("question_score"),
+        F.coalesce(F.col("rrf_score").cast("double"), F.lit(0.0)).alias("retrieval_score"),
+        F.coalesce(F.col("reranker_score").cast("double"), F.lit(0.0)).alias("reranker_score"))
+
+
 def source_block(rank, title, prose, code_blocks, url):
     """P15 for one source: ``[i] title``, first 300 prose words, at most two
     fenced code blocks, the URL."""
@@ -99,3 +167,29 @@ def ragas_proxies(rows: DataFrame) -> DataFrame:
         overlap_share(toks(F.col("question")), toks(F.col("answer"))).alias("answer_relevancy"),
         prec.alias("context_precision"),
         overlap_share(gt_words, ctx_words).alias("context_recall"))
+
+
+def rewrite_with_client(questions: DataFrame, client_factory, key_cols: list[str]) -> DataFrame:
+    """M3 with a user model: prompt -> batch completion -> P17/P18 parsing.
+    A failed call falls back to ``[question]``, as the reference does."""
+    from quillrank.functions.text import parse_rewrites
+    from quillrank.operators.models import batch_complete
+    prompts = questions.withColumn("_prompt", rewrite_prompt(F.col("question")))
+    done = batch_complete(prompts, "_prompt", client_factory, key_cols)
+    return questions.join(done, key_cols, "left").withColumn(
+        "rewritten_queries",
+        parse_rewrites(F.coalesce("completion", F.lit("")), F.col("question"))).drop(
+        "completion", "error", "attempts")
+
+
+def judge_with_client(answers: DataFrame, client_factory, key_cols: list[str],
+                      truth_col: str | None = None) -> DataFrame:
+    """M5 with a user model: judge prompt -> batch completion -> P19 parsing;
+    a failed call gives the null judgement ('judge error')."""
+    from quillrank.operators.models import batch_complete
+    gt = F.col(truth_col) if truth_col else None
+    prompts = answers.withColumn("_prompt", judge_prompt(F.col("question"), F.col("answer"), gt))
+    done = batch_complete(prompts, "_prompt", client_factory, key_cols)
+    return answers.join(done, key_cols, "left").withColumn(
+        "judge", judge_struct(F.coalesce("completion", F.lit("")))).drop(
+        "completion", "error", "attempts")

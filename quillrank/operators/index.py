@@ -56,32 +56,41 @@ def build_index(clean: DataFrame, payload: list[str] | None = None,
                 storage: StorageLevel | None = StorageLevel.MEMORY_AND_DISK) -> Bm25Index:
     """R1 over a cleaned corpus with a ``seq`` column (corpus position).
 
-    The tokenised corpus feeds postings, sizes, the zero fill and the payload
-    join; it is persisted once (``storage=None`` leaves it lazy) so the HTML
-    cleaning runs a single time per build.
+    ``docs`` (seq, dl, payload) and the postings are read by several branches
+    of every search; they are persisted and filled here (``storage=None``
+    leaves everything lazy).  Token arrays are never cached: the postings job
+    tokenises its documents itself.
     """
     payload = payload if payload is not None else [
         c for c in ("doc_id", "question_id", "question_score", "tags_list", "creation_date")
         if c in clean.columns]
     text = F.concat(F.coalesce(F.col("question_title"), F.lit("")), F.lit(" "),
                     F.coalesce(F.col("answer_prose"), F.lit("")))
-    docs = clean.select("seq", *payload, bm25_tokens(text).alias("toks"))
-    docs = docs.withColumn("dl", F.size("toks"))
-    if storage is not None:
-        docs = materialize(docs, storage)
     # Token arrays are hash-partitioned by document, so the (seq, dl, term)
     # aggregation needs no further exchange and every document's postings sit
     # in one partition: a search's partial aggregate by (query, doc) then
     # collapses all of a document's matching terms before its shuffle.
-    postings = (docs.select("seq", "dl", "toks").repartition("seq")
-                .select("seq", "dl", F.explode("toks").alias("term"))
+    postings = (clean.select("seq", bm25_tokens(text).alias("toks")).repartition("seq")
+                .select("seq", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
                 .groupBy("seq", "dl", "term")
                 .agg(F.count(F.lit(1)).cast("int").alias("tf")))
+    if storage is not None:
+        postings = materialize(postings, storage)
+    # Document lengths from the postings: being document-local, their partial
+    # aggregate leaves one row per document, so this is a small shuffle, not
+    # another tokenisation pass.  Documents without a token keep dl = 0.
+    lengths = postings.groupBy("seq").agg(F.max("dl").alias("dl"))
+    docs = (clean.select("seq", *payload).join(lengths, "seq", "left")
+            .withColumn("dl", F.coalesce(F.col("dl"), F.lit(0))))
+    if storage is not None:
+        docs = materialize(docs, storage)
     sizes = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").cast("bigint").alias("sum_dl"))
     n_t = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     # idf needs N: join the one-row statistics frame (no driver round trip).
     term_stats = n_t.crossJoin(F.broadcast(sizes.select("n_docs"))).select(
         "term", "n_t", raw_idf(F.col("n_docs"), F.col("n_t")).alias("raw_idf"))
+    if storage is not None:
+        term_stats = materialize(term_stats, storage)
     # Mean idf over every term, summed exactly (order-free) as a decimal.
     mean = term_stats.agg(
         (F.sum(F.col("raw_idf").cast("decimal(30,12)")).cast("double")
@@ -90,5 +99,6 @@ def build_index(clean: DataFrame, payload: list[str] | None = None,
         "n_docs", "sum_dl",
         (F.col("sum_dl").cast("double") / F.col("n_docs").cast("double")).alias("avgdl"),
         "mean_idf")
-    index = Bm25Index(postings, term_stats, corpus_stats, docs.drop("toks"))
-    return index.persist(storage) if storage is not None else index
+    if storage is not None:
+        corpus_stats = materialize(corpus_stats, storage)
+    return Bm25Index(postings, term_stats, corpus_stats, docs)

@@ -23,6 +23,7 @@ QUERIES = {
     "rrf_contributions": evaluation.rrf_contributions,
     "prompt_context": pipeline.prompt_context,
     "pipeline_answers": pipeline.pipeline_answers,
+    "pipeline_sources": pipeline.pipeline_sources,
     "generation_eval": pipeline.generation_eval,
     "ragas_eval": pipeline.ragas_eval,
     "batch_complete": pipeline.batch_complete_query,

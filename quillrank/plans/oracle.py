@@ -430,6 +430,13 @@ LEFT JOIN qn ON qn.query_id = t.query_id LEFT JOIN tn ON tn.seq = t.seq JOIN cle
 SELECT query_id, answer, coalesce(source_ids, []) AS source_ids,
        CASE WHEN {duck.strip('question')} <> '' THEN [{duck.strip('question')}] ELSE [] END AS rewritten_queries,
        relevance, accuracy, completeness, 'overlap stub' AS reasoning FROM ans""",
+        "pipeline_sources": f"""{_pipeline(duck.QUESTIONS)}
+SELECT r.query_id, CAST(r.rerank_rank AS INTEGER) AS rank, coalesce(c.doc_id, '') AS doc_id,
+       coalesce(c.question_title, '') AS question_title, coalesce(c.question_url, '') AS question_url,
+       coalesce(c.tags_list, []) AS tags, coalesce(c.question_score, 0) AS question_score,
+       coalesce(CAST(p.rrf_score AS DOUBLE), 0.0) AS retrieval_score,
+       coalesce(CAST(r.reranker_score AS DOUBLE), 0.0) AS reranker_score
+FROM rr r JOIN clean c USING (seq) JOIN pool p ON p.query_id = r.query_id AND p.seq = r.seq""",
         "prompt_context": f"""{_pipeline(duck.QUESTIONS)}
 SELECT query_id, coalesce(n_sources, 0) AS n_sources,
        {prompt_head} || coalesce(context, '') || {prompt_tail} AS prompt FROM ans""",

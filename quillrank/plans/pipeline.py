@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from quillrank.functions.text import parse_rewrites
 from quillrank.operators import dense, evaluate, fusion
 from quillrank.operators.bm25 import bm25_search, doc_filter, with_payload
-from quillrank.operators.generate import answer_and_judge, answer_prompt, contexts, ragas_proxies
+from quillrank.operators.generate import (answer_and_judge, answer_prompt, contexts, ragas_proxies,
+                                          source_view)
 from quillrank.operators.index import Bm25Index, build_index
 from quillrank.operators.models import ScriptedClient, batch_complete, default_rewrite
 from quillrank.operators.rerank import coverage_scores, rerank
@@ -22,7 +23,8 @@ from quillrank.plans.retrieval import MIN_VOTE_SCORE, POOL, clean_corpus
 from quillrank.sources import tables
 
 TOP_K = 5
-PAYLOAD = ["question_id", "question_title", "answer_prose", "answer_code_blocks", "question_url"]
+PAYLOAD = ["doc_id", "question_id", "question_title", "answer_prose", "answer_code_blocks",
+           "question_url", "tags_list", "question_score"]
 
 
 def rewrite(questions: DataFrame) -> DataFrame:
@@ -74,6 +76,12 @@ def pipeline_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.col("judge.reasoning").alias("reasoning"))
 
 
+def pipeline_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources each answer cites, as the API returns them."""
+    _, sources = answer_batch(spark, sf_dir, tables.questions(spark, sf_dir))
+    return source_view(sources, ["query_id"])
+
+
 def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The generator prompt for every benchmark item."""
     answers, _ = answer_batch(spark, sf_dir, tables.questions(spark, sf_dir))

@@ -29,7 +29,9 @@ FILTER = {"min_score": 20, "tags": ["en", "de"], "after_date": "2021-06-01"}
 def clean_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned corpus, persisted: index, vectors and ground truth all read it,
     and the HTML cleaning is the costliest step of every plan above it."""
-    return materialize(clean_pairs(tables.corpus(spark, sf_dir), **INDEX_LIMITS),
+    clean = clean_pairs(tables.corpus(spark, sf_dir), **INDEX_LIMITS)
+    # The raw HTML is not read downstream: keep it out of the cache.
+    return materialize(clean.drop("accepted_answer", "question_body"),
                        StorageLevel.MEMORY_AND_DISK)
 
 
