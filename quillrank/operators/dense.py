@@ -46,15 +46,32 @@ def hash_buckets(df: DataFrame, key_cols: list[str], text_col: str,
 
 def hash_embed(df: DataFrame, key_cols: list[str], text_col: str,
                dim: int = HASH_DIM) -> DataFrame:
-    """Dense count vectors (key..., embedding array<double>) of the hashed bag
-    of words.  Counts are kept unnormalised: integer-valued vectors make every
-    dot product exact, and cosine divides by the norms afterwards."""
+    """Sparse count vectors (key..., embedding struct<idx, val>) of the hashed
+    bag of words, one row per key (at most ``dim`` entries).  Counts are kept
+    unnormalised: integer-valued vectors make every dot product exact, and
+    cosine divides by the norms afterwards.  The search densifies blocks in
+    numpy, where that is a single scatter."""
     sparse = hash_buckets(df, key_cols, text_col, dim)
-    m = sparse.groupBy(*key_cols).agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", "cnt"))).alias("m"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0)).cast("double"))
-    return m.select(*key_cols, vec.alias("embedding"))
+    ent = F.array_sort(F.collect_list(F.struct("bucket", "cnt")))
+    return sparse.groupBy(*key_cols).agg(ent.alias("e")).select(
+        *key_cols, F.struct(F.transform("e", lambda x: x["bucket"]).alias("idx"),
+                            F.transform("e", lambda x: x["cnt"].cast("double")).alias("val"),
+                            F.lit(dim).alias("dim")).alias("embedding"))
+
+
+def _to_matrix(col: pd.Series) -> np.ndarray:
+    """Arrow batch column -> float64 matrix; accepts dense arrays or sparse
+    struct<idx, val, dim> vectors."""
+    first = col.iloc[0] if len(col) else None
+    if isinstance(first, dict) or (first is not None and hasattr(first, "keys")):
+        dim = int(first["dim"])
+        out = np.zeros((len(col), dim), dtype=np.float64)
+        for r, v in enumerate(col):
+            idx = np.asarray(v["idx"], dtype=np.int64)
+            if len(idx):
+                out[r, idx] = np.asarray(v["val"], dtype=np.float64)
+        return out
+    return np.stack(col.to_numpy()).astype(np.float64)
 
 
 # --- R4: exact cosine top-k -------------------------------------------------
@@ -70,7 +87,7 @@ def _block_topk(doc_key: str, vec_col: str, qkeys: pd.DataFrame, qmat: np.ndarra
         for pdf in batches:
             for lo in range(0, len(pdf), block_rows):
                 blk = pdf.iloc[lo:lo + block_rows]
-                dmat = np.stack(blk[vec_col].to_numpy()).astype(np.float64)
+                dmat = _to_matrix(blk[vec_col])
                 dnorm = np.sqrt((dmat * dmat).sum(axis=1))
                 dots = dmat @ qmat.T                       # docs x queries
                 denom = dnorm[:, None] * qnorm[None, :]
@@ -98,7 +115,8 @@ def dense_search(docs: DataFrame, queries: DataFrame, top_k: int = 10,
     # Counted, sized and collected below: fill it once.
     q = materialize(queries.select(*key_cols, vec_col))
     n_q = q.count()
-    dim = len(q.select(vec_col).first()[0]) if n_q else 1
+    first = q.select(vec_col).first()[0] if n_q else None
+    dim = (first["dim"] if hasattr(first, "asDict") else len(first)) if first is not None else 1
     chunk_rows = max(1, MAX_QUERY_CELLS // max(dim, 1))
     n_chunks = max(1, -(-n_q // chunk_rows))
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
@@ -112,7 +130,7 @@ def dense_search(docs: DataFrame, queries: DataFrame, top_k: int = 10,
         pdf = chunk.toPandas()
         if pdf.empty:
             continue
-        qmat = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
+        qmat = _to_matrix(pdf[vec_col])
         bc = spark.sparkContext.broadcast((pdf[key_cols].reset_index(drop=True), qmat))
 
         def run(batches, bc=bc):

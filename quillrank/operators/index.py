@@ -83,7 +83,7 @@ def build_index(clean: DataFrame, payload: list[str] | None = None,
     docs = (clean.select("seq", *payload).join(lengths, "seq", "left")
             .withColumn("dl", F.coalesce(F.col("dl"), F.lit(0))))
     if storage is not None:
-        docs = materialize(docs, storage)
+        docs = docs.persist(storage)  # small; filled by its first reader
     sizes = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").cast("bigint").alias("sum_dl"))
     n_t = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     # idf needs N: join the one-row statistics frame (no driver round trip).
@@ -100,5 +100,5 @@ def build_index(clean: DataFrame, payload: list[str] | None = None,
         (F.col("sum_dl").cast("double") / F.col("n_docs").cast("double")).alias("avgdl"),
         "mean_idf")
     if storage is not None:
-        corpus_stats = materialize(corpus_stats, storage)
+        corpus_stats = corpus_stats.persist(storage)  # one row
     return Bm25Index(postings, term_stats, corpus_stats, docs)
