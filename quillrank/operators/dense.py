@@ -63,7 +63,8 @@ def _to_matrix(col: pd.Series) -> np.ndarray:
     """Arrow batch column -> float64 matrix; accepts dense arrays or sparse
     struct<idx, val, dim> vectors."""
     first = col.iloc[0] if len(col) else None
-    if isinstance(first, dict) or (first is not None and hasattr(first, "keys")):
+    # Structs arrive as dicts through Arrow and as Rows without it.
+    if isinstance(first, dict) or hasattr(first, "asDict"):
         dim = int(first["dim"])
         out = np.zeros((len(col), dim), dtype=np.float64)
         for r, v in enumerate(col):
