@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillrank.operators.bm25 import query_terms
 from quillrank.operators.index import EPSILON, Bm25Index
+from quillrank.operators.util import maybe_broadcast
 
 SCORE_OUT = "decimal(18,6)"
 
@@ -31,8 +32,12 @@ def coverage_scores(index: Bm25Index, candidates: DataFrame, questions: DataFram
                                                .alias("idf"))
     total = qidf.groupBy(*key_cols).agg(F.sum("idf").alias("total"))
     pairs = candidates.select(*key_cols, "seq").distinct()
-    present = (pairs.join(qidf, key_cols)
-               .join(index.postings.select("seq", "term"), ["seq", "term"], "left_semi")
+    wanted = pairs.join(qidf, key_cols)           # candidates x question terms: small
+    # (seq, term) is unique in the postings, so an inner join is the semi-join;
+    # written this way the small side is the one shipped (after a size check)
+    # and the postings are scanned where they lie instead of shuffled.
+    present = (index.postings.select("seq", "term")
+               .join(maybe_broadcast(wanted), ["seq", "term"])
                .groupBy(*key_cols, "seq").agg(F.sum("idf").alias("hit")))
     out = pairs.join(present, key_cols + ["seq"], "left").join(total, key_cols, "left")
     score = F.when(F.col("total") > 0, F.coalesce("hit", F.lit(0)).cast("double")
