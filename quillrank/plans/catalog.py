@@ -32,6 +32,10 @@ QUERIES = {
     "posts_self_join_top": ingest.posts_self_join_top,
     "csv_roundtrip": ingest.csv_roundtrip,
     "xml_roundtrip": ingest.xml_roundtrip,
+    "index_roundtrip": ingest.index_roundtrip,
+    "vectors_roundtrip": ingest.vectors_roundtrip,
+    "metrics_roundtrip": ingest.metrics_roundtrip,
+    "log_roundtrip": ingest.log_roundtrip,
     "safe_int": ingest.safe_ints,
     "doc_ids": ingest.doc_ids,
     "html_to_text": ingest.html_text,

@@ -175,3 +175,61 @@ def xml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         "seq", F.col("seq").cast("bigint"))
     write_jsonl(pairs_from_posts(back), f"{base}/pairs")
     return read_jsonl(spark, f"{base}/pairs")
+
+
+def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4 + S5: the BM25 index written as tables, read back, searched;
+    equals ``bm25_topk`` (and is the build-once, query-many path)."""
+    from quillrank.operators.bm25 import bm25_search, with_payload
+    from quillrank.operators.index import build_index
+    from quillrank.plans.retrieval import clean_corpus
+    from quillrank.sources.readers import read_index
+    from quillrank.sources.sinks import write_index
+    path = _scratch(spark, "bm25-index")
+    write_index(build_index(clean_corpus(spark, sf_dir)), path)
+    index = read_index(spark, path)
+    ranked = bm25_search(index, tables.questions(spark, sf_dir), top_k=10)
+    return with_payload(ranked, index.docs, ["doc_id", "question_id"]).select(
+        "query_id", "rank", "doc_id", "question_id", F.col("score").cast("double").alias("score"))
+
+
+def vectors_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3 + dense search: corpus vectors written keep-last per document, read
+    back, every question's 10 nearest documents."""
+    from quillrank.operators import dense
+    from quillrank.plans.retrieval import clean_corpus, question_vectors
+    from quillrank.sources.sinks import write_vectors
+    path = _scratch(spark, "vectors")
+    clean = clean_corpus(spark, sf_dir)
+    vecs = dense.hash_embed(clean, ["seq"], "text_for_embedding").join(
+        clean.select("seq", "doc_id"), "seq")
+    write_vectors(vecs, path, key="doc_id", order_col="seq")
+    back = spark.read.parquet(path)
+    ranked = dense.dense_search(back.select("seq", "embedding"), question_vectors(spark, sf_dir),
+                                top_k=10)
+    return ranked.join(back.select("seq", "doc_id"), "seq").select(
+        "query_id", "rank", "doc_id", F.col("score").cast("double").alias("score"))
+
+
+def metrics_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6 + S7: the retrieval summary written as a metrics file and read back."""
+    from quillrank.plans.evaluation import retrieval_eval
+    from quillrank.sources.readers import read_metrics
+    from quillrank.sources.sinks import write_metrics
+    path = _scratch(spark, "metrics")
+    write_metrics(retrieval_eval(spark, sf_dir), path)
+    m = read_metrics(spark, path)
+    return m.select("method", "hit_rate_at_5", "hit_rate_at_10", "mrr", "n_questions")
+
+
+def log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7 + K8 + S6: log rows and feedback appended as tables, read back, and
+    the API metrics computed over them; equals ``log_metrics``."""
+    from quillrank.operators import logs
+    from quillrank.sources.readers import read_log
+    from quillrank.sources.sinks import append_feedback, append_log
+    base = _scratch(spark, "query-log")
+    append_log(tables.query_logs(spark, sf_dir), f"{base}/log")
+    append_feedback(tables.feedback(spark, sf_dir), f"{base}/feedback")
+    lg = logs.with_feedback(read_log(spark, f"{base}/log"), spark.read.parquet(f"{base}/feedback"))
+    return logs.metrics(lg)

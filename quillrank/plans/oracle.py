@@ -477,4 +477,11 @@ def oracle_sql() -> dict[str, str]:
     # Written out and read back through the sources and sinks.
     out["csv_roundtrip"] = out["posts_self_join_top"]
     out["xml_roundtrip"] = out["qa_pairs_join"]
+    out["index_roundtrip"] = out["bm25_topk"]
+    out["metrics_roundtrip"] = out["retrieval_eval"]
+    out["log_roundtrip"] = out["log_metrics"]
+    out["vectors_roundtrip"] = f"""WITH {_CLEAN[:-1]}
+SELECT r.query_id, CAST(r.rank AS INTEGER) AS rank, c.doc_id, CAST(r.score AS DOUBLE) AS score
+FROM ({duck.dense_ranked('SELECT seq, text_for_embedding FROM clean', duck.QUESTIONS, 10)}) r
+JOIN clean c USING (seq)"""
     return out
