@@ -197,12 +197,11 @@ def vectors_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3 + dense search: corpus vectors written keep-last per document, read
     back, every question's 10 nearest documents."""
     from quillrank.operators import dense
-    from quillrank.plans.retrieval import clean_corpus, question_vectors
+    from quillrank.plans.retrieval import clean_corpus, corpus_vectors, question_vectors
     from quillrank.sources.sinks import write_vectors
     path = _scratch(spark, "vectors")
     clean = clean_corpus(spark, sf_dir)
-    vecs = dense.hash_embed(clean, ["seq"], "text_for_embedding").join(
-        clean.select("seq", "doc_id"), "seq")
+    vecs = corpus_vectors(clean).join(clean.select("seq", "doc_id"), "seq")
     write_vectors(vecs, path, key="doc_id", order_col="seq")
     back = spark.read.parquet(path)
     ranked = dense.dense_search(back.select("seq", "embedding"), question_vectors(spark, sf_dir),

@@ -19,7 +19,7 @@ from quillrank.operators.index import Bm25Index, build_index
 from quillrank.operators.models import ScriptedClient, batch_complete, default_rewrite
 from quillrank.operators.rerank import coverage_scores, rerank
 from quillrank.operators.util import materialize
-from quillrank.plans.retrieval import MIN_VOTE_SCORE, POOL, clean_corpus
+from quillrank.plans.retrieval import MIN_VOTE_SCORE, POOL, clean_corpus, corpus_vectors
 from quillrank.sources import tables
 
 TOP_K = 5
@@ -40,7 +40,7 @@ def retrieve(index: Bm25Index, clean: DataFrame, rewritten: DataFrame, pool: int
     keys = ["query_id", "sub_idx"]
     subq = rewritten.select("query_id", F.posexplode("rewritten_queries").alias("sub_idx", "question"))
     bm = bm25_search(index, subq, top_k=pool, key_cols=keys, min_score=min_score)
-    vecs = dense.hash_embed(doc_filter(clean, min_score=min_score), ["seq"], "text_for_embedding")
+    vecs = corpus_vectors(doc_filter(clean, min_score=min_score))
     dn = dense.dense_search(vecs, dense.hash_embed(subq, keys, "question"), top_k=pool,
                             key_cols=keys)
     lists = (bm.select("query_id", "rank", "seq", (F.col("sub_idx") * 2).alias("list_no"))
@@ -126,7 +126,7 @@ def title_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     and the hit's title vector."""
     clean = clean_corpus(spark, sf_dir)
     q = tables.questions(spark, sf_dir)
-    vecs = dense.hash_embed(clean, ["seq"], "text_for_embedding")
+    vecs = corpus_vectors(clean)
     top3 = dense.dense_search(vecs, dense.hash_embed(q, ["query_id"], "question"), top_k=3)
     qb = dense.hash_buckets(q, ["query_id"], "question")
     tb = dense.hash_buckets(clean, ["seq"], "question_title")

@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.functions.text import tokens
+from quillrank.functions.text import embedding_text, tokens
 from quillrank.operators import dense, fusion
 from quillrank.operators.bm25 import bm25_search, doc_filter, with_payload
 from quillrank.operators.clean import clean_pairs
@@ -30,11 +30,21 @@ def clean_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned corpus, persisted: index, vectors and ground truth all read it,
     and the HTML cleaning is the costliest step of every plan above it."""
     clean = clean_pairs(tables.corpus(spark, sf_dir), **INDEX_LIMITS)
-    # The raw HTML is not read downstream: keep it out of the cache.
-    return materialize(clean.drop("accepted_answer", "question_body"),
+    # The raw HTML is not read downstream and the embedding text repeats the
+    # answer: keep both out of the cache (``with_embed_text`` rebuilds the latter).
+    return materialize(clean.drop("accepted_answer", "question_body", "text_for_embedding"),
                        StorageLevel.MEMORY_AND_DISK)
 
 
+def with_embed_text(clean: DataFrame) -> DataFrame:
+    """P11 on the cached corpus: the embedding text, a concat of cached columns."""
+    if "text_for_embedding" in clean.columns:
+        return clean
+    return clean.withColumn("text_for_embedding", embedding_text(
+        F.coalesce(F.col("question_title"), F.lit("")), F.col("tags_list"),
+        F.col("answer_prose"), INDEX_LIMITS["max_embed_tokens"]))
+
+
 def corpus_index(spark: SparkSession, sf_dir: str) -> Bm25Index:
     return build_index(clean_corpus(spark, sf_dir))
 
@@ -105,7 +115,7 @@ def dense_topk(spark: SparkSession, sf_dir: str, top_k: int = 10) -> DataFrame:
 
 def corpus_vectors(clean: DataFrame) -> DataFrame:
     """Hashed bag-of-words vectors of the embedding text, per document."""
-    return dense.hash_embed(clean, ["seq"], "text_for_embedding")
+    return dense.hash_embed(with_embed_text(clean), ["seq"], "text_for_embedding")
 
 
 def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +136,7 @@ def dense_topk_filtered(spark: SparkSession, sf_dir: str, top_k: int = 10) -> Da
 def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1: the sparse hashed vectors of the corpus embedding text."""
     clean = clean_corpus(spark, sf_dir)
-    return dense.hash_buckets(clean, ["question_id"], "text_for_embedding")
+    return dense.hash_buckets(with_embed_text(clean), ["question_id"], "text_for_embedding")
 
 
 # --- fusion, hybrid, rerank -------------------------------------------------
