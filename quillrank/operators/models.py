@@ -127,3 +127,53 @@ def default_judge(question: Column, answer: Column, has_sources: Column) -> Colu
     return F.concat(F.lit('{"relevance": '), rel.cast("string"), F.lit(', "accuracy": '),
                     acc.cast("string"), F.lit(', "completeness": '), comp.cast("string"),
                     F.lit(', "reasoning": "overlap stub"}'))
+
+
+def embed_job(df: DataFrame, key_cols: list[str], text_col: str,
+              embedder_factory: Callable[[], object], normalize: bool = True) -> DataFrame:
+    """M1/R3 with a user model: (key..., embedding array<float>) per row.
+
+    ``embedder_factory()`` runs once per task and returns an object with
+    ``encode(list[str]) -> array (n x d)``; rows go in Arrow batches."""
+    import numpy as np
+    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
+                           for f in df.schema.fields if f.name in key_cols)
+
+    def run(batches):
+        model = embedder_factory()
+        for pdf in batches:
+            vecs = np.asarray(model.encode(pdf[text_col].fillna("").tolist()), dtype=np.float64)
+            if normalize and len(vecs):
+                norms = np.linalg.norm(vecs, axis=1, keepdims=True)
+                vecs = np.divide(vecs, norms, out=np.zeros_like(vecs), where=norms > 0)
+            out = pdf[key_cols].copy()
+            out["embedding"] = [v.astype(np.float32) for v in vecs]
+            yield out
+
+    return df.select(*key_cols, text_col).mapInPandas(
+        run, f"{key_schema}, embedding array<float>")
+
+
+def pair_scorer_job(pairs: DataFrame, key_cols: list[str], query_col: str, text_col: str,
+                    scorer_factory: Callable[[], object]) -> DataFrame:
+    """M2/R8 with a user model (a cross-encoder): (key..., reranker_score).
+
+    ``scorer_factory()`` runs once per task and returns an object with
+    ``predict(list[(query, text)]) -> scores``.  If a batch fails, its rows
+    score 0.0 -- the reference's fallback, which keeps the incoming order."""
+    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
+                           for f in pairs.schema.fields if f.name in key_cols)
+
+    def run(batches):
+        model = scorer_factory()
+        for pdf in batches:
+            out = pdf[key_cols].copy()
+            try:
+                scores = model.predict(list(zip(pdf[query_col].fillna(""), pdf[text_col].fillna(""))))
+                out["reranker_score"] = pd.Series(scores, dtype="float64").to_numpy()
+            except Exception:  # noqa: BLE001 -- scorer failure -> fallback scores
+                out["reranker_score"] = 0.0
+            yield out
+
+    return pairs.select(*key_cols, query_col, text_col).mapInPandas(
+        run, f"{key_schema}, reranker_score double")

@@ -4,7 +4,8 @@ The default pair scorer is idf-weighted query-term coverage: the share of the
 question's distinct terms (weighted by corpus idf) that occur in the
 candidate's ``title + answer`` text.  It runs as joins: candidate x question
 terms, semi-joined to the postings on (seq, term) -- no per-row Python.  A
-user scorer (a cross-encoder) plugs in through ``models.pair_scorer_job``.
+user scorer (a cross-encoder) plugs in through ``models.pair_scorer_job``, whose
+scores feed the same ``rerank`` cut (cast them to the score type first).
 """
 
 from __future__ import annotations

@@ -33,6 +33,7 @@ QUERIES = {
     "csv_roundtrip": ingest.csv_roundtrip,
     "xml_roundtrip": ingest.xml_roundtrip,
     "index_roundtrip": ingest.index_roundtrip,
+    "gt_roundtrip": ingest.gt_roundtrip,
     "vectors_roundtrip": ingest.vectors_roundtrip,
     "metrics_roundtrip": ingest.metrics_roundtrip,
     "log_roundtrip": ingest.log_roundtrip,

@@ -232,3 +232,15 @@ def log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     append_feedback(tables.feedback(spark, sf_dir), f"{base}/feedback")
     lg = logs.with_feedback(read_log(spark, f"{base}/log"), spark.read.parquet(f"{base}/feedback"))
     return logs.metrics(lg)
+
+
+def gt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5 + S4/L10: the ground truth written as JSON lines and its first 100
+    items read back; equals ``build_eval_set``."""
+    from quillrank.operators.evaluate import GT_SIZE, build_eval_set
+    from quillrank.plans.retrieval import clean_corpus
+    from quillrank.sources.readers import read_ground_truth
+    from quillrank.sources.sinks import write_jsonl
+    path = _scratch(spark, "ground-truth")
+    write_jsonl(build_eval_set(clean_corpus(spark, sf_dir)).drop("seq"), path)
+    return read_ground_truth(spark, path, GT_SIZE)

@@ -478,6 +478,7 @@ def oracle_sql() -> dict[str, str]:
     out["csv_roundtrip"] = out["posts_self_join_top"]
     out["xml_roundtrip"] = out["qa_pairs_join"]
     out["index_roundtrip"] = out["bm25_topk"]
+    out["gt_roundtrip"] = out["build_eval_set"]
     out["metrics_roundtrip"] = out["retrieval_eval"]
     out["log_roundtrip"] = out["log_metrics"]
     out["vectors_roundtrip"] = f"""WITH {_CLEAN[:-1]}

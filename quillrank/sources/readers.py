@@ -53,9 +53,19 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = PAIR_SCHEM
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+GT_SCHEMA = T.StructType([
+    T.StructField("gt_rank", T.IntegerType()), T.StructField("question_id", T.StringType()),
+    T.StructField("question_title", T.StringType()), T.StructField("question_body", T.StringType()),
+    T.StructField("question_url", T.StringType()), T.StructField("accepted_answer", T.StringType()),
+    T.StructField("tags_list", T.ArrayType(T.StringType())),
+    T.StructField("question_score", T.IntegerType()),
+])
+
+
 def read_ground_truth(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """The first ``n`` ground-truth items by their written rank."""
-    return spark.read.parquet(path).where(F.col("gt_rank") <= n)
+    """The first ``n`` ground-truth items (JSON lines written by K5),
+    by their written rank rather than file order."""
+    return read_jsonl(spark, path, GT_SCHEMA).where(F.col("gt_rank") <= n)
 
 
 def read_index(spark: SparkSession, path: str) -> Bm25Index:

@@ -44,3 +44,32 @@ def test_streams_equal_batch(spark):
 def test_roundtrips_equal_direct(spark):
     assert _rows(ingest.csv_roundtrip(spark, SMALL)) == _rows(ingest.posts_self_join_top(spark, SMALL))
     assert _rows(ingest.xml_roundtrip(spark, SMALL)) == _rows(ingest.qa_pairs_join(spark, SMALL))
+
+
+class TinyEmbedder:
+    def encode(self, texts):
+        import numpy as np
+        return np.array([[len(t), t.count("a"), 0.0] for t in texts], dtype=float)
+
+
+class LengthScorer:
+    def predict(self, pairs):
+        if any("explode" in t for _, t in pairs):
+            raise RuntimeError("scorer down")
+        return [float(len(t)) for _, t in pairs]
+
+
+def test_embed_and_score_jobs(spark):
+    from quillrank.operators.models import embed_job, pair_scorer_job
+    df = spark.createDataFrame([(1, "banana"), (2, "")], "k long, text string")
+    got = {r.k: list(r.embedding) for r in embed_job(df, ["k"], "text", TinyEmbedder).collect()}
+    assert abs(sum(x * x for x in got[1]) - 1.0) < 1e-6 and got[2] == [0.0, 0.0, 0.0]
+    pairs = spark.createDataFrame([(1, 10, "q", "abc"), (1, 11, "q", "abcdef")],
+                                  "query_id long, seq long, question string, text string")
+    sc = {r.seq: r.reranker_score
+          for r in pair_scorer_job(pairs, ["query_id", "seq"], "question", "text", LengthScorer).collect()}
+    assert sc == {10: 3.0, 11: 6.0}
+    bad = pairs.withColumn("text", F.lit("explode"))
+    sc = {r.seq: r.reranker_score
+          for r in pair_scorer_job(bad, ["query_id", "seq"], "question", "text", LengthScorer).collect()}
+    assert sc == {10: 0.0, 11: 0.0}
