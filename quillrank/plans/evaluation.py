@@ -9,6 +9,7 @@ from quillrank.operators import evaluate, fusion
 from quillrank.operators.bm25 import with_payload
 from quillrank.operators.index import build_index
 from quillrank.operators.rerank import coverage_scores, rerank
+from quillrank.operators.util import materialize
 from quillrank.plans.retrieval import clean_corpus, hybrid_lists
 
 
@@ -27,7 +28,7 @@ def _eval_lists(spark: SparkSession, sf_dir: str):
     questions = gt.select(F.col("gt_rank").alias("query_id"),
                           F.col("question_title").alias("question"))
     legs = hybrid_lists(index, clean, questions, 10)
-    pool = fusion.rrf(legs, top_n=20)
+    pool = materialize(fusion.rrf(legs, top_n=20))      # small; read by several branches
     scores = coverage_scores(index, pool, questions, ["query_id"])
     reranked = rerank(pool, scores, ["query_id"], top_k=10)
     lists = (legs.where(F.col("list_no") == 0).select(F.lit("bm25").alias("method"),
@@ -36,7 +37,7 @@ def _eval_lists(spark: SparkSession, sf_dir: str):
                  F.lit("dense").alias("method"), "query_id", "rank", "seq"))
              .unionByName(reranked.select(F.lit("hybrid").alias("method"), "query_id",
                                           F.col("rerank_rank").alias("rank"), "seq")))
-    lists = with_payload(lists, index.docs, ["question_id"])
+    lists = materialize(with_payload(lists, index.docs, ["question_id"]))
     return index, gt, lists, pool
 
 

@@ -88,7 +88,8 @@ all5 AS (SELECT method, query_id, rank, seq FROM lists WHERE method <> 'hybrid'
          UNION ALL SELECT 'reranked', query_id, rerank_rank, seq FROM rr WHERE rerank_rank <= 5),
 grid AS (SELECT g.gt_rank AS query_id, g.seq AS gold_seq, m.method FROM gt g
          CROSS JOIN (SELECT unnest(['bm25', 'dense', 'hybrid', 'reranked']) AS method) m)
-SELECT g.query_id, g.method, min(a.rank) IS NOT NULL AS found, CAST(min(a.rank) AS INTEGER) AS rank
+SELECT CAST(g.query_id AS INTEGER) AS query_id, g.method, min(a.rank) IS NOT NULL AS found,
+       CAST(min(a.rank) AS INTEGER) AS rank
 FROM grid g LEFT JOIN all5 a ON a.query_id = g.query_id AND a.method = g.method AND a.seq = g.gold_seq
 GROUP BY g.query_id, g.method""",
         "rrf_contributions": f"""WITH {_CLEAN} {_GT}, {duck.bm25_ctes(_BM_DOCS, _GTQ)}, {_hybrid_lists(10, _GTQ)},
@@ -97,7 +98,7 @@ parts AS (SELECT query_id, seq,
                  sum(CASE WHEN list_no = 0 THEN CAST(CAST(1.0 AS DOUBLE) / (CAST(60.0 AS DOUBLE) + CAST(rank AS DOUBLE)) AS DECIMAL(28,15)) END) AS bm25_part,
                  sum(CASE WHEN list_no = 1 THEN CAST(CAST(1.0 AS DOUBLE) / (CAST(60.0 AS DOUBLE) + CAST(rank AS DOUBLE)) AS DECIMAL(28,15)) END) AS dense_part
           FROM hl GROUP BY query_id, seq)
-SELECT f.query_id, CAST(f.fused_rank AS INTEGER) AS fused_rank, c.question_id,
+SELECT CAST(f.query_id AS INTEGER) AS query_id, CAST(f.fused_rank AS INTEGER) AS fused_rank, c.question_id,
        round(CAST(f.rrf_score AS DOUBLE), 6) AS rrf_score,
        round(CAST(coalesce(p.bm25_part, 0) AS DOUBLE), 6) AS bm25_part,
        round(CAST(coalesce(p.dense_part, 0) AS DOUBLE), 6) AS dense_part
@@ -438,7 +439,7 @@ SELECT r.query_id, CAST(r.rerank_rank AS INTEGER) AS rank, coalesce(c.doc_id, ''
        coalesce(CAST(r.reranker_score AS DOUBLE), 0.0) AS reranker_score
 FROM rr r JOIN clean c USING (seq) JOIN pool p ON p.query_id = r.query_id AND p.seq = r.seq""",
         "prompt_context": f"""{_pipeline(duck.QUESTIONS)}
-SELECT query_id, coalesce(n_sources, 0) AS n_sources,
+SELECT query_id, CAST(coalesce(n_sources, 0) AS INTEGER) AS n_sources,
        {prompt_head} || coalesce(context, '') || {prompt_tail} AS prompt FROM ans""",
         "generation_eval": f"""{_pipeline(gt_q(100))}
 SELECT round(avg(CAST(relevance AS DOUBLE)), 4) AS avg_relevance, round(avg(CAST(accuracy AS DOUBLE)), 4) AS avg_accuracy,
