@@ -20,8 +20,9 @@ Exactness rules (SURVEY 7.4):
 * zero fill: the reference ranks every document, so when fewer than k
   documents score, the list is completed by unmatched documents (score 0) in
   corpus order.  The first k allowed documents by position (a global top-k,
-  k rows per task) cover every case whose scores are not negative -- i.e.
-  whenever the corpus mean idf is not negative.
+  k rows per task) cover every case whose scores are not negative; when the
+  corpus mean idf is negative (so matches can score below 0) the fill widens
+  by the largest number of negative-scored matches of any question.
 """
 
 from __future__ import annotations
@@ -88,6 +89,22 @@ def first_docs(docs: DataFrame, k: int) -> DataFrame:
         F.collect_list("seq").alias("fill"))
 
 
+def _negative_allowance(index: Bm25Index, parts: DataFrame, key_cols: list[str]) -> int:
+    """How far past k the zero fill must reach.
+
+    Unmatched documents score 0.  They outrank matched documents only when
+    those score below 0, which needs a negative idf floor -- a corpus whose
+    mean idf is negative.  Then the fill must also cover as many extra
+    positions as any question has negative-scored matches.  The check reads
+    the one-row statistics frame; the count runs only in that rare case."""
+    mean_idf = index.corpus_stats.select("mean_idf").first()
+    if mean_idf is None or mean_idf[0] is None or mean_idf[0] >= 0:
+        return 0
+    neg = (parts.groupBy(*key_cols, "seq").agg(F.sum("c").alias("s")).where(F.col("s") < 0)
+           .groupBy(*key_cols).count().agg(F.max("count")).first()[0])
+    return int(neg or 0)
+
+
 def bm25_search(index: Bm25Index, queries: DataFrame, top_k: int = 10,
                 key_cols: list[str] | None = None, text_col: str = "question",
                 min_score: int | None = None, tags: list[str] | None = None,
@@ -99,7 +116,8 @@ def bm25_search(index: Bm25Index, queries: DataFrame, top_k: int = 10,
     filtered = min_score is not None or bool(tags) or bool(after_date)
     allowed = doc_filter(index.docs, min_score, tags, after_date) if filtered else index.docs
     if fill_zero:
-        fill = (queries.select(*key_cols).crossJoin(F.broadcast(first_docs(allowed, top_k)))
+        width = top_k + _negative_allowance(index, parts, key_cols)
+        fill = (queries.select(*key_cols).crossJoin(F.broadcast(first_docs(allowed, width)))
                 .select(*key_cols, F.explode("fill").alias("seq"),
                         F.lit(0).cast("bigint").alias("c")))
         parts = parts.unionByName(fill)

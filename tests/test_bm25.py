@@ -70,3 +70,16 @@ def test_filter_keeps_global_statistics(spark):
     filt = bm25_search(index, qdf, top_k=3, min_score=2).orderBy("rank").collect()
     assert all(r.seq >= 2 for r in filt)
     assert all(abs(full[r.seq] - r.score) < 1e-9 for r in filt)
+
+
+def test_zero_fill_with_negative_scores(spark):
+    # Five documents share every term of "a b c d e"; the mean idf is negative,
+    # so matches score below 0 and the unmatched document must rank first.
+    docs = ["a b c d e"] * 5 + ["z"]
+    rows = [(i, "", d) for i, d in enumerate(docs)]
+    df = spark.createDataFrame(rows, "seq long, question_title string, answer_prose string")
+    index = build_index(df)
+    qdf = spark.createDataFrame([(0, "a")], "query_id long, question string")
+    got = [(r.seq, round(r.score, 6)) for r in bm25_search(index, qdf, top_k=3).orderBy("rank").collect()]
+    want = brute("a", [" " + d for d in docs])[:3]
+    assert got == want and got[0][0] == 5
