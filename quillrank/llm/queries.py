@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from quillrank.llm import bfd_packing, near_copies, oracle, pow2_packing, quality, toxicity
+import corpus_pipeline
+from quillrank.llm import (bfd_packing, digests, licences, near_copies, oracle, pieces, pow2_packing, quality, quotes,
+                           surrogates, toxicity)
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
+    "op2_quote_links": quotes.op2,
+    "op3_byte_digests": digests.op3,
     "op4_near_copies": near_copies.op4,
     "op5_toxicity": toxicity.op5,
+    "op6_pieces": pieces.op6,
+    "op7_surrogates": surrogates.op7,
     "op8_pow2_packing": pow2_packing.op8,
     "op9_bfd_packing": bfd_packing.op9,
+    "op10_licences": licences.op10,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
