@@ -10,10 +10,10 @@ all registers of a band meet in that band's group:
    group), pairs are filtered by the collision-corrected Jaccard estimate and
    verified on the full sets; verified links give components.
 2. Groups that still hold several components are compared in full, but only
-   across components: large groups are dealt over block pairs, a task compares
-   registers with numpy, verifies likely pairs on the full sets, and emits a link
-   only where it joins two components.  A pair is looked at in its first common
-   band alone.
+   across components.  Large groups are dealt over blocks; only members outside
+   the group's first component visit the other blocks.  A task compares registers
+   with numpy, verifies likely pairs on the full sets, and emits a link only where
+   it joins two components.  A pair is looked at in its first common band alone.
 
 No partner is capped and no group is collected.  With 32 bands of 4 registers a
 link at similarity 0.8 shares no band with a chance below 1e-7.
@@ -42,8 +42,9 @@ BUCKETS = BANDS * ROWS
 MANTISSA = 26
 #: Standard errors that an estimate may lie below the threshold.
 SLACK = 5.0
-#: Members of a group that meet in one task at most, twice.
-BLOCK = 256
+#: A block of a group: members and shingles that one task holds as residents, about.
+BLOCK = 1024
+BLOCK_SHINGLES = 4 << 20
 #: Chance of equal registers with unequal minima, times 2 to the mantissa bits (HyperMinHash, equal set sizes).
 COLLISION = 0.169919487159739
 
@@ -193,24 +194,21 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 
 def _across(percent: int):
-    """A cell's links that join its components: rows of one group, of one or two blocks."""
+    """A cell's links that join its components: visitors (outside the group's first component) against residents."""
     def run(table: pa.Table) -> pa.Table:
         key = table.column("key")[0].as_py()
-        node, comp, block, n = (table.column(c).to_numpy() for c in ("node", "component", "block", "n"))
+        node, own, guest, free, n = (table.column(c).to_numpy() for c in ("node", "component", "guest", "free", "n"))
+        own = np.unique(own, return_inverse=True)[1]
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(-1, BUCKETS)
-        bands = np.asarray(table.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
+        with np.errstate(over="ignore"):
+            bands = np.stack([band_keys(x) for x in sketch])
         sets = table.column("shingles")
-        two = table.column("i")[0] != table.column("j")[0]
         band = int(np.flatnonzero(bands[0] == key)[0])
-        number = {c: k for k, c in enumerate(np.unique(comp).tolist())}
-        own = np.array([number[c] for c in comp.tolist()])
-        largest = np.bincount(own).argmax()
-        todo = np.ones(len(node), bool)
+        home = ~guest
         out = []
-        for x in np.flatnonzero(own != largest).tolist() if len(number) > 1 else []:
-            todo[x] = False
-            ok = ((own == largest) | todo) & (own != own[x]) & (node != node[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
-            ok &= (block != block[x]) if two else True
+        for x in np.flatnonzero(guest).tolist():
+            # Two members outside the first component meet twice: the lesser one's visit counts.
+            ok = home & (own != own[x]) & (~free | (node > node[x])) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
             at = np.flatnonzero(ok)
             at = at[((bands[at] == bands[x]) & (bands[x] != 0)).argmax(1) == band]
             a, b = sketch[at], sketch[x]
@@ -223,8 +221,6 @@ def _across(percent: int):
                 if 100 * both >= percent * (n[x] + n[y] - both):
                     out.append((int(node[x]), int(node[y])))
                     own[own == own[x]] = own[y]
-                    if own[x] == own[y] and not (own == largest).any():
-                        largest = own[y]
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
@@ -259,14 +255,16 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
 
     member = hits.join(first.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_"), "left")
     member = member.select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
-    mixed = mixed.where("low <> high").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    cells = member.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = cells.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("key", "node", "n", "component", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
-    cells = cells.join(classes.select("node", "n", "bands", "sketch"), ["node", "n"])
+    mixed = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                      F.count("*").alias("size"), F.sum("n").alias("shingles")).where("low <> high")
+    mixed = mixed.select("key", "low", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    cells = member.join(mixed, "key").withColumn("home", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = cells.withColumn("free", F.col("component") != F.col("low"))
+    visits = cells.where("free").select("key", "node", "n", "component", "free", F.lit(True).alias("guest"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    cells = visits.unionAll(cells.select("key", "node", "n", "component", "free", F.lit(False), "home"))
+    cells = cells.join(classes.select("node", "n", "sketch"), ["node", "n"])
     cells = cells.join(sets.withColumnRenamed("doc_id", "node"), ["node", "n"])
-    more = cells.groupBy("key", "i", "j").applyInArrow(_across(percent), "a bigint, b bigint")
+    more = cells.groupBy("key", "block").applyInArrow(_across(percent), "a bigint, b bigint")
     final = components(first_links.unionAll(more), "near-components")
 
     of_set = classes.join(final, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
