@@ -124,20 +124,31 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, set_id (null if empty), bands, sketch."""
+    """doc_id, n_shingles, set_id (null if empty), sketch."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         with np.errstate(over="ignore"):
             sets = shingle_sets(batch.column("text"), width)
-            sketches = [registers(s) for s in sets]
-            bands = [band_keys(x) for x in sketches]
+            sketches = [registers(s).tobytes() if len(s) else None for s in sets]
         return pa.RecordBatch.from_arrays([
             batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
             pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-            pa.array(bands, pa.list_(pa.int64())), pa.array([x.tobytes() for x in sketches], pa.binary())],
-            ["doc_id", "n_shingles", "set_id", "bands", "sketch"])
+            pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "set_id", "sketch"])
 
-    return map_slices(docs.select("doc_id", "text"), run,
-                      "doc_id bigint, n_shingles bigint, set_id binary, bands array<bigint>, sketch binary")
+    return map_slices(docs.select("doc_id", "text"), run, "doc_id bigint, n_shingles bigint, set_id binary, sketch binary")
+
+
+def banded(classes: DataFrame) -> DataFrame:
+    """key, node, n: a row for each band of a class whose registers are not all empty."""
+    def run(batches):
+        for batch in batches:
+            with np.errstate(over="ignore"):
+                keys = [band_keys(np.frombuffer(x, np.uint32)) for x in batch.column("sketch").to_pylist()]
+            rows = np.concatenate([np.full(np.count_nonzero(k), i) for i, k in enumerate(keys)] or [np.zeros(0, int)])
+            keys = np.concatenate([k[k != 0] for k in keys] or [np.zeros(0, np.int64)])
+            taken = batch.take(pa.array(rows.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), taken.column("node"), taken.column("n")], ["key", "node", "n"])
+
+    return classes.select("node", "n", "sketch").mapInArrow(run, "key bigint, node bigint, n bigint")
 
 
 def full_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -231,8 +242,8 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     signed = stored(signatures(docs, width), "near-signatures")
     named = signed.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
     classes = stored(named.groupBy("set_id").agg(
-        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "near-classes")
-    rows = classes.select("node", "n", F.explode(F.filter("bands", lambda k: k != 0)).alias("key"))
+        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "near-classes")
+    rows = banded(classes)
     groups = rows.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("other")).where("center <> other").drop("other")
     hits = stored(rows.join(groups, "key"), "near-groups")
 
