@@ -174,15 +174,9 @@ def fitted(kind: str, found: str, surrogate: str) -> str:
 _ENTITY = "kind string, value string"
 
 
-def entities(docs: DataFrame) -> DataFrame:
-    """The distinct entities of the corpus."""
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen = {(k, v) for t in batch.column("text").to_pylist() for _, _, k, v in find(t)}
-        rows = sorted(seen)
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.string()) for i in (0, 1)], ["kind", "value"])
-
-    maybe = docs.where(may_hold(F.col("text"))).select("text")
-    return map_slices(maybe, run, _ENTITY).distinct()
+def entities(found: DataFrame) -> DataFrame:
+    """The distinct entities of the scanned texts (column ``_found``)."""
+    return found.select(F.explode("_found").alias("e")).select("e.kind", "e.value").distinct()
 
 
 def _drawn(left: DataFrame, attempt: int, key: bytes) -> DataFrame:
@@ -230,7 +224,6 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, counts: bool = False) -> Dat
     Equal texts have equal entities, so a text's digest keys its part of the
     surrogate table; the texts themselves move once, and only those with an entity.
     """
-    table = assign(entities(docs), key)
     maybe = may_hold(F.col("text"))
     columns = docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -241,7 +234,8 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, counts: bool = False) -> Dat
         found = pa.array([[{"kind": k, "value": v} for k, v in x] for x in found], kind)
         return pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "_found"])
 
-    scanned = map_slices(docs.where(maybe), mentions, fields + ", _found array<struct<kind:string,value:string>>")
+    scanned = stored(map_slices(docs.where(maybe), mentions, fields + ", _found array<struct<kind:string,value:string>>"), "mentions")
+    table = assign(entities(scanned), key)
     held = scanned.where(F.size("_found") > 0).withColumn("_key", F.sha2("text", 256))
     parts = held.select("_key", F.explode("_found").alias("e")).select("_key", "e.kind", "e.value").distinct()
     tables = stored(parts.join(table, ["kind", "value"]).groupBy("_key").agg(

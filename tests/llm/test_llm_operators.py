@@ -1,0 +1,303 @@
+"""The training-data operators on small inputs: edge cases and brute force."""
+
+import re
+import zlib
+from collections import Counter
+from itertools import combinations
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from quillrank.llm import (bfd_packing, digests, licences, near_copies, oracle, pieces, pow2_packing, quality, quotes,
+                           surrogates, toxicity)
+from quillrank.llm.tokens import WordTokenizer, default_path
+
+SMALL = "/root/testdata/sf0.001"
+PROSE = " ".join(f"word{i}" for i in range(120))
+EDGES = [(1, None), (2, ""), (3, "   \n\t"), (4, "a"), (5, PROSE), (6, PROSE), (7, "x " * 30_000), (None, "no id at all")]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    """Null, empty, blank, short, repeated and long texts, and extra columns named like the operators' own."""
+    rows = [(d, t, "c", "s", 0) for d, t in EDGES]
+    return spark.createDataFrame(rows, "doc_id long, text string, component_id string, score string, n_words int")
+
+
+@pytest.fixture(scope="module")
+def empty(edges):
+    return edges.limit(0)
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+# 1. quality -------------------------------------------------------------------
+
+def test_quality_matches_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    cur = con.execute(oracle.OP1)
+    names = [d[0] for d in cur.description]
+    assert sorted(map(tuple, quality.op1(spark, SMALL).select(names).collect())) == sorted(cur.fetchall())
+
+
+def test_repeat_count_is_brute_force(spark):
+    texts = ["a a a a", "a b c a b c", "a b c d", "", "x y z " * 40, "a b c x a b c x a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    df = quality.with_repeats(df.select("id", quality.words(F.col("text")).alias("ws")))
+    for r in df.collect():
+        w = texts[r["id"]].split()
+        n = Counter(tuple(w[i:i + 3]) for i in range(len(w) - 2))
+        assert r["n_repeat_words"] == len({i + d for i in range(len(w) - 2) if n[tuple(w[i:i + 3])] > 1 for d in range(3)})
+
+
+def test_quality_filter_edges(edges, empty):
+    kept = quality.quality_filter(edges)
+    assert kept.columns == edges.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [5, 6]
+    assert quality.quality_filter(empty).count() == 0
+
+
+# 2. quotes --------------------------------------------------------------------
+
+def test_quotes_link_nested_replies(spark):
+    mails = [(1, 0, "Hello all.\nShall we meet?"), (1, 1, "Ann wrote:\n> Hello all.\n> Shall we  meet?\n\nYes."),
+             (1, 2, "Bob wrote:\n> Ann wrote:\n> > shall we meet\n> Yes.\n\nGood!"), (2, 0, "> Good!\nSee there."), (2, 1, None), (3, 0, "> unknown words\n")]
+    df = spark.createDataFrame(mails, "thread long, pos long, text string")
+    got = {(r.thread, r.pos): r for r in quotes.conversations(df).collect()}
+    assert {k: (r.reply_thread, r.reply_pos) for k, r in got.items()} == {
+        (1, 0): (None, None), (1, 1): (1, 0), (1, 2): (1, 1), (2, 0): (1, 2), (2, 1): (None, None), (3, 0): (None, None)}
+    assert [(got[k].root_pos, got[k].depth) for k in [(1, 0), (1, 1), (1, 2), (2, 0)]] == [(0, 0), (0, 1), (0, 2), (0, 3)]
+    assert got[1, 2].own_text == "Good!" and got[1, 2].n_linked == 2 and got[3, 0].own_text == ""
+    assert quotes.conversations(df.limit(0)).count() == 0
+
+
+# 3. digests -------------------------------------------------------------------
+
+def test_window_classes_are_brute_force():
+    x = np.random.default_rng(1).integers(97, 104, 400).astype(np.uint8)
+    got = digests._window_classes(x)
+    for i in range(len(got)):
+        total = sum(int(digests._GAIN[:n].sum()) for n in Counter(x[i:i + 64].tolist()).values())
+        assert got[i] == (digests._MOST - total) * digests.CLASSES // digests._MOST
+
+
+def test_digest_neighbours(spark, edges, empty):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    got = sorted(digests.neighbours(docs, part_bytes=100_000).collect(), key=lambda r: r["doc_id"])
+    texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
+    import hashlib
+    for i, r in enumerate(got):
+        change = digests.edited(texts[i], texts[(i + 1) % len(texts)])
+        assert r["edited_sha256"] == hashlib.sha256(change.encode()).hexdigest() and r["n_chars"] == len(texts[i])
+    assert len({(t, r["fingerprint"]) for t, r in zip(texts, got)}) == len(set(texts))
+    assert digests.neighbours(edges).count() == len(EDGES) and digests.neighbours(empty).count() == 0
+    same = digests.digests(pa.array(["", PROSE, PROSE]), np.arange(digests.CLASSES + 1))
+    assert digests.likeness(same[1], same[2]) == 1 and digests.likeness(same[0], same[1]) == 0 and digests.likeness(same[0], same[0]) == 1
+
+
+# 4. near copies ---------------------------------------------------------------
+
+def _brute(rows):
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        return {tuple(w[i:i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+    sets = {d: shingles(t) for d, t in rows}
+    comp = {d: d for d in sets}
+
+    def root(d):
+        while comp[d] != d:
+            d = comp[d]
+        return d
+    for a, b in combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+            x, y = sorted((root(a), root(b)))
+            comp[y] = x
+    return {d: (len(sets[d]), root(d), root(d) == d) for d in sets}
+
+
+def test_near_copies_are_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows, n = [(0, None), (1, ""), (2, "one two"), (3, "One  two"), (4, "one")], 5
+    for _ in range(4):  # families of many near copies, some past the threshold
+        base = [f"w{k}" for k in rng.integers(0, 5000, 160)]
+        for _ in range(30):
+            own = list(base)
+            for p in rng.integers(0, len(base), rng.integers(0, 9)):
+                own[p] = f"x{rng.integers(0, 9)}"
+            rows.append((n, " ".join(own)))
+            n += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_copies.link(df).collect()}
+    assert got == _brute(rows)
+
+
+def test_near_copies_over_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(i, " ".join(f"y{rng.integers(0, 99)}" if rng.random() < 0.035 else w for w in base)) for i in range(60)]
+    monkeypatch.setattr(near_copies, "BLOCK", 8)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_copies.link(df).collect()}
+    assert got == _brute(rows)
+
+
+def test_near_copies_edges(edges, empty):
+    got = by_id(near_copies.link(edges))
+    assert got[6]["component_id"] == 5 and not got[6]["kept"] and got[None]["kept"] and got[None]["component_id"] is None
+    assert got[1]["n_shingles"] == 0 and got[7]["n_shingles"] == 1
+    assert near_copies.near_copy_filter(edges).columns == edges.columns and near_copies.link(empty).count() == 0
+
+
+# 5. toxicity ------------------------------------------------------------------
+
+def test_toxicity_sees_misspellings_and_long_texts():
+    rng = np.random.default_rng(0)
+    plain = ["".join(rng.choice(list("abdeghilmnorstu"), rng.integers(3, 8))) for _ in range(400)]
+    def text(bad, n=60):
+        w = list(rng.choice(plain, n))
+        if bad:
+            w[int(rng.integers(n))] = ["moronic", "idiotic", "stupidly"][int(rng.integers(3))]
+        return " ".join(w)
+    labels = [i % 4 == 0 for i in range(400)]
+    model = toxicity.fit([text(x) for x in labels], [int(x) for x in labels])
+    from quillrank.llm.common import text_bytes
+    def score(*texts):
+        return model.scores(*text_bytes(pa.array(texts)))
+    new = [text(i % 2 == 0, 200) for i in range(100)]
+    assert (((score(*new) >= toxicity.THRESHOLD) == [i % 2 == 0 for i in range(100)]).mean()) >= 0.95
+    assert (score("moronicc", "idiiotic") >= toxicity.THRESHOLD).all() and score("", None)[0] == score("", None)[1]
+    assert score("a b " * 50_000 + "moronic")[0] > 0.3 > score("a b " * 50_000)[0]
+
+
+def test_toxicity_on_tables(spark, edges, empty):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    got = by_id(toxicity.score(edges, model))
+    assert len(got) == len(EDGES) and got[5]["score"] == got[6]["score"] and 0 <= got[1]["score"] <= 1
+    assert toxicity.toxicity_filter(edges, model).columns == edges.columns and toxicity.score(empty, model).count() == 0
+    assert toxicity.train(docs, labels.limit(0)).window == toxicity.WINDOW
+    rows = toxicity.op5(spark, SMALL).collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+
+
+# 6. pieces --------------------------------------------------------------------
+
+def test_pieces_agree_with_sentencepiece(spark, edges, empty):
+    t = pieces.PieceTokenizer(pieces.default_path())
+    texts = ["", " ", "  a  b ", "▁x", "hello\nworld\t日本語 emoji😀 <s> <unk> </s> <0x41>", "a▁▁b", "x" * 300, "tab\t\ttab", "é" * 3]
+    for (ids, same), want, text in zip(t.encode_batch(texts), t.whole.encode(texts), texts):
+        assert ids.tolist() == want and same
+        assert t.decode(ids.tolist()) == text.replace("▁", " ")
+    coded = pieces.encode(edges)
+    assert all(r["same"] and r["decoded"] for r in coded.collect()) and pieces.encode(empty).count() == 0
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in pieces.decode(coded).collect()))) == sorted(map(str, ((d, x or "") for d, x in EDGES)))
+
+
+# 7. surrogates ----------------------------------------------------------------
+
+def test_surrogates_keep_type_format_and_coreference(spark, edges, empty):
+    rows = [(1, "Mr. James Smith <the.72@mail3.example.com> +1 (743) 555-3824, 4111-1111-1111-1111", "v"),
+            (2, "MRS MARY SMITH, THE.72@MAIL3.EXAMPLE.COM!! 10.1.2.3 and 4111111111111111. Mr Smith", "v"),
+            (3, "nothing 12 here", "v"), (4, None, "v"), (5, 'token = "1eb9c654e721b4f812088970e66a6345cee33dd6"', "v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, value string")
+    got = {r["doc_id"]: r["text"] for r in surrogates.pseudonymise(df).collect()}
+    one = re.fullmatch(r"Mr\. (\w+) (\w+) <(\S+)> \+1 \((\d{3})\) (\d{3}-\d{4}), (\d{4}(?:-\d{4}){3})", got[1])
+    two = re.fullmatch(r"MRS (\w+) (\w+), (\S+)!! ([\d.]+) and (\d{16})\. Mr (\w+)", got[2])
+    assert one[1] in surrogates.GIVEN["latin"]["m"] and two[1].title() in surrogates.GIVEN["latin"]["f"]
+    assert one[2].upper() == two[2] and two[6] == one[2] and one[2] != "Smith" and one[3].lower() == two[3].lower()
+    assert one[6].replace("-", "") == two[5] and surrogates.luhn(two[5]) and two[5] != "4" + "1" * 15
+    assert got[3] == "nothing 12 here" and got[4] is None and re.fullmatch(r'token = "[0-9a-f]{40}"', got[5]) and got[5] != rows[4][1]
+    assert surrogates.pseudonymise(edges).columns == edges.columns and surrogates.pseudonymise(empty).count() == 0
+    assert sorted(map(str, (r["text"] for r in surrogates.pseudonymise(edges).collect()))) == sorted(str(t) for _, t in EDGES)
+
+
+def test_surrogates_are_distinct(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "candidate", lambda kind, value, attempt, key=b"": str(hash((value, attempt)) % 40) if attempt < 8 else f"x{value}")
+    found = spark.createDataFrame([("ssn", str(i)) for i in range(30)], "kind string, value string")
+    got = surrogates.assign(found).collect()
+    assert len(got) == 30 == len({r["surrogate"] for r in got}) and not {r["surrogate"] for r in got} & {str(i) for i in range(30)}
+
+
+# 8. and 9. packing ------------------------------------------------------------
+
+def test_tokens_agree_with_the_library():
+    t = WordTokenizer.open(default_path())
+    texts = ["", None, "Hello,  world's 123!", "ÀÉ ß ŒUVRE İstanbul ΣΑΣ", "áb ́c", "x<|endoftext|>y <| z", "日本 ½ ² _a-b_", "a\x0bb\x1cc d e", "it'll I'd 'Tis"]
+    flat, ends = t.encode(pa.array(texts, pa.string()))
+    for x, a, b in zip(texts, ends, ends[1:]):
+        assert flat[a:b].tolist() == t.whole.encode(x or "", add_special_tokens=False).ids
+
+
+def test_pow2_pieces(spark, edges, empty):
+    assert pow2_packing.binary_lengths(8192 + 5) == [4096, 4096, 4, 1]
+    whole = WordTokenizer.open(default_path()).whole
+    rows = pow2_packing.pack(edges).collect()
+    assert len({r["sequence_id"] for r in rows}) == len(rows) and all(r["length"] & (r["length"] - 1) == 0 and r["offset"] == 0 for r in rows)
+    for d, text in EDGES:
+        own = sorted((r for r in rows if r["doc_id"] == d), key=lambda r: r["start"])
+        ids = [i for r in own for i in r["input_ids"]]
+        assert ids == whole.encode(text or "", add_special_tokens=False).ids + [2] and len(ids) == own[0]["doc_tokens"]
+        assert all(r["ids_crc32"] == zlib.crc32(np.array(r["input_ids"], "<u4")) for r in own)
+    assert pow2_packing.pack(empty).count() == 0
+
+
+def test_best_fit(spark, edges, empty):
+    lengths = np.random.default_rng(5).integers(1, 65, 500).tolist()
+    rooms, want = [], []
+    for i in sorted(range(500), key=lambda i: -lengths[i]):
+        fits = [r for r in range(len(rooms)) if rooms[r] >= lengths[i]]
+        r = min(fits, key=lambda r: rooms[r]) if fits else len(rooms)
+        if not fits:
+            rooms.append(64)
+        rooms[r] -= lengths[i]
+    got = bfd_packing.best_fit(lengths, 64)
+    assert sorted(64 - sum(lengths[i] for i in row) for row in got) == sorted(rooms) and sorted(i for r in got for i in r) == list(range(500))
+    rows = bfd_packing.pack_best_fit(edges, max_len=128).collect()
+    whole = WordTokenizer.open(default_path()).whole
+    parts = {}
+    for r in rows:
+        ids, at = np.frombuffer(r["input_ids"], "<u2"), np.frombuffer(r["position_ids"], "<u2")
+        for d, s, a, b in zip(r["doc_ids"], r["starts"], r["cu_seqlens"], r["cu_seqlens"][1:]):
+            parts[d, s] = ids[a:b].tolist()
+            assert at[a:b].tolist() == list(range(b - a))
+    for d, text in EDGES:
+        assert [i for k in sorted(k for k in parts if k[0] == d) for i in parts[k]] == whole.encode(text or "", add_special_tokens=False).ids + [49407]
+    assert bfd_packing.pack_best_fit(empty).count() == 0
+
+
+# 10. licences -----------------------------------------------------------------
+
+def test_licences(spark, edges, empty):
+    mit = ("MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation "
+           "files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, "
+           "publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject "
+           "to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.")
+    rows = [(1, mit), (2, "text.\nLICENSED!! UNDER!! THE!! APACHE!! LICENSE,!! VERSION!! 2.0.!!"), (3, "Licensed under CC BY-NC 4.0. Released under the MIT License."),
+            (4, "The license of my car."), (5, "SPDX-License-Identifier: MIT")]
+    got = by_id(licences.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i]["licences"] for i in range(1, 6)] == [["MIT"], ["Apache-2.0"], ["CC-BY-NC-4.0", "MIT"], [], ["SPDX"]]
+    for s, e in got[3]["spans"]:
+        assert "icensed under CC" in rows[2][1][s:e] or "MIT" in rows[2][1][s:e]
+    assert all(re.search(licences.ANCHORS, s) for own in licences.SENTENCES.values() for s in own)
+    assert all(r["licences"] == [] for r in licences.scan(edges).collect()) and licences.scan(empty).count() == 0
+
+
+# the pipeline -----------------------------------------------------------------
+
+def test_pipeline_keeps_columns_and_order(spark):
+    import corpus_pipeline as P
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    seen = docs
+    for name, stage in P.STAGES[:-1]:
+        from quillrank.llm.common import stored
+        seen = stored(stage(spark, seen, SMALL), f"test-{name}")
+        assert seen.columns == docs.columns and 0 < seen.count() <= docs.count()
+    packed = P.STAGES[-1][1](spark, seen, SMALL)
+    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in seen.select("doc_id").collect()}
