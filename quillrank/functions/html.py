@@ -15,26 +15,17 @@ Nested ``<pre>`` is not handled (needs a real parser).
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillrank.functions.core import let
 
-# HTML named character references decoded by the engine
-# (name, character).  ``amp`` is applied last, separately.
-NAMED_ENTITIES = [
-    ("nbsp", "\u00a0"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"),
-    ("copy", "\u00a9"), ("reg", "\u00ae"), ("trade", "\u2122"), ("middot", "\u00b7"),
-    ("hellip", "\u2026"), ("mdash", "\u2014"), ("ndash", "\u2013"), ("lsquo", "\u2018"),
-    ("rsquo", "\u2019"), ("ldquo", "\u201c"), ("rdquo", "\u201d"), ("laquo", "\u00ab"),
-    ("raquo", "\u00bb"), ("bull", "\u2022"), ("euro", "\u20ac"), ("pound", "\u00a3"),
-    ("yen", "\u00a5"), ("cent", "\u00a2"), ("sect", "\u00a7"), ("deg", "\u00b0"),
-    ("plusmn", "\u00b1"), ("times", "\u00d7"), ("divide", "\u00f7"), ("para", "\u00b6"),
-    ("shy", "\u00ad"), ("iexcl", "\u00a1"), ("iquest", "\u00bf"), ("rarr", "\u2192"),
-    ("larr", "\u2190"), ("uarr", "\u2191"), ("darr", "\u2193"), ("hearts", "\u2665"),
-    ("ensp", "\u2002"), ("emsp", "\u2003"), ("thinsp", "\u2009"), ("zwnj", "\u200c"),
-    ("zwj", "\u200d"),
-]
+# All named character references that end in a semicolon, from the standard
+# library's table.  ``amp`` is applied last, separately.
+NAMED_ENTITIES = sorted((name[:-1], text) for name, text in html5.items()
+                        if name.endswith(";") and name.lower() != "amp;")
 
 # Comments, script and style bodies in one left-to-right pass: whichever
 # construct opens first is removed whole (a comment marker inside a script is
@@ -42,8 +33,8 @@ NAMED_ENTITIES = [
 NON_TEXT_RE = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
 TAG_RE = r"<[A-Za-z/!?][^>]*>"
 PRE_RE = r"(?is)<pre\b[^>]*>(.*?)</pre\s*>"
-DEC_REF_RE = r"&#([0-9]{1,7});"
-HEX_REF_RE = r"&#x([0-9a-fA-F]{1,6});"
+DEC_REF_RE = r"&#([0-9]+);"
+HEX_REF_RE = r"&#[xX]([0-9a-fA-F]+);"
 NAMED_REF_RE = r"&([A-Za-z][A-Za-z0-9]{1,31});"
 
 
@@ -59,21 +50,25 @@ def _codepoint_to_char(n: Column) -> Column:
 def _replace_refs(s: Column, pattern: str, radix: int) -> Column:
     """Replace every numeric reference matching ``pattern`` (digits in group 1)."""
     def step(acc, digits):
-        lit_ref = F.concat(F.lit("&#x" if radix == 16 else "&#"), digits, F.lit(";"))
-        cp = F.conv(digits, radix, 10).cast("bigint")
+        short = F.ltrim(digits, F.lit("0"))  # leading zeros carry nothing; 8 digits are beyond Unicode
+        cp = F.when(F.length(short).between(1, 7), F.conv(short, radix, 10).cast("bigint")).otherwise(0)
         ok = (cp > 0) & (cp <= 0x10FFFF) & ~((cp >= 0xD800) & (cp <= 0xDFFF))
         char = F.when(ok, _codepoint_to_char(cp)).otherwise(F.lit("\ufffd"))
-        return F.replace(acc, lit_ref, char)
+        end = F.concat(digits, F.lit(";"))
+        out = F.replace(acc, F.concat(F.lit("&#x" if radix == 16 else "&#"), end), char)
+        return F.replace(out, F.concat(F.lit("&#X"), end), char) if radix == 16 else out
 
     return let(s, lambda v: F.aggregate(
         F.array_distinct(F.regexp_extract_all(v, F.lit(pattern), 1)), v, step))
 
 
 def _replace_named(s: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in NAMED_ENTITIES for x in pair])
+    # One string literal, which the optimizer folds to a constant map.
+    table = F.str_to_map(F.lit("\x02".join(f"{name}\x01{text}" for name, text in NAMED_ENTITIES)),
+                         F.lit("\x02"), F.lit("\x01"))
 
     def step(acc, name):
-        ch = F.element_at(table, name)
+        ch = F.try_element_at(table, name)
         return F.when(ch.isNotNull(), F.replace(acc, F.concat(F.lit("&"), name, F.lit(";")), ch)
                       ).otherwise(acc)
 
@@ -82,14 +77,14 @@ def _replace_named(s: Column) -> Column:
 
 
 def decode_entities(col) -> Column:
-    """Decode named (fixed list) and numeric character references; ``&amp;`` last.
+    """Decode named and numeric character references; ``&amp;`` last.
 
     One regex pass finds the names present; only those are replaced, so text
     full of bare ``&`` costs one scan, not one per known entity.
     """
     def body(s):
         out = _replace_refs(_replace_refs(_replace_named(s), DEC_REF_RE, 10), HEX_REF_RE, 16)
-        out = F.replace(out, F.lit("&amp;"), F.lit("&"))
+        out = F.regexp_replace(out, "&(?:amp|AMP);", "&")
         # Most text carries no '&': skip the work for it.
         return F.when(F.instr(s, "&") > 0, out).otherwise(s)
 

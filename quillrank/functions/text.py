@@ -62,12 +62,12 @@ _NUMERIC = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def safe_int(col) -> Column:
-    """``int(float(str(v)))`` with any failure -> 0 (truncates toward 0)."""
+    """``int(float(str(v)))`` as a BIGINT with any failure -> 0 (truncates toward 0)."""
     s = F.trim(_c(col).cast("string"))
     parsed = F.when(s.rlike(_NUMERIC), s.try_cast("double"))
     as_int = F.when(parsed.isNotNull() & ~F.isnan(parsed)
-                    & (F.abs(parsed) < F.lit(2.0 ** 31)), parsed.cast("int"))
-    return F.coalesce(as_int, F.lit(0))
+                    & (F.abs(parsed) < F.lit(2.0 ** 63)), parsed.cast("bigint"))
+    return F.coalesce(as_int, F.lit(0).cast("bigint"))
 
 
 def md5_hex(col) -> Column:

@@ -24,13 +24,18 @@ def tag_list(ranked: DataFrame, list_no) -> DataFrame:
 
 def rrf(lists: DataFrame, key_cols: list[str] | None = None, k: int = RRF_K,
         top_n: int | None = None) -> DataFrame:
-    """(key..., seq, rrf_score DECIMAL, first_list, first_rank, fused_rank)."""
+    """(key..., seq, rrf_score DECIMAL, first_list, first_rank, fused_rank).
+
+    Lists with a ``doc_id`` fuse on it: a document held under several positions is
+    one row, at the position of its first mention.
+    """
+    ident = "doc_id" if "doc_id" in lists.columns else "seq"
     key_cols = key_cols or ["query_id"]
     contrib = (F.lit(1.0) / (F.lit(float(k)) + F.col("rank").cast("double"))).cast(RRF_DEC)
-    fused = lists.groupBy(*key_cols, "seq").agg(
+    fused = lists.groupBy(*key_cols, ident).agg(
         F.sum(contrib).alias("rrf_score"),
-        F.min(F.struct("list_no", "rank")).alias("first"))
-    fused = fused.select(*key_cols, "seq", "rrf_score",
+        F.min(F.struct("list_no", "rank", "seq")).alias("first"))
+    fused = fused.select(*key_cols, *([ident] if ident != "seq" else []), F.col("first.seq").alias("seq"), "rrf_score",
                          F.col("first.list_no").alias("first_list"),
                          F.col("first.rank").alias("first_rank"))
     w = Window.partitionBy(*key_cols).orderBy(F.col("rrf_score").desc(), "first_list",

@@ -133,12 +133,11 @@ def answer_prompt(question, context):
 
 
 def answer_and_judge(questions: DataFrame, ctx: DataFrame, key_cols: list[str]) -> DataFrame:
-    """M4 + M5 + P19/P20 defaults: extractive answer (first source's prose cut
-    to the context limit; fixed sentence without sources) and its judgement."""
+    """M4 + M5 + P19/P20 defaults: extractive answer (first source's whole
+    prose; fixed sentence without sources) and its judgement."""
     j = questions.join(ctx, key_cols, "left")
     has = F.coalesce(F.col("n_sources"), F.lit(0)) > 0
-    answer = F.when(has, truncate_tokens(F.col("first_prose"), MAX_DOC_TOKENS, always_rejoin=True)
-                    ).otherwise(F.lit(NO_SOURCES_ANSWER))
+    answer = F.when(has, F.coalesce(F.col("first_prose"), F.lit(""))).otherwise(F.lit(NO_SOURCES_ANSWER))
     j = j.withColumn("answer", answer)
     judged = j.withColumn("judge", judge_struct(default_judge(F.col("question"), F.col("answer"), has)))
     # P20: the judge block is null unless some score is present.

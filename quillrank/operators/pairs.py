@@ -66,14 +66,15 @@ def pairs_from_posts(posts: DataFrame, min_q: int = MIN_Q_SCORE, min_a: int = MI
         url_for(F.col("Id")).alias("question_url"))
 
 
-def top_pairs_sql_path(posts: DataFrame, n: int = TOP_N) -> DataFrame:
+def top_pairs_sql_path(posts: DataFrame, n: int | None = None) -> DataFrame:
     """J1 + F1-F4 + L1: the export query (TOP n by question score, ties by
     post position), then K1's conversion of its CSV columns to qa_pairs."""
     return csv_rows_to_pairs(export_rows(posts, n))
 
 
-def export_rows(posts: DataFrame, n: int = TOP_N) -> DataFrame:
-    """J1 + F1-F4 + L1: the export query's rows (all strings) plus ``seq``."""
+def export_rows(posts: DataFrame, n: int | None = None) -> DataFrame:
+    """J1 + F1-F4 + L1: the export query's rows (all strings) plus ``seq``;
+    the cut to TOP n (by question score, ties by post position) only where ``n`` names it."""
     q = posts.alias("q")
     a = posts.alias("a")
     j = q.join(a, F.col("q.AcceptedAnswerId") == F.col("a.Id"), "inner").where(
@@ -88,6 +89,8 @@ def export_rows(posts: DataFrame, n: int = TOP_N) -> DataFrame:
         F.substring(F.col("q.CreationDate"), 1, 10).alias("CreationDate"),
         F.col("a.Body").alias("AcceptedAnswerBody"), F.col("a.Score").alias("AnswerScore"),
         F.col("q.seq").alias("seq"))
+    if n is None:
+        return export
     return export.orderBy(safe_int(F.col("Score")).desc(), F.col("seq")).limit(n)
 
 

@@ -8,7 +8,7 @@ explicit class equal to Java's ``(?U)\\s``.
 
 from __future__ import annotations
 
-from quillrank.functions.html import NAMED_ENTITIES
+from html.entities import html5
 
 WS = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -33,18 +33,24 @@ def truncate(x: str, n: int | None) -> str:
             f"THEN array_to_string(list_slice({tokens(x)}, 1, {n}), ' ') ELSE {x} END)")
 
 
+_NAMES = sorted(n[:-1] for n in html5 if n.endswith(";") and n not in ("amp;", "AMP;"))
+_ENTITY_MAP = (f"MAP([{', '.join(q(n) for n in _NAMES)}], "
+               f"[{', '.join(q(html5[n + ';']) for n in _NAMES)}])")
+
+
 def decode_entities(x: str) -> str:
-    out = x
-    for name, ch in NAMED_ENTITIES:
-        out = f"replace({out}, '&{name};', {q(ch)})"
-    for pat, prefix, radix in ((r"&#([0-9]{1,7});", "&#", 10),
-                               (r"&#x([0-9a-fA-F]{1,6});", "&#x", 16)):
-        cp = "CAST(d AS BIGINT)" if radix == 10 else "CAST(('0x' || d) AS BIGINT)"
+    out = (f"list_reduce(list_prepend({x}, list_distinct(regexp_extract_all({x}, "
+           f"'&([A-Za-z][A-Za-z0-9]{{1,31}});', 1))), lambda acc, n: replace(acc, '&' || n || ';', "
+           f"coalesce({_ENTITY_MAP}[n], '&' || n || ';')))")
+    for pat, prefix, radix in ((r"&#([0-9]+);", "&#", 10),
+                               (r"&#x([0-9a-fA-F]+);", "&#x", 16), (r"&#X([0-9a-fA-F]+);", "&#X", 16)):
+        digits = "ltrim(d, '0')" if radix == 10 else "'0x' || ltrim(d, '0')"
+        cp = f"(CASE WHEN length(ltrim(d, '0')) BETWEEN 1 AND 7 THEN TRY_CAST(({digits}) AS BIGINT) ELSE 0 END)"
         ch = (f"CASE WHEN {cp} > 0 AND {cp} <= 1114111 AND NOT ({cp} BETWEEN 55296 AND 57343) "
               f"THEN chr(CAST({cp} AS INTEGER)) ELSE chr(65533) END")
         out = (f"list_reduce(list_prepend({out}, list_distinct(regexp_extract_all({out}, "
                f"{q(pat)}, 1))), lambda acc, d: replace(acc, '{prefix}' || d || ';', {ch}))")
-    out = f"replace({out}, '&amp;', '&')"
+    out = f"regexp_replace({out}, '&(?:amp|AMP);', '&', 'g')"
     return f"(CASE WHEN instr({x}, '&') > 0 THEN {out} ELSE {x} END)"
 
 
@@ -122,7 +128,8 @@ SELECT *, {emb} AS text_for_embedding FROM (
 
 def clean_corpus(max_answer_tokens: int | None = None, max_embed_tokens: int | None = None) -> str:
     """The registered queries' corpus: whole answers and whole embedding text."""
-    return clean_select(CORPUS, max_answer_tokens=max_answer_tokens, max_embed_tokens=max_embed_tokens)
+    return clean_select(CORPUS, max_answer_tokens=max_answer_tokens, max_body_tokens=None,
+                        max_embed_tokens=max_embed_tokens)
 
 
 QUESTIONS = "SELECT item_id AS query_id, text AS question FROM benchmark"
@@ -206,7 +213,7 @@ FROM events WHERE event_type IN ('view','click','purchase')"""
 FEEDBACK = """
 SELECT concat('u', CAST(user_id AS VARCHAR)) AS session_id, ts, event_id AS seq,
        CASE event_type WHEN 'signup' THEN 1 ELSE -1 END AS feedback
-FROM events WHERE event_type IN ('signup','error') AND user_id%3<>0"""
+FROM events WHERE event_type IN ('signup','error')"""
 
 LOG_TABLE = f"""
 SELECT l.*, CAST(CASE WHEN f.last_ts >= l.timestamp THEN f.last_feedback END AS INTEGER) AS user_feedback

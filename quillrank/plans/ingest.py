@@ -9,7 +9,7 @@ from quillrank.functions.html import html_code_blocks, html_to_text, html_withou
 from quillrank.functions.text import (judge_struct, md5_hex, md5_to_uuid, parse_rewrites,
                                       safe_int, url_for)
 from quillrank.operators.clean import clean_pairs, ingest_counts
-from quillrank.operators.pairs import pairs_from_posts, top_pairs_sql_path
+from quillrank.operators.pairs import TOP_N, pairs_from_posts, top_pairs_sql_path
 from quillrank.operators.validate import preset_bound, request_errors
 from quillrank.sources import tables
 
@@ -21,7 +21,7 @@ def qa_pairs_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def posts_self_join_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J1/F4/L1 + K1 conversion: the export-query path, TOP 50000 by score."""
-    return top_pairs_sql_path(tables.posts(spark, sf_dir))
+    return top_pairs_sql_path(tables.posts(spark, sf_dir), TOP_N)
 
 
 def safe_ints(spark: SparkSession, sf_dir: str) -> DataFrame:

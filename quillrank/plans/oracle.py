@@ -250,8 +250,8 @@ _NUM = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 def safe_int_sql(x: str) -> str:
     s = f"trim(CAST({x} AS VARCHAR))"
     d = f"TRY_CAST({s} AS DOUBLE)"
-    return (f"coalesce(CASE WHEN regexp_full_match({s}, '{_NUM}') AND NOT isnan({d}) AND abs({d}) < 2147483648 "
-            f"THEN CAST(trunc({d}) AS INTEGER) END, 0)")
+    return (f"coalesce(CASE WHEN regexp_full_match({s}, '{_NUM}') AND NOT isnan({d}) AND abs({d}) < 9223372036854775808 "
+            f"THEN CAST(trunc({d}) AS BIGINT) END, 0)")
 
 
 def _ingest() -> dict[str, str]:
@@ -389,7 +389,7 @@ ctx AS (SELECT query_id, count(*) AS n_sources, string_agg(block, chr(10) || chr
                list(question_id ORDER BY rerank_rank) AS source_ids, list(text ORDER BY rerank_rank) AS source_texts
         FROM src GROUP BY query_id),
 a0 AS (SELECT qs.query_id, qs.question, ctx.n_sources, ctx.context, ctx.source_ids, ctx.source_texts,
-              CASE WHEN coalesce(ctx.n_sources, 0) > 0 THEN {rejoin('ctx.first_prose')}
+              CASE WHEN coalesce(ctx.n_sources, 0) > 0 THEN coalesce(ctx.first_prose, '')
                    ELSE 'No relevant Stack Overflow answers found for this question.' END AS answer
        FROM qs LEFT JOIN ctx USING (query_id)),
 ans AS (SELECT *, CAST(1 + floor(CAST(4.0 AS DOUBLE) * ({_share(lq, la)})) AS INTEGER) AS relevance,
@@ -476,7 +476,8 @@ def oracle_sql() -> dict[str, str]:
     out["stream_feedback"] = out["feedback_latest"]
     out["stream_clean"] = out["clean_records"]
     # Written out and read back through the sources and sinks.
-    out["csv_roundtrip"] = out["posts_self_join_top"]
+    cut = f"ORDER BY {safe_int_sql('q.Score')} DESC, q.seq LIMIT 50000"
+    out["csv_roundtrip"] = out["posts_self_join_top"].replace(cut, "")
     out["xml_roundtrip"] = out["qa_pairs_join"]
     out["index_roundtrip"] = out["bm25_topk"]
     out["gt_roundtrip"] = out["build_eval_set"]

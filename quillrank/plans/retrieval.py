@@ -18,7 +18,7 @@ from quillrank.sources import tables
 # The registered queries index and embed whole documents (no 512-token cut of
 # answer or embedding text); pass the reference's limits to clean_pairs to
 # reproduce its truncated index.
-INDEX_LIMITS = {"max_answer_tokens": None, "max_embed_tokens": None}
+INDEX_LIMITS = {"max_answer_tokens": None, "max_body_tokens": None, "max_embed_tokens": None}
 # The reference's default metadata filter and list sizes.
 MIN_VOTE_SCORE = 5
 POOL = 40

@@ -31,10 +31,11 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str,
                  max_files_per_trigger: int | None = None) -> DataFrame:
     """A file stream over one table of ``sf_dir`` (schema from the batch table)."""
     schema = tables.table(spark, sf_dir, name).schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(sf_dir)
+    # As a glob, the name may be one file or a folder of part files.
+    return r.parquet(f"{sf_dir}/{name}.[p]arquet")
 
 
 def _run(spark: SparkSession, stream: DataFrame, job: str, mode: str) -> str:
