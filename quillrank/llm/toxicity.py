@@ -149,14 +149,18 @@ class _Adam:
         value -= self.rate * (self.m / (1 - 0.9 ** self.t)) / (np.sqrt(self.v / (1 - 0.999 ** self.t)) + 1e-8)
 
 
-def _distinct_words(marked, at):
+def _distinct_words(marked, at, step: int = 100_000):
     """The words' numbers and, for each distinct word, one place where it stands (words are equal if two hashes are)."""
-    with np.errstate(over="ignore"):
-        place = np.arange(len(marked), dtype=np.uint64) - np.repeat(at[:-1], np.diff(at)).astype(np.uint64)
-        x = (marked.astype(np.uint64) + np.uint64(256) * place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        key = np.add.reduceat(x ^ (x >> np.uint64(29)), at[:-1])
-    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    keys = []
+    for w in range(0, len(at) - 1, step):  # in runs of words, for the driver's memory
+        ends = at[w:w + step + 1]
+        size = np.diff(ends)
+        place = np.arange(ends[-1] - ends[0]) - np.repeat(ends[:-1] - ends[0], size)
+        with np.errstate(over="ignore"):
+            x = (marked[ends[0]:ends[-1]] + np.uint64(256) * place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            keys.append(np.add.reduceat(x ^ (x >> np.uint64(29)), ends[:-1] - ends[0]))
+    _, first, number = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     return first, number
 
 
@@ -169,11 +173,14 @@ def fit(texts: list[str], labels: list[int], window: int = WINDOW, warm: int = 1
         share = min(max(float(y.mean()) if len(y) else 0.0, 1e-9), 1 - 1e-9)
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))), window)
     first, number = _distinct_words(marked, at)
-    feats, sizes = _features(marked, at)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    v_size = sizes[first]
+    # Features of the distinct words alone: the others share them.
+    length = np.diff(at)[first]
+    v_end = np.concatenate([[0], np.cumsum(length)])
+    feats, v_size = _features(marked[np.repeat(at[first] - v_end[:-1], length) + np.arange(v_end[-1])], v_end)
     v_at = np.concatenate([[0], np.cumsum(v_size)])
-    used, own = np.unique(feats[np.repeat(starts[first] - v_at[:-1], v_size) + np.arange(v_at[-1])], return_inverse=True)
+    sizes = v_size[number]
+    used, own = np.unique(feats, return_inverse=True)
+    del marked, at, feats
     n_words = np.diff(first_word)
     text_of = np.repeat(np.arange(len(y)), n_words)
     texts_in = np.flatnonzero(n_words)
