@@ -11,8 +11,8 @@ all registers of a band meet in that band's group:
    verified on the full sets; verified links give components.
 2. Groups that still hold several components are compared in full, but only
    across components.  Large groups are dealt over blocks; only members outside
-   the group's first component visit the other blocks.  A task compares registers
-   with numpy, verifies likely pairs on the full sets, and emits a link only where
+   the group's first component visit the other blocks, and many visitors are dealt
+   over parts, so a task holds one block and one part.  It compares registers with numpy, verifies likely pairs on the full sets, and emits a link only where
    it joins two components.  A pair is looked at in its first common band alone.
 
 No partner is capped and no group is collected.  With 32 bands of 4 registers a
@@ -237,6 +237,11 @@ def _across(percent: int):
     return run
 
 
+def _blocks(size, shingles):
+    """Blocks of a group that keep each within BLOCK members and BLOCK_SHINGLES shingles, about."""
+    return F.ceil(F.greatest(size / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+
+
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     signed = stored(signatures(docs, width), "near-signatures")
@@ -268,14 +273,19 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     member = member.select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     mixed = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"),
                                       F.count("*").alias("size"), F.sum("n").alias("shingles")).where("low <> high")
-    mixed = mixed.select("key", "low", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    cells = member.join(mixed, "key").withColumn("home", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = cells.withColumn("free", F.col("component") != F.col("low"))
-    visits = cells.where("free").select("key", "node", "n", "component", "free", F.lit(True).alias("guest"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    cells = visits.unionAll(cells.select("key", "node", "n", "component", "free", F.lit(False), "home"))
+    mixed = mixed.select("key", "low", _blocks(F.col("size"), F.col("shingles")).alias("blocks"))
+    cells = member.join(mixed, "key").withColumn("free", F.col("component") != F.col("low"))
+    guests = cells.where("free").groupBy("key").agg(_blocks(F.count("*"), F.sum("n")).alias("parts"))
+    cells = cells.join(guests, "key").withColumn("home", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    own = F.pmod(F.xxhash64("node", F.lit("guest")), F.col("parts")).cast("int")
+    fields = ["key", "node", "n", "component", "free"]
+    visits = cells.where("free").select(*fields, F.lit(True).alias("guest"), own.alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    stay = cells.where("parts = 1").select(*fields, F.lit(False), F.lit(0), "home")
+    met = cells.where("parts > 1").select(*fields, F.lit(False), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "home")
+    cells = visits.unionAll(stay).unionAll(met)
     cells = cells.join(classes.select("node", "n", "sketch"), ["node", "n"])
     cells = cells.join(sets.withColumnRenamed("doc_id", "node"), ["node", "n"])
-    more = cells.groupBy("key", "block").applyInArrow(_across(percent), "a bigint, b bigint")
+    more = cells.groupBy("key", "block", "part").applyInArrow(_across(percent), "a bigint, b bigint")
     final = components(first_links.unionAll(more), "near-components")
 
     of_set = classes.join(final, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
