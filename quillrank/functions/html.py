@@ -8,8 +8,8 @@ regular expressions that Spark runs in the JVM:
 3. character references are decoded, ``&amp;`` last so ``&amp;lt;`` stays ``&lt;``;
 4. whitespace runs collapse to one space and the ends are trimmed.
 
-Code blocks (``<pre>``, with or without ``<code>``) are pulled out first; inside
-a block tags vanish without a space and only the outer whitespace is trimmed.
+Code blocks (``<pre>``, with or without ``<code>``) are pulled out first; an
+unclosed one ends with the text.  Inside a block tags vanish without a space and only the outer whitespace is trimmed.
 Nested ``<pre>`` is not handled (needs a real parser).
 """
 
@@ -32,7 +32,7 @@ NAMED_ENTITIES = sorted((name[:-1], text) for name, text in html5.items()
 # script text, and the reverse).
 NON_TEXT_RE = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
 TAG_RE = r"<[A-Za-z/!?][^>]*>"
-PRE_RE = r"(?is)<pre\b[^>]*>(.*?)</pre\s*>"
+PRE_RE = r"(?is)<pre\b[^>]*>(.*?)(?:</pre\s*>|\z)"
 DEC_REF_RE = r"&#([0-9]+);"
 HEX_REF_RE = r"&#[xX]([0-9a-fA-F]+);"
 NAMED_REF_RE = r"&([A-Za-z][A-Za-z0-9]{1,31});"

@@ -3,8 +3,8 @@
 Exact cosine top-k of every query against every document vector -- what the
 reference's embedded vector store does by brute force.  Spark partitions the
 document vectors; each task multiplies its block by the query matrix with
-numpy (one BLAS call per Arrow batch) and keeps, per query, the k best rows of
-its block plus ties within the rounding margin.  Only those rows reach the
+numpy (one BLAS call per block) and keeps, per query, its k best rows so far,
+ties cut by document position.  Only those rows reach the
 shuffle; the final cut is a window top-k (WindowGroupLimit) on the score
 rounded to 6 places, ties by document position.
 
@@ -15,6 +15,8 @@ pass over the document vectors.
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -77,14 +79,26 @@ def _to_matrix(col: pd.Series) -> np.ndarray:
 
 # --- R4: exact cosine top-k -------------------------------------------------
 
-def _block_topk(doc_key: str, vec_col: str, qkeys: pd.DataFrame, qmat: np.ndarray,
-                k: int, margin: float = 1e-6, block_rows: int = 2048):
-    """Per Arrow batch: cosine of each document sub-block against all queries;
-    per query keep the block's k best plus anything within ``margin`` of the
-    k-th (so rounding to 6 places downstream can never lose a tie)."""
+def _micro(cos: np.ndarray) -> np.ndarray:
+    """Scores as whole millionths, rounded half up in decimal as SCORE_OUT does."""
+    values, at = np.unique(cos, return_inverse=True)
+    return np.array([int(Decimal(repr(v)).scaleb(6).to_integral_value(ROUND_HALF_UP)) for v in values.tolist()],
+                    dtype=np.int64)[at]
+
+
+def _task_topk(doc_key: str, vec_col: str, qkeys: pd.DataFrame, qmat: np.ndarray,
+               k: int, margin: float = 1e-6, block_rows: int = 2048):
+    """A task's k best documents of every query, by rounded score and ``doc_key``.
+
+    Blocks of documents are multiplied by the query matrix; of a block only the
+    rows within ``margin`` of the best k so far are looked at, and the held rows
+    never exceed k a query, however many documents tie.
+    """
     qnorm = np.sqrt((qmat * qmat).sum(axis=1))
 
     def run(batches):
+        held = None
+        floor = np.full(len(qmat), -np.inf)
         for pdf in batches:
             for lo in range(0, len(pdf), block_rows):
                 blk = pdf.iloc[lo:lo + block_rows]
@@ -95,15 +109,19 @@ def _block_topk(doc_key: str, vec_col: str, qkeys: pd.DataFrame, qmat: np.ndarra
                 with np.errstate(divide="ignore", invalid="ignore"):
                     cos = np.where(denom > 0, dots / denom, 0.0)
                 n = cos.shape[0]
-                if n > k:
-                    kth = np.partition(cos, n - k, axis=0)[n - k]
-                    rows, cols = np.nonzero(cos >= (kth - margin)[None, :])
-                else:
-                    rows, cols = np.nonzero(np.ones_like(cos, dtype=bool))
-                out = qkeys.iloc[cols].reset_index(drop=True)
-                out[doc_key] = blk[doc_key].to_numpy()[rows]
-                out["cos"] = cos[rows, cols]
-                yield out
+                kth = np.partition(cos, n - k, axis=0)[n - k] if n > k else np.full(len(qmat), -np.inf)
+                rows, cols = np.nonzero(cos >= (np.maximum(kth, floor) - margin)[None, :])
+                near = pd.DataFrame({"q": cols, doc_key: blk[doc_key].to_numpy()[rows], "cos": cos[rows, cols]})
+                near["micro"] = _micro(near["cos"].to_numpy())
+                held = near if held is None else pd.concat([held, near], ignore_index=True)
+                held = held.sort_values(["q", "micro", doc_key], ascending=[True, False, True]).groupby("q").head(k)
+                full = held.groupby("q")["cos"].agg(["size", "min"])
+                full = full[full["size"] >= k]
+                floor[full.index.to_numpy()] = full["min"].to_numpy()
+        if held is not None and len(held):
+            out = qkeys.iloc[held["q"].to_numpy()].reset_index(drop=True)
+            out[doc_key], out["cos"] = held[doc_key].to_numpy(), held["cos"].to_numpy()
+            yield out
     return run
 
 
@@ -136,7 +154,7 @@ def dense_search(docs: DataFrame, queries: DataFrame, top_k: int = 10,
 
         def run(batches, bc=bc):
             qkeys, qm = bc.value
-            yield from _block_topk(doc_key, vec_col, qkeys, qm, top_k)(batches)
+            yield from _task_topk(doc_key, vec_col, qkeys, qm, top_k)(batches)
 
         parts.append(docs.select(doc_key, vec_col).mapInPandas(run, schema))
     if not parts:

@@ -66,7 +66,7 @@ def html_to_text(x: str) -> str:
     return collapse_ws(decode_entities(s))
 
 
-PRE = r"(?is)<pre\b[^>]*>(.*?)</pre\s*>"
+PRE = r"(?is)<pre\b[^>]*>(.*?)(?:</pre\s*>|\z)"
 
 
 def html_without_code(x: str) -> str:

@@ -8,6 +8,8 @@ filters through it into the parquet scan.
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +21,26 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
+# Per session: what the files behind each table path looked like when last read.
+_SEEN: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """One row about a table's files (count, bytes, names and times); their contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return tuple(files.agg(F.count("*"), F.sum("length"),
+                           F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One driver table.  Spark matches cached frames by path, so when the files have
+    changed since the session last read them, what was cached from them is refreshed."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    seen, now = _SEEN.setdefault(spark, {}), _files(spark, path)
+    if seen.get(path, now) != now:
+        spark.catalog.refreshByPath(path)
+    seen[path] = now
+    return spark.read.parquet(path)
 
 
 def _first8(text: Column) -> Column:

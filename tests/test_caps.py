@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from quillrank.functions.html import html_to_text
+from quillrank.functions.html import html_code_blocks, html_to_text, html_without_code
 from quillrank.functions.text import safe_int
-from quillrank.operators import fusion
+from quillrank.operators import dense, fusion
 from quillrank.operators.pairs import export_rows
+from quillrank.plans.retrieval import clean_corpus
 from quillrank.streaming.logs_stream import stream_query_volume
 
 
@@ -43,3 +44,30 @@ def test_streams_read_folders_of_part_files(spark, tmp_path):
     events.repartition(4).write.parquet(str(tmp_path / "events.parquet"))
     got, want = (stream_query_volume(spark, d).select(F.sum("queries")).first()[0] for d in (str(tmp_path), SMALL))
     assert got == want
+
+
+def test_unclosed_pre_ends_with_the_text(spark):
+    html = "<p>a</p><pre><code>x = 1</code></pre><p>b</p><pre>y = <b>2</b>\nz"
+    assert _one(spark, html, html_code_blocks) == ["x = 1", "y = 2\nz"]
+    assert _one(spark, html, html_without_code) == "<p>a</p> [CODE] <p>b</p> [CODE] "
+
+
+def test_dense_ties_never_exceed_k_rows_a_task(spark):
+    docs = spark.range(4096).select(F.col("id").alias("seq"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding")).coalesce(1)
+    queries = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "query_id long, embedding array<double>")
+    run = dense._task_topk("seq", "embedding", queries.select("query_id").toPandas(),
+                           dense._to_matrix(queries.toPandas()["embedding"]), 10)
+    task = docs.mapInPandas(run, "query_id long, seq long, cos double")
+    assert task.count() == 20
+    got = dense.dense_search(docs.repartition(3), queries, 10).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.seq) for r in got] == [(q, i) for q in (1, 2) for i in range(10)]
+
+
+def test_replaced_files_give_new_answers(spark, tmp_path):
+    from conftest import SMALL
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs.where("doc_id % 2 = 0").write.parquet(str(tmp_path / "documents.parquet"))
+    before = clean_corpus(spark, str(tmp_path)).count()
+    docs.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    after = clean_corpus(spark, str(tmp_path)).count()
+    assert before < after == clean_corpus(spark, SMALL).count()
