@@ -34,8 +34,9 @@ PER_FILTER = 160
 CLASSES = 1000
 #: Bytes of text in one numpy pass.
 SLICE = 192 << 10
-#: Bytes of text in one task of the neighbour job, about.
+#: Bytes of text in one part of the neighbour job, about, and the most parts: beyond that, parts grow (a task streams its own).
 PART_BYTES = 16 << 20
+MAX_PARTS = 1 << 16
 
 _COUNT = np.arange(WINDOW + 2)
 _NLOGN = np.where(_COUNT > 0, _COUNT * np.log2(np.maximum(_COUNT, 1)), 0)
@@ -225,29 +226,36 @@ def neighbours(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     rank = ranks(histogram(docs))
     if not size["n"]:
         return docs.sparkSession.createDataFrame([], _OUT)
-    parts = max(1, size["b"] // part_bytes)
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
-    cuts = sorted(set(cuts or []))
-    tie = F.xxhash64("text")
-    at = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("bigint"))
-    bucket = _bucket(cuts)
+    parts = int(min(MAX_PARTS, max(1, size["b"] // part_bytes)))
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], max(10_000, 10 * parts))).first()[0] if parts > 1 else []
+    cuts = np.unique(np.array(cuts or [], np.int64))
+    placed = docs.withColumns({"at": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("bigint")), "tie": F.xxhash64("text")})
+
+    def heads(batches):
+        for batch in batches:
+            at, tie = (batch.column(c).to_numpy() for c in ("at", "tie"))
+            order = np.lexsort((tie, at))
+            part, first = np.unique(np.searchsorted(cuts, at[order], side="right"), return_index=True)
+            first = order[first]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(at[first]), pa.array(tie[first])], ["part", "d", "t"])
+
     # The first document of each part, without its text: (part, doc_id, tie).
-    firsts = docs.select(bucket(at).alias("part"), F.struct(at.alias("d"), tie.alias("t")).alias("k")).groupBy("part").agg(F.min("k").alias("k")).collect()
+    firsts = placed.select("at", "tie").mapInArrow(heads, "part int, d bigint, t bigint").groupBy("part").agg(F.min(F.struct("d", "t")).alias("k")).collect()
     firsts = sorted((r["part"], r["k"]["d"], r["k"]["t"]) for r in firsts)
     before = {(d, t): firsts[i - 1][0] for i, (_, d, t) in enumerate(firsts)}  # the first of all goes behind the last
-    last, head = firsts[-1][0], firsts[0][1:]
+    head = firsts[0][1:]
 
     def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [list(r) for r in zip(*(batch.column(c).to_pylist() for c in ("at", "tie", "part")))]
-        again = [i for i, (d, t, _) in enumerate(rows) if (d, t) in before]
+        rows = list(zip(*(batch.column(c).to_pylist() for c in ("at", "tie"))))
+        again = [i for i, key in enumerate(rows) if key in before]
         index = pa.array(list(range(len(rows))) + again)
-        part = [p for *_, p in rows] + [before[rows[i][0], rows[i][1]] for i in again]
-        turn = [0] * len(rows) + [2 if (rows[i][0], rows[i][1]) == head else 1 for i in again]
+        part = np.searchsorted(cuts, batch.column("at").to_numpy(), side="right").tolist() + [before[rows[i]] for i in again]
+        turn = [0] * len(rows) + [2 if rows[i] == head else 1 for i in again]
         taken = batch.take(index)
         return pa.RecordBatch.from_arrays([taken.column("doc_id"), taken.column("text"), taken.column("at"), taken.column("tie"),
                                            pa.array(part, pa.int32()), pa.array(turn, pa.int32())], ["doc_id", "text", "at", "tie", "part", "turn"])
 
-    dealt = map_slices(docs.withColumns({"at": at, "tie": tie, "part": bucket(at)}), deal,
+    dealt = map_slices(placed, deal,
                        "doc_id bigint, text string, at bigint, tie bigint, part int, turn int")
 
     def run(batches):
@@ -277,16 +285,5 @@ def neighbours(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     return sorted_parts.select("doc_id", "text", "part", "turn").mapInArrow(run, _OUT)
 
 
-def _bucket(cuts: list[int]):
-    """The number of cut points <= a value, by halving: a balanced CASE of comparisons."""
-    def tree(value, low, high):
-        if low == high:
-            return F.lit(low).cast("int")
-        mid = (low + high) // 2
-        return F.when(value < F.lit(cuts[mid]), tree(value, low, mid)).otherwise(tree(value, mid + 1, high))
-
-    return lambda value: tree(value, 0, len(cuts))
-
-
 def op3(spark, sf_dir):
     return neighbours(documents(spark, sf_dir))
