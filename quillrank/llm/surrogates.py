@@ -26,7 +26,7 @@ import hmac
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.llm.common import documents, map_slices, stored
@@ -130,12 +130,13 @@ def luhn(digits: str) -> bool:
 
 
 def candidate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
-    """The surrogate's normal form."""
+    """The surrogate's normal form.  After every eight attempts a name or mailbox is a letter longer: short ones are few."""
     rng = _Stream(key, kind, value, attempt)
+    longer = attempt // 8
     if kind == "email":  # the local part; the domain becomes a reserved one of the same depth
         local, _, domain = value.partition("@")
         labels = domain.split(".")
-        return _letters(local, rng) + "@" + ".".join([_letters(x, rng) for x in labels[:-1]] + ["example" if len(labels) > 1 else "invalid"])
+        return _letters(local + ALPHABETS[script(local)][0] * longer, rng) + "@" + ".".join([_letters(x, rng) for x in labels[:-1]] + ["example" if len(labels) > 1 else "invalid"])
     if kind == "secret":
         digits = "0123456789abcdef" if re.fullmatch("[0-9a-f]+", value) else ALPHABETS["latin"] + "0123456789"
         return "".join(digits[rng.below(len(digits))] if c.isalnum() else c for c in value)
@@ -146,12 +147,12 @@ def candidate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
         last = next(d for d in "0123456789" if luhn(body + d))
         return body + (last if luhn(value) else str((int(last) + 1 + rng.below(9)) % 10))
     if kind == "family":
-        return _letters(value, rng)
+        return _letters(value + ALPHABETS[script(value)][0] * longer, rng)
     if kind.startswith("given-"):
         gender, own = kind[-1], GIVEN[script(value)]
         names = own[gender] if gender in own else own["m"] + own["f"]
         base = names[rng.below(len(names))].lower()
-        return base if attempt < 3 else base + "-" + _letters(value, rng)  # the list is short: then a double name
+        return base if attempt < 3 else base + "-" + _letters(value + ALPHABETS[script(value)][0] * longer, rng)  # the list is short: then a double name
     code, bar, rest = value.rpartition("|")  # phone, ssn
     return code + bar + "".join(str(rng.below(10)) for _ in rest)
 
@@ -193,7 +194,8 @@ def assign(found: DataFrame, key: bytes = KEY, rounds: int = 64) -> DataFrame:
     """kind, value, surrogate: distinct within a kind, and none of them an entity of its kind in the corpus.
 
     Each round keeps the least entity of each free candidate; the
-    others draw again.
+    others draw again.  Where the corpus holds nearly every value of a format, no
+    free one is left: after ``rounds`` such entities trade values among themselves.
     """
     group = F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind"))
     found = stored(found.withColumn("pool", group), "entities")
@@ -207,7 +209,24 @@ def assign(found: DataFrame, key: bytes = KEY, rounds: int = 64) -> DataFrame:
         left = stored(left.join(won, ["kind", "value"], "left_anti"), "entities")
         if left.isEmpty():
             return done.select("kind", "value", "surrogate")
-    raise ValueError("some entities found no free surrogate: their format allows too few")
+    return done.unionAll(_rotated(left, key)).select("kind", "value", "surrogate")
+
+
+def _rotated(left: DataFrame, key: bytes) -> DataFrame:
+    """For entities whose format the corpus has used up: each takes the next one's value, in keyed order.
+
+    Only numbers come here.  A group shares the kind, the country code, the length
+    and all digits but the last six, so a window holds a million values at most.
+    None of these values has been given away before, so all surrogates still differ.
+    """
+    digits = F.substring_index("value", "|", -1)
+    group = ["kind", F.length("value"), F.expr("left(value, greatest(0, length(value) - 6))"),
+             F.when(F.col("value").contains("|"), F.substring_index("value", "|", 1)), F.length(digits)]
+    turn = Window.partitionBy(*group).orderBy(F.sha2(F.concat(F.lit(key.hex()), "value"), 256))
+    after = F.coalesce(F.lead("value").over(turn), F.first("value").over(turn))
+    alone = F.when(after == F.col("value"), F.raise_error(F.lit("an entity found no free surrogate")))
+    moved = left.select("kind", "value", F.coalesce(alone.cast("string"), after).alias("surrogate"), "pool")
+    return moved
 
 
 def replace(text: str, table: dict[tuple[str, str], str]) -> str:

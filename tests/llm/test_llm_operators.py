@@ -96,6 +96,8 @@ def test_digest_neighbours(spark, edges, empty):
         change = digests.edited(texts[i], texts[(i + 1) % len(texts)])
         assert r["edited_sha256"] == hashlib.sha256(change.encode()).hexdigest() and r["n_chars"] == len(texts[i])
     assert len({(t, r["fingerprint"]) for t, r in zip(texts, got)}) == len(set(texts))
+    one = digests.neighbours(docs).orderBy("doc_id").collect()  # a single part
+    assert [tuple(r) for r in one] == [tuple(r) for r in got]
     assert digests.neighbours(edges).count() == len(EDGES) and digests.neighbours(empty).count() == 0
     same = digests.digests(pa.array(["", PROSE, PROSE]), np.arange(digests.CLASSES + 1))
     assert digests.likeness(same[1], same[2]) == 1 and digests.likeness(same[0], same[1]) == 0 and digests.likeness(same[0], same[0]) == 1
@@ -225,6 +227,15 @@ def test_surrogates_are_distinct(spark, monkeypatch):
     assert len(got) == 30 == len({r["surrogate"] for r in got}) and not {r["surrogate"] for r in got} & {str(i) for i in range(30)}
 
 
+def test_surrogates_of_used_up_formats(spark):
+    held = [("phone", f"+1|{i:04d}") for i in range(9_000)] + [("family", a + b) for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    got = surrogates.assign(spark.createDataFrame(held, "kind string, value string"), rounds=10).collect()
+    assert len(got) == len(held) and len({(r["kind"], r["surrogate"]) for r in got}) == len(held)
+    assert all(r["surrogate"] != r["value"] for r in got)
+    assert all(re.fullmatch(r"\+1\|\d{4}", r["surrogate"]) for r in got if r["kind"] == "phone")
+    assert all(len(r["surrogate"]) == 3 for r in got if r["kind"] == "family")  # all two-letter names are taken
+
+
 # 8. and 9. packing ------------------------------------------------------------
 
 def test_tokens_agree_with_the_library():
