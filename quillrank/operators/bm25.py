@@ -2,7 +2,7 @@
 
 All questions of a batch are scored in one job:
 
-    query terms (small, counted, broadcast) -> join postings on term
+    query terms (measured, broadcast if small) -> join postings on term
     -> contribution per (query, doc, term) -> sum per (query, doc)
     -> top-k per query (row_number <= k, planned as WindowGroupLimit, whose
        partial limit runs before the shuffle, so a query matching a third of
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quillrank.functions.text import bm25_tokens
 from quillrank.operators.index import B, EPSILON, K1, Bm25Index
-from quillrank.operators.util import BROADCAST_MAX_ROWS
+from quillrank.operators.util import fits_broadcast
 
 NANO = 1e9
 
@@ -69,8 +69,8 @@ def score_matches(index: Bm25Index, queries: DataFrame, key_cols: list[str],
                   text_col: str) -> DataFrame:
     """Sparse scores: (key..., seq, score) for every document sharing a term."""
     qt = query_terms(queries, key_cols, text_col)
-    # One count of the query side bounds both broadcasts (qidf <= qt rows).
-    small = qt.count() <= BROADCAST_MAX_ROWS
+    # One measurement of the query side bounds both broadcasts (qidf <= qt rows, two doubles wider).
+    small = fits_broadcast(qt)
     stats = F.broadcast(index.corpus_stats.select("avgdl", "mean_idf"))
     qidf = (index.term_stats.join(F.broadcast(qt) if small else qt, "term")
             .crossJoin(stats)

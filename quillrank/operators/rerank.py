@@ -2,8 +2,8 @@
 
 The default pair scorer is idf-weighted query-term coverage: the share of the
 question's distinct terms (weighted by corpus idf) that occur in the
-candidate's ``title + answer`` text.  It runs as joins: candidate x question
-terms, semi-joined to the postings on (seq, term) -- no per-row Python.  A
+candidate's ``title + answer`` text.  Each candidate is joined to its own text
+and scored in its row: no postings are read and nothing is shuffled by term.  A
 user scorer (a cross-encoder) plugs in through ``models.pair_scorer_job``, whose
 scores feed the same ``rerank`` cut (cast them to the score type first).
 """
@@ -13,37 +13,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillrank.functions.core import let
+from quillrank.functions.text import bm25_tokens, pair_text
 from quillrank.operators.bm25 import query_terms
 from quillrank.operators.index import EPSILON, Bm25Index
 from quillrank.operators.util import maybe_broadcast
 
 SCORE_OUT = "decimal(18,6)"
+_SUM = "decimal(38,12)"
 
 
-def coverage_scores(index: Bm25Index, candidates: DataFrame, questions: DataFrame,
+def coverage_scores(index: Bm25Index, clean: DataFrame, candidates: DataFrame, questions: DataFrame,
                     key_cols: list[str], text_col: str = "question") -> DataFrame:
-    """M2 default: (key..., seq, reranker_score DECIMAL(18,6)) for each candidate."""
+    """M2 default: (key..., seq, reranker_score DECIMAL(18,6)) for each candidate;
+    ``clean`` holds the candidates' ``question_title`` and ``answer_prose``."""
     qt = query_terms(questions, key_cols, text_col).select(*key_cols, "term")
     idf = (index.term_stats.crossJoin(F.broadcast(index.corpus_stats.select("mean_idf")))
            .select("term", F.when(F.col("raw_idf") < 0, F.lit(EPSILON) * F.col("mean_idf"))
                    .otherwise(F.col("raw_idf")).cast("decimal(28,12)").alias("idf")))
-    # Unknown terms weigh 0, as in BM25.
-    qidf = qt.join(idf, "term", "left").select(*key_cols, "term",
-                                               F.coalesce("idf", F.lit(0).cast("decimal(28,12)"))
-                                               .alias("idf"))
-    total = qidf.groupBy(*key_cols).agg(F.sum("idf").alias("total"))
+    # Unknown terms weigh 0, as in BM25; they are in no text either.
+    weights = idf.join(maybe_broadcast(qt), "term").groupBy(*key_cols).agg(
+        F.collect_list(F.struct("term", "idf")).alias("weights"), F.sum("idf").alias("total"))
     pairs = candidates.select(*key_cols, "seq").distinct()
-    wanted = pairs.join(qidf, key_cols)           # candidates x question terms: small
-    # (seq, term) is unique in the postings, so an inner join is the semi-join;
-    # written this way the small side is the one shipped (after a size check)
-    # and the postings are scanned where they lie instead of shuffled.
-    present = (index.postings.select("seq", "term")
-               .join(maybe_broadcast(wanted), ["seq", "term"])
-               .groupBy(*key_cols, "seq").agg(F.sum("idf").alias("hit")))
-    out = pairs.join(present, key_cols + ["seq"], "left").join(total, key_cols, "left")
-    score = F.when(F.col("total") > 0, F.coalesce("hit", F.lit(0)).cast("double")
-                   / F.col("total").cast("double")).otherwise(F.lit(0.0))
-    return out.select(*key_cols, "seq", score.cast(SCORE_OUT).alias("reranker_score"))
+    # Candidates with their question's weights are the side that is shipped; the texts stay where they lie.
+    wanted = pairs.join(weights, key_cols, "left")
+    text = pair_text(F.col("question_title"), F.col("answer_prose"))
+    hit = let(bm25_tokens(text), lambda toks: F.aggregate(
+        F.filter("weights", lambda w: F.array_contains(toks, w["term"])), F.lit(0).cast(_SUM),
+        lambda acc, w: (acc + w["idf"]).cast(_SUM)))
+    score = F.when(F.col("total") > 0, hit.cast("double") / F.col("total").cast("double")).otherwise(F.lit(0.0))
+    return (clean.select("seq", "question_title", "answer_prose").join(maybe_broadcast(wanted), "seq")
+            .select(*key_cols, "seq", score.cast(SCORE_OUT).alias("reranker_score")))
 
 
 def rerank(candidates: DataFrame, scores: DataFrame, key_cols: list[str], top_k: int = 5,

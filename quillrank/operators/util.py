@@ -6,16 +6,21 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest query-side frame (rows) that is shipped to every task.  Query sides
-# are batches of questions or their terms; beyond this they are shuffled.
-BROADCAST_MAX_ROWS = 2_000_000
+# Largest query-side frame (bytes as JSON text) that is shipped to every task.
+# Query sides are batches of questions or their terms; beyond this they are shuffled.
+BROADCAST_MAX_BYTES = 64 << 20
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting it; above the bound, leave the join
+def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    """Whether the rows of ``df``, measured in one aggregate, stay within the bound."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("bigint"))).first()[0]
+    return (size or 0) <= max_bytes
+
+
+def maybe_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``df`` only after measuring it; above the bound, leave the join
     to a shuffle (sort-merge, with AQE's skew split)."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if fits_broadcast(df, max_bytes) else df
 
 
 def materialize(df: DataFrame, storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:

@@ -29,7 +29,7 @@ def _eval_lists(spark: SparkSession, sf_dir: str):
                           F.col("question_title").alias("question"))
     legs = hybrid_lists(index, clean, questions, 10)
     pool = materialize(fusion.rrf(legs, top_n=20))      # small; read by several branches
-    scores = coverage_scores(index, pool, questions, ["query_id"])
+    scores = coverage_scores(index, clean, pool, questions, ["query_id"])
     reranked = rerank(pool, scores, ["query_id"], top_k=10)
     lists = (legs.where(F.col("list_no") == 0).select(F.lit("bm25").alias("method"),
                                                         "query_id", "rank", "seq")

@@ -57,7 +57,7 @@ def answer_batch(spark: SparkSession, sf_dir: str, questions: DataFrame,
     index = build_index(clean)
     rewritten = rewrite(questions)
     fused = retrieve(index, clean, rewritten)
-    scores = coverage_scores(index, fused, questions, ["query_id"])
+    scores = coverage_scores(index, clean, fused, questions, ["query_id"])
     sources = with_payload(rerank(fused, scores, ["query_id"], top_k=top_k), clean, PAYLOAD)
     ctx = contexts(sources, ["query_id"])
     answers = answer_and_judge(rewritten, ctx, ["query_id"])

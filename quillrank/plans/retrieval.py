@@ -190,7 +190,7 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = build_index(clean)
     q = tables.questions(spark, sf_dir)
     pool = fusion.rrf(hybrid_lists(index, clean, q, 10), top_n=20)
-    scores = coverage_scores(index, pool, q, ["query_id"])
+    scores = coverage_scores(index, clean, pool, q, ["query_id"])
     ranked = rerank(pool, scores, ["query_id"], top_k=10)
     out = with_payload(ranked, index.docs, ["doc_id"])
     return out.select("query_id", "rerank_rank", "doc_id",
