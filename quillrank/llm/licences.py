@@ -84,7 +84,16 @@ _NOISE = re.compile(r"[#*$%&|<>!\"“”«»(){}\[\]]+|//")
 _CUT = re.compile(r"(?:[.;?]|(?<![Ii]dentifier):)+(?=\s|$)|\n\s*\n")
 _WORD = re.compile(r"[^\W_]+")
 _EXACT = {s: k for k, own in SENTENCES.items() for s in own if "*" not in s}
-_OPEN = [(re.compile(re.escape(s).replace(r"\*", r"[^\W_]+(?: [^\W_]+)*")), k) for k, own in SENTENCES.items() for s in own if "*" in s]
+_OPEN_PART = r"[^\W_]+(?: [^\W_]+)*"
+_OPEN = [(re.compile(re.escape(s).replace(r"\*", _OPEN_PART)), k) for k, own in SENTENCES.items() for s in own if "*" in s]
+#: The same over several pieces, which " | " divides.  An open part spans pieces only within four words of known text and more.
+_ACROSS = [(re.compile(re.escape(s).replace(r"\ ", r"(?: \|)? ").replace(
+    r"\*", r"[^\W_]+(?:(?: \|)? [^\W_]+)*" if len(s.split("*")[0].split()) >= 4 and not s.endswith("*") else _OPEN_PART)), s.endswith("*"))
+    for own in SENTENCES.values() for s in own if "*" in s]
+#: Sentences that end in an open part; it ends with the line.
+_ENDS_OPEN = {k for k, own in SENTENCES.items() for s in own if s.endswith("*")}
+#: Longer than any known sentence.
+_LONGEST = 1200
 #: The first three words of each known sentence, or those before an open part.
 _STARTS = {tuple(s.split("*")[0].split()[:3]) for own in SENTENCES.values() for s in own}
 _LAST_OPEN = {s.split()[0] for own in SENTENCES.values() for s in own if "*" in s}
@@ -94,12 +103,37 @@ ANCHORS = r"(?i)licen[sc]e|permission|permitted|copyright|warranty|redistribut|u
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
     """start, end and normal form of each sentence with a word.  A single line break inside a sentence is white space;
-    a line that ends a sentence without a mark ends it where the next line starts one that is known by itself."""
+    a line that ends a sentence without a mark ends it where the next line starts one that is known by itself.
+    A known sentence may have marks inside ("free software: you can", "v. 2.0"): its pieces are joined."""
     out = []
     at = 0
     for stop in [*(m.end() for m in _CUT.finditer(text)), len(text)]:
         out += _lines(text, at, stop)
         at = stop
+    return _joined(out)
+
+
+def _joined(pieces: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Pieces with runs of unknown ones that together are a known sentence joined, the longest run first."""
+    out, i = [], 0
+    while i < len(pieces):
+        start, end, form = pieces[i]
+        last = i
+        if _may_start(form) and not identify(form):
+            whole, marked = form, form
+            is_open = form.split(" ", 1)[0] in _LAST_OPEN
+            for j in range(i + 1, len(pieces)):
+                piece = pieces[j][2]
+                whole, marked = f"{whole} {piece}", f"{marked} | {piece}"
+                if len(whole) > _LONGEST or identify(piece):
+                    break
+                hit = next((ends_open for p, ends_open in _ACROSS if p.fullmatch(marked)), None) if is_open else None
+                if hit is not None or whole in _EXACT:
+                    last, end, form = j, pieces[j][1], whole
+                if hit or not is_open and not any(s.startswith(whole) for s in _EXACT):
+                    break
+        out.append((start, end, form))
+        i = last + 1
     return out
 
 
@@ -125,7 +159,8 @@ def _lines(text: str, at: int, stop: int) -> list[tuple[int, int, str]]:
     whole = _normal(text[at:stop])
     if not whole:
         return []
-    if identify(whole) or "\n" not in text[at:stop].strip("\n"):
+    known = identify(whole)
+    if known and known not in _ENDS_OPEN or "\n" not in text[at:stop].strip("\n"):
         return [(at, stop, whole)]
     ends = [at + m.end() for m in re.finditer("\n", text[at:stop])] + [stop]
     starts = [at, *ends[:-1]]
@@ -136,10 +171,12 @@ def _lines(text: str, at: int, stop: int) -> list[tuple[int, int, str]]:
         if joined and _may_start(joined):
             for j in range(i, len(forms)):
                 joined = forms[i] if j == i else f"{joined} {forms[j]}"
-                if len(joined) > 1200:  # longer than any known sentence
+                if len(joined) > _LONGEST:
                     break
-                if identify(joined):
+                if known := identify(joined):
                     found = j, joined
+                    if known in _ENDS_OPEN:
+                        break
         if found:
             out.append((starts[i], ends[found[0]], found[1]))
             i = found[0] + 1

@@ -300,6 +300,63 @@ def test_licences(spark, edges, empty):
     assert all(r["licences"] == [] for r in licences.scan(edges).collect()) and licences.scan(empty).count() == 0
 
 
+_GPL = ("This {what} is free software{a} you can redistribute it and/or modify\nit under the terms of the GNU {g} as published by\nthe Free Software "
+        "Foundation{b} either version {v} of the License, or\n(at your option) any later version.\n\nThis {what} is distributed in the hope that it will be "
+        "useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU {g} for more "
+        "details.\n")
+_GPL_END = "\nYou should have received a copy of the GNU General Public License\nalong with this program{c}\n"
+_BSD = ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+        "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n"
+        "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n"
+        "   and/or other materials provided with the distribution.\n\n{three}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"\n"
+        "AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\nIMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED.")
+_BSD_END = ("3. Neither the name of {who} nor the names of its\n   contributors may be used to endorse or promote products derived from\n"
+            "   this software without specific prior written permission.\n\n")
+NOTICES = [  # licence, number of its sentences, public notice
+    ("GPL-3.0-or-later", 4, _GPL.format(what="program", a=":", b=",", g="General Public License", v="3") + _GPL_END.format(c=".  If not, see <https://www.gnu.org/licenses/>.")),
+    ("GPL-2.0-or-later", 4, _GPL.format(what="program", a=";", b=";", g="General Public License", v="2") + _GPL_END.format(c="; if not, write to the Free Software\nFoundation, Inc.")),
+    ("LGPL-2.1-or-later", 3, _GPL.format(what="library", a=";", b=";", g="Lesser General Public License", v="2.1")),
+    ("MPL-2.0", 1, "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain "
+     "one at https://mozilla.org/MPL/2.0/."),
+    ("Apache-2.0", 5, "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the "
+     "License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed "
+     "on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\n"
+     "limitations under the License."),
+    ("BSD-2-Clause", 4, _BSD.format(three="")),
+    ("BSD-3-Clause", 5, _BSD.format(three=_BSD_END.format(who="the copyright holder"))),
+    ("BSD-3-Clause", 5, _BSD.format(three=_BSD_END.format(who="Example Inc."))),
+    ("MIT", 4, "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the "
+     "Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to "
+     "permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\n"
+     "copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES "
+     "OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, "
+     "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE."),
+    ("ISC", 1, "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this "
+     "permission notice appear in all copies."),
+    ("GPL-3.0-only", 1, "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-2.0-only", 1, "Licensed under the GNU General Public License version 2."),
+    ("Apache-2.0", 1, "Licensed under the Apache License, Version 2.0."), ("MIT", 1, "This project is licensed under the MIT License."),
+    ("CC-BY-NC-4.0", 1, "This work is licensed under a\nCreative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-SA-4.0", 1, "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-4.0", 1, "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC0-1.0", 1, "This work is dedicated to the public domain under CC0 1.0."),
+    ("Unlicense", 1, "This is free and unencumbered software released into the public domain."),
+]
+
+
+@pytest.mark.parametrize("licence,n,notice", NOTICES)
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_licence_rules_fire_on_public_notices(licence, n, notice, mark):
+    text = "".join(f"{mark}{line}\n" for line in ["Copyright 2020 A. Body", "This tool: see below.", *notice.split("\n")]) + "import this\n"
+    found = licences.recognise(text)
+    assert licences.match([f[0] for f in found]) == [(licence, list(range(n)))]
+    assert licences._normal(text[found[0][1]:found[-1][2]]).startswith(found[0][3])
+
+
+def test_licence_rules_are_all_tried():
+    assert {x for x, _ in licences.RULES} - {"SPDX"} == {x for x, _, _ in NOTICES}
+
+
 # the pipeline -----------------------------------------------------------------
 
 def test_pipeline_keeps_columns_and_order(spark):
