@@ -5,7 +5,8 @@ white space go) and looked up among known licence sentences, whose open parts
 (years, holders) match any words.  The sequence of identifiers found in a text
 is then matched against ordered rules: an earlier rule consumes its sentences,
 so a full licence wins over a notice that shares a sentence with it.  Known
-sentences that no rule consumes are reported as ``unmatched``.
+sentences that no rule consumes are reported as ``unmatched``.  The identifier
+of an SPDX line carries its expression (``spdx:GPL-3.0-only``).
 
 Defined cases: null, empty and blank texts have no licences; a licence that
 occurs twice is listed twice; repeated rows are scanned each; an empty table
@@ -83,6 +84,9 @@ RULES = [
 _NOISE = re.compile(r"[#*$%&|<>!\"“”«»(){}\[\]]+|//")
 _CUT = re.compile(r"(?:[.;?]|(?<![Ii]dentifier):)+(?=\s|$)|\n\s*\n")
 _WORD = re.compile(r"[^\W_]+")
+_ID = r"\(*[ \t]*(?:DocumentRef-[A-Za-z0-9.-]+:)?[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\+?(?:[ \t]*\))*"
+#: An SPDX tag wherever it stands in a line, with its expression, which ends the sentence.
+_SPDX = re.compile(rf"SPDX[\W_]License[\W_]Identifier[^\w\n(]*(?:\n[^\w\n(]*)?((?-i:{_ID}(?:(?:[ \t]+(?:AND|OR|WITH)[ \t]+|/){_ID})*))", re.I)
 _EXACT = {s: k for k, own in SENTENCES.items() for s in own if "*" not in s}
 _OPEN_PART = r"[^\W_]+(?: [^\W_]+)*"
 _OPEN = [(re.compile(re.escape(s).replace(r"\*", _OPEN_PART)), k) for k, own in SENTENCES.items() for s in own if "*" in s]
@@ -107,7 +111,9 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     A known sentence may have marks inside ("free software: you can", "v. 2.0"): its pieces are joined."""
     out = []
     at = 0
-    for stop in [*(m.end() for m in _CUT.finditer(text)), len(text)]:
+    tags = [m.span() for m in _SPDX.finditer(text)] if "spdx" in text.lower() else []
+    cuts = {m.end() for m in _CUT.finditer(text)} - {x for a, b in tags for x in range(a + 1, b)}
+    for stop in sorted(cuts.union(*tags, [len(text)])):
         out += _lines(text, at, stop)
         at = stop
     return _joined(out)
@@ -189,11 +195,23 @@ def _lines(text: str, at: int, stop: int) -> list[tuple[int, int, str]]:
 
 def recognise(text: str | None) -> list[tuple[str, int, int, str]]:
     """identifier, start, end and sentence of the known sentences of a text, in order."""
-    return [(k, a, b, s) for a, b, s in sentences(text or "") if (k := identify(s))]
+    return [(f"{k}:{_expression(m[1])}" if k == "spdx" and (m := _SPDX.search(text, a, b)) else k, a, b, s)
+            for a, b, s in sentences(text or "") if (k := identify(s))]
+
+
+def _expression(raw: str) -> str:
+    """An SPDX expression with single spaces and without the brackets that nothing opens or closes."""
+    out = " ".join(raw.split())
+    while out.count("(") > out.count(")") and out.startswith("("):
+        out = out[1:].lstrip()
+    while out.count(")") > out.count("(") and out.endswith(")"):
+        out = out[:-1].rstrip()
+    return out
 
 
 def match(found: list[str]) -> list[tuple[str, list[int]]]:
     """Licences and the positions of their sentences, in the order of their first one; the rest is "unmatched"."""
+    found = [f.split(":", 1)[0] for f in found]
     free = [True] * len(found)
     out = []
     for licence, rule in RULES:

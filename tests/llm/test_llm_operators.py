@@ -353,6 +353,18 @@ def test_licence_rules_fire_on_public_notices(licence, n, notice, mark):
     assert licences._normal(text[found[0][1]:found[-1][2]]).startswith(found[0][3])
 
 
+@pytest.mark.parametrize("text,want", [
+    ("SPDX-License-Identifier: GPL-3.0-only", ["GPL-3.0-only"]), ("/* SPDX-License-Identifier: Apache-2.0 */\nint x;\n", ["Apache-2.0"]),
+    ("dnl SPDX-License-Identifier: (GPL-2.0+ WITH Linux-syscall-note) OR  MIT\nimport this", ["(GPL-2.0+ WITH Linux-syscall-note) OR MIT"]),
+    ("# SPDX-License-Identifier: MIT\n# SPDX-License-Identifier: LicenseRef-own.\n", ["MIT", "LicenseRef-own"]),
+    ("(see SPDX-License-Identifier: MIT) and `SPDX-License-Identifier: MIT/Apache-2.0`.", ["MIT", "MIT/Apache-2.0"]), ("SPDX-License-Identifier: MIT and more.", ["MIT"])])
+def test_spdx_lines_keep_their_expression(text, want):
+    found = licences.recognise(text)
+    assert [f[0] for f in found] == [f"spdx:{x}" for x in want] and [m[0] for m in licences.match([f[0] for f in found])] == ["SPDX"] * len(want)
+    after = licences.recognise(text + "\nLicensed under the MIT license.")
+    assert after[-1][0] == "mit-released" and len(after) == len(want) + 1
+
+
 def test_licence_rules_are_all_tried():
     assert {x for x, _ in licences.RULES} - {"SPDX"} == {x for x, _, _ in NOTICES}
 
