@@ -55,12 +55,12 @@ PATTERN = re.compile(
     r"|(?P<card>(?<![\d.])\d{4}(?P<sep>[ -]?)\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7}(?![\d])|(?<![\d.])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?!\d))"
     rf"|(?P<name>\b(?:{_TITLE})\b\.? (?P<full>{_NAME}(?: {_NAME})?))"
 )
-#: A text without any of these holds no entity: the patterns need an @, a digit or a title.
-MAYBE = ("[@0-9]", "(?=[" + "".join(sorted({t[0] for t in _TITLE.split("|")})) + f"])({_TITLE})\\.? ")
+#: A text without any of these holds no entity.  A digit of any script counts, also one that only Python's newer Unicode knows (Cn).
+MAYBE = (r"[@\p{Nd}\p{Cn}]", "AKIA|gh[pousr]_|[0-9A-Fa-f]{32}", "(?=[" + "".join(sorted({t[0] for t in _TITLE.split("|")})) + f"])({_TITLE})\\.? ")
 
 
 def may_hold(text):
-    return F.coalesce(text.rlike(MAYBE[0]) | text.rlike(MAYBE[1]), F.lit(False))
+    return F.coalesce(text.rlike(MAYBE[0]) | text.rlike(MAYBE[1]) | text.rlike(MAYBE[2]), F.lit(False))
 
 
 def _country(found: str) -> str:
