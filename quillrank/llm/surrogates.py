@@ -7,7 +7,10 @@ script, separators, country codes and lengths stay, card numbers keep a valid
 check digit if they had one, and a given name is replaced by one of the same
 gender and script.  One entity, however it is spelt (case, separators), has one
 surrogate in all documents; a person's family name has one surrogate with or
-without the given name.
+without the given name.  A name is what follows one title or several: initials,
+particles and any number of words, of which the last is the family name.  Its words
+are replaced wherever else they stand capitalised in the same text, too.  A phone
+number is known by all its digits, of which the first are the country's code.
 
 The distinct entities of the corpus form a table.  Each draws a candidate from
 its key; a candidate that is itself an entity of the corpus, or that another
@@ -45,7 +48,17 @@ ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдеж
 _GENDER = {n.lower(): g for names in GIVEN.values() for g, own in names.items() for n in own} | {t: g for g, own in TITLES.items() for t in own}
 
 _TITLE = "|".join(form for own in TITLES.values() for t in own for form in (t.capitalize(), t.upper()))
-_NAME = r"[^\W\d_a-zа-яα-ωß-öø-ÿ][^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_UPPER = r"[^\W\d_a-zа-яα-ωß-öø-ÿ]"
+#: A title or a suffix is no name word; a possessive s is no part of one.
+_NAME = rf"(?!(?:{_TITLE}|Jr|Sr|II|III|IV|PhD|MD)\b){_UPPER}(?:[^\W\d_]+|['’][^\W\d_]{{2,}})(?:[-'’](?![sS]\b)[^\W\d_]+)*"
+_INITIAL = rf"{_UPPER}(?:\.-?|(?= ))"
+_PARTICLE = r"(?:(?:von|van|vom|zu|zur|de|del|della|di|da|do|dos|das|du|la|le|der|den|ter|ten|bin|ibn|al|el|y) |d['’])"
+_FULL = rf"(?:{_INITIAL} ?|{_PARTICLE})*{_NAME}(?: (?:{_INITIAL} ?|{_PARTICLE})*{_NAME})*"
+#: The words of a full name: an initial, or a word that is not a particle.
+_PARTS = re.compile(rf"{_PARTICLE}|(?P<word>{_NAME})|(?P<initial>{_UPPER})")
+_BARE = re.compile(rf"(?<!\w)(?:(?<!\w[-'’])|(?<=\bd['’])){_NAME}(?!\w)")
+#: Country calling codes of two digits; those that start with 1 or 7 have one, the others three.
+_TWO = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 PATTERN = re.compile(
     r"(?P<email>[^\W_](?:[\w.%+-]*[\w])?@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}(?![\w]))"
     r"|(?P<secret>(?:(?<![A-Za-z0-9])[0-9A-Fa-f]{32,}(?![A-Za-z0-9]))|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,})\b)"
@@ -53,7 +66,7 @@ PATTERN = re.compile(
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}-\d{3}-\d{4}(?![\d-]))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d.])\d{4}(?P<sep>[ -]?)\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7}(?![\d])|(?<![\d.])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?!\d))"
-    rf"|(?P<name>\b(?:{_TITLE})\b\.? (?P<full>{_NAME}(?: {_NAME})?))"
+    rf"|(?P<name>\b(?:{_TITLE})\b\.?(?: (?:{_TITLE})\b\.?)* (?P<full>{_FULL}))"
 )
 #: A text without any of these holds no entity.  A digit of any script counts, also one that only Python's newer Unicode knows (Cn).
 MAYBE = (r"[@\p{Nd}\p{Cn}]", "AKIA|gh[pousr]_|[0-9A-Fa-f]{32}", "(?=[" + "".join(sorted({t[0] for t in _TITLE.split("|")})) + f"])({_TITLE})\\.? ")
@@ -63,38 +76,68 @@ def may_hold(text):
     return F.coalesce(text.rlike(MAYBE[0]) | text.rlike(MAYBE[1]) | text.rlike(MAYBE[2]), F.lit(False))
 
 
+def _digits(found: str) -> str:
+    """The digits of a text, as ASCII."""
+    return "".join(str(int(c)) for c in found if c.isdecimal())
+
+
 def _country(found: str) -> str:
-    """The country code of a phone number, with its plus sign."""
-    m = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", found)
+    """The country code of a phone number as it is written, with its plus sign and a trunk "(0)" after it."""
+    if not found.startswith("+"):
+        return ""
+    digits = _digits(found[:12])
+    size = 1 if digits[:1] in ("1", "7") else 2 if digits[:2] in _TWO else 3
+    m = re.match(rf"\+(?:\D*\d){{{size}}}(?:[ .-]?\(0\))?", found)
     return m.group() if m else ""
 
 
 def normal(kind: str, value: str) -> str:
     """The spelling that all forms of an entity share."""
-    if kind in ("email", "secret", "given", "family"):
+    if kind in ("email", "secret", "given", "family", "initial"):
         return value.lower()
     if kind == "phone":
         code = _country(value)
-        return code + "|" + re.sub(r"\D", "", value[len(code):])
-    return re.sub(r"\D", "", value) if kind != "ip" else value
+        return ("+" + _digits(code.partition("(")[0]) if code else "") + "|" + _digits(value[len(code):])
+    return _digits(value) if kind != "ip" else ".".join(map(_digits, value.split(".")))
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
-    """start, end, kind, normal form of the entities of a text, in order; a name gives a part each for given and family name."""
-    out = []
+    """start, end, kind, normal form of the entities of a text, in order; a name gives a part for each of its words."""
+    out, names = [], {}
     for m in PATTERN.finditer(text or ""):
         kind = next(k for k in ("email", "secret", "ip", "phone", "ssn", "card", "name") if m.group(k) is not None)
         if kind != "name":
             out.append((m.start(), m.end(), kind, normal(kind, m.group())))
             continue
-        at = m.start("full")
-        parts = m.group("full").split(" ")
-        title = m.group()[:at - m.start()].rstrip(". ").lower()
-        gender = _GENDER.get(parts[0].lower(), _GENDER.get(title, "n"))
-        for k, part in enumerate(parts):
-            role = "family" if k == len(parts) - 1 else "given"
-            out.append((at, at + len(part), role if role == "family" else f"given-{gender}", normal(role, part)))
-            at += len(part) + 1
+        parts = [x for x in _PARTS.finditer(text, m.start("full"), m.end("full")) if x.lastgroup]
+        words = [x for x in parts if x.lastgroup == "word"]
+        titles = re.findall(r"[^\W\d_]+", text[m.start():m.start("full")].lower())
+        gender = next((g for w in (words[0].group().lower(), *titles) if (g := _GENDER.get(w, "n")) != "n"), "n")
+        for x in parts:
+            if x.lastgroup == "initial":
+                role = "initial"
+            elif x is words[-1]:
+                role = "family"
+            else:
+                role = f"given-{_GENDER.get(x.group().lower(), gender)}"
+            value = normal(role.split("-")[0], x.group())
+            out.append((x.start(), x.end(), role, value))
+            if role != "initial" and (role == "family" or value not in names):
+                names[value] = role
+    return _with_bare(text, out, names) if names else out
+
+
+def _with_bare(text: str, found: list[tuple[int, int, str, str]], names: dict[str, str]) -> list[tuple[int, int, str, str]]:
+    """The entities and, between them, the words of the text's names where they stand without a title."""
+    out, at = [], 0
+    for entity in [*found, (len(text), len(text), "", "")]:
+        for m in _BARE.finditer(text, at, entity[0]):
+            value = m.group().lower()
+            if value in names:
+                out.append((m.start(), m.end(), names[value], value))
+        if entity[2]:
+            out.append(entity)
+        at = entity[1]
     return out
 
 
@@ -157,12 +200,22 @@ def candidate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
     return code + bar + "".join(str(rng.below(10)) for _ in rest)
 
 
+def initial(letter: str, key: bytes) -> str:
+    """The surrogate of an initial: the next letter of its script in keyed order, so two never share one."""
+    alphabet = ALPHABETS[script(letter)]
+    order = sorted(alphabet, key=lambda c: hmac.new(key, f"initial\x1f{c}".encode(), hashlib.sha256).digest())
+    return order[(order.index(letter) + 1) % len(order)] if letter in alphabet else order[_Stream(key, "initial", letter).below(len(order))]
+
+
 def fitted(kind: str, found: str, surrogate: str) -> str:
     """The surrogate in the format of one mention: its separators and letter case; a phone keeps its country code."""
     if kind in ("phone", "ssn", "card"):
         code = _country(found) if kind == "phone" else ""
         digits = iter(surrogate.rpartition("|")[2])
-        return code + "".join(next(digits) if c.isdigit() else c for c in found[len(code):])
+        return code + "".join(chr(ord(c) - int(c) + int(next(digits))) if c.isdecimal() else c for c in found[len(code):])
+    if kind == "ip":
+        zero = next(ord(c) - int(c) for c in found if c.isdecimal())
+        return "".join(chr(zero + int(c)) if c.isdecimal() else c for c in surrogate)
     if found.isupper():
         return surrogate.upper()
     if kind == "family" or kind.startswith("given"):
@@ -229,10 +282,10 @@ def _rotated(left: DataFrame, key: bytes) -> DataFrame:
     return moved
 
 
-def replace(text: str, table: dict[tuple[str, str], str]) -> str:
+def replace(text: str, table: dict[tuple[str, str], str], key: bytes = KEY) -> str:
     out, at = [], 0
     for start, end, kind, value in find(text):
-        out += [text[at:start], fitted(kind, text[start:end], table[kind, value])]
+        out += [text[at:start], fitted(kind, text[start:end], initial(value, key) if kind == "initial" else table[kind, value])]
         at = end
     return "".join(out) + text[at:]
 
@@ -249,7 +302,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, counts: bool = False) -> Dat
     kind = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
 
     def mentions(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [sorted({(k, v) for _, _, k, v in find(t)}) for t in batch.column("text").to_pylist()]
+        found = [sorted({(k, v) for _, _, k, v in find(t) if k != "initial"}) for t in batch.column("text").to_pylist()]
         found = pa.array([[{"kind": k, "value": v} for k, v in x] for x in found], kind)
         return pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "_found"])
 
@@ -262,7 +315,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, counts: bool = False) -> Dat
 
     def rewrite(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, owns = batch.column("text").to_pylist(), batch.column("_table").to_pylist()
-        new = [replace(t, {(x["kind"], x["value"]): x["surrogate"] for x in own}) for t, own in zip(texts, owns)]
+        new = [replace(t, {(x["kind"], x["value"]): x["surrogate"] for x in own}, key) for t, own in zip(texts, owns)]
         batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(new, pa.string()))
         return batch.select([*columns, "n_entities"])
 

@@ -247,6 +247,33 @@ def test_every_entity_passes_the_prefilter(spark):
     assert not rows.join(surrogates.pseudonymise(rows), ["doc_id", "text"]).count()
 
 
+@pytest.mark.parametrize("text,words", [
+    ("Dr. Anna Maria Schmidt", "Anna Maria Schmidt"), ("Mr. J. Smith", "J Smith"), ("Prof. Dr. Hans Müller", "Hans Müller"), ("MR J R R TOLKIEN", "J R R TOLKIEN"),
+    ("Herr Prof. Dr. K.-H. Maria von der Leyen", "K H Maria Leyen"), ("Mrs. O’Hara-Jones", "O’Hara-Jones"), ("Mr. Luis A.B. García Márquez", "Luis A B García Márquez"),
+    ("Mr. Smith's car, as Smith said: SMITH's own; Smithson, smith", "Smith Smith SMITH"), ("Lee and Mr. Bruce Lee, Bruce. Mr. Lee Dr. Kim", "Lee Bruce Lee Bruce Lee Kim"),
+    ("Mr. James Smith Jr. left", "James Smith"),
+    ("Madame d'Arc: d'Arc", "Arc Arc"), ("Dr. " + "A." * 5_000 + " 1", "")])
+def test_whole_names_are_found(text, words):
+    found = surrogates.find(text)
+    assert [re.sub(r"\W+$", "", text[a:b]) for a, b, _, _ in found] == words.split()
+    roles = {text[a:b].lower(): k for a, b, k, _ in found}
+    table = {(k, v): candidate for _, _, k, v in found if k != "initial" for candidate in [surrogates.candidate(k, v, 0)]}
+    new = surrogates.replace(text, table)
+    assert not [w for w in words.split() if len(w) > 1 and re.search(rf"\b{w}\b", new) and roles[w.lower()] == "family"]
+    assert not any(c == surrogates.initial(c, surrogates.KEY) for c in surrogates.ALPHABETS["latin"])
+
+
+def test_one_family_name_one_surrogate_in_all_forms(spark):
+    rows = [(1, "Dr. Anna Maria Schmidt; Schmidt and Anna"), (2, "Prof. Dr. Schmidt"), (3, "Mr. J. Schmidt. +447911123456"), (4, "+44 7911 123456 or +44 (0) 7911-123456, ٠١٢-٣٤٥-٦٧٨٩, 012-345-6789")]
+    got = {r["doc_id"]: r["text"] for r in surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    one = re.fullmatch(r"Dr\. (\w+) (\S+) (\w+); (\w+) and (\w+)", got[1])
+    assert one[3] == one[4] != "Schmidt" and one[1] == one[5] and one[1] in surrogates.GIVEN["latin"]["f"] and got[2] == f"Prof. Dr. {one[3]}"
+    three = re.fullmatch(r"Mr\. ([A-Z])\. (\w+)\. \+44(\d{10})", got[3])
+    four = re.fullmatch(r"\+44 (\d{4}) (\d{6}) or \+44 \(0\) (\d{4})-(\d{6}), ([٠-٩]{3}-[٠-٩]{3}-[٠-٩]{4}), ([0-9-]{12})", got[4])
+    assert three[1] != "J" and three[2] == one[3] and three[3] == four[1] + four[2] == four[3] + four[4] != "7911123456"
+    assert "".join(str(int(c)) if c != "-" else c for c in four[5]) == four[6] != "012-345-6789"
+
+
 # 8. and 9. packing ------------------------------------------------------------
 
 def test_tokens_agree_with_the_library():
