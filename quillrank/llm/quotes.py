@@ -13,9 +13,11 @@ root_pos, depth, thread, pos`` reads the conversations in reply order, and
 ``own_text`` is without quotes and attribution lines.
 
 Input: ``thread`` (bigint), ``pos`` (bigint), ``text``.  Order is (thread, pos),
-nulls first.  Defined cases: null and empty texts have no passages; rows that
-repeat a (thread, pos) are one message, with the least text; an empty
-table gives no rows; a passage without a letter or digit is not linked.
+nulls first, then ``msg``, a digest of the three.  Defined cases: null and empty
+texts are the same and have no passages; rows that repeat all three are one
+message; messages that share a (thread, pos), like regenerated answers, are each
+kept, and none of them is earlier than another; an empty table gives no rows; a
+passage without a letter or digit is not linked.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from quillrank.llm.common import map_slices, stored
 _LEVEL = re.compile(r"[ \t]?((?:>[ \t]?)+)")
 _ATTRIBUTION = re.compile(r"^.{0,300}\b(?:wrote|schrieb|a écrit|escribió) ?:\s*$", re.I)
 _WORD = re.compile(r"[^\W_]+")
+_KEY = ("thread", "pos", "msg")
 
 
 def levels(text: str) -> list[tuple[int, str]]:
@@ -62,7 +65,7 @@ def digest(passage: str) -> bytes | None:
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """thread, pos, own_text, own (hashes of the whole and of each line), quoted (place, level and hash)."""
+    """thread, pos, msg, own_text, own (hashes of the whole and of each line), quoted (place, level and hash)."""
     entry = pa.list_(pa.struct([("place", pa.int32()), ("level", pa.int32()), ("hash", pa.binary())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -73,62 +76,71 @@ def parse(messages: DataFrame) -> DataFrame:
             texts.append(own)
             owns.append(sorted({h for x in [own, *own.split("\n"), *(p for level, p in parts if level == 0)] if (h := digest(x))}))
             quotes.append([{"place": k, "level": level, "hash": h} for k, (level, p) in enumerate(parts) if level and (h := digest(p))])
-        return pa.RecordBatch.from_arrays([batch.column("thread"), batch.column("pos"), pa.array(texts, pa.string()),
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEY), pa.array(texts, pa.string()),
                                            pa.array(owns, pa.list_(pa.binary())), pa.array(quotes, entry)],
-                                          ["thread", "pos", "own_text", "own", "quoted"])
+                                          [*_KEY, "own_text", "own", "quoted"])
 
-    return map_slices(messages.select("thread", "pos", "text"), run,
-                      "thread bigint, pos bigint, own_text string, own array<binary>, quoted array<struct<place:int,level:int,hash:binary>>")
+    return map_slices(messages.select(*_KEY, "text"), run,
+                      "thread bigint, pos bigint, msg binary, own_text string, own array<binary>, quoted array<struct<place:int,level:int,hash:binary>>")
+
+
+def _earlier(a, b):
+    """Whether a place is before another, nulls first."""
+    return F.coalesce(a < b, a.isNull() & b.isNotNull())
+
+
+def _holders(quoted: DataFrame, held: DataFrame) -> DataFrame:
+    """``quoted`` with the earliest earlier holder of each passage in its thread (``inside``) and in a thread before (``before``), or null."""
+    here = held.groupBy("thread", "hash").agg(F.min(F.struct("pos", "msg")).alias("at"))
+    first = here.groupBy(F.col("hash").alias("f_hash")).agg(F.min(F.struct("thread", "at")).alias("first"))
+    here = here.select(F.col("thread").alias("h_thread"), F.col("hash").alias("h_hash"), "at")
+    found = quoted.join(here, F.col("thread").eqNullSafe(F.col("h_thread")) & (F.col("hash") == F.col("h_hash")), "left").join(
+        first, F.col("hash") == F.col("f_hash"), "left")
+    inside = F.when(F.col("at").isNotNull() & _earlier(F.col("at.pos"), F.col("pos")), F.struct("thread", "at.pos", "at.msg"))
+    before = F.when(F.col("first").isNotNull() & _earlier(F.col("first.thread"), F.col("thread")),
+                    F.struct(F.col("first.thread").alias("thread"), F.col("first.at.pos").alias("pos"), F.col("first.at.msg").alias("msg")))
+    return found.select(*quoted.columns, inside.alias("inside"), before.alias("before"))
 
 
 def link(parsed: DataFrame) -> DataFrame:
-    """thread, pos, n_linked and the answered message (up_thread, up_pos), for messages with a linked passage."""
-    held = parsed.select("thread", "pos", F.explode("own").alias("hash"))
-    here = held.groupBy("thread", "hash").agg(F.min("pos").alias("here"))
-    first = here.groupBy("hash").agg(F.min(F.struct("thread", "here")).alias("first"))
-    quoted = parsed.select("thread", "pos", F.inline("quoted"))
-    found = quoted.join(here, ["thread", "hash"], "left").join(first, "hash", "left")
-    inside = F.col("here") < F.col("pos")
-    before = F.col("first.thread") < F.col("thread")
-    up = F.when(inside, F.struct("thread", F.col("here").alias("pos"))).when(before, F.struct(F.col("first.thread").alias("thread"), F.col("first.here").alias("pos")))
-    linked = found.withColumn("up", up).where(F.col("up").isNotNull())
-    best = linked.groupBy("thread", "pos").agg(F.count("*").alias("n_linked"), F.min(F.struct("level", "place", "up")).alias("best"))
-    return best.select("thread", "pos", "n_linked", F.col("best.up.thread").alias("up_thread"), F.col("best.up.pos").alias("up_pos"))
+    """msg, n_linked and the answered message (up_thread, up_pos, up_msg), for messages with a linked passage."""
+    found = _holders(parsed.select(*_KEY, F.inline("quoted")), parsed.select(*_KEY, F.explode("own").alias("hash")))
+    linked = found.withColumn("up", F.coalesce("inside", "before")).where(F.col("up").isNotNull())
+    best = linked.groupBy("msg").agg(F.count("*").alias("n_linked"), F.min(F.struct("level", "place", "up")).alias("best"))
+    return best.select("msg", "n_linked", *(F.col(f"best.up.{c}").alias(f"up_{c}") for c in _KEY))
 
 
 def conversations(messages: DataFrame) -> DataFrame:
-    """Every message once, with what it answers, its conversation (root), its depth there and its own text."""
-    one = messages.groupBy("thread", "pos").agg(F.min("text").alias("text"))
-    parsed = stored(parse(one), "messages")
-    links = parsed.select("thread", "pos", F.size("quoted").alias("n_quotes")).join(link(parsed), ["thread", "pos"], "left")
-    links = stored(links, "replies")
-    replies = links.where(F.col("up_thread").isNotNull()).select("thread", "pos", "up_thread", "up_pos", F.lit(1).cast("bigint").alias("depth"))
-    answers = links.select("thread", "pos", "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"),
-                           F.col("up_thread").alias("reply_thread"), F.col("up_pos").alias("reply_pos"))
+    """Every distinct message once, with what it answers, its conversation (root), its depth there and its own text."""
+    one = messages.select("thread", "pos", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    key = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("thread", "pos")), "text")
+    parsed = stored(parse(one.withColumn("msg", F.unhex(F.substring(F.sha2(key, 256), 1, 32)))), "messages")
+    links = stored(parsed.select(*_KEY, F.size("quoted").alias("n_quotes")).join(link(parsed), "msg", "left"), "replies")
+    answers = links.select(*_KEY, "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"),
+                           *(F.col(f"up_{c}").alias(f"reply_{c}") for c in _KEY))
     # Pointer doubling: each round follows an answer's own pointer, so a chain of n messages takes log2(n) rounds.
-    ahead = replies
+    up = F.struct(*(F.col(f"up_{c}").alias(c) for c in _KEY))
+    ahead = links.where(F.col("up_msg").isNotNull()).select("msg", up.alias("up"), F.lit(1).cast("bigint").alias("depth"))
     while True:
-        onward = ahead.select(F.col("thread").alias("up_thread"), F.col("pos").alias("up_pos"), F.col("up_thread").alias("t2"),
-                              F.col("up_pos").alias("p2"), F.col("depth").alias("d2"))
-        joined = ahead.join(onward, ["up_thread", "up_pos"], "left")
-        ahead = stored(joined.select("thread", "pos", F.coalesce("t2", "up_thread").alias("up_thread"), F.when(F.col("t2").isNull(), F.col("up_pos")).otherwise(
-            F.col("p2")).alias("up_pos"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.col("t2").isNotNull().alias("moved")), "reply-chains")
+        onward = ahead.select(F.col("msg").alias("at"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
+        joined = ahead.join(onward, F.col("up.msg") == F.col("at"), "left")
+        ahead = stored(joined.select("msg", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
+                                     F.col("up2").isNotNull().alias("moved")), "reply-chains")
         moved = ahead.where("moved").isEmpty()
         ahead = ahead.drop("moved")
         if moved:
             break
-    rooted = answers.join(ahead.withColumnsRenamed({"up_thread": "root_thread", "up_pos": "root_pos"}), ["thread", "pos"], "left")
-    text = parsed.select(F.col("thread").alias("t"), F.col("pos").alias("p"), "own_text")
-    rooted = rooted.join(text, F.col("thread").eqNullSafe(F.col("t")) & F.col("pos").eqNullSafe(F.col("p"))).drop("t", "p")
-    return rooted.select("thread", "pos", "reply_thread", "reply_pos",
-                         F.when(F.col("depth").isNull(), F.col("thread")).otherwise(F.col("root_thread")).alias("root_thread"),
-                         F.when(F.col("depth").isNull(), F.col("pos")).otherwise(F.col("root_pos")).alias("root_pos"),
-                         F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"), "n_quotes", "n_linked", "own_text")
+    rooted = answers.join(ahead, "msg", "left").withColumn("root", F.coalesce("up", F.struct(*_KEY))).join(parsed.select("msg", "own_text"), "msg")
+    return rooted.select("thread", "pos", "reply_thread", "reply_pos", F.col("root.thread").alias("root_thread"), F.col("root.pos").alias("root_pos"),
+                         F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"), "n_quotes", "n_linked", "own_text",
+                         *(F.lower(F.hex(c)).alias(n) for c, n in (("msg", "msg"), ("reply_msg", "reply_msg"), ("root.msg", "root_msg"))))
 
 
 def as_mail(chat: DataFrame) -> DataFrame:
-    """Chat turns as mail clients write them: each message quotes the one before, and that one's quote one level deeper."""
-    turn = chat.select(F.col("conv_id").cast("bigint").alias("thread"), F.col("turn").cast("bigint").alias("pos"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    """Chat turns as mail clients write them: each message quotes the one before, and that one's quote one level deeper.
+
+    Of several messages at one turn the next one quotes that of the least text; each is a mail of its own."""
+    turn = chat.select(F.col("conv_id").cast("bigint").alias("thread"), F.col("turn").cast("bigint").alias("pos"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     # The white-space-free start of a line that looks like a quote is escaped, as mail programs do.
     turn = turn.withColumn("text", F.regexp_replace("text", r"(?m)^[ \t]?>", "|>"))
     by_place = turn.groupBy("thread", "pos").agg(F.min(F.struct("text", "role")).alias("said")).select("thread", "pos", "said.*")
@@ -139,7 +151,7 @@ def as_mail(chat: DataFrame) -> DataFrame:
     def quote(text, mark):
         return F.concat(F.lit(mark), F.regexp_replace(text, "\n", "\n" + mark))
 
-    both = by_place.join(back(1), ["thread", "pos"], "left").join(back(2), ["thread", "pos"], "left")
+    both = turn.join(back(1), ["thread", "pos"], "left").join(back(2), ["thread", "pos"], "left")
     older = F.when(F.col("text2").isNotNull(), F.concat(F.lit("> "), "role2", F.lit(" wrote:\n"), quote(F.col("text2"), "> > "), F.lit("\n"))).otherwise("")
     newer = F.when(F.col("text1").isNotNull(), F.concat("role1", F.lit(" wrote:\n"), older, quote(F.col("text1"), "> "), F.lit("\n\n"))).otherwise("")
     return both.select("thread", "pos", F.concat(newer, "text").alias("text"))

@@ -77,6 +77,21 @@ def test_quotes_link_nested_replies(spark):
     assert quotes.conversations(df.limit(0)).count() == 0
 
 
+def test_messages_of_one_place_are_all_kept(spark):
+    mails = [(1, 0, "Which way?"), (1, 1, "> Which way?\nLeft."), (1, 1, "> Which way?\nRight."), (1, 1, "> Which way?\nRight."), (1, 2, "> Left.\nSure?"),
+             (1, 2, "> Right.\nNo!"), (None, 0, "One."), (None, 0, "Two."), (None, 1, "> Two.\nThree."), (3, None, "> One.\n"), (None, None, None), (None, None, "")]
+    df = spark.createDataFrame(mails, "thread long, pos long, text string")
+    rows = quotes.conversations(df).collect()
+    by_msg = {r.msg: r for r in rows}
+    assert len(rows) == len(by_msg) == len({(a, b, c or "") for a, b, c in mails})
+    up = {r.own_text: by_msg[r.reply_msg].own_text for r in rows if r.reply_msg}
+    assert up == {"Left.": "Which way?", "Right.": "Which way?", "Sure?": "Left.", "No!": "Right.", "Three.": "Two.", "": "One."}
+    assert {r.own_text: (by_msg[r.root_msg].own_text, r.depth) for r in rows if r.depth > 1} == {"Sure?": ("Which way?", 2), "No!": ("Which way?", 2)}
+    chat = [(1, 0, "user", "Hi"), (1, 1, "bot", "A"), (1, 1, "bot", "B"), (1, 2, "user", "C"), (None, 0, "user", "D"), (None, 0, "user", "E"), (None, 0, "user", "E")]
+    made = quotes.conversations(quotes.as_mail(spark.createDataFrame(chat, "conv_id long, turn long, role string, text string"))).collect()
+    assert sorted((r.own_text, r.depth) for r in made) == [("A", 1), ("B", 1), ("C", 2), ("D", 0), ("E", 0), ("Hi", 0)]
+
+
 # 3. digests -------------------------------------------------------------------
 
 def test_window_classes_are_brute_force():
