@@ -4,7 +4,9 @@ A message's lines have a quote level (the number of leading ``>``).  A run of
 lines of one level is a passage.  Passages are normalised (case, marks, white
 space) and hashed; so are each message's own words, as a whole and line by line.
 A quoted passage links to the earliest earlier message that holds it as its own,
-in the same thread if there is one, else in a thread before.  Joins are on
+in the same thread if there is one, else in a thread before.  A part of a message
+is held, too, if its lines or its sentences (however they are wrapped) stand there in
+succession; it counts where no message of the thread holds the passage whole.  Joins are on
 hashes whose holders are reduced to the earliest first, so a passage that a third
 of all messages hold costs one row.  A message answers the message of its first
 linked passage of the lowest level.  Following the answers (pointer doubling)
@@ -34,6 +36,7 @@ from quillrank.llm.common import map_slices, stored
 _LEVEL = re.compile(r"[ \t]?((?:>[ \t]?)+)")
 _ATTRIBUTION = re.compile(r"^.{0,300}\b(?:wrote|schrieb|a écrit|escribió) ?:\s*$", re.I)
 _WORD = re.compile(r"[^\W_]+")
+_STOP = re.compile(r"(?<=[.!?…])\s+|\n\s*\n")
 _KEY = ("thread", "pos", "msg")
 
 
@@ -64,9 +67,16 @@ def digest(passage: str) -> bytes | None:
     return hashlib.blake2b(form.encode(), digest_size=16).digest() if form else None
 
 
+def units(text: str) -> tuple[list[str], list[str]]:
+    """The normal forms of a text's lines and of its sentences that have a word."""
+    return tuple([n for x in own if (n := normal(x))] for own in (text.split("\n"), _STOP.split(text)))
+
+
 def parse(messages: DataFrame) -> DataFrame:
-    """thread, pos, msg, own_text, own (hashes of the whole and of each line), quoted (place, level and hash)."""
-    entry = pa.list_(pa.struct([("place", pa.int32()), ("level", pa.int32()), ("hash", pa.binary())]))
+    """thread, pos, msg, own_text, own (hashes of the whole and of each line), quoted (place, level, hash, and in
+    lines and in sentences the first one's hash and their number)."""
+    starts = pa.list_(pa.struct([("by", pa.int32()), ("first", pa.binary()), ("n", pa.int32())]))
+    entry = pa.list_(pa.struct([("place", pa.int32()), ("level", pa.int32()), ("hash", pa.binary()), ("starts", starts)]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, owns, quotes = [], [], []
@@ -75,13 +85,14 @@ def parse(messages: DataFrame) -> DataFrame:
             own = "\n".join(p for level, p in parts if level == 0).strip()
             texts.append(own)
             owns.append(sorted({h for x in [own, *own.split("\n"), *(p for level, p in parts if level == 0)] if (h := digest(x))}))
-            quotes.append([{"place": k, "level": level, "hash": h} for k, (level, p) in enumerate(parts) if level and (h := digest(p))])
+            quotes.append([{"place": k, "level": level, "hash": h, "starts": [{"by": by, "first": digest(own[0]), "n": len(own)} for by, own in enumerate(units(p))]} for k, (level, p) in enumerate(parts) if level and (h := digest(p))])
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEY), pa.array(texts, pa.string()),
                                            pa.array(owns, pa.list_(pa.binary())), pa.array(quotes, entry)],
                                           [*_KEY, "own_text", "own", "quoted"])
 
     return map_slices(messages.select(*_KEY, "text"), run,
-                      "thread bigint, pos bigint, msg binary, own_text string, own array<binary>, quoted array<struct<place:int,level:int,hash:binary>>")
+                      "thread bigint, pos bigint, msg binary, own_text string, own array<binary>, "
+                      "quoted array<struct<place:int,level:int,hash:binary,starts:array<struct<by:int,first:binary,n:int>>>>")
 
 
 def _earlier(a, b):
@@ -102,10 +113,39 @@ def _holders(quoted: DataFrame, held: DataFrame) -> DataFrame:
     return found.select(*quoted.columns, inside.alias("inside"), before.alias("before"))
 
 
+def _parts(parsed: DataFrame, loose: DataFrame) -> DataFrame:
+    """thread, pos, msg and hash of the runs of own lines or sentences that begin like one of the ``loose`` passages and are as long."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(m, by, at, digest(u)) for m, t in zip(batch.column("msg").to_pylist(), batch.column("text").to_pylist())
+                for by, own in enumerate(units(t)) for at, u in enumerate(own)]
+        types = {"msg": pa.binary(), "by": pa.int32(), "at": pa.int32(), "first": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types.values())], list(types))
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes = []
+        for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
+            own = units(text)
+            hashes.append(list({digest(" ".join(own[r["by"]][r["at"]:r["at"] + r["n"]])) for r in runs if r["at"] + r["n"] <= len(own[r["by"]])}))
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEY), pa.array(hashes, pa.list_(pa.binary()))], [*_KEY, "own"])
+
+    texts = parsed.select(*_KEY, F.col("own_text").alias("text"))
+    needs = loose.select(F.inline("starts")).distinct()
+    begun = map_slices(texts.select("msg", "text"), run, "msg binary, by int, at int, first binary").join(needs, ["by", "first"])
+    runs = begun.groupBy("msg").agg(F.collect_set(F.struct("by", "at", "n")).alias("runs"))
+    own = map_slices(texts.join(runs, "msg"), cut, "thread bigint, pos bigint, msg binary, own array<binary>")
+    return own.select(*_KEY, F.explode("own").alias("hash"))
+
+
 def link(parsed: DataFrame) -> DataFrame:
     """msg, n_linked and the answered message (up_thread, up_pos, up_msg), for messages with a linked passage."""
-    found = _holders(parsed.select(*_KEY, F.inline("quoted")), parsed.select(*_KEY, F.explode("own").alias("hash")))
-    linked = found.withColumn("up", F.coalesce("inside", "before")).where(F.col("up").isNotNull())
+    found = stored(_holders(parsed.select(*_KEY, F.inline("quoted")), parsed.select(*_KEY, F.explode("own").alias("hash"))), "passages")
+    loose = found.where(F.col("inside").isNull())
+    place = ["msg", "level", "place"]
+    linked = found.select(*place, F.col("inside").alias("up"))
+    if not loose.isEmpty():
+        again = _holders(loose.drop("inside").withColumnRenamed("before", "whole"), _parts(parsed, loose))
+        linked = linked.unionAll(again.select(*place, F.coalesce("inside", F.least("whole", "before"))))
+    linked = linked.where(F.col("up").isNotNull())
     best = linked.groupBy("msg").agg(F.count("*").alias("n_linked"), F.min(F.struct("level", "place", "up")).alias("best"))
     return best.select("msg", "n_linked", *(F.col(f"best.up.{c}").alias(f"up_{c}") for c in _KEY))
 

@@ -92,6 +92,19 @@ def test_messages_of_one_place_are_all_kept(spark):
     assert sorted((r.own_text, r.depth) for r in made) == [("A", 1), ("B", 1), ("C", 2), ("D", 0), ("E", 0), ("Hi", 0)]
 
 
+def test_parts_of_messages_are_linked(spark):
+    first = "Dear all,\nthe boat leaves at nine. Bring\nwarm clothes and some bread.\n\nWho has a map?\nWho has a lamp?\nAnn"
+    mails = [(1, 0, first), (1, 1, "> Who has a map?\n> Who has a lamp?\n\nI do."),  # the first lines and the last one are cut
+             (1, 2, "> Dear all,\n> the boat leaves at nine. Bring\nAt nine?\n> Who has a map?\n> Who has a lamp?\n> Ann\nI have none."),  # interleaved
+             (1, 3, "> Bring warm clothes\n> and some bread. Who has\n> a map?\nNo."),  # wrapped anew
+             (2, 0, "> Who has a lamp?\n> Ann\nIs this the list?"), (2, 1, "> Who has a lamp?\n> Who has a map?\nIn another order."),
+             (2, 2, "> Ann\n> Dear all,\nNot in succession."), (0, 0, "> Who has a map?\n> Who has a lamp?\nToo early.")]
+    df = spark.createDataFrame(mails, "thread long, pos long, text string")
+    got = {(r.thread, r.pos): ((r.reply_thread, r.reply_pos), r.n_linked) for r in quotes.conversations(df).collect()}
+    none = ((None, None), 0)
+    assert got == {(1, 0): none, (1, 1): ((1, 0), 1), (1, 2): ((1, 0), 2), (1, 3): ((1, 0), 1), (2, 0): ((1, 0), 1), (2, 1): none, (2, 2): none, (0, 0): none}
+
+
 # 3. digests -------------------------------------------------------------------
 
 def test_window_classes_are_brute_force():
