@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillrank.llm import (bfd_packing, digests, licences, near_copies, oracle, pieces, pow2_packing, quality, quotes,
-                           surrogates, toxicity)
+from quillrank.llm import (bfd_packing, digests, licences, near_copies, oracle, pieces, pow2_packing, prefix_trie, quality,
+                           quotes, surrogates, toxicity, turn_repair, url_templates)
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_pow2_packing": pow2_packing.op8,
     "op9_bfd_packing": bfd_packing.op9,
     "op10_licences": licences.op10,
+    "op11_turn_repair": turn_repair.op11,
+    "op12_url_templates": url_templates.op12,
+    "op13_prefix_trie": prefix_trie.op13,
     "pipeline": corpus_pipeline.run,
 }
 
