@@ -19,7 +19,8 @@ CACHE_CHUNKS = 600_000
 
 # Printable ASCII and Latin-1 letters: lower-casing is per character and NFC leaves them alone.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+# Chunks are cut all at once; a line feed ends each.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^a-zß-öø-ÿ0-9\n]+")
 _OPEN: dict[str, "WordTokenizer"] = {}
 
 
@@ -35,6 +36,36 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Table:
+    """Keys with their ids, in flat arrays that grow; row 0 is the empty key, which has none."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = {"": 0}
+        self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
+
+    def add(self, keys: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        first = len(self.rows)
+        while first + len(keys) > len(self.starts):
+            self.starts, self.lengths = np.concatenate([self.starts] * 2), np.concatenate([self.lengths] * 2)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat] * 2)
+        self.starts[first:first + len(keys)] = self.used + np.cumsum(sizes) - sizes
+        self.lengths[first:first + len(keys)] = sizes
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.rows.update(zip(keys, range(first, first + len(keys))))
+
+    def numbers(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the rows in one array, and where each row's ids end (from 0 on)."""
+        sizes = self.lengths[rows]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return self.flat[np.repeat(self.starts[rows] - ends[:-1], sizes) + np.arange(ends[-1])], ends
+
+
 class WordTokenizer:
     def __init__(self, path: str, limit: int = CACHE_CHUNKS):
         from tokenizers import Tokenizer
@@ -53,44 +84,37 @@ class WordTokenizer:
         return _OPEN[path]
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.parts: dict[str, list[int]] = {}
-        self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
-
-    def chunk(self, chunk: str) -> list[int]:
-        """The ids of one chunk without white space."""
-        if not _PLAIN.fullmatch(chunk) or "<|" in chunk and any(s in chunk for s in self.specials):
-            return self.whole.encode(chunk, add_special_tokens=False).ids
-        out: list[int] = []
-        for part in _PARTS.findall(chunk.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
-                self.parts[part] = ids
-            out += ids
-        return out
+        self.chunks, self.parts = _Table(), _Table()
+
+    def _plain(self, chunk: str) -> bool:
+        return bool(_PLAIN.fullmatch(chunk)) and not ("<|" in chunk and any(s in chunk for s in self.specials))
+
+    def _add_plain(self, chunks: list[str]) -> None:
+        """New chunks of plain characters, cut into parts all at once."""
+        parts = _PARTS.findall("\n".join([*chunks, ""]).lower())
+        new = list({p for p in parts if p not in self.parts.rows and p != "\n"})
+        ids = [[t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))] for p in new]
+        self.parts.add(new, np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter((i for x in ids for i in x), np.uint32))
+        self.parts.rows.setdefault("\n", 0)
+        rows = self.parts.numbers(parts)
+        flat, ends = self.parts.gather(rows)
+        stops = ends[1:][rows == 0]
+        self.chunks.add(chunks, np.diff(stops, prepend=0), flat)
 
     def _numbers(self, chunks: list[str]) -> np.ndarray:
         """The table's row of each chunk; new chunks are encoded."""
-        if len(self.known) + len(chunks) > max(self.limit, 2 * len(chunks)):
+        if len(self.chunks.rows) + len(chunks) > max(self.limit, 2 * len(chunks)):
             self.clear()
-        known = self.known
-        new: list[str] = [c for c in chunks if c not in known]
-        if new:
-            ids = [self.chunk(c) for c in new]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            first, total = len(known), int(sizes.sum())
-            while first + len(new) > len(self.starts):
-                self.starts, self.lengths = np.concatenate([self.starts] * 2), np.concatenate([self.lengths] * 2)
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat] * 2)
-            self.starts[first:first + len(new)] = self.used + np.cumsum(sizes) - sizes
-            self.lengths[first:first + len(new)] = sizes
-            self.flat[self.used:self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-            self.used += total
-            known.update(zip(new, range(first, first + len(new))))
-        return np.fromiter((known[c] for c in chunks), np.int64, len(chunks))
+        known = self.chunks.rows
+        new = [c for c in chunks if c not in known]
+        plain = [c for c in new if self._plain(c)]
+        if plain:
+            self._add_plain(plain)
+        if len(plain) < len(new):
+            other = [c for c in new if c not in known]
+            ids = [self.whole.encode(c, add_special_tokens=False).ids for c in other]
+            self.chunks.add(other, np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter((i for x in ids for i in x), np.uint32))
+        return self.chunks.numbers(chunks)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and the n + 1 ends of the texts' ids (null: no ids)."""
@@ -98,8 +122,6 @@ class WordTokenizer:
         ends = np.asarray(pieces.offsets, dtype=np.int64)
         ends = ends - ends[0]
         coded = pc.dictionary_encode(pieces.flatten())
-        rows = self._numbers(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
-        sizes = self.lengths[rows]
-        after = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.repeat(self.starts[rows] - after[:-1], sizes) + np.arange(after[-1])
-        return self.flat[at], after[ends]
+        rows = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[np.asarray(coded.indices)]
+        flat, after = self.chunks.gather(rows)
+        return flat, after[ends]
