@@ -19,9 +19,10 @@ No partner is capped and no group is collected.  With 32 bands of 4 registers a
 link at similarity 0.8 shares no band with a chance below 1e-7.
 
 Defined cases: texts without words are linked with nothing; with fewer words
-than a shingle the whole sequence is the one shingle; rows of one ``doc_id``
-count as one document; a null ``doc_id`` is linked with nothing (component null,
-kept); an empty table gives no rows.
+than a shingle the whole sequence is the one shingle; where a ``doc_id`` repeats
+with other texts, each row is linked by its own text, and its component's least
+``doc_id`` decides whether it is kept; a null ``doc_id`` is linked with nothing
+(component null, kept); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ WIDTH = 4
 PERCENT = 80
 BANDS, ROWS = 32, 4
 BUCKETS = BANDS * ROWS
-MANTISSA = 26
+#: A register has 16 bits: leading zeros (and one, 0 if empty) above the mantissa.
+MANTISSA = 10
 #: Standard errors that an estimate may lie below the threshold.
 SLACK = 5.0
 #: A block of a group: members and shingles that one task holds as residents, about.
@@ -99,7 +101,7 @@ def shingle_sets(column: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
 
 def registers(own: np.ndarray) -> np.ndarray:
     """Per bucket (the top bits of a hash): leading zeros and mantissa of the least remaining bits; 0 if empty."""
-    out = np.zeros(BUCKETS, np.uint32)
+    out = np.zeros(BUCKETS, np.uint16)
     shift = np.uint64(64 - (BUCKETS - 1).bit_length())
     bucket = (own >> shift).astype(np.int64)
     start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(own) else []
@@ -110,7 +112,7 @@ def registers(own: np.ndarray) -> np.ndarray:
     down = np.maximum(0, exponent - 1 - MANTISSA)
     up = np.maximum(0, MANTISSA - exponent + 1)
     mantissa = ((least >> down.astype(np.uint64)) << up.astype(np.uint64)) & np.uint64((1 << MANTISSA) - 1)
-    out[bucket[start]] = ((zeros.astype(np.uint64) + np.uint64(1)) << np.uint64(MANTISSA) | mantissa).astype(np.uint32)
+    out[bucket[start]] = ((zeros.astype(np.uint64) + np.uint64(1)) << np.uint64(MANTISSA) | mantissa).astype(np.uint16)
     return out
 
 
@@ -123,18 +125,27 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return np.where(grid.any(1), h | np.uint64(1), np.uint64(0)).view(np.int64)
 
 
+def _set_id(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+
+
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, set_id (null if empty), sketch."""
+    """doc_id, text_id (the text's SHA-256), n_shingles, set_id (null if empty), sketch."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         with np.errstate(over="ignore"):
             sets = shingle_sets(batch.column("text"), width)
             sketches = [registers(s).tobytes() if len(s) else None for s in sets]
         return pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-            pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-            pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "set_id", "sketch"])
+            batch.column("doc_id"), batch.column("text_id"), pa.array([len(s) for s in sets], pa.int64()),
+            pa.array([_set_id(s) if len(s) else None for s in sets], pa.binary()), pa.array(sketches, pa.binary())],
+            ["doc_id", "text_id", "n_shingles", "set_id", "sketch"])
+
+    return map_slices(docs.select("doc_id", "text", _text_id().alias("text_id")), run,
+                      "doc_id bigint, text_id binary, n_shingles bigint, set_id binary, sketch binary")
 
-    return map_slices(docs.select("doc_id", "text"), run, "doc_id bigint, n_shingles bigint, set_id binary, sketch binary")
+
+def _text_id():
+    return F.unhex(F.sha2(F.col("text").cast("binary"), 256))
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -142,7 +153,7 @@ def banded(classes: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             with np.errstate(over="ignore"):
-                keys = [band_keys(np.frombuffer(x, np.uint32)) for x in batch.column("sketch").to_pylist()]
+                keys = [band_keys(np.frombuffer(x, np.uint16)) for x in batch.column("sketch").to_pylist()]
             rows = np.concatenate([np.full(np.count_nonzero(k), i) for i, k in enumerate(keys)] or [np.zeros(0, int)])
             keys = np.concatenate([k[k != 0] for k in keys] or [np.zeros(0, np.int64)])
             taken = batch.take(pa.array(rows.astype(np.int64)))
@@ -154,10 +165,11 @@ def banded(classes: DataFrame) -> DataFrame:
 def full_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         with np.errstate(over="ignore"):
-            sets = [s.view(np.int64) for s in shingle_sets(batch.column("text"), width)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+            sets = shingle_sets(batch.column("text"), width)
+        return pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.binary()),
+                                           pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["set_id", "shingles"])
 
-    return map_slices(docs.select("doc_id", "text"), run, "doc_id bigint, shingles array<bigint>")
+    return map_slices(docs.select("doc_id", "text"), run, "set_id binary, shingles array<bigint>")
 
 
 def _likely(same: np.ndarray, filled: np.ndarray, percent: int) -> np.ndarray:
@@ -173,7 +185,7 @@ def _estimate_filter(pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (columns ``sketch_a``, ``sketch_b``) whose estimate leaves a link possible, without the sketches."""
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, BUCKETS) for c in ("sketch_a", "sketch_b"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("sketch_a", "sketch_b"))
             keep = _likely(((a == b) & (a > 0)).sum(1), ((a > 0) | (b > 0)).sum(1), percent)
             yield batch.filter(pa.array(keep)).select(["a", "b"])
 
@@ -210,7 +222,7 @@ def _across(percent: int):
         key = table.column("key")[0].as_py()
         node, own, guest, free, n = (table.column(c).to_numpy() for c in ("node", "component", "guest", "free", "n"))
         own = np.unique(own, return_inverse=True)[1]
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(-1, BUCKETS)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS)
         with np.errstate(over="ignore"):
             bands = np.stack([band_keys(x) for x in sketch])
         sets = table.column("shingles")
@@ -243,11 +255,11 @@ def _blocks(size, shingles):
 
 
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
+    """doc_id, n_shingles, component_id, text_id, kept for every row."""
     signed = stored(signatures(docs, width), "near-signatures")
     named = signed.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
-    classes = stored(named.groupBy("set_id").agg(
-        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "near-classes")
+    classes = named.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     rows = banded(classes)
     groups = rows.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("other")).where("center <> other").drop("other")
     hits = stored(rows.join(groups, "key"), "near-groups")
@@ -257,13 +269,13 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     pairs = pairs.join(sketches.toDF("b", "nb", "sketch_b"), "b").join(sketches.toDF("a", "na", "sketch_a"), "a")
     pairs = stored(_estimate_filter(pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")), percent).distinct(), "near-pairs")
 
-    wanted = hits.select(F.col("node").alias("doc_id")).distinct()
-    sets = stored(full_sets(docs.join(wanted, "doc_id", "left_semi"), width)
-                  .join(classes.select(F.col("node").alias("doc_id"), "n"), "doc_id").where(F.size("shingles") == F.col("n"))
-                  .dropDuplicates(["doc_id", "n"]), "near-sets")
+    wanted = stored(classes.join(hits.select("node").distinct(), "node").select("node", "set_id", "doc_id"), "near-wanted")
+    sets = (full_sets(docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), width)
+            .join(wanted.select("node", "set_id"), "set_id").drop("set_id"))
+    sets = stored(sets.dropDuplicates(["node"]), "near-sets")
     both = F.size(F.array_intersect("sa", "sb"))
-    verified = (pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-                .join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    verified = (pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+                .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
                 .select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sizes"))
                 .where(100 * F.col("both") >= percent * (F.col("sizes") - F.col("both"))).select("a", "b"))
     first_links = stored(verified, "near-links")
@@ -283,22 +295,29 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     stay = cells.where("parts = 1").select(*fields, F.lit(False), F.lit(0), "home")
     met = cells.where("parts > 1").select(*fields, F.lit(False), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "home")
     cells = visits.unionAll(stay).unionAll(met)
-    cells = cells.join(classes.select("node", "n", "sketch"), ["node", "n"])
-    cells = cells.join(sets.withColumnRenamed("doc_id", "node"), ["node", "n"])
+    cells = cells.join(classes.select("node", "sketch"), "node").join(sets, "node")
     more = cells.groupBy("key", "block", "part").applyInArrow(_across(percent), "a bigint, b bigint")
     final = components(first_links.unionAll(more), "near-components")
 
-    of_set = classes.join(final, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
-    joined = signed.join(of_set, "set_id", "left")
-    by_id = joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return by_id.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    of_set = stored(classes.join(final, "node", "left").select("set_id", "doc_id", F.coalesce("component", "node").alias("component")), "near-of-set")
+    least = of_set.groupBy("component").agg(F.min("doc_id").alias("least"))
+    joined = signed.join(of_set.drop("doc_id").join(least, "component"), "set_id", "left")
+    known = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    by_row = joined.select("doc_id", "n_shingles", known.alias("component_id"), "text_id")
+    return by_row.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row."""
+    return link(docs, width, percent).drop("text_id")
 
 
 def near_copy_filter(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, with all columns of ``docs``; rows of one doc_id are one document and stay together."""
-    lost = link(docs, width, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group, with all columns of ``docs``; rows that share doc_id and text stay together."""
+    lost = link(docs, width, percent).where(~F.col("kept")).select("doc_id", "text_id").distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", _text_id().alias("text_id"))
+    return rows.join(lost, ["doc_id", "text_id"], "left_anti").select("row.*")
 
 
 def op4(spark, sf_dir):
-    return link(documents(spark, sf_dir))
+    return near_copies(documents(spark, sf_dir))
