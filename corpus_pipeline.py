@@ -1,14 +1,19 @@
 """The corpus pipeline: documents -> quality -> toxicity -> near copies -> personal data -> packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept;
-``run`` writes each stage's result as Parquet to the shared folder and reads it
-back as the next one's input.  All but the last return the columns of documents.
+``run`` writes each stage's result as Parquet to the shared folder, reads it
+back as the next one's input, and deletes the stage's own intermediate files (of the
+surrogates stage: raw texts and the table of surrogates).  All but the last return the columns of documents.
+
+Defined cases: rows with null or empty texts fail the quality rules; a repeated row is
+kept or dropped like its first; other columns, whatever their names, pass through to
+the packing; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from quillrank.llm import near_copies, pow2_packing, quality, surrogates, toxicity
-from quillrank.llm.common import documents, stored
+from quillrank.llm.common import documents, scratch, shared_folder
 
 
 def quality_stage(spark, docs, sf_dir):
@@ -47,5 +52,9 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = shared_folder(spark, f"pipeline-{name}")
+        with scratch(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
