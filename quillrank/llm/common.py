@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +41,35 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders made inside each open ``scratch``.
+_MADE: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: the lineage ends at files that outlive executors."""
+    """Write a frame to the shared folder and read it back: the lineage ends at files that outlive executors.
+
+    The files stay for whoever reads the result later; inside ``scratch`` they go with it.
+    """
     spark = df.sparkSession
     path = shared_folder(spark, name)
+    if _MADE:
+        _MADE[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end what ``stored`` wrote inside, also after a failure: use it where the result is written inside, too."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``limit`` bytes of text (one row at least)."""
     if not batch.num_rows:

@@ -82,7 +82,8 @@ RULES = [
 ]
 
 _NOISE = re.compile(r"[#*$%&|<>!\"“”«»(){}\[\]]+|//")
-_CUT = re.compile(r"(?:[.;?]|(?<![Ii]dentifier):)+(?=\s|$)|\n\s*\n")
+#: A run of marks is tried once, where it begins.  A colon alone after "identifier" ends nothing.
+_CUT = re.compile(r"(?<![.;?:])(?!(?<=[Ii]dentifier):(?![.;?:]))[.;?:]++(?=\s|$)|\n\s*\n")
 _WORD = re.compile(r"[^\W_]+")
 _ID = r"\(*[ \t]*(?:DocumentRef-[A-Za-z0-9.-]+:)?[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\+?(?:[ \t]*\))*"
 #: An SPDX tag wherever it stands in a line, with its expression, which ends the sentence.

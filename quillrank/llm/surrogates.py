@@ -59,14 +59,17 @@ _PARTS = re.compile(rf"{_PARTICLE}|(?P<word>{_NAME})|(?P<initial>{_UPPER})")
 _BARE = re.compile(rf"(?<!\w)(?:(?<!\w[-'’])|(?<=\bd['’])){_NAME}(?!\w)")
 #: Country calling codes of two digits; those that start with 1 or 7 have one, the others three.
 _TWO = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: A mailbox from its run's first letter or digit on.  A run is tried once, where it begins, so long runs without an @ cost their length.
+_EMAIL = r"[_.%+-]*+(?P<email>[^\W_](?:[\w.%+-]*[\w])?@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}(?![\w]))"
+_EMAIL_HERE = re.compile(_EMAIL)
 PATTERN = re.compile(
-    r"(?P<email>[^\W_](?:[\w.%+-]*[\w])?@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}(?![\w]))"
+    rf"(?<![\w.%+-]){_EMAIL}"
     r"|(?P<secret>(?:(?<![A-Za-z0-9])[0-9A-Fa-f]{32,}(?![A-Za-z0-9]))|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,})\b)"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}-\d{3}-\d{4}(?![\d-]))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d.])\d{4}(?P<sep>[ -]?)\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7}(?![\d])|(?<![\d.])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?!\d))"
-    rf"|(?P<name>\b(?:{_TITLE})\b\.?(?: (?:{_TITLE})\b\.?)* (?P<full>{_FULL}))"
+    rf"|(?P<name>\b(?:{_TITLE})\b\.?(?: (?P<last>{_TITLE})\b\.?)*(?: (?P<full>{_FULL}))?)"  # titles alone are passed over
 )
 #: A text without any of these holds no entity.  A digit of any script counts, also one that only Python's newer Unicode knows (Cn).
 MAYBE = (r"[@\p{Nd}\p{Cn}]", "AKIA|gh[pousr]_|[0-9A-Fa-f]{32}", "(?=[" + "".join(sorted({t[0] for t in _TITLE.split("|")})) + f"])({_TITLE})\\.? ")
@@ -101,13 +104,28 @@ def normal(kind: str, value: str) -> str:
     return _digits(value) if kind != "ip" else ".".join(map(_digits, value.split(".")))
 
 
+def _matches(text: str):
+    """The pattern's matches that are entities.  After each one, a mailbox may go on in the middle of its run."""
+    at = 0
+    while m := PATTERN.search(text, at):
+        at = m.end()
+        bare = m.group("name") is not None and m.group("full") is None
+        if not bare:
+            yield m
+        start = m.start("last") if bare and m.group("last") else m.start() if bare else at
+        if here := _EMAIL_HERE.match(text, start):
+            yield here
+            at = here.end()
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """start, end, kind, normal form of the entities of a text, in order; a name gives a part for each of its words."""
     out, names = [], {}
-    for m in PATTERN.finditer(text or ""):
-        kind = next(k for k in ("email", "secret", "ip", "phone", "ssn", "card", "name") if m.group(k) is not None)
+    for m in _matches(text or ""):
+        kind = "email" if m.group("email") is not None else next(
+            k for k in ("secret", "ip", "phone", "ssn", "card", "name") if m.group(k) is not None)
         if kind != "name":
-            out.append((m.start(), m.end(), kind, normal(kind, m.group())))
+            out.append((*m.span(kind), kind, normal(kind, m.group(kind))))
             continue
         parts = [x for x in _PARTS.finditer(text, m.start("full"), m.end("full")) if x.lastgroup]
         words = [x for x in parts if x.lastgroup == "word"]
@@ -296,9 +314,11 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, counts: bool = False) -> Dat
     Equal texts have equal entities, so a text's digest keys its part of the
     surrogate table; the texts themselves move once, and only those with an entity.
     """
+    others = [c for c in docs.columns if c != "text"]
+    packed = F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
+    docs_ = docs.select(packed.alias("row"), "text")   # other columns travel by place, so their names cannot clash
     maybe = may_hold(F.col("text"))
-    columns = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    row = f"row {docs_.schema['row'].dataType.simpleString()}, text string"
     kind = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
 
     def mentions(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -306,7 +326,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, counts: bool = False) -> Dat
         found = pa.array([[{"kind": k, "value": v} for k, v in x] for x in found], kind)
         return pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "_found"])
 
-    scanned = stored(map_slices(docs.where(maybe), mentions, fields + ", _found array<struct<kind:string,value:string>>"), "mentions")
+    scanned = stored(map_slices(docs_.where(maybe), mentions, row + ", _found array<struct<kind:string,value:string>>"), "mentions")
     table = assign(entities(scanned), key)
     held = scanned.where(F.size("_found") > 0).withColumn("_key", F.sha2("text", 256))
     parts = held.select("_key", F.explode("_found").alias("e")).select("_key", "e.kind", "e.value").distinct()
@@ -317,13 +337,15 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, counts: bool = False) -> Dat
         texts, owns = batch.column("text").to_pylist(), batch.column("_table").to_pylist()
         new = [replace(t, {(x["kind"], x["value"]): x["surrogate"] for x in own}, key) for t, own in zip(texts, owns)]
         batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(new, pa.string()))
-        return batch.select([*columns, "n_entities"])
-
-    joined = held.withColumn("n_entities", F.size("_found")).drop("_found").join(tables, "_key")
-    changed = map_slices(joined, rewrite, fields + ", n_entities int")
-    bare = scanned.where(F.size("_found") == 0).select(*columns).unionAll(docs.where(~maybe))
-    result = changed.unionAll(bare.withColumn("n_entities", F.lit(0)))
-    return result if counts else result.select(*columns)
+        return batch.select(["row", "text", "n"])
+
+    joined = held.withColumn("n", F.size("_found")).drop("_found").join(tables, "_key")
+    changed = map_slices(joined, rewrite, row + ", n int")
+    bare = scanned.where(F.size("_found") == 0).select("row", "text").unionAll(docs_.where(~maybe))
+    result = changed.unionAll(bare.withColumn("n", F.lit(0)))
+    place = {c: F.col("row")[f"c{i}"] for i, c in enumerate(others)}
+    columns = [place.get(c, F.col("text")).alias(c) for c in docs.columns]
+    return result.select(*columns, *([F.col("n").alias("n_entities")] if counts else []))
 
 
 def op7(spark, sf_dir):
