@@ -16,7 +16,7 @@ Exactness rules (SURVEY 7.4):
 * ranking is on the score rounded to 6 places (integer micro-units), ties
   broken by corpus position (``seq``), the reference's stable-sort order;
 * corpus statistics are global; metadata filters only restrict which documents
-  may be returned (filtering after scoring equals filtering the doc side);
+  may be returned, so their postings alone are scored;
 * zero fill: the reference ranks every document, so when fewer than k
   documents score, the list is completed by unmatched documents (score 0) in
   corpus order.  The first k allowed documents by position (a global top-k,
@@ -66,8 +66,9 @@ def doc_filter(docs: DataFrame, min_score: int | None = None, tags: list[str] |
 
 
 def score_matches(index: Bm25Index, queries: DataFrame, key_cols: list[str],
-                  text_col: str) -> DataFrame:
-    """Sparse scores: (key..., seq, score) for every document sharing a term."""
+                  text_col: str, allowed: DataFrame | None = None) -> DataFrame:
+    """Contributions (key..., seq, c) for every document sharing a term, of the
+    ``allowed`` ones (by ``seq``) if given: only their postings meet the terms."""
     qt = query_terms(queries, key_cols, text_col)
     # One measurement of the query side bounds both broadcasts (qidf <= qt rows, two doubles wider).
     small = fits_broadcast(qt)
@@ -77,7 +78,8 @@ def score_matches(index: Bm25Index, queries: DataFrame, key_cols: list[str],
             .select(*key_cols, "term", "qtf", "avgdl",
                     F.when(F.col("raw_idf") < 0, F.lit(EPSILON) * F.col("mean_idf"))
                     .otherwise(F.col("raw_idf")).alias("idf")))
-    matched = index.postings.join(F.broadcast(qidf) if small else qidf, "term")
+    postings = index.postings if allowed is None else index.postings.join(allowed.select("seq"), "seq", "left_semi")
+    matched = postings.join(F.broadcast(qidf) if small else qidf, "term")
     contrib = (F.floor(contribution(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"))
                        * F.lit(NANO) + F.lit(0.5)) * F.col("qtf"))
     return matched.select(*key_cols, "seq", contrib.alias("c"))
@@ -112,9 +114,9 @@ def bm25_search(index: Bm25Index, queries: DataFrame, top_k: int = 10,
     """R2: ranked lists (key..., rank, seq, score_micro, score); ``score`` is the
     double of the score rounded to 6 places, ``score_micro`` its integer form."""
     key_cols = key_cols or ["query_id"]
-    parts = score_matches(index, queries, key_cols, text_col)
     filtered = min_score is not None or bool(tags) or bool(after_date)
     allowed = doc_filter(index.docs, min_score, tags, after_date) if filtered else index.docs
+    parts = score_matches(index, queries, key_cols, text_col, allowed if filtered else None)
     if fill_zero:
         width = top_k + _negative_allowance(index, parts, key_cols)
         fill = (queries.select(*key_cols).crossJoin(F.broadcast(first_docs(allowed, width)))
@@ -122,8 +124,6 @@ def bm25_search(index: Bm25Index, queries: DataFrame, top_k: int = 10,
                         F.lit(0).cast("bigint").alias("c")))
         parts = parts.unionByName(fill)
     scores = parts.groupBy(*key_cols, "seq").agg(F.sum("c").alias("nano"))
-    if filtered:
-        scores = scores.join(allowed.select("seq"), "seq", "left_semi")
     micro = F.floor((F.col("nano") + F.lit(500)) / F.lit(1000))
     scores = scores.select(*key_cols, "seq", micro.alias("score_micro"),
                            (micro / F.lit(1e6)).alias("score"))

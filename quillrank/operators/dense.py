@@ -30,6 +30,9 @@ MAX_QUERY_CELLS = 2_000_000
 # Default embedder (hashed bag of words) dimension.
 HASH_DIM = 384
 SCORE_OUT = "decimal(18,6)"
+# Columns of a query's own filter, and those of a document that it looks at.
+QUERY_FILTERS = ["min_vote_score", "tags", "after_date"]
+DOC_FILTERS = ["question_score", "tags_list", "creation_date"]
 
 
 # --- M1: deterministic default embedder ------------------------------------
@@ -86,9 +89,23 @@ def _micro(cos: np.ndarray) -> np.ndarray:
                     dtype=np.int64)[at]
 
 
+def _allowed(docs: pd.DataFrame, filters: pd.DataFrame) -> np.ndarray:
+    """Documents x queries: whether a query's own filter lets the document through."""
+    ok = docs["question_score"].fillna(0).to_numpy(np.float64)[:, None] >= filters["min_vote_score"].to_numpy(np.float64)[None, :]
+    dates = docs["creation_date"].fillna("").to_numpy(dtype=str)
+    ok &= dates[:, None] >= filters["after_date"].fillna("").to_numpy(dtype=str)[None, :]
+    wanted = [frozenset(t) if t is not None else frozenset() for t in filters["tags"]]
+    held = [set(t) if t is not None else set() for t in docs["tags_list"]]
+    for tags in set(wanted) - {frozenset()}:   # one pass a distinct tag set
+        cols = np.array([w == tags for w in wanted])
+        ok[:, cols] &= np.array([not tags.isdisjoint(h) for h in held])[:, None]
+    return ok
+
+
 def _task_topk(doc_key: str, vec_col: str, qkeys: pd.DataFrame, qmat: np.ndarray,
-               k: int, margin: float = 1e-6, block_rows: int = 2048):
-    """A task's k best documents of every query, by rounded score and ``doc_key``.
+               k: int, margin: float = 1e-6, block_rows: int = 2048, filters: pd.DataFrame | None = None):
+    """A task's k best documents of every query, by rounded score and ``doc_key``;
+    with ``filters`` (a row a query) of the documents that the query's filter lets through.
 
     Blocks of documents are multiplied by the query matrix; of a block only the
     rows within ``margin`` of the best k so far are looked at, and the held rows
@@ -108,9 +125,13 @@ def _task_topk(doc_key: str, vec_col: str, qkeys: pd.DataFrame, qmat: np.ndarray
                 denom = dnorm[:, None] * qnorm[None, :]
                 with np.errstate(divide="ignore", invalid="ignore"):
                     cos = np.where(denom > 0, dots / denom, 0.0)
+                if filters is not None:
+                    cos = np.where(_allowed(blk, filters), cos, -np.inf)
                 n = cos.shape[0]
                 kth = np.partition(cos, n - k, axis=0)[n - k] if n > k else np.full(len(qmat), -np.inf)
-                rows, cols = np.nonzero(cos >= (np.maximum(kth, floor) - margin)[None, :])
+                rows, cols = np.nonzero((cos >= (np.maximum(kth, floor) - margin)[None, :]) & np.isfinite(cos))
+                if not len(rows):
+                    continue
                 near = pd.DataFrame({"q": cols, doc_key: blk[doc_key].to_numpy()[rows], "cos": cos[rows, cols]})
                 near["micro"] = _micro(near["cos"].to_numpy())
                 held = near if held is None else pd.concat([held, near], ignore_index=True)
@@ -127,12 +148,17 @@ def _task_topk(doc_key: str, vec_col: str, qkeys: pd.DataFrame, qmat: np.ndarray
 
 def dense_search(docs: DataFrame, queries: DataFrame, top_k: int = 10,
                  doc_key: str = "seq", key_cols: list[str] | None = None,
-                 vec_col: str = "embedding") -> DataFrame:
-    """(key..., rank, seq, score) by cosine, score DECIMAL(18,6)."""
+                 vec_col: str = "embedding", per_query_filters: bool = False) -> DataFrame:
+    """(key..., rank, seq, score) by cosine, score DECIMAL(18,6).
+
+    With ``per_query_filters`` each query has ``min_vote_score``, ``tags`` and ``after_date``, and the documents
+    ``question_score``, ``tags_list`` and ``creation_date`` (F8, applied before the cut)."""
+    fcols = QUERY_FILTERS if per_query_filters else []
+    dcols = DOC_FILTERS if per_query_filters else []
     key_cols = key_cols or ["query_id"]
     spark = docs.sparkSession
     # Counted, sized and collected below: fill it once.
-    q = materialize(queries.select(*key_cols, vec_col))
+    q = materialize(queries.select(*key_cols, vec_col, *fcols))
     n_q = q.count()
     first = q.select(vec_col).first()[0] if n_q else None
     dim = (first["dim"] if hasattr(first, "asDict") else len(first)) if first is not None else 1
@@ -150,13 +176,13 @@ def dense_search(docs: DataFrame, queries: DataFrame, top_k: int = 10,
         if pdf.empty:
             continue
         qmat = _to_matrix(pdf[vec_col])
-        bc = spark.sparkContext.broadcast((pdf[key_cols].reset_index(drop=True), qmat))
+        bc = spark.sparkContext.broadcast((pdf[key_cols].reset_index(drop=True), qmat, pdf[fcols] if fcols else None))
 
         def run(batches, bc=bc):
-            qkeys, qm = bc.value
-            yield from _task_topk(doc_key, vec_col, qkeys, qm, top_k)(batches)
+            qkeys, qm, filters = bc.value
+            yield from _task_topk(doc_key, vec_col, qkeys, qm, top_k, filters=filters)(batches)
 
-        parts.append(docs.select(doc_key, vec_col).mapInPandas(run, schema))
+        parts.append(docs.select(doc_key, vec_col, *dcols).mapInPandas(run, schema))
     if not parts:
         return spark.createDataFrame([], f"{key_schema}, rank int, {doc_key} {doc_type}, "
                                          f"score {SCORE_OUT}")

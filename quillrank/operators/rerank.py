@@ -35,14 +35,16 @@ def coverage_scores(index: Bm25Index, clean: DataFrame, candidates: DataFrame, q
     weights = idf.join(maybe_broadcast(qt), "term").groupBy(*key_cols).agg(
         F.collect_list(F.struct("term", "idf")).alias("weights"), F.sum("idf").alias("total"))
     pairs = candidates.select(*key_cols, "seq").distinct()
-    # Candidates with their question's weights are the side that is shipped; the texts stay where they lie.
+    # Candidates with their question's weights are the smaller side; the join's kind follows its measured size (AQE).
     wanted = pairs.join(weights, key_cols, "left")
     text = pair_text(F.col("question_title"), F.col("answer_prose"))
-    hit = let(bm25_tokens(text), lambda toks: F.aggregate(
-        F.filter("weights", lambda w: F.array_contains(toks, w["term"])), F.lit(0).cast(_SUM),
+    # One hash lookup a token finds the terms that the text holds; their weights are summed after it.
+    held = F.array_intersect(F.col("weights")["term"], bm25_tokens(text))
+    hit = let(held, lambda terms: F.aggregate(
+        F.filter("weights", lambda w: F.array_contains(terms, w["term"])), F.lit(0).cast(_SUM),
         lambda acc, w: (acc + w["idf"]).cast(_SUM)))
     score = F.when(F.col("total") > 0, hit.cast("double") / F.col("total").cast("double")).otherwise(F.lit(0.0))
-    return (clean.select("seq", "question_title", "answer_prose").join(maybe_broadcast(wanted), "seq")
+    return (clean.select("seq", "question_title", "answer_prose").join(wanted, "seq")
             .select(*key_cols, "seq", score.cast(SCORE_OUT).alias("reranker_score")))
 
 

@@ -17,6 +17,8 @@ QUERIES = {
     "rrf_fusion": retrieval.rrf_fusion,
     "hybrid_retrieve": retrieval.hybrid_retrieve,
     "rerank_topk": retrieval.rerank_topk,
+    "hybrid_requests": retrieval.hybrid_requests,
+    "request_rejects": retrieval.request_rejects,
     "build_eval_set": evaluation.build_eval_set,
     "retrieval_eval": evaluation.retrieval_eval,
     "method_comparison": evaluation.method_comparison,

@@ -168,6 +168,21 @@ contrib AS (
   JOIN postings p ON p.term = qt.term, stats s)"""
 
 
+#: A batch of requests with parameters of their own, checked and with defaults filled in.
+REQUESTS = """
+SELECT *, list_filter([CASE WHEN question IS NULL OR length(question) < 10 THEN 'question: too short' END,
+                       CASE WHEN length(question) > 1000 THEN 'question: too long' END,
+                       CASE WHEN min_vote_score < 0 OR min_vote_score > 500 THEN 'min_vote_score: out of range' END,
+                       CASE WHEN NOT regexp_matches(after_date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN 'after_date: bad format' END,
+                       CASE WHEN top_k < 1 OR top_k > 20 THEN 'top_k: out of range' END], lambda x: x IS NOT NULL) AS errors
+FROM (SELECT item_id AS query_id, text AS question,
+             coalesce(CASE WHEN item_id % 5 <> 0 THEN (item_id % 7) * 15 WHEN item_id % 10 = 0 THEN 900 END, 5) AS min_vote_score,
+             CASE item_id % 3 WHEN 0 THEN ['en', 'de'] WHEN 1 THEN [concat('src', CAST(item_id % 20 AS VARCHAR))] ELSE [] END AS tags,
+             CASE WHEN item_id % 13 = 0 THEN 'June 2021' WHEN item_id % 4 = 0 THEN '2021-06-01'
+                  WHEN item_id % 4 = 1 THEN '2023-12-20' END AS after_date,
+             coalesce(CASE WHEN item_id % 6 <> 0 THEN 1 + item_id % 22 END, 5) AS top_k FROM benchmark)"""
+
+
 def bm25_ranked(allowed: str, queries: str, top_k: int, key: str = "query_id") -> str:
     """SELECT giving (key..., seq, score DOUBLE (6 places), rank) after fill + cut.
 

@@ -149,6 +149,29 @@ FROM ({duck.rrf_fused('SELECT query_id, list_no, rank, seq FROM lists')}) f JOIN
         "hybrid_retrieve": f"""WITH {_CLEAN} {duck.bm25_ctes(_BM_DOCS, duck.QUESTIONS)}, {_hybrid_lists(40)}
 SELECT f.query_id, CAST(f.fused_rank AS INTEGER) AS fused_rank, c.doc_id, CAST(f.rrf_score AS DOUBLE) AS rrf_score
 FROM ({duck.rrf_fused('SELECT * FROM hl', 40)}) f JOIN clean c USING (seq)""",
+        "request_rejects": f"""SELECT query_id, array_to_string(errors, '; ') AS errors FROM ({duck.REQUESTS}) WHERE len(errors) > 0""",
+        "hybrid_requests": f"""WITH {_CLEAN} valid AS (SELECT * FROM ({duck.REQUESTS}) WHERE len(errors) = 0),
+{duck.bm25_ctes(_BM_DOCS, 'SELECT query_id, question FROM valid')},
+ok AS (SELECT v.query_id, c.seq FROM valid v JOIN clean c ON coalesce(c.question_score, 0) >= v.min_vote_score
+       AND (len(v.tags) = 0 OR list_has_any(coalesce(c.tags_list, []), v.tags))
+       AND (v.after_date IS NULL OR coalesce(c.creation_date, '') >= v.after_date)),
+bm AS (SELECT query_id, seq, floor(CAST(sum(coalesce(c, 0)) + 500 AS DOUBLE) / CAST(1000 AS DOUBLE)) / CAST(1e6 AS DOUBLE) AS score
+       FROM ok LEFT JOIN contrib USING (query_id, seq) GROUP BY query_id, seq),
+hd AS ({duck.hash_sparse('SELECT seq, text_for_embedding FROM clean', 'seq', 'text_for_embedding')}),
+hq AS ({duck.hash_sparse('SELECT query_id, question FROM valid', 'query_id', 'question')}),
+nd AS (SELECT seq, sqrt(CAST(sum(cnt * cnt) AS DOUBLE)) AS n FROM hd GROUP BY seq),
+nq AS (SELECT query_id, sqrt(CAST(sum(cnt * cnt) AS DOUBLE)) AS n FROM hq GROUP BY query_id),
+dots AS (SELECT query_id, seq, sum(hq.cnt * hd.cnt) AS dot FROM hq JOIN hd USING (bucket) GROUP BY query_id, seq),
+dn AS (SELECT query_id, seq, CAST(coalesce(CAST(dot AS DOUBLE), 0) / (nd.n * nq.n) AS DECIMAL(18,6)) AS score
+       FROM ok JOIN nd USING (seq) JOIN nq USING (query_id) LEFT JOIN dots USING (query_id, seq)),
+hl AS (SELECT * FROM (SELECT query_id, 0 AS list_no, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank, seq FROM bm)
+       WHERE rank <= 40 UNION ALL
+       SELECT * FROM (SELECT query_id, 1 AS list_no, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank, seq FROM dn)
+       WHERE rank <= 40),
+pool AS ({duck.rrf_fused('SELECT * FROM hl', 40)}), {_rerank_ctes('pool', 20)}
+SELECT query_id, CAST(rerank_rank AS INTEGER) AS rerank_rank, c.doc_id, CAST(reranker_score AS DOUBLE) AS reranker_score,
+       CAST(fused_rank AS INTEGER) AS fused_rank
+FROM rr JOIN clean c USING (seq) JOIN valid USING (query_id) WHERE rerank_rank <= top_k""",
         "rerank_topk": f"""WITH {_CLEAN} {duck.bm25_ctes(_BM_DOCS, duck.QUESTIONS)}, {_hybrid_lists(10)},
 pool AS ({duck.rrf_fused('SELECT * FROM hl', 20)}), {qidf},
 tot AS (SELECT query_id, sum(idf) AS total FROM qidf GROUP BY query_id),

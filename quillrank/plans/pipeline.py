@@ -47,6 +47,7 @@ def retrieve(index: Bm25Index, clean: DataFrame, rewritten: DataFrame, pool: int
              .unionByName(dn.select("query_id", "rank", "seq",
                                     (F.col("sub_idx") * 2 + 1).alias("list_no"))))
     # Small (questions x pool rows); scoring and the rerank join both read it.
+    lists = with_payload(lists, index.docs, ["doc_id"])
     return materialize(fusion.rrf(lists, ["query_id"], top_n=pool))
 
 
@@ -58,7 +59,7 @@ def answer_batch(spark: SparkSession, sf_dir: str, questions: DataFrame,
     rewritten = rewrite(questions)
     fused = retrieve(index, clean, rewritten)
     scores = coverage_scores(index, clean, fused, questions, ["query_id"])
-    sources = with_payload(rerank(fused, scores, ["query_id"], top_k=top_k), clean, PAYLOAD)
+    sources = with_payload(rerank(fused, scores, ["query_id"], top_k=top_k).drop("doc_id"), clean, PAYLOAD)
     ctx = contexts(sources, ["query_id"])
     answers = answer_and_judge(rewritten, ctx, ["query_id"])
     return answers, sources

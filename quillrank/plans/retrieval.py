@@ -11,8 +11,10 @@ from quillrank.operators import dense, fusion
 from quillrank.operators.bm25 import bm25_search, doc_filter, with_payload
 from quillrank.operators.clean import clean_pairs
 from quillrank.operators.index import Bm25Index, build_index
+from quillrank.operators.requests import bm25_requests, split_requests
 from quillrank.operators.rerank import coverage_scores, rerank
 from quillrank.operators.util import materialize
+from quillrank.operators.validate import TOP_K_MAX
 from quillrank.sources import tables
 
 # The registered queries index and embed whole documents (no 512-token cut of
@@ -150,25 +152,24 @@ def rrf_fusion(spark: SparkSession, sf_dir: str, top_k: int = 10) -> DataFrame:
                                   F.array_join(F.slice(tokens(F.col("question")), 1, 8), " ")
                                   .alias("question"))))
     lists = bm25_search(index, both, top_k=top_k, key_cols=["query_id", "list_no"])
-    fused = fusion.rrf(lists)
-    out = with_payload(fused, index.docs, ["doc_id"])
-    return out.select("query_id", "fused_rank", "doc_id",
-                      F.col("rrf_score").cast("double").alias("rrf_score"),
-                      "first_list", "first_rank")
+    fused = fusion.rrf(with_payload(lists, index.docs, ["doc_id"]))
+    return fused.select("query_id", "fused_rank", "doc_id",
+                        F.col("rrf_score").cast("double").alias("rrf_score"),
+                        "first_list", "first_rank")
 
 
 def hybrid_lists(index: Bm25Index, clean: DataFrame, questions: DataFrame, top_k: int,
                  min_score: int = MIN_VOTE_SCORE) -> DataFrame:
     """R5 legs for one sub-query per question: BM25 (list 0) and dense (list 1),
-    both under the default vote filter; rows (query_id, list_no, rank, seq, score)."""
+    both under the default vote filter; rows (query_id, list_no, rank, seq, doc_id, score)."""
     bm = bm25_search(index, questions, top_k=top_k, min_score=min_score)
     vecs = corpus_vectors(doc_filter(clean, min_score=min_score))
     qv = dense.hash_embed(questions, ["query_id"], "question")
     dn = dense.dense_search(vecs, qv, top_k=top_k)
     lists = (fusion.tag_list(bm.select("query_id", "rank", "seq", "score"), 0)
              .unionByName(fusion.tag_list(dn.select("query_id", "rank", "seq", "score"), 1)))
-    # Small (questions x 2k rows) and read by several later branches.
-    return materialize(lists)
+    # Small (questions x 2k rows) and read by several later branches; fused on doc_id.
+    return materialize(with_payload(lists, index.docs, ["doc_id"]))
 
 
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,9 +179,42 @@ def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = build_index(clean)
     lists = hybrid_lists(index, clean, tables.questions(spark, sf_dir), POOL)
     fused = fusion.rrf(lists, top_n=POOL)
-    out = with_payload(fused, index.docs, ["doc_id"])
-    return out.select("query_id", "fused_rank", "doc_id",
-                      F.col("rrf_score").cast("double").alias("rrf_score"))
+    return fused.select("query_id", "fused_rank", "doc_id",
+                        F.col("rrf_score").cast("double").alias("rrf_score"))
+
+
+def request_lists(index: Bm25Index, clean: DataFrame, requests: DataFrame, top_k: int = POOL,
+                  date_filter_dense: bool = True) -> DataFrame:
+    """R5 legs of a batch of requests, each under its own filter; (query_id, list_no, rank, seq, doc_id, score).
+    ``date_filter_dense``: whether the date bound holds for the dense leg, too."""
+    bm = bm25_requests(index, requests, top_k)
+    params = requests.select("query_id", "min_vote_score", "tags",
+                             "after_date" if date_filter_dense else F.lit(None).cast("string").alias("after_date"))
+    vecs = corpus_vectors(clean).join(clean.select("seq", *dense.DOC_FILTERS), "seq")
+    qv = dense.hash_embed(requests, ["query_id"], "question").join(params, "query_id")
+    dn = dense.dense_search(vecs, qv, top_k=top_k, per_query_filters=True)
+    lists = (fusion.tag_list(bm.select("query_id", "rank", "seq", "score"), 0)
+             .unionByName(fusion.tag_list(dn.select("query_id", "rank", "seq", "score"), 1)))
+    return materialize(with_payload(lists, index.docs, ["doc_id"]))
+
+
+def hybrid_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The valid requests of a mixed batch, each with its own tags, score bound, date bound and top_k:
+    BM25 and dense pools of 40, fused, reranked, cut at the request's top_k."""
+    clean = clean_corpus(spark, sf_dir)
+    index = build_index(clean)
+    valid, _ = split_requests(tables.requests(spark, sf_dir))
+    pool = materialize(fusion.rrf(request_lists(index, clean, valid), top_n=POOL))
+    scores = coverage_scores(index, clean, pool, valid.select("query_id", "question"), ["query_id"])
+    ranked = rerank(pool, scores, ["query_id"], top_k=TOP_K_MAX).join(valid.select("query_id", "top_k"), "query_id")
+    return ranked.where(F.col("rerank_rank") <= F.col("top_k")).select(
+        "query_id", "rerank_rank", "doc_id", F.col("reranker_score").cast("double").alias("reranker_score"), "fused_rank")
+
+
+def request_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the requests that break a rule, with the rules they break."""
+    _, rejects = split_requests(tables.requests(spark, sf_dir))
+    return rejects.select("query_id", F.array_join("errors", "; ").alias("errors"))
 
 
 def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +226,6 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = fusion.rrf(hybrid_lists(index, clean, q, 10), top_n=20)
     scores = coverage_scores(index, clean, pool, q, ["query_id"])
     ranked = rerank(pool, scores, ["query_id"], top_k=10)
-    out = with_payload(ranked, index.docs, ["doc_id"])
-    return out.select("query_id", "rerank_rank", "doc_id",
-                      F.col("reranker_score").cast("double").alias("reranker_score"),
-                      "fused_rank")
+    return ranked.select("query_id", "rerank_rank", "doc_id",
+                         F.col("reranker_score").cast("double").alias("reranker_score"),
+                         "fused_rank")

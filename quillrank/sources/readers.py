@@ -19,9 +19,9 @@ NA_STRINGS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-na
 PAIR_SCHEMA = T.StructType([
     T.StructField("doc_id", T.StringType()), T.StructField("question_id", T.StringType()),
     T.StructField("question_title", T.StringType()), T.StructField("question_body", T.StringType()),
-    T.StructField("question_score", T.IntegerType()), T.StructField("tags", T.StringType()),
+    T.StructField("question_score", T.LongType()), T.StructField("tags", T.StringType()),
     T.StructField("creation_date", T.StringType()), T.StructField("accepted_answer", T.StringType()),
-    T.StructField("answer_score", T.IntegerType()), T.StructField("question_url", T.StringType()),
+    T.StructField("answer_score", T.LongType()), T.StructField("question_url", T.StringType()),
 ])
 
 
@@ -58,7 +58,7 @@ GT_SCHEMA = T.StructType([
     T.StructField("question_title", T.StringType()), T.StructField("question_body", T.StringType()),
     T.StructField("question_url", T.StringType()), T.StructField("accepted_answer", T.StringType()),
     T.StructField("tags_list", T.ArrayType(T.StringType())),
-    T.StructField("question_score", T.IntegerType()),
+    T.StructField("question_score", T.LongType()),
 ])
 
 

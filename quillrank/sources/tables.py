@@ -148,6 +148,19 @@ def feedback_from(events: DataFrame) -> DataFrame:
     )
 
 
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``benchmark`` -> requests with mixed parameters, some left out and some out of range."""
+    b = table(spark, sf_dir, "benchmark")
+    i = b.item_id
+    return b.select(
+        i.alias("query_id"), b.text.alias("question"),
+        F.when(i % 5 != 0, (i % 7) * 15).when(i % 10 == 0, F.lit(900)).cast("int").alias("min_vote_score"),
+        F.when(i % 3 == 0, F.array(F.lit("en"), F.lit("de"))).when(i % 3 == 1, F.array(F.concat(F.lit("src"), (i % 20).cast("string"))))
+        .alias("tags"),
+        F.when(i % 13 == 0, "June 2021").when(i % 4 == 0, "2021-06-01").when(i % 4 == 1, "2023-12-20").alias("after_date"),
+        F.when(i % 6 != 0, 1 + i % 22).cast("int").alias("top_k"))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``benchmark`` -> a batch of questions: (query_id, question)."""
     b = table(spark, sf_dir, "benchmark")
