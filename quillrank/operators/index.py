@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +33,11 @@ class Bm25Index:
     corpus_stats: DataFrame  # n_docs, sum_dl, avgdl, mean_idf (one row)
     docs: DataFrame          # indexed documents: seq, dl + payload, for fill and late joins
 
-    def persist(self, storage: StorageLevel = StorageLevel.MEMORY_AND_DISK):
+    def hold(self):
         """Each table is read by several branches of a search plan (and by
-        every later batch): keep them, filled now, instead of recomputing."""
-        return Bm25Index(materialize(self.postings, storage), materialize(self.term_stats, storage),
-                         materialize(self.corpus_stats, storage), self.docs)
+        every later batch): write them now instead of recomputing."""
+        return Bm25Index(materialize(self.postings), materialize(self.term_stats),
+                         materialize(self.corpus_stats), self.docs)
 
     def checkpoint(self):
         """Cut lineage into the session's checkpoint folder (a shared folder on
@@ -53,12 +52,11 @@ def raw_idf(n_docs, n_t):
 
 
 def build_index(clean: DataFrame, payload: list[str] | None = None,
-                storage: StorageLevel | None = StorageLevel.MEMORY_AND_DISK) -> Bm25Index:
+                hold: bool = True) -> Bm25Index:
     """R1 over a cleaned corpus with a ``seq`` column (corpus position).
 
     ``docs`` (seq, dl, payload) and the postings are read by several branches
-    of every search; they are persisted and filled here (``storage=None``
-    leaves everything lazy).  Token arrays are never cached: the postings job
+    of every search; they are written here (``hold=False`` leaves everything lazy).  Token arrays are never cached: the postings job
     tokenises its documents itself.
     """
     payload = payload if payload is not None else [
@@ -74,23 +72,23 @@ def build_index(clean: DataFrame, payload: list[str] | None = None,
                 .select("seq", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
                 .groupBy("seq", "dl", "term")
                 .agg(F.count(F.lit(1)).cast("int").alias("tf")))
-    if storage is not None:
-        postings = materialize(postings, storage)
+    if hold:
+        postings = materialize(postings)
     # Document lengths from the postings: being document-local, their partial
     # aggregate leaves one row per document, so this is a small shuffle, not
     # another tokenisation pass.  Documents without a token keep dl = 0.
     lengths = postings.groupBy("seq").agg(F.max("dl").alias("dl"))
     docs = (clean.select("seq", *payload).join(lengths, "seq", "left")
             .withColumn("dl", F.coalesce(F.col("dl"), F.lit(0))))
-    if storage is not None:
-        docs = docs.persist(storage)  # small; filled by its first reader
+    if hold:
+        docs = docs.persist()  # small; filled by its first reader
     sizes = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").cast("bigint").alias("sum_dl"))
     n_t = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     # idf needs N: join the one-row statistics frame (no driver round trip).
     term_stats = n_t.crossJoin(F.broadcast(sizes.select("n_docs"))).select(
         "term", "n_t", raw_idf(F.col("n_docs"), F.col("n_t")).alias("raw_idf"))
-    if storage is not None:
-        term_stats = materialize(term_stats, storage)
+    if hold:
+        term_stats = materialize(term_stats)
     # Mean idf over every term, summed exactly (order-free) as a decimal.
     mean = term_stats.agg(
         (F.sum(F.col("raw_idf").cast("decimal(30,12)")).cast("double")
@@ -99,6 +97,6 @@ def build_index(clean: DataFrame, payload: list[str] | None = None,
         "n_docs", "sum_dl",
         (F.col("sum_dl").cast("double") / F.col("n_docs").cast("double")).alias("avgdl"),
         "mean_idf")
-    if storage is not None:
-        corpus_stats = corpus_stats.persist(storage)  # one row
+    if hold:
+        corpus_stats = corpus_stats.persist()  # one row
     return Bm25Index(postings, term_stats, corpus_stats, docs)

@@ -17,7 +17,7 @@ from quillrank.functions.core import let
 from quillrank.functions.text import bm25_tokens, pair_text
 from quillrank.operators.bm25 import query_terms
 from quillrank.operators.index import EPSILON, Bm25Index
-from quillrank.operators.util import maybe_broadcast
+from quillrank.operators.util import fits_broadcast
 
 SCORE_OUT = "decimal(18,6)"
 _SUM = "decimal(38,12)"
@@ -32,11 +32,14 @@ def coverage_scores(index: Bm25Index, clean: DataFrame, candidates: DataFrame, q
            .select("term", F.when(F.col("raw_idf") < 0, F.lit(EPSILON) * F.col("mean_idf"))
                    .otherwise(F.col("raw_idf")).cast("decimal(28,12)").alias("idf")))
     # Unknown terms weigh 0, as in BM25; they are in no text either.
-    weights = idf.join(maybe_broadcast(qt), "term").groupBy(*key_cols).agg(
+    # One measurement of the query side bounds both broadcasts (the weights are its rows, a number wider).
+    small = fits_broadcast(qt)
+    weights = idf.join(F.broadcast(qt) if small else qt, "term").groupBy(*key_cols).agg(
         F.collect_list(F.struct("term", "idf")).alias("weights"), F.sum("idf").alias("total"))
     pairs = candidates.select(*key_cols, "seq").distinct()
-    # Candidates with their question's weights are the smaller side; the join's kind follows its measured size (AQE).
-    wanted = pairs.join(weights, key_cols, "left")
+    # Texts stay where they lie: the pairs, a few numbers each, go to them, then the question's weights.
+    texts = (clean.select("seq", "question_title", "answer_prose").join(pairs, "seq")
+             .join(F.broadcast(weights) if small else weights, key_cols, "left"))
     text = pair_text(F.col("question_title"), F.col("answer_prose"))
     # One hash lookup a token finds the terms that the text holds; their weights are summed after it.
     held = F.array_intersect(F.col("weights")["term"], bm25_tokens(text))
@@ -44,8 +47,7 @@ def coverage_scores(index: Bm25Index, clean: DataFrame, candidates: DataFrame, q
         F.filter("weights", lambda w: F.array_contains(terms, w["term"])), F.lit(0).cast(_SUM),
         lambda acc, w: (acc + w["idf"]).cast(_SUM)))
     score = F.when(F.col("total") > 0, hit.cast("double") / F.col("total").cast("double")).otherwise(F.lit(0.0))
-    return (clean.select("seq", "question_title", "answer_prose").join(wanted, "seq")
-            .select(*key_cols, "seq", score.cast(SCORE_OUT).alias("reranker_score")))
+    return texts.select(*key_cols, "seq", score.cast(SCORE_OUT).alias("reranker_score"))
 
 
 def rerank(candidates: DataFrame, scores: DataFrame, key_cols: list[str], top_k: int = 5,

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillrank.session import ensure_checkpoint_dir
+
 # Largest query-side frame (bytes as JSON text) that is shipped to every task.
 # Query sides are batches of questions or their terms; beyond this they are shuffled.
 BROADCAST_MAX_BYTES = 64 << 20
@@ -23,16 +26,18 @@ def maybe_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> Data
     return F.broadcast(df) if fits_broadcast(df, max_bytes) else df
 
 
-def materialize(df: DataFrame, storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
-    """Persist ``df`` and fill the cache now.
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and read it back.
 
     A frame read by several branches of one plan is otherwise computed by each
-    of the concurrent jobs that broadcast or shuffle those branches (a cache
-    is only shared once filled).  Executors lost later recompute their blocks
-    from lineage; for a shared, lineage-free copy use ``df.checkpoint()``."""
-    df = df.persist(storage)
-    df.count()
-    return df
+    of the concurrent jobs that broadcast or shuffle those branches.  The files
+    outlive executors, and the plans above start at a scan: cached frames would
+    carry all that made them (the HTML cleaning's long expressions) through
+    every later analysis."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/held-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:

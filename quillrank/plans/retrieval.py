@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,13 +28,12 @@ FILTER = {"min_score": 20, "tags": ["en", "de"], "after_date": "2021-06-01"}
 
 
 def clean_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cleaned corpus, persisted: index, vectors and ground truth all read it,
+    """The cleaned corpus, written once: index, vectors and ground truth all read it,
     and the HTML cleaning is the costliest step of every plan above it."""
     clean = clean_pairs(tables.corpus(spark, sf_dir), **INDEX_LIMITS)
     # The raw HTML is not read downstream and the embedding text repeats the
-    # answer: keep both out of the cache (``with_embed_text`` rebuilds the latter).
-    return materialize(clean.drop("accepted_answer", "question_body", "text_for_embedding"),
-                       StorageLevel.MEMORY_AND_DISK)
+    # answer: keep both out of the copy (``with_embed_text`` rebuilds the latter).
+    return materialize(clean.drop("accepted_answer", "question_body", "text_for_embedding"))
 
 
 def with_embed_text(clean: DataFrame) -> DataFrame:
