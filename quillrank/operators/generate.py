@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.functions.text import judge_struct, tokens, truncate_tokens
-from quillrank.operators.models import NO_SOURCES_ANSWER, default_judge, overlap_share
+from quillrank.functions.text import judge_struct, parse_rewrites, tokens, truncate_tokens
+from quillrank.operators.models import NO_SOURCES_ANSWER, CallOptions, batch_complete, default_judge, overlap_share
 
 # Generator context limits and the answer prompt text.
 MAX_DOC_TOKENS = 300
@@ -50,6 +50,15 @@ JUDGE_PROMPT = (
     '{{"relevance": N, "accuracy": N, "completeness": N, "reasoning": "one sentence"}}')
 JUDGE_ANSWER_CHARS = 1500
 JUDGE_TRUTH_CHARS = 300
+# The answering system prompt, and the sampling settings of each stage.
+ANSWER_SYSTEM = (
+    "You are a senior software engineer answering a developer's technical question. "
+    "Use ONLY the Stack Overflow answers provided. "
+    "Preserve code blocks verbatim. Do NOT fabricate \u2014 say so if context is insufficient.")
+REWRITE_OPTIONS = CallOptions(temperature=0.3, max_tokens=256)
+ANSWER_OPTIONS = CallOptions(system=ANSWER_SYSTEM, temperature=0.2, max_tokens=1024)
+JUDGE_OPTIONS = CallOptions(temperature=0.0, max_tokens=256)
+ANSWER_FAILED = "Answer generation failed: "
 
 
 def _fill(template: str, **cols) -> F.Column:
@@ -132,20 +141,46 @@ def answer_prompt(question, context):
     return F.concat(F.lit(head), question, F.lit(mid), context, F.lit(tail))
 
 
-def answer_and_judge(questions: DataFrame, ctx: DataFrame, key_cols: list[str]) -> DataFrame:
-    """M4 + M5 + P19/P20 defaults: extractive answer (first source's whole
-    prose; fixed sentence without sources) and its judgement."""
+def extract_answers(questions: DataFrame, ctx: DataFrame, key_cols: list[str]) -> DataFrame:
+    """M4 default: the questions with their contexts and ``answer``, the first
+    source's whole prose (a fixed sentence without sources)."""
+    j = questions.join(ctx, key_cols, "left")
+    return j.withColumn("answer", F.when(_has_sources(), F.coalesce(F.col("first_prose"), F.lit("")))
+                        .otherwise(F.lit(NO_SOURCES_ANSWER)))
+
+
+def answer_with_client(questions: DataFrame, ctx: DataFrame, client_factory, key_cols: list[str],
+                       in_flight: int = 1, base_wait: float = 2.0) -> DataFrame:
+    """M4 with a user model: as ``extract_answers``, by prompt and call.  Questions
+    without sources are not sent; a failed call's answer says so, with the error."""
     j = questions.join(ctx, key_cols, "left")
-    has = F.coalesce(F.col("n_sources"), F.lit(0)) > 0
-    answer = F.when(has, F.coalesce(F.col("first_prose"), F.lit(""))).otherwise(F.lit(NO_SOURCES_ANSWER))
-    j = j.withColumn("answer", answer)
-    judged = j.withColumn("judge", judge_struct(default_judge(F.col("question"), F.col("answer"), has)))
-    # P20: the judge block is null unless some score is present.
+    prompts = j.where(_has_sources()).select(
+        *key_cols, answer_prompt(F.coalesce("question", F.lit("")), F.coalesce("context", F.lit(""))).alias("_prompt"))
+    done = batch_complete(prompts, "_prompt", client_factory, key_cols, base_wait=base_wait,
+                          options=ANSWER_OPTIONS, in_flight=in_flight)
+    answer = (F.when(~_has_sources(), F.lit(NO_SOURCES_ANSWER))
+              .when(F.col("error").isNotNull(), F.concat(F.lit(ANSWER_FAILED), F.col("error")))
+              .otherwise(F.coalesce("completion", F.lit(""))))
+    return j.join(done, key_cols, "left").withColumn("answer", answer).drop("completion", "error", "attempts")
+
+
+def _has_sources() -> F.Column:
+    return F.coalesce(F.col("n_sources"), F.lit(0)) > 0
+
+
+def judge_answers(answers: DataFrame) -> DataFrame:
+    """M5 default + P19/P20: ``judge``, null unless some score is present."""
+    judged = answers.withColumn("judge", judge_struct(default_judge(F.col("question"), F.col("answer"), _has_sources())))
     return judged.withColumn("judge", F.when(F.coalesce(
         F.col("judge.relevance"), F.col("judge.accuracy"), F.col("judge.completeness")).isNotNull(),
         F.col("judge")))
 
 
+def answer_and_judge(questions: DataFrame, ctx: DataFrame, key_cols: list[str]) -> DataFrame:
+    """M4 + M5 + P19/P20 defaults."""
+    return judge_answers(extract_answers(questions, ctx, key_cols))
+
+
 def ragas_proxies(rows: DataFrame) -> DataFrame:
     """M6 defaults (token-overlap proxies, labelled as such):
     faithfulness = answer words found in the contexts; answer_relevancy =
@@ -168,13 +203,12 @@ def ragas_proxies(rows: DataFrame) -> DataFrame:
         overlap_share(gt_words, ctx_words).alias("context_recall"))
 
 
-def rewrite_with_client(questions: DataFrame, client_factory, key_cols: list[str]) -> DataFrame:
+def rewrite_with_client(questions: DataFrame, client_factory, key_cols: list[str],
+                        in_flight: int = 1) -> DataFrame:
     """M3 with a user model: prompt -> batch completion -> P17/P18 parsing.
     A failed call falls back to ``[question]``, as the reference does."""
-    from quillrank.functions.text import parse_rewrites
-    from quillrank.operators.models import batch_complete
     prompts = questions.withColumn("_prompt", rewrite_prompt(F.col("question")))
-    done = batch_complete(prompts, "_prompt", client_factory, key_cols)
+    done = batch_complete(prompts, "_prompt", client_factory, key_cols, options=REWRITE_OPTIONS, in_flight=in_flight)
     return questions.join(done, key_cols, "left").withColumn(
         "rewritten_queries",
         parse_rewrites(F.coalesce("completion", F.lit("")), F.col("question"))).drop(
@@ -182,13 +216,12 @@ def rewrite_with_client(questions: DataFrame, client_factory, key_cols: list[str
 
 
 def judge_with_client(answers: DataFrame, client_factory, key_cols: list[str],
-                      truth_col: str | None = None) -> DataFrame:
+                      truth_col: str | None = None, in_flight: int = 1) -> DataFrame:
     """M5 with a user model: judge prompt -> batch completion -> P19 parsing;
     a failed call gives the null judgement ('judge error')."""
-    from quillrank.operators.models import batch_complete
     gt = F.col(truth_col) if truth_col else None
     prompts = answers.withColumn("_prompt", judge_prompt(F.col("question"), F.col("answer"), gt))
-    done = batch_complete(prompts, "_prompt", client_factory, key_cols)
+    done = batch_complete(prompts, "_prompt", client_factory, key_cols, options=JUDGE_OPTIONS, in_flight=in_flight)
     return answers.join(done, key_cols, "left").withColumn(
         "judge", judge_struct(F.coalesce("completion", F.lit("")))).drop(
         "completion", "error", "attempts")

@@ -16,6 +16,28 @@ from quillrank.functions.text import left
 STAGES = ["rewrite", "retrieval", "reranker", "generation", "judge"]
 
 
+# Columns of a result that a log row takes over as they are named there.
+JUDGE_FIELDS = {"judge_relevance": "relevance", "judge_accuracy": "accuracy",
+                "judge_completeness": "completeness", "judge_reasoning": "reasoning"}
+TIMINGS = [f"{s}_ms" for s in STAGES] + ["total_ms"]
+
+
+def log_rows(results: DataFrame) -> DataFrame:
+    """K7: pipeline results -> query-log rows.  ``judge`` and ``timings`` may be null or absent, which leaves their
+    fields null; a result without a ``session_id`` gets one of its own."""
+    have = set(results.columns)
+    timed = set(results.schema["timings"].dataType.names) if "timings" in have else set()
+    judge = {out: F.col("judge")[name] if "judge" in have else F.lit(None).cast("string" if name == "reasoning" else "int")
+             for out, name in JUDGE_FIELDS.items()}
+    times = {t: (F.col("timings")[t] if t in timed else F.lit(None)).cast("int") for t in TIMINGS}
+    session = F.coalesce("session_id", F.uuid()) if "session_id" in have else F.uuid()
+    stamp = F.current_timestamp().cast("timestamp_ntz")
+    return results.select(
+        session.alias("session_id"), (F.coalesce("timestamp", stamp) if "timestamp" in have else stamp).alias("timestamp"),
+        "question", F.coalesce("answer", F.lit("")).alias("answer"),
+        *[c.alias(n) for n, c in (judge | times).items()], F.lit(None).cast("int").alias("user_feedback"))
+
+
 def last_feedback(feedback: DataFrame) -> DataFrame:
     """Last feedback per session by (ts, seq) -- one partial aggregate,
     so a session holding a third of all rows costs one row per task."""

@@ -9,8 +9,12 @@ runs offline; real models are user-supplied factories.
 
 from __future__ import annotations
 
+import inspect
+import threading
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,6 +28,31 @@ RETRY_STATUS = (429, 500, 502, 503, 504)
 NO_SOURCES_ANSWER = "No relevant Stack Overflow answers found for this question."
 
 
+@dataclass(frozen=True)
+class CallOptions:
+    """M7: what a chat call may be given beside its prompt; None leaves the client's own default."""
+    system: str | None = None
+    temperature: float | None = None
+    max_tokens: int | None = None
+
+    def given(self) -> dict:
+        return {k: v for k, v in vars(self).items() if v is not None}
+
+
+@dataclass(frozen=True)
+class Models:
+    """The user models of a pipeline run, as factories that run once per task; None keeps the built-in stage.
+
+    ``rewriter``, ``answerer`` and ``judge`` make chat clients (``complete``), ``embedder`` a model with
+    ``encode``, ``scorer`` one with ``predict``.  Chat stages have ``in_flight`` calls per task under way."""
+    rewriter: Callable[[], object] | None = None
+    embedder: Callable[[], object] | None = None
+    scorer: Callable[[], object] | None = None
+    answerer: Callable[[], object] | None = None
+    judge: Callable[[], object] | None = None
+    in_flight: int = 1
+
+
 class ModelCallError(Exception):
     """A failed model call; ``status`` is the HTTP status when there is one,
     ``retryable`` marks timeouts and connection errors."""
@@ -34,13 +63,46 @@ class ModelCallError(Exception):
         self.retryable = retryable or (status in RETRY_STATUS)
 
 
-def call_with_retry(fn: Callable[[], str], max_attempts: int = MAX_ATTEMPTS,
-                    base_wait: float = 2.0, sleep: Callable[[float], None] = time.sleep):
+def accepted(fn: Callable, args: dict) -> dict:
+    """Those of ``args`` that ``fn`` has parameters for."""
+    params = inspect.signature(fn).parameters
+    if any(p.kind is p.VAR_KEYWORD for p in params.values()):
+        return args
+    return {k: v for k, v in args.items() if k in params}
+
+
+class Pace:
+    """The back-off that a task's calls share: while one of them waits after a retryable failure, no other begins."""
+
+    def __init__(self, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self._clock, self._sleep = clock, sleep
+        self._lock = threading.Lock()
+        self._until = 0.0
+
+    def hold(self, seconds: float) -> None:
+        """No call begins for ``seconds`` from now (or longer, if that was agreed before)."""
+        with self._lock:
+            self._until = max(self._until, self._clock() + seconds)
+
+    def wait(self) -> None:
+        """Sleep until calls may begin; others may prolong the wait meanwhile."""
+        while True:
+            with self._lock:
+                left = self._until - self._clock()
+            if left <= 0:
+                return
+            self._sleep(left)
+
+
+def call_with_retry(fn: Callable[[], str], max_attempts: int = MAX_ATTEMPTS, base_wait: float = 2.0,
+                    sleep: Callable[[float], None] = time.sleep, pace: Pace | None = None):
     """M7: up to ``max_attempts`` tries, waiting ``base_wait * 2**n`` between
-    tries of a retryable failure; never after the last try.  Returns
-    (text, error, attempts)."""
+    tries of a retryable failure (together with the other calls of ``pace``, if
+    given); never after the last try.  Returns (text, error, attempts)."""
     last = None
     for attempt in range(1, max_attempts + 1):
+        if pace:
+            pace.wait()
         try:
             return fn(), None, attempt
         except ModelCallError as e:  # noqa: PERF203
@@ -48,7 +110,7 @@ def call_with_retry(fn: Callable[[], str], max_attempts: int = MAX_ATTEMPTS,
             if not e.retryable:
                 return None, f"{e}", attempt
             if attempt < max_attempts:
-                sleep(base_wait * (2 ** (attempt - 1)))
+                (pace.hold if pace else sleep)(base_wait * (2 ** (attempt - 1)))
         except Exception as e:  # noqa: BLE001 -- one bad row must not kill the job
             return None, f"{type(e).__name__}: {e}", attempt
     return None, f"failed after {max_attempts} attempts: {last}", max_attempts
@@ -56,25 +118,33 @@ def call_with_retry(fn: Callable[[], str], max_attempts: int = MAX_ATTEMPTS,
 
 def batch_complete(df: DataFrame, prompt_col: str, client_factory: Callable[[], object],
                    key_cols: list[str], max_attempts: int = MAX_ATTEMPTS,
-                   base_wait: float = 2.0) -> DataFrame:
+                   base_wait: float = 2.0, options: CallOptions | None = None, in_flight: int = 1) -> DataFrame:
     """M7: (key..., completion, error, attempts) for every prompt row.
 
     ``client_factory()`` runs once per batch iterator (per task) and returns an
-    object with ``complete(prompt) -> str``."""
+    object with ``complete(prompt) -> str``, which is given those of the set
+    ``options`` that it has parameters for.  A task has at most ``in_flight`` calls under way (the
+    client must then be safe to call from several threads), which share one
+    back-off; results keep the order of the rows.  A null prompt is sent as ''."""
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
                            for f in df.schema.fields if f.name in key_cols)
     schema = f"{key_schema}, completion string, error string, attempts int"
 
     def run(batches):
-        client = client_factory()
-        for pdf in batches:
-            out = pdf[key_cols].copy()
-            res = [call_with_retry(lambda p=p: client.complete(p), max_attempts, base_wait)
-                   for p in pdf[prompt_col]]
-            out["completion"] = [r[0] for r in res]
-            out["error"] = [r[1] for r in res]
-            out["attempts"] = pd.array([r[2] for r in res], dtype="int32")
-            yield out
+        client, pace = client_factory(), Pace()
+        args = accepted(client.complete, options.given()) if options else {}
+
+        def one(prompt):
+            return call_with_retry(lambda: client.complete(prompt or "", **args), max_attempts, base_wait, pace=pace)
+
+        with ThreadPoolExecutor(max_workers=in_flight) as calls:
+            for pdf in batches:
+                out = pdf[key_cols].copy()
+                res = list(calls.map(one, pdf[prompt_col]))
+                out["completion"] = [r[0] for r in res]
+                out["error"] = [r[1] for r in res]
+                out["attempts"] = pd.array([r[2] for r in res], dtype="int32")
+                yield out
 
     return df.select(*key_cols, prompt_col).mapInPandas(run, schema)
 

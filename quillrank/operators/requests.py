@@ -43,29 +43,29 @@ def lets_through() -> Column:
             & (F.col("after_date").isNull() | (F.coalesce("creation_date", F.lit("")) >= F.col("after_date"))))
 
 
-def bm25_requests(index: Bm25Index, requests: DataFrame, top_k: int) -> DataFrame:
-    """R2 with each request's own filter: (query_id, rank, seq, score_micro, score).
+def bm25_requests(index: Bm25Index, requests: DataFrame, top_k: int, key_cols: list[str] | None = None) -> DataFrame:
+    """R2 with each request's own filter: (key..., rank, seq, score_micro, score).
 
     Scores of matching pairs are filtered before the cut.  Only requests that are then short of ``top_k``
     documents are completed with unmatched ones in corpus order (score 0): these few filters are held
     against all documents, and a task keeps ``top_k`` of each.
     """
-    key = ["query_id"]
-    params = requests.select("query_id", *QUERY_FILTERS)
+    key = key_cols or ["query_id"]
+    params = requests.select(*key, *QUERY_FILTERS)
     parts = score_matches(index, requests, key, "question")
-    sums = parts.groupBy("query_id", "seq").agg(F.sum("c").alias("nano"))
-    scores = (sums.join(index.docs.select("seq", *DOC_FILTERS), "seq").join(params, "query_id")
-              .where(lets_through()).select("query_id", "seq", "nano"))
+    sums = parts.groupBy(*key, "seq").agg(F.sum("c").alias("nano"))
+    scores = (sums.join(index.docs.select("seq", *DOC_FILTERS), "seq").join(params, key)
+              .where(lets_through()).select(*key, "seq", "nano"))
     width = top_k + _negative_allowance(index, parts, key)
     # a score that rounds to 0 or less does not outrank unmatched documents, so it does not count here
-    matched = scores.where("nano >= 500").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    short = params.join(matched, "query_id", "left").where(F.coalesce("n", F.lit(0)) < top_k).drop("n")
-    first = Window.partitionBy("query_id").orderBy("seq")
+    matched = scores.where("nano >= 500").groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    short = params.join(matched, key, "left").where(F.coalesce("n", F.lit(0)) < top_k).drop("n")
+    first = Window.partitionBy(*key).orderBy("seq")
     fill = (index.docs.select("seq", *DOC_FILTERS).join(short, lets_through())
-            .select("query_id", "seq").withColumn("place", F.row_number().over(first)).where(F.col("place") <= width)
-            .select("query_id", "seq", F.lit(0).cast("bigint").alias("nano")))
-    scores = scores.unionByName(fill).groupBy("query_id", "seq").agg(F.sum("nano").alias("nano"))
+            .select(*key, "seq").withColumn("place", F.row_number().over(first)).where(F.col("place") <= width)
+            .select(*key, "seq", F.lit(0).cast("bigint").alias("nano")))
+    scores = scores.unionByName(fill).groupBy(*key, "seq").agg(F.sum("nano").alias("nano"))
     micro = F.floor((F.col("nano") + F.lit(500)) / F.lit(1000))
-    w = Window.partitionBy("query_id").orderBy(F.col("score_micro").desc(), F.col("seq").asc())
-    return (scores.select("query_id", "seq", micro.alias("score_micro"), (micro / F.lit(1e6)).alias("score"))
+    w = Window.partitionBy(*key).orderBy(F.col("score_micro").desc(), F.col("seq").asc())
+    return (scores.select(*key, "seq", micro.alias("score_micro"), (micro / F.lit(1e6)).alias("score"))
             .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import logging
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.session import ensure_checkpoint_dir
 
+log = logging.getLogger(__name__)
+
 # Largest query-side frame (bytes as JSON text) that is shipped to every task.
 # Query sides are batches of questions or their terms; beyond this they are shuffled.
 BROADCAST_MAX_BYTES = 64 << 20
@@ -40,6 +46,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def isolated(name: str, build: Callable[[], DataFrame], schema: str) -> tuple[DataFrame, str | None]:
+    """The rows of ``build()``, written, and no error; where building or running it fails, no rows of
+    ``schema`` and the error's text, which is logged, too.  Other parts of a batch go on without it."""
+    try:
+        return materialize(build()), None
+    except (PySparkException, Py4JError) as e:
+        log.error("%s failed: %s", name, e)
+        return SparkSession.getActiveSession().createDataFrame([], schema), f"{type(e).__name__}: {e}"
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Hash-partition ``df`` by ``cols`` when its scan yields fewer partitions
     than the cluster can run at once (e.g. one large row group).

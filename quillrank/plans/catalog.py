@@ -26,6 +26,7 @@ QUERIES = {
     "prompt_context": pipeline.prompt_context,
     "pipeline_answers": pipeline.pipeline_answers,
     "pipeline_sources": pipeline.pipeline_sources,
+    "pipeline_requests": pipeline.pipeline_requests,
     "generation_eval": pipeline.generation_eval,
     "ragas_eval": pipeline.ragas_eval,
     "batch_complete": pipeline.batch_complete_query,

@@ -106,6 +106,29 @@ FROM f LEFT JOIN parts p USING (query_id, seq) JOIN clean c USING (seq)""",
     }
 
 
+def _request_ctes() -> str:
+    """CTEs through ``rr``: the valid requests' reranked sources, each request under its own filter."""
+    return f"""WITH {_CLEAN} valid AS (SELECT * FROM ({duck.REQUESTS}) WHERE len(errors) = 0),
+{duck.bm25_ctes(_BM_DOCS, 'SELECT query_id, question FROM valid')},
+ok AS (SELECT v.query_id, c.seq FROM valid v JOIN clean c ON coalesce(c.question_score, 0) >= v.min_vote_score
+       AND (len(v.tags) = 0 OR list_has_any(coalesce(c.tags_list, []), v.tags))
+       AND (v.after_date IS NULL OR coalesce(c.creation_date, '') >= v.after_date)),
+bm AS (SELECT query_id, seq, floor(CAST(sum(coalesce(c, 0)) + 500 AS DOUBLE) / CAST(1000 AS DOUBLE)) / CAST(1e6 AS DOUBLE) AS score
+       FROM ok LEFT JOIN contrib USING (query_id, seq) GROUP BY query_id, seq),
+hd AS ({duck.hash_sparse('SELECT seq, text_for_embedding FROM clean', 'seq', 'text_for_embedding')}),
+hq AS ({duck.hash_sparse('SELECT query_id, question FROM valid', 'query_id', 'question')}),
+nd AS (SELECT seq, sqrt(CAST(sum(cnt * cnt) AS DOUBLE)) AS n FROM hd GROUP BY seq),
+nq AS (SELECT query_id, sqrt(CAST(sum(cnt * cnt) AS DOUBLE)) AS n FROM hq GROUP BY query_id),
+dots AS (SELECT query_id, seq, sum(hq.cnt * hd.cnt) AS dot FROM hq JOIN hd USING (bucket) GROUP BY query_id, seq),
+dn AS (SELECT query_id, seq, CAST(coalesce(CAST(dot AS DOUBLE), 0) / (nd.n * nq.n) AS DECIMAL(18,6)) AS score
+       FROM ok JOIN nd USING (seq) JOIN nq USING (query_id) LEFT JOIN dots USING (query_id, seq)),
+hl AS (SELECT * FROM (SELECT query_id, 0 AS list_no, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank, seq FROM bm)
+       WHERE rank <= 40 UNION ALL
+       SELECT * FROM (SELECT query_id, 1 AS list_no, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank, seq FROM dn)
+       WHERE rank <= 40),
+pool AS ({duck.rrf_fused('SELECT * FROM hl', 40)}), {_rerank_ctes('pool', 20)}"""
+
+
 def _retrieval() -> dict[str, str]:
     ntok = duck.tokens("text")
     last_word = f"SELECT item_id AS query_id, list_extract({ntok}, -1) AS question FROM benchmark"
@@ -150,25 +173,7 @@ FROM ({duck.rrf_fused('SELECT query_id, list_no, rank, seq FROM lists')}) f JOIN
 SELECT f.query_id, CAST(f.fused_rank AS INTEGER) AS fused_rank, c.doc_id, CAST(f.rrf_score AS DOUBLE) AS rrf_score
 FROM ({duck.rrf_fused('SELECT * FROM hl', 40)}) f JOIN clean c USING (seq)""",
         "request_rejects": f"""SELECT query_id, array_to_string(errors, '; ') AS errors FROM ({duck.REQUESTS}) WHERE len(errors) > 0""",
-        "hybrid_requests": f"""WITH {_CLEAN} valid AS (SELECT * FROM ({duck.REQUESTS}) WHERE len(errors) = 0),
-{duck.bm25_ctes(_BM_DOCS, 'SELECT query_id, question FROM valid')},
-ok AS (SELECT v.query_id, c.seq FROM valid v JOIN clean c ON coalesce(c.question_score, 0) >= v.min_vote_score
-       AND (len(v.tags) = 0 OR list_has_any(coalesce(c.tags_list, []), v.tags))
-       AND (v.after_date IS NULL OR coalesce(c.creation_date, '') >= v.after_date)),
-bm AS (SELECT query_id, seq, floor(CAST(sum(coalesce(c, 0)) + 500 AS DOUBLE) / CAST(1000 AS DOUBLE)) / CAST(1e6 AS DOUBLE) AS score
-       FROM ok LEFT JOIN contrib USING (query_id, seq) GROUP BY query_id, seq),
-hd AS ({duck.hash_sparse('SELECT seq, text_for_embedding FROM clean', 'seq', 'text_for_embedding')}),
-hq AS ({duck.hash_sparse('SELECT query_id, question FROM valid', 'query_id', 'question')}),
-nd AS (SELECT seq, sqrt(CAST(sum(cnt * cnt) AS DOUBLE)) AS n FROM hd GROUP BY seq),
-nq AS (SELECT query_id, sqrt(CAST(sum(cnt * cnt) AS DOUBLE)) AS n FROM hq GROUP BY query_id),
-dots AS (SELECT query_id, seq, sum(hq.cnt * hd.cnt) AS dot FROM hq JOIN hd USING (bucket) GROUP BY query_id, seq),
-dn AS (SELECT query_id, seq, CAST(coalesce(CAST(dot AS DOUBLE), 0) / (nd.n * nq.n) AS DECIMAL(18,6)) AS score
-       FROM ok JOIN nd USING (seq) JOIN nq USING (query_id) LEFT JOIN dots USING (query_id, seq)),
-hl AS (SELECT * FROM (SELECT query_id, 0 AS list_no, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank, seq FROM bm)
-       WHERE rank <= 40 UNION ALL
-       SELECT * FROM (SELECT query_id, 1 AS list_no, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank, seq FROM dn)
-       WHERE rank <= 40),
-pool AS ({duck.rrf_fused('SELECT * FROM hl', 40)}), {_rerank_ctes('pool', 20)}
+        "hybrid_requests": f"""{_request_ctes()}
 SELECT query_id, CAST(rerank_rank AS INTEGER) AS rerank_rank, c.doc_id, CAST(reranker_score AS DOUBLE) AS reranker_score,
        CAST(fused_rank AS INTEGER) AS fused_rank
 FROM rr JOIN clean c USING (seq) JOIN valid USING (query_id) WHERE rerank_rank <= top_k""",
@@ -388,12 +393,8 @@ def _share(a: str, b: str) -> str:
             f"list_distinct({b}))) AS DOUBLE) / CAST(len(list_distinct({a})) AS DOUBLE) ELSE 0.0 END")
 
 
-def _pipeline(questions: str) -> str:
-    """CTEs through ``ans`` (query_id, question, answer, n_sources, context,
-    source_ids, source_texts, relevance, accuracy, completeness) for a relation
-    of (query_id, question), with the default rewriter, retriever, reranker,
-    generator and judge."""
-    subq = f"SELECT query_id, {duck.strip('question')} AS question FROM qs WHERE {duck.strip('question')} <> ''"
+def _answer_ctes() -> str:
+    """CTEs src, ctx, a0, ans over ``qs`` (query_id, question, ...) and ``rr``: the default generator and judge."""
     rejoin = lambda x: f"array_to_string(list_slice({duck.tokens(x)}, 1, 300), ' ')"
     fenced = ("array_to_string(list_transform(list_slice(coalesce(answer_code_blocks, []), 1, 2), "
               "lambda c: concat('```' || chr(10), c, chr(10) || '```')), chr(10))")
@@ -402,9 +403,7 @@ def _pipeline(questions: str) -> str:
              f"{prose}, chr(10), {fenced}, chr(10) || 'URL: ', coalesce(question_url, ''))")
     lq = duck.tokens("lower(question)")
     la = duck.tokens("lower(answer)")
-    return f"""WITH {_CLEAN} qs AS ({questions}), {duck.bm25_ctes(_BM_DOCS, subq)}, {_hybrid_lists(40, subq)},
-pool AS ({duck.rrf_fused('SELECT * FROM hl', 40)}), {_rerank_ctes('pool', 5)},
-src AS (SELECT r.query_id, r.rerank_rank, c.question_id, c.answer_prose, {block} AS block,
+    return f"""src AS (SELECT r.query_id, r.rerank_rank, c.question_id, c.answer_prose, {block} AS block,
                concat(coalesce(c.question_title, ''), ' ', coalesce(c.answer_prose, '')) AS text
         FROM rr r JOIN clean c USING (seq)),
 ctx AS (SELECT query_id, count(*) AS n_sources, string_agg(block, chr(10) || chr(10) ORDER BY rerank_rank) AS context,
@@ -421,6 +420,17 @@ ans AS (SELECT *, CAST(1 + floor(CAST(4.0 AS DOUBLE) * ({_share(lq, la)})) AS IN
         FROM a0)"""
 
 
+def _pipeline(questions: str) -> str:
+    """CTEs through ``ans`` (query_id, question, answer, n_sources, context,
+    source_ids, source_texts, relevance, accuracy, completeness) for a relation
+    of (query_id, question), with the default rewriter, retriever, reranker,
+    generator and judge."""
+    subq = f"SELECT query_id, {duck.strip('question')} AS question FROM qs WHERE {duck.strip('question')} <> ''"
+    return f"""WITH {_CLEAN} qs AS ({questions}), {duck.bm25_ctes(_BM_DOCS, subq)}, {_hybrid_lists(40, subq)},
+pool AS ({duck.rrf_fused('SELECT * FROM hl', 40)}), {_rerank_ctes('pool', 5)},
+{_answer_ctes()}"""
+
+
 def _pipelines() -> dict[str, str]:
     gt_q = lambda n: (f"SELECT gt_rank AS query_id, question_title AS question, answer_prose AS accepted_answer "
                       f"FROM (SELECT row_number() OVER (ORDER BY question_score DESC, seq) AS gt_rank, * FROM "
@@ -454,6 +464,10 @@ LEFT JOIN qn ON qn.query_id = t.query_id LEFT JOIN tn ON tn.seq = t.seq JOIN cle
 SELECT query_id, answer, coalesce(source_ids, []) AS source_ids,
        CASE WHEN {duck.strip('question')} <> '' THEN [{duck.strip('question')}] ELSE [] END AS rewritten_queries,
        relevance, accuracy, completeness, 'overlap stub' AS reasoning FROM ans""",
+        "pipeline_requests": f"""{_request_ctes()},
+rk AS (SELECT rr.* FROM rr JOIN valid USING (query_id) WHERE rerank_rank <= top_k),
+qs AS (SELECT query_id, question FROM valid), {_answer_ctes().replace('FROM rr r', 'FROM rk r')}
+SELECT query_id, answer, coalesce(source_ids, []) AS source_ids, relevance, accuracy, completeness FROM ans""",
         "pipeline_sources": f"""{_pipeline(duck.QUESTIONS)}
 SELECT r.query_id, CAST(r.rerank_rank AS INTEGER) AS rank, coalesce(c.doc_id, '') AS doc_id,
        coalesce(c.question_title, '') AS question_title, coalesce(c.question_url, '') AS question_url,

@@ -10,16 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillrank.functions.text import parse_rewrites
+from quillrank.functions.text import pair_text, parse_rewrites
 from quillrank.operators import dense, evaluate, fusion
 from quillrank.operators.bm25 import bm25_search, doc_filter, with_payload
-from quillrank.operators.generate import (answer_and_judge, answer_prompt, contexts, ragas_proxies,
+from quillrank.operators.generate import (answer_prompt, answer_with_client, contexts, extract_answers,
+                                          judge_answers, judge_with_client, ragas_proxies, rewrite_with_client,
                                           source_view)
 from quillrank.operators.index import Bm25Index, build_index
-from quillrank.operators.models import ScriptedClient, batch_complete, default_rewrite
-from quillrank.operators.rerank import coverage_scores, rerank
-from quillrank.operators.util import materialize
-from quillrank.plans.retrieval import MIN_VOTE_SCORE, POOL, clean_corpus, corpus_vectors
+from quillrank.operators.models import (Models, ScriptedClient, batch_complete, default_rewrite, embed_job,
+                                        pair_scorer_job)
+from quillrank.operators.requests import split_requests
+from quillrank.operators.rerank import SCORE_OUT, coverage_scores, rerank
+from quillrank.operators.util import isolated, materialize
+from quillrank.operators.validate import TOP_K_MAX
+from quillrank.plans.retrieval import (MIN_VOTE_SCORE, POOL, clean_corpus, corpus_vectors, request_legs,
+                                       with_embed_text)
 from quillrank.sources import tables
 
 TOP_K = 5
@@ -27,22 +32,24 @@ PAYLOAD = ["doc_id", "question_id", "question_title", "answer_prose", "answer_co
            "question_url", "tags_list", "question_score"]
 
 
-def rewrite(questions: DataFrame) -> DataFrame:
-    """M3 (default) + P18: (query_id, question, rewritten_queries)."""
+def rewrite(questions: DataFrame, models: Models = Models()) -> DataFrame:
+    """M3 + P18: the questions with ``rewritten_queries``."""
+    if models.rewriter:
+        return rewrite_with_client(questions, models.rewriter, ["query_id"], models.in_flight)
     raw = default_rewrite(F.col("question"))
     return questions.withColumn("rewritten_queries", parse_rewrites(raw, F.col("question")))
 
 
 def retrieve(index: Bm25Index, clean: DataFrame, rewritten: DataFrame, pool: int = POOL,
-             min_score: int = MIN_VOTE_SCORE) -> DataFrame:
-    """Lists 2i (BM25) and 2i+1 (dense) for sub-query i, fused, cut at
+             min_score: int = MIN_VOTE_SCORE, models: Models = Models()) -> DataFrame:
+    """Lists 2i (BM25) and 2i+1 (dense) for sub-query i, fused, cut at
     ``pool``.  A question whose rewrite gave no sub-query has no lists."""
     keys = ["query_id", "sub_idx"]
     subq = rewritten.select("query_id", F.posexplode("rewritten_queries").alias("sub_idx", "question"))
     bm = bm25_search(index, subq, top_k=pool, key_cols=keys, min_score=min_score)
-    vecs = corpus_vectors(doc_filter(clean, min_score=min_score))
-    dn = dense.dense_search(vecs, dense.hash_embed(subq, keys, "question"), top_k=pool,
-                            key_cols=keys)
+    embed = embedder(models)
+    vecs = embed(with_embed_text(doc_filter(clean, min_score=min_score)), ["seq"], "text_for_embedding")
+    dn = dense.dense_search(vecs, embed(subq, keys, "question"), top_k=pool, key_cols=keys)
     lists = (bm.select("query_id", "rank", "seq", (F.col("sub_idx") * 2).alias("list_no"))
              .unionByName(dn.select("query_id", "rank", "seq",
                                     (F.col("sub_idx") * 2 + 1).alias("list_no"))))
@@ -51,18 +58,94 @@ def retrieve(index: Bm25Index, clean: DataFrame, rewritten: DataFrame, pool: int
     return materialize(fusion.rrf(lists, ["query_id"], top_n=pool))
 
 
-def answer_batch(spark: SparkSession, sf_dir: str, questions: DataFrame,
-                 top_k: int = TOP_K) -> tuple[DataFrame, DataFrame]:
-    """(answers, sources) for a frame of (query_id, question)."""
+def embedder(models: Models):
+    """M1: ``embed(frame, keys, text column)`` of the user model, or of the default one."""
+    if models.embedder:
+        return lambda df, keys, text: embed_job(df, keys, text, models.embedder)
+    return dense.hash_embed
+
+
+def pair_scores(index: Bm25Index, clean: DataFrame, pool: DataFrame, questions: DataFrame, models: Models) -> DataFrame:
+    """M2: (query_id, seq, reranker_score) of the user model, or of the default one."""
+    if not models.scorer:
+        return coverage_scores(index, clean, pool, questions, ["query_id"])
+    pairs = (clean.select("seq", pair_text(F.col("question_title"), F.col("answer_prose")).alias("text"))
+             .join(pool.select("query_id", "seq"), "seq").join(questions.select("query_id", "question"), "query_id"))
+    scored = pair_scorer_job(pairs, ["query_id", "seq"], "question", "text", models.scorer)
+    return scored.withColumn("reranker_score", F.col("reranker_score").cast(SCORE_OUT))
+
+
+def answers_of(rewritten: DataFrame, sources: DataFrame, models: Models, truth_col: str | None = None) -> DataFrame:
+    """M4 + M5: the questions with context, ``answer`` and ``judge``."""
+    ctx = contexts(sources, ["query_id"])
+    if models.answerer:  # written, as an answer costs a call
+        answers = materialize(answer_with_client(rewritten, ctx, models.answerer, ["query_id"], models.in_flight))
+    else:
+        answers = extract_answers(rewritten, ctx, ["query_id"])
+    if models.judge:
+        return judge_with_client(answers, models.judge, ["query_id"], truth_col, models.in_flight)
+    return judge_answers(answers)
+
+
+def answer_requests(clean: DataFrame, index: Bm25Index, requests: DataFrame, models: Models = Models(),
+                    pool: int = POOL, vectors: DataFrame | None = None,
+                    date_filter_dense: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
+    """R9 over a request frame (``query_id, question, min_vote_score, tags, after_date, top_k``): answers, sources,
+    rejects and the errors of failed searches.
+
+    Broken requests go to the rejects.  Every sub-query of a request is searched under the request's filter; its two
+    lists have the numbers 2i and 2i+1.  A search that fails leaves its lists out and its error in the result (R6);
+    embedding errors raise.  ``vectors`` (seq, embedding) are the documents' vectors, if they exist already.
+    """
+    valid, rejects = split_requests(requests)
+    rewritten = rewrite(valid, models)
+    if models.rewriter:  # written, as a rewrite costs a call
+        rewritten = materialize(rewritten)
+    keys = ["query_id", "sub_idx"]
+    subq = rewritten.select("query_id", "min_vote_score", "tags", "after_date",
+                            F.posexplode("rewritten_queries").alias("sub_idx", "question"))
+    embed = embedder(models)
+    if vectors is None:
+        vectors = materialize(embed(with_embed_text(clean), ["seq"], "text_for_embedding"))
+    legs = request_legs(index, clean, subq, pool, date_filter_dense, keys, vectors, embed)
+    id_type = valid.schema["query_id"].dataType.simpleString()
+    errors, lists = {}, None
+    for no, (name, build) in enumerate(legs.items()):
+        rows, errors[name] = isolated(
+            f"search {name}", lambda b=build, no=no: b().select(
+                "query_id", "rank", "seq", (F.col("sub_idx") * 2 + no).cast("int").alias("list_no")),
+            f"query_id {id_type}, rank int, seq bigint, list_no int")
+        lists = rows if lists is None else lists.unionByName(rows)
+    fused = materialize(fusion.rrf(with_payload(lists, index.docs, ["doc_id"]), ["query_id"], top_n=pool))
+    scores = pair_scores(index, clean, fused, valid, models)
+    ranked = (rerank(fused, scores, ["query_id"], top_k=TOP_K_MAX).drop("doc_id")
+              .join(valid.select("query_id", "top_k"), "query_id").where(F.col("rerank_rank") <= F.col("top_k")).drop("top_k"))
+    sources = materialize(with_payload(ranked, clean, PAYLOAD))
+    return answers_of(rewritten, sources, models), sources, rejects, {k: e for k, e in errors.items() if e}
+
+
+def answer_batch(spark: SparkSession, sf_dir: str, questions: DataFrame, top_k: int = TOP_K,
+                 models: Models = Models(), truth_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(answers, sources) for a frame of (query_id, question) under the default filter."""
     clean = clean_corpus(spark, sf_dir)
     index = build_index(clean)
-    rewritten = rewrite(questions)
-    fused = retrieve(index, clean, rewritten)
-    scores = coverage_scores(index, clean, fused, questions, ["query_id"])
+    rewritten = rewrite(questions, models)
+    fused = retrieve(index, clean, rewritten, models=models)
+    scores = pair_scores(index, clean, fused, questions, models)
     sources = with_payload(rerank(fused, scores, ["query_id"], top_k=top_k).drop("doc_id"), clean, PAYLOAD)
-    ctx = contexts(sources, ["query_id"])
-    answers = answer_and_judge(rewritten, ctx, ["query_id"])
-    return answers, sources
+    return answers_of(rewritten, sources, models, truth_col), sources
+
+
+def pipeline_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R9 for a mixed batch of requests: answer, sources and judgement of each valid one under its own parameters."""
+    clean = clean_corpus(spark, sf_dir)
+    answers, _, _, errors = answer_requests(clean, build_index(clean), tables.requests(spark, sf_dir))
+    if errors:
+        raise RuntimeError(f"searches failed: {errors}")
+    return answers.select("query_id", "answer",
+                          F.coalesce("source_ids", F.array().cast("array<string>")).alias("source_ids"),
+                          F.col("judge.relevance").alias("relevance"), F.col("judge.accuracy").alias("accuracy"),
+                          F.col("judge.completeness").alias("completeness"))
 
 
 def pipeline_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,23 +180,25 @@ def _gt_questions(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
                      "accepted_answer")
 
 
-def generation_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+def generation_eval(spark: SparkSession, sf_dir: str, models: Models = Models()) -> DataFrame:
     """Judge averages over the ground-truth questions (latency is not
-    measured in batch, so its mean is null)."""
+    measured in batch, so its mean is null).  A judge model also sees the accepted answers."""
     gt = _gt_questions(spark, sf_dir, evaluate.GT_SIZE)
-    answers, _ = answer_batch(spark, sf_dir, gt.select("query_id", "question"))
+    answers, _ = answer_batch(spark, sf_dir, gt, models=models, truth_col="accepted_answer")
     return evaluate.generation_summary(answers.withColumn("total_ms", F.lit(None).cast("int")))
 
 
-def ragas_eval(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
-    """RAGAS-style means from the default overlap proxies."""
+def ragas_eval(spark: SparkSession, sf_dir: str, n: int = 50, models: Models = Models(),
+               scorer=ragas_proxies) -> DataFrame:
+    """RAGAS-style means.  ``scorer`` adds the four scores to rows of (query_id, question, answer,
+    contexts, ground_truths); the default are overlap proxies."""
     gt = _gt_questions(spark, sf_dir, n)
-    answers, _ = answer_batch(spark, sf_dir, gt.select("query_id", "question"))
+    answers, _ = answer_batch(spark, sf_dir, gt.select("query_id", "question"), models=models)
     rows = answers.join(gt.select("query_id", "accepted_answer"), "query_id").select(
         "query_id", "question", "answer",
         F.coalesce("source_texts", F.array().cast("array<string>")).alias("contexts"),
         F.array(F.col("accepted_answer")).alias("ground_truths"))
-    return evaluate.ragas_summary(ragas_proxies(rows))
+    return evaluate.ragas_summary(scorer(rows))
 
 
 def batch_complete_query(spark: SparkSession, sf_dir: str) -> DataFrame:

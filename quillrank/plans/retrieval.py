@@ -181,18 +181,33 @@ def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("rrf_score").cast("double").alias("rrf_score"))
 
 
+def request_legs(index: Bm25Index, clean: DataFrame, requests: DataFrame, top_k: int = POOL,
+                 date_filter_dense: bool = True, key_cols: list[str] | None = None, vectors: DataFrame | None = None,
+                 embed=None) -> dict:
+    """The two searches of a batch of requests, each under its own filter, as ``leg -> function that builds its
+    list`` (key..., rank, seq, score).  ``date_filter_dense``: whether the date bound holds for the dense leg, too;
+    ``vectors`` (seq, embedding) and ``embed(frame, keys, text column)`` take the place of the default embedder.
+    Questions are embedded here and now, so a failing embedder raises."""
+    key = key_cols or ["query_id"]
+    params = requests.select(*key, "min_vote_score", "tags",
+                             "after_date" if date_filter_dense else F.lit(None).cast("string").alias("after_date"))
+    vecs = corpus_vectors(clean) if vectors is None else vectors
+    qv = materialize((embed or dense.hash_embed)(requests.select(*key, "question"), key, "question"))
+
+    def dense_leg() -> DataFrame:
+        return dense.dense_search(vecs.join(clean.select("seq", *dense.DOC_FILTERS), "seq"), qv.join(params, key),
+                                  top_k=top_k, key_cols=key, per_query_filters=True)
+
+    cols = [*key, "rank", "seq", "score"]
+    return {"bm25": lambda: bm25_requests(index, requests, top_k, key).select(cols),
+            "dense": lambda: dense_leg().select(cols)}
+
+
 def request_lists(index: Bm25Index, clean: DataFrame, requests: DataFrame, top_k: int = POOL,
                   date_filter_dense: bool = True) -> DataFrame:
-    """R5 legs of a batch of requests, each under its own filter; (query_id, list_no, rank, seq, doc_id, score).
-    ``date_filter_dense``: whether the date bound holds for the dense leg, too."""
-    bm = bm25_requests(index, requests, top_k)
-    params = requests.select("query_id", "min_vote_score", "tags",
-                             "after_date" if date_filter_dense else F.lit(None).cast("string").alias("after_date"))
-    vecs = corpus_vectors(clean).join(clean.select("seq", *dense.DOC_FILTERS), "seq")
-    qv = dense.hash_embed(requests, ["query_id"], "question").join(params, "query_id")
-    dn = dense.dense_search(vecs, qv, top_k=top_k, per_query_filters=True)
-    lists = (fusion.tag_list(bm.select("query_id", "rank", "seq", "score"), 0)
-             .unionByName(fusion.tag_list(dn.select("query_id", "rank", "seq", "score"), 1)))
+    """R5 legs of a batch of requests, each under its own filter; (query_id, list_no, rank, seq, doc_id, score)."""
+    legs = request_legs(index, clean, requests, top_k, date_filter_dense)
+    lists = fusion.tag_list(legs["bm25"](), 0).unionByName(fusion.tag_list(legs["dense"](), 1))
     return materialize(with_payload(lists, index.docs, ["doc_id"]))
 
 
