@@ -4,13 +4,18 @@ The job a tree parser does for this data is re-expressed as a fixed chain of
 regular expressions that Spark runs in the JVM:
 
 1. comments, ``<script>`` and ``<style>`` bodies go (their text is not text);
-2. every remaining tag becomes one space (so ``a<b>b</b>`` reads ``a b``);
+   an unclosed one ends with the text;
+2. every remaining tag becomes one space (so ``a<b>b</b>`` reads ``a b``); a
+   ``>`` in a quoted attribute value does not end it; a ``<`` without a later ``>`` is text;
 3. character references are decoded, ``&amp;`` last so ``&amp;lt;`` stays ``&lt;``;
+   numeric ones also without their ``;``, named ones only with it;
 4. whitespace runs collapse to one space and the ends are trimmed.
 
 Code blocks (``<pre>``, with or without ``<code>``) are pulled out first; an
 unclosed one ends with the text.  Inside a block tags vanish without a space and only the outer whitespace is trimmed.
-Nested ``<pre>`` is not handled (needs a real parser).
+Nested ``<pre>`` is not handled (needs a real parser).  A ``<pre`` whose tag the text cuts off is an empty block.
+
+Every pattern takes time in proportion to the text, whatever is left open in it.
 """
 
 from __future__ import annotations
@@ -30,9 +35,11 @@ NAMED_ENTITIES = sorted((name[:-1], text) for name, text in html5.items()
 # Comments, script and style bodies in one left-to-right pass: whichever
 # construct opens first is removed whole (a comment marker inside a script is
 # script text, and the reverse).
-NON_TEXT_RE = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
-TAG_RE = r"<[A-Za-z/!?][^>]*>"
-PRE_RE = r"(?is)<pre\b[^>]*>(.*?)(?:</pre\s*>|\z)"
+NON_TEXT_RE = (r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*(?:>.*?(?:</script\s*>|\z)|\z)"
+               r"|<style\b[^>]*(?:>.*?(?:</style\s*>|\z)|\z)")
+# Runs are possessive: a quote that is never closed is looked for once, and a tag of any length needs no stack.
+TAG_RE = r"""<[A-Za-z/!?][^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+>"""
+PRE_RE = r"(?is)<pre\b[^>]*(?:>(.*?)(?:</pre\s*>|\z)|\z)"
 DEC_REF_RE = r"&#([0-9]+);"
 HEX_REF_RE = r"&#[xX]([0-9a-fA-F]+);"
 NAMED_REF_RE = r"&([A-Za-z][A-Za-z0-9]{1,31});"
@@ -47,19 +54,33 @@ def _codepoint_to_char(n: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
 
-def _replace_refs(s: Column, pattern: str, radix: int) -> Column:
-    """Replace every numeric reference matching ``pattern`` (digits in group 1)."""
+def _replace_refs(s: Column, pattern: str, radix: int, end: str = ";") -> Column:
+    """Replace every numeric reference matching ``pattern`` (digits in group 1) that closes with ``end``;
+    longer ones first, so that without an end none is taken for the beginning of another."""
     def step(acc, digits):
         short = F.ltrim(digits, F.lit("0"))  # leading zeros carry nothing; 8 digits are beyond Unicode
         cp = F.when(F.length(short).between(1, 7), F.conv(short, radix, 10).cast("bigint")).otherwise(0)
         ok = (cp > 0) & (cp <= 0x10FFFF) & ~((cp >= 0xD800) & (cp <= 0xDFFF))
         char = F.when(ok, _codepoint_to_char(cp)).otherwise(F.lit("\ufffd"))
-        end = F.concat(digits, F.lit(";"))
-        out = F.replace(acc, F.concat(F.lit("&#x" if radix == 16 else "&#"), end), char)
-        return F.replace(out, F.concat(F.lit("&#X"), end), char) if radix == 16 else out
+        out = F.replace(acc, F.concat(F.lit("&#x" if radix == 16 else "&#"), digits, F.lit(end)), char)
+        return F.replace(out, F.concat(F.lit("&#X"), digits, F.lit(end)), char) if radix == 16 else out
 
-    return let(s, lambda v: F.aggregate(
-        F.array_distinct(F.regexp_extract_all(v, F.lit(pattern), 1)), v, step))
+    def found(v):
+        refs = F.array_distinct(F.regexp_extract_all(v, F.lit(pattern), 1))
+        return refs if end else F.array_sort(refs, lambda a, b: F.length(b) - F.length(a))
+
+    return let(s, lambda v: F.aggregate(found(v), v, step))
+
+
+def _replace_numeric(s: Column) -> Column:
+    """Numeric references, closed ones first."""
+    def body(v):
+        out = _replace_refs(_replace_refs(v, DEC_REF_RE, 10), HEX_REF_RE, 16)
+        out = let(out, lambda w: F.when(F.instr(w, "&#") > 0, _replace_refs(_replace_refs(
+            w, DEC_REF_RE.rstrip(";"), 10, ""), HEX_REF_RE.rstrip(";"), 16, "")).otherwise(w))
+        return F.when(F.instr(v, "&#") > 0, out).otherwise(v)
+
+    return let(s, body)
 
 
 def _replace_named(s: Column) -> Column:
@@ -83,7 +104,7 @@ def decode_entities(col) -> Column:
     full of bare ``&`` costs one scan, not one per known entity.
     """
     def body(s):
-        out = _replace_refs(_replace_refs(_replace_named(s), DEC_REF_RE, 10), HEX_REF_RE, 16)
+        out = _replace_numeric(_replace_named(s))
         out = F.regexp_replace(out, "&(?:amp|AMP);", "&")
         # Most text carries no '&': skip the work for it.
         return F.when(F.instr(s, "&") > 0, out).otherwise(s)
@@ -96,11 +117,19 @@ def collapse_ws(col) -> Column:
     return F.regexp_replace(F.regexp_replace(_c(col), r"(?U)\s+", " "), r"^ | $", "")
 
 
+def replace_tags(col, by: str) -> Column:
+    """Every tag replaced.  Behind the last ``>`` there is none, so no search for one starts there."""
+    def body(v):
+        tail = F.substring_index(v, ">", -1)
+        return F.concat(F.regexp_replace(F.left(v, F.length(v) - F.length(tail)), TAG_RE, by), tail)
+
+    return let(_c(col), body)
+
+
 def html_to_text(col) -> Column:
     """Tags -> separators, entities decoded, whitespace collapsed and trimmed."""
     s = F.coalesce(_c(col), F.lit(""))
-    s = F.regexp_replace(s, NON_TEXT_RE, " ")
-    s = F.regexp_replace(s, TAG_RE, " ")
+    s = replace_tags(F.regexp_replace(s, NON_TEXT_RE, " "), " ")
     return collapse_ws(decode_entities(s))
 
 
@@ -109,7 +138,7 @@ def html_code_blocks(col) -> Column:
     s = F.coalesce(_c(col), F.lit(""))
     blocks = F.regexp_extract_all(s, F.lit(PRE_RE), 1)
     return F.transform(blocks, lambda b: F.regexp_replace(
-        decode_entities(F.regexp_replace(b, TAG_RE, "")), r"(?U)^\s+|\s+$", ""))
+        decode_entities(replace_tags(b, "")), r"(?U)^\s+|\s+$", ""))
 
 
 def html_without_code(col) -> Column:

@@ -58,15 +58,18 @@ def collapse_ws(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '{WS}+', ' ', 'g'), '^ | $', '', 'g')"
 
 
+TAG = r"""<[A-Za-z/!?][^>=]*(?:=\s*(?:"[^"]*"|'[^']*')?[^>=]*)*>"""
+
+
 def html_to_text(x: str) -> str:
     s = f"coalesce({x}, '')"
-    s = (f"regexp_replace({s}, '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>"
-         f"|<style\\b[^>]*>.*?</style\\s*>', ' ', 'g')")
-    s = f"regexp_replace({s}, '<[A-Za-z/!?][^>]*>', ' ', 'g')"
+    s = (f"regexp_replace({s}, '(?is)<!--.*?(?:-->|\\z)|<script\\b[^>]*(?:>.*?(?:</script\\s*>|\\z)|\\z)"
+         f"|<style\\b[^>]*(?:>.*?(?:</style\\s*>|\\z)|\\z)', ' ', 'g')")
+    s = f"regexp_replace({s}, {q(TAG)}, ' ', 'g')"
     return collapse_ws(decode_entities(s))
 
 
-PRE = r"(?is)<pre\b[^>]*>(.*?)(?:</pre\s*>|\z)"
+PRE = r"(?is)<pre\b[^>]*(?:>(.*?)(?:</pre\s*>|\z)|\z)"
 
 
 def html_without_code(x: str) -> str:
@@ -74,7 +77,7 @@ def html_without_code(x: str) -> str:
 
 
 def html_code_blocks(x: str) -> str:
-    inner = f"regexp_replace(b, '<[A-Za-z/!?][^>]*>', '', 'g')"
+    inner = f"regexp_replace(b, {q(TAG)}, '', 'g')"
     return (f"list_transform(regexp_extract_all(coalesce({x}, ''), '{PRE}', 1), "
             f"lambda b: {strip(decode_entities(inner))})")
 
