@@ -38,6 +38,8 @@ QUERIES = {
     "index_roundtrip": ingest.index_roundtrip,
     "gt_roundtrip": ingest.gt_roundtrip,
     "vectors_roundtrip": ingest.vectors_roundtrip,
+    "vectors_upsert": ingest.vectors_upsert,
+    "clean_sink": ingest.clean_sink,
     "metrics_roundtrip": ingest.metrics_roundtrip,
     "log_roundtrip": ingest.log_roundtrip,
     "safe_int": ingest.safe_ints,

@@ -210,6 +210,34 @@ def vectors_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         "query_id", "rank", "doc_id", F.col("score").cast("double").alias("score"))
 
 
+def vectors_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: two ingest runs of a vector table -- all documents by title, then those with a score of 20 or more by
+    their whole text -- merged on read; every question's 10 nearest points with their payload."""
+    from quillrank.operators import dense
+    from quillrank.plans.retrieval import clean_corpus, corpus_vectors, question_vectors
+    from quillrank.sources.readers import read_vectors
+    from quillrank.sources.sinks import upsert_vectors, vector_points
+    path = _scratch(spark, "vector-table")
+    clean = clean_corpus(spark, sf_dir)
+    upsert_vectors(vector_points(clean, dense.hash_embed(clean, ["seq"], "question_title")), path, 1)
+    better = clean.where(F.coalesce("question_score", F.lit(0)) >= 20)
+    upsert_vectors(vector_points(better, corpus_vectors(better)), path, 2)
+    points = read_vectors(spark, path)
+    ranked = dense.dense_search(points.select("seq", "embedding"), question_vectors(spark, sf_dir), top_k=10)
+    return ranked.join(points.select("seq", "point_id", "doc_id", "question_title", "tags_list"), "seq").select(
+        "query_id", "rank", "point_id", "doc_id", "question_title", "tags_list",
+        F.col("score").cast("double").alias("score"))
+
+
+def clean_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: cleaned pairs written with their counts taken on the way; what was written, with the counts."""
+    from quillrank.sources.sinks import write_clean
+    path = _scratch(spark, "pairs-clean")
+    counts = write_clean(tables.corpus(spark, sf_dir), path)
+    return spark.read.parquet(path).select("question_id", "answer_prose", *[
+        F.lit(counts[c]).cast("bigint").alias(c) for c in ("total", "kept", "filtered")])
+
+
 def metrics_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K6 + S7: the retrieval summary written as a metrics file and read back."""
     from quillrank.plans.evaluation import retrieval_eval

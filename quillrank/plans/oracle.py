@@ -524,4 +524,13 @@ def oracle_sql() -> dict[str, str]:
 SELECT r.query_id, CAST(r.rank AS INTEGER) AS rank, c.doc_id, CAST(r.score AS DOUBLE) AS score
 FROM ({duck.dense_ranked('SELECT seq, text_for_embedding FROM clean', duck.QUESTIONS, 10)}) r
 JOIN clean c USING (seq)"""
+    runs = ("SELECT seq, CASE WHEN coalesce(question_score, 0) >= 20 THEN text_for_embedding ELSE question_title END "
+            "AS text_for_embedding FROM clean")
+    out["vectors_upsert"] = f"""WITH {_CLEAN[:-1]}
+SELECT r.query_id, CAST(r.rank AS INTEGER) AS rank,
+       regexp_replace(c.doc_id, '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') AS point_id,
+       c.doc_id, c.question_title, c.tags_list, CAST(r.score AS DOUBLE) AS score
+FROM ({duck.dense_ranked(runs, duck.QUESTIONS, 10)}) r JOIN clean c USING (seq)"""
+    out["clean_sink"] = f"""WITH k AS ({out["clean_records"]}), n AS ({out["ingest_counts"]})
+SELECT question_id, answer_prose, total, kept, filtered FROM k, n"""
     return out

@@ -74,6 +74,19 @@ def read_index(spark: SparkSession, path: str) -> Bm25Index:
                      spark.read.parquet(f"{path}/corpus_stats"), spark.read.parquet(f"{path}/docs"))
 
 
+def read_vectors(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """K3: the vector table written by ``sinks.upsert_vectors`` as of ``version`` (the latest if None): of every
+    point its last run's row.  Only (point, run) pairs meet in a shuffle, not the vectors: rows of older runs are
+    dropped by a join with the points that a later run holds again."""
+    runs = spark.read.parquet(path)
+    if version is not None:
+        runs = runs.where(F.col("version") <= version)
+    again = (runs.groupBy("point_id").agg(F.max("version").alias("last"), F.count(F.lit(1)).alias("n"))
+             .where("n > 1").drop("n"))
+    return (runs.join(again, "point_id", "left").where(F.col("last").isNull() | (F.col("version") == F.col("last")))
+            .drop("last", "version"))
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """The appended query log."""
     return spark.read.parquet(path)
