@@ -5,10 +5,13 @@ word-start marker, the pieces with their scores (a unigram model, or BPE merges
 ranked by score) and byte fallback.  No piece of such a model has a marker
 inside (runs of markers apart), so a text's ids are those of its marked words;
 a task encodes each distinct word once, many at a time (the library encodes a
-batch in threads), and keeps them in a bounded table.  Parity: each distinct word is
+batch in threads), and keeps them in a bounded table.  A character map is applied to
+the whole text first; the model's user symbols are set apart before it and are
+pieces of their own.  Parity: each distinct word is
 encoded by the sentencepiece library too, and ``same`` tells whether all words of a
-text agree; tests compare whole texts.  Decoding joins the pieces, undoes the
-marker and reads byte pieces as UTF-8.
+text agree; a text with a character map, or with a word that the library cannot be given alone (after a user symbol,
+or without the marker), is encoded whole by both instead.  ``same`` is null where parity was not asked for.  Decoding joins
+the pieces, undoes the marker and reads byte pieces as UTF-8; it gives back the normalised text.
 
 Defined cases: null and empty texts have no ids and decode to the empty text;
 repeated rows are encoded each; an empty table gives no rows.
@@ -102,14 +105,20 @@ def build(model: dict):
 class PieceTokenizer:
     def __init__(self, path: str, parity: bool = True, limit: int = CACHE_WORDS):
         import sentencepiece
+        from tokenizers import normalizers
         self.model = read_model(path)
         inner = [p for p, _, k in self.model["pieces"] if k in (NORMAL, USER) and MARK in p.lstrip(MARK)]
         self.whole = sentencepiece.SentencePieceProcessor(model_file=path)
-        if inner or self.model["charsmap"] or not self.model["escape"]:
-            raise ValueError("pieces with inner markers and character maps are not supported")
+        if inner or not self.model["escape"]:
+            raise ValueError("pieces with inner markers and unescaped spaces are not supported")
+        self.map = normalizers.Precompiled(self.model["charsmap"]) if self.model["charsmap"] else None
+        # The longest symbol that fits comes first, as in the library.
+        symbols = sorted((p for p, _, k in self.model["pieces"] if k == USER), key=len, reverse=True)
+        self.symbols = re.compile("(" + "|".join(map(re.escape, symbols)) + ")") if symbols else None
+        self.symbol_ids = {p: i for i, (p, _, k) in enumerate(self.model["pieces"]) if k == USER}
         self.tokenizer = build(self.model)
         self.parity, self.limit = parity, limit
-        self.words: dict[str, tuple[np.ndarray, bool]] = {}
+        self.words: dict[str, tuple[np.ndarray, bool | None]] = {}  # its ids, and whether the library agrees (None: not compared)
         # A word as sentencepiece sees it alone: its own prefix is the marker, so a word without one needs the ids after it.
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.raw = [self._bytes(p, k) for p, _, k in self.model["pieces"]]
@@ -127,27 +136,46 @@ class PieceTokenizer:
         return b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else piece.replace(MARK, " ").encode()
 
     def normalise(self, text: str) -> str:
+        """The text as the library normalises it: mapped outside user symbols, spaces squeezed, marked."""
+        if self.map:
+            parts = self.symbols.split(text) if self.symbols else [text]
+            text = "".join(p if i % 2 else self.map.normalize_str(p) for i, p in enumerate(parts))
         if self.model["squeeze"]:
             text = re.sub(" +", " ", text).strip(" ")
         if not text:
             return ""
         return (MARK if self.model["prefix"] else "") + text.replace(" ", MARK)
 
+    def _cut(self, text: str) -> list[str]:
+        """The normalised text's words and user symbols."""
+        parts = self.symbols.split(text) if self.symbols else [text]
+        return [w for i, p in enumerate(parts) for w in ([p] if i % 2 else self.cut.findall(p))]
+
     def _learn(self, new: list[str]) -> None:
         if len(self.words) + len(new) > max(self.limit, 2 * len(new)):
             self.words.clear()
+        symbols = [w for w in new if w in self.symbol_ids]
+        self.words.update((w, (np.array([self.symbol_ids[w]], np.uint32), None)) for w in symbols)
+        new = [w for w in new if w not in self.symbol_ids] if symbols else new
         coded = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        if not self.parity:
-            self.words.update((w, (ids, True)) for w, ids in zip(new, coded))
+        if not self.parity or self.map:
+            self.words.update((w, (ids, None)) for w, ids in zip(new, coded))
             return
         # The library adds the marker itself, so a word goes in without its first one.
-        own = [i for i, w in enumerate(new) if w.startswith(MARK) and self.model["prefix"] and not self.model["squeeze"]]
-        wanted = dict(zip(own, self.whole.encode([new[i][1:].replace(MARK, " ") for i in own], num_threads=1)))
+        own = [i for i, w in enumerate(new) if w.startswith(MARK) and self.model["prefix"]]
+        back = (lambda w: w) if self.model["squeeze"] else (lambda w: w.replace(MARK, " "))
+        wanted = dict(zip(own, self.whole.encode([back(new[i][1:]) for i in own], num_threads=1)))
         for i, (w, ids) in enumerate(zip(new, coded)):
-            self.words[w] = ids, i not in wanted or ids.tolist() == wanted[i] or len(w) == 1
+            self.words[w] = ids, (len(w) == 1 or ids.tolist() == wanted[i]) if i in wanted else None
+
+    def _agree(self, text: str, ids: np.ndarray, words: list[bool | None]) -> bool | None:
+        """Whether the library gives the same ids; where a word was not compared, by the whole text."""
+        if not self.parity:
+            return None
+        return ids.tolist() == self.whole.encode(text) if None in words else all(words)
 
-    def encode_batch(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool]]:
-        cuts = [self.cut.findall(self.normalise(t or "")) for t in texts]
+    def encode_batch(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool | None]]:
+        cuts = [self._cut(self.normalise(t or "")) for t in texts]
         new = list({w for own in cuts for w in own} - self.words.keys())
         if new:
             known = self.words if len(self.words) + len(new) <= max(self.limit, 2 * len(new)) else {}
@@ -155,7 +183,8 @@ class PieceTokenizer:
                 new = list({w for own in cuts for w in own})
             self._learn(new)
         none = np.zeros(0, np.uint32)
-        return [(np.concatenate([none, *(self.words[w][0] for w in own)]), all(self.words[w][1] for w in own)) for own in cuts]
+        out = [(np.concatenate([none, *(self.words[w][0] for w in own)]), [self.words[w][1] for w in own]) for own in cuts]
+        return [(ids, self._agree(t or "", ids, words)) for t, (ids, words) in zip(texts, out)]
 
     def decode(self, ids) -> str:
         text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")
