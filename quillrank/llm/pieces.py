@@ -168,11 +168,13 @@ class PieceTokenizer:
         for i, (w, ids) in enumerate(zip(new, coded)):
             self.words[w] = ids, (len(w) == 1 or ids.tolist() == wanted[i]) if i in wanted else None
 
-    def _agree(self, text: str, ids: np.ndarray, words: list[bool | None]) -> bool | None:
+    def _agree(self, text: str, ids: np.ndarray, own: list[str]) -> bool | None:
         """Whether the library gives the same ids; where a word was not compared, by the whole text."""
         if not self.parity:
             return None
-        return ids.tolist() == self.whole.encode(text) if None in words else all(words)
+        if all(self.words[w][1] for w in own):
+            return True
+        return ids.tolist() == self.whole.encode(text) if any(self.words[w][1] is None for w in own) else False
 
     def encode_batch(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool | None]]:
         cuts = [self._cut(self.normalise(t or "")) for t in texts]
@@ -183,8 +185,8 @@ class PieceTokenizer:
                 new = list({w for own in cuts for w in own})
             self._learn(new)
         none = np.zeros(0, np.uint32)
-        out = [(np.concatenate([none, *(self.words[w][0] for w in own)]), [self.words[w][1] for w in own]) for own in cuts]
-        return [(ids, self._agree(t or "", ids, words)) for t, (ids, words) in zip(texts, out)]
+        coded = [np.concatenate([none, *(self.words[w][0] for w in own)]) for own in cuts]
+        return [(ids, self._agree(t or "", ids, own)) for t, ids, own in zip(texts, coded, cuts)]
 
     def decode(self, ids) -> str:
         text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")
