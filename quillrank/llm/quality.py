@@ -1,11 +1,12 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-A rule is a boolean expression over the text and an estimate of its work.  On a
-sample of the texts, one aggregate counts which rules reject together and sums
-each rule's work; from these counts the rules are ordered greedily by rejection
-per cost among the rows still undecided.  The cascade is one CASE WHEN in that
-order, so a text that an early rule rejects never reaches the dearer ones.
-Which rows are kept does not depend on the order.
+A rule is a boolean expression, with the columns that it needs prepared first.
+On a written sample of the rows every rule is run by itself and timed, and one
+aggregate counts which rules reject together; from these the rules are ordered
+greedily by rejection per cost among the rows still undecided.  The cascade is
+CASE WHEN in that order, so a text that an early rule rejects never reaches the
+dearer ones.  Which rows are kept does not depend on the order, so neither on
+the clock.
 
 Defined cases: null, empty and blank texts have no words and fail the word
 minimum; repeated rows are judged each by itself; extra columns pass through.
@@ -13,16 +14,22 @@ minimum; repeated rows are judged each by itself; extra columns pass through.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.functions.core import let
-from quillrank.llm.common import SPACE, documents, words
+from quillrank.llm.common import SPACE, documents, scratch, stored, words
 
 #: Rows that the sample for the rule order holds, about.
 SAMPLE_ROWS = 2_000
+#: Times that each rule is run on the sample; the least time counts.
+TRIALS = 3
+#: Seconds below which two costs are not told apart.
+CLOCK = 0.002
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 REPEAT_PCT = 50
@@ -107,10 +114,10 @@ def with_repeats(df: DataFrame, ws: str = "ws", needed: Column | None = None, ou
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` and ``work`` are expressions over the text column; work counts passes over a text's characters."""
+    """``rejects`` is an expression over a frame's columns and those that ``prepare`` adds to it."""
     name: str
     rejects: Column
-    work: Column
+    prepare: Callable[[DataFrame], DataFrame] | None = None
 
 
 def measures(text: Column, ws: Column) -> dict[str, Column]:
@@ -120,47 +127,77 @@ def measures(text: Column, ws: Column) -> dict[str, Column]:
 
 
 def rules(text: Column, known: dict[str, Column] | None = None) -> list[Rule]:
-    """The rules on a text alone.  ``known`` names columns that hold base counts already.
-
-    The factors of the work are passes over the characters, as measured on plain prose.
-    """
+    """The rules on a text alone.  ``known`` names columns that hold base counts already."""
     at = measures(text, words(text)) | (known or {})
-    chars = F.length(F.coalesce(text, F.lit(""))).cast("double") + 1
     return [
-        Rule("few_words", at["n_words"] < MIN_WORDS, 4 * chars),
-        Rule("symbols", 100 * at["n_symbols"] > SYMBOL_PCT * at["word_chars"], 4 * chars),
-        Rule("upper_case", 100 * n_upper(text) > UPPER_PCT * at["word_chars"], 4 * chars),
-        Rule("few_letters", 100 * n_letters(text) < LETTER_PCT * at["word_chars"], 4 * chars),
-        Rule("long_words", at["word_chars"] > MAX_MEAN_WORD * at["n_words"], 6 * chars),
-        Rule("dup_lines", let(_lines(text), lambda x: 100 * (F.size(x) - F.size(F.array_distinct(x))) > DUP_LINE_PCT * F.size(x)), 2 * chars),
+        Rule("few_words", at["n_words"] < MIN_WORDS),
+        Rule("symbols", 100 * at["n_symbols"] > SYMBOL_PCT * at["word_chars"]),
+        Rule("upper_case", 100 * n_upper(text) > UPPER_PCT * at["word_chars"]),
+        Rule("few_letters", 100 * n_letters(text) < LETTER_PCT * at["word_chars"]),
+        Rule("long_words", at["word_chars"] > MAX_MEAN_WORD * at["n_words"]),
+        Rule("dup_lines", let(_lines(text), lambda x: 100 * (F.size(x) - F.size(F.array_distinct(x))) > DUP_LINE_PCT * F.size(x))),
     ]
 
 
-def order_rules(docs: DataFrame, found: list[Rule], text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejections per unit of work, each among the sample rows that those before it let through.
+def repeat_rule(text: Column) -> Rule:
+    """Texts most of whose words lie in repeated windows; ``prepare`` adds the word list and the count."""
+    return Rule("repeats", 100 * F.col("n_repeat_words") > REPEAT_PCT * F.size("ws"), lambda df: with_repeats(df.withColumn("ws", words(text))))
 
-    The sample is drawn by a hash of the text, so it is the same on every run.
-    The driver gets a row per set of rules that reject together (at most 2 to the
-    number of rules, and no more than the sample has rows).
-    """
+
+def draw(docs: DataFrame, by: Column, sample_rows: int = SAMPLE_ROWS) -> DataFrame | None:
+    """About ``sample_rows`` rows, written to one file; the same on every run, as a hash of ``by`` draws them.  None of an empty table."""
     total = docs.count()
     if not total:
-        return found
+        return None
     share = min(1.0, sample_rows / total)
-    drawn = docs.where(F.pmod(F.xxhash64(F.col(text), F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    bits = sum((F.when(F.coalesce(r.rejects, F.lit(False)), 1 << i).otherwise(0) for i, r in enumerate(found)), F.lit(0))
-    sums = [F.sum(r.work).alias(f"w{i}") for i, r in enumerate(found)]
-    seen = drawn.groupBy(bits.alias("bits")).agg(F.count("*").alias("n"), *sums).collect()
-    left, order, rest = seen, [], list(range(len(found)))
+    drawn = docs.where(F.pmod(F.xxhash64(by, F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    return stored(drawn.repartition(1), "quality-sample")
+
+
+def seconds(sample: DataFrame, found: list[Rule], by: Column, trials: int = TRIALS) -> list[float]:
+    """Each rule's time on the sample beyond that of reading ``by``: the least of some runs, the rules taking turns."""
+    jobs = [sample.agg(F.sum(F.length(by)))]
+    jobs += [(r.prepare(sample) if r.prepare else sample).agg(F.count_if(r.rejects), F.sum(F.length(by))) for r in found]
+    best = [float("inf")] * len(jobs)
+    for _ in range(trials):
+        for i, job in enumerate(jobs):
+            began = time.perf_counter()
+            job.collect()
+            best[i] = min(best[i], time.perf_counter() - began)
+    return [max(t - best[0], CLOCK) for t in best[1:]]
+
+
+def greedy(costs: list[float], seen: list[tuple[int, int]]) -> list[int]:
+    """Rules by rejections per cost, each among the rows that those before it let through.
+
+    ``seen``: how many rows each set of rules (as bits) rejects together.  Ties go to the cheaper, then the earlier rule.
+    """
+    left, order, rest = seen, [], list(range(len(costs)))
     while rest:
-        def worth(i):
-            work = sum(r[f"w{i}"] for r in left)
-            return sum(r["n"] for r in left if r["bits"] >> i & 1) / work if work else 0.0
-        best = max(rest, key=lambda i: (worth(i), -i))
+        best = max(rest, key=lambda i: (sum(n for bits, n in left if bits >> i & 1) / costs[i], -costs[i], -i))
         order.append(best)
         rest.remove(best)
-        left = [r for r in left if not r["bits"] >> best & 1]
-    return [found[i] for i in order]
+        left = [(bits, n) for bits, n in left if not bits >> best & 1]
+    return order
+
+
+def order_rules(docs: DataFrame, found: list[Rule], by: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """The rules in the order of the cascade.
+
+    The driver gets a row per set of rules that reject together (at most 2 to the
+    number of rules, and no more than the sample has rows) and a time per rule.
+    """
+    by = F.col("text") if by is None else by
+    with scratch(docs.sparkSession):
+        sample = draw(docs, by, sample_rows)
+        if sample is None:
+            return found
+        costs = seconds(sample, found, by)
+        for r in found:
+            sample = r.prepare(sample) if r.prepare else sample
+        bits = sum((F.when(F.coalesce(r.rejects, F.lit(False)), 1 << i).otherwise(0) for i, r in enumerate(found)), F.lit(0))
+        seen = [(r["bits"], r["n"]) for r in sample.groupBy(bits.alias("bits")).agg(F.count("*").alias("n")).collect()]
+    return [found[i] for i in greedy(costs, seen)]
 
 
 def verdict(ordered: list[Rule]) -> Column:
@@ -174,24 +211,29 @@ def verdict(ordered: list[Rule]) -> Column:
 def quality_filter(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with all their columns.
 
-    Counting repeated windows costs several times all other rules together, so
-    that rule comes last, for the rows that the others leave.
+    The repeated windows are counted where the cascade has them, for the rows that the rules before leave.
     """
-    text = F.col("text")
-    left = docs.where(verdict(order_rules(docs, rules(text), sample_rows=sample_rows)).isNull())
-    held = left.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), words(text).alias("ws"))
-    counted = with_repeats(held)
-    return counted.where(~(100 * F.col("n_repeat_words") > REPEAT_PCT * F.size("ws"))).select("row.*")
+    own = F.col("text")
+    ordered = order_rules(docs.select("text"), [*rules(own), repeat_rule(own)], sample_rows=sample_rows)
+    at = [r.name for r in ordered].index("repeats")
+    left = docs.where(verdict(ordered[:at]).isNull()) if at else docs
+    held = left.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    text = F.col("row.text")
+    counted = repeat_rule(text).prepare(held)
+    # One condition, so that the rules after the count are not pushed below it.
+    late = {r.name: r for r in [*rules(text), repeat_rule(text)]}
+    return counted.where(verdict([late[r.name] for r in ordered[at:]]).isNull()).select("row.*")
 
 
 def op1(spark, sf_dir):
     docs = documents(spark, sf_dir)
     text = F.col("text")
-    ordered = order_rules(docs, [r for r in rules(text) if r.name != "few_words"])
     split = docs.select("doc_id", "text", words(text).alias("ws"))
     at = measures(text, F.col("ws"))
-    counted = with_repeats(split.select("doc_id", "text", "ws", *(c.alias(n) for n, c in at.items())))
-    cheap = {r.name: r for r in rules(text, {n: F.col(n) for n in at})}
+    based = split.select("doc_id", "text", "ws", *(c.alias(n) for n, c in at.items()))
+    # The rules as they run below: on the counts that the contract wants of every text anyway.
+    ordered = order_rules(based.select("text", *at), [r for r in rules(text, {n: F.col(n) for n in at}) if r.name != "few_words"])
+    counted = with_repeats(based)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PCT * F.col("n_words"))
     return counted.select("doc_id", *at, "n_repeat_words", failed.alias("base_failed"),
-                          F.when(failed, False).otherwise(verdict([cheap[r.name] for r in ordered]).isNull()).alias("kept"))
+                          F.when(failed, False).otherwise(verdict(ordered).isNull()).alias("kept"))

@@ -56,6 +56,44 @@ def test_repeat_count_is_brute_force(spark):
         assert r["n_repeat_words"] == len({i + d for i in range(len(w) - 2) if n[tuple(w[i:i + 3])] > 1 for d in range(3)})
 
 
+def test_rules_are_ordered_by_rejections_per_cost():
+    # Rule 0 rejects most but is dear; what rule 1 rejects, rule 2 rejects too.
+    seen = [(0b001, 60), (0b110, 30), (0b100, 10), (0, 900)]
+    assert quality.greedy([10.0, 1.0, 1.0], seen) == [2, 0, 1]
+    assert quality.greedy([1.0, 1.0, 1.0], seen) == [0, 2, 1]
+    assert quality.greedy([3.0, 1.0, 2.0], [(0, 5)]) == [1, 2, 0]
+
+
+def test_costs_are_measured(spark):
+    text = F.col("text")
+    docs = spark.range(3000).select(F.repeat(F.concat(F.lit("some words "), F.col("id").cast("string")), 40).alias("text"))
+    dear = F.lit(False)
+    for i in range(60):
+        dear = dear | (F.sha2(F.concat(text, F.lit(str(i))), 512) == "")
+    found = [quality.Rule("dear", dear), quality.Rule("cheap", F.length(text) < 0)]
+    sample = quality.draw(docs, text, 2000)
+    assert 1500 < sample.count() < 2500
+    costs = quality.seconds(sample, found, text)
+    assert costs[0] > 3 * costs[1]
+    assert [r.name for r in quality.order_rules(docs, found)] == ["cheap", "dear"]
+
+
+@pytest.mark.parametrize("place", [0, 3, 6])
+def test_kept_rows_do_not_depend_on_the_order(spark, monkeypatch, place):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs = docs.unionByName(docs.where("doc_id % 9 = 0").withColumn("text", F.repeat(F.concat(F.substring("text", 1, 30), F.lit(" ")), 30)))
+
+    def fixed(df, found, **kw):
+        return found[-2::-1][:place] + [found[-1]] + found[-2::-1][place:]
+
+    want = sorted(map(tuple, quality.quality_filter(docs).select("doc_id", "text").collect()))
+    monkeypatch.setattr(quality, "order_rules", fixed)
+    got = quality.quality_filter(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.select("doc_id", "text").collect())) == want
+    assert 0 < len(want) < docs.count()
+
+
 def test_quality_filter_edges(edges, empty):
     kept = quality.quality_filter(edges)
     assert kept.columns == edges.columns
