@@ -1,16 +1,13 @@
 """Dense retrieval.
 
 Exact cosine top-k of every query against every document vector -- what the
-reference's embedded vector store does by brute force.  Spark partitions the
-document vectors; each task multiplies its block by the query matrix with
-numpy (one BLAS call per block) and keeps, per query, its k best rows so far,
-ties cut by document position.  Only those rows reach the
-shuffle; the final cut is a window top-k (WindowGroupLimit) on the score
-rounded to 6 places, ties by document position.
-
-The query matrix is shipped to executors as a broadcast variable after its
-size is checked; a larger query side is processed in bounded chunks, each a
-pass over the document vectors.
+reference's embedded vector store does by brute force.  Both sides are packed
+into blocks, one row a block with its vectors as one matrix, and every block of
+queries meets every block of documents in a join on the query block's number
+(queries stay on the executors, whatever their number).  A task multiplies the
+two matrices with numpy (one BLAS call) and emits, per query, the block's k
+best, ties cut by document position.  The cut over blocks is a window top-k
+(WindowGroupLimit, partial before its shuffle) on the score rounded to 6 places.
 """
 
 from __future__ import annotations
@@ -18,15 +15,17 @@ from __future__ import annotations
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillrank.functions.text import bm25_tokens
-from quillrank.operators.util import materialize
+from quillrank.operators.util import BROADCAST_MAX_BYTES, materialize
 
-# Largest query matrix (query rows x dimensions) held by one broadcast.
-MAX_QUERY_CELLS = 2_000_000
+# Cells (rows x dimensions) of a block's matrix, about: 8 MB of doubles.
+BLOCK_CELLS = 1 << 20
 # Default embedder (hashed bag of words) dimension.
 HASH_DIM = 384
 SCORE_OUT = "decimal(18,6)"
@@ -64,20 +63,23 @@ def hash_embed(df: DataFrame, key_cols: list[str], text_col: str,
                             F.lit(dim).alias("dim")).alias("embedding"))
 
 
-def _to_matrix(col: pd.Series) -> np.ndarray:
-    """Arrow batch column -> float64 matrix; accepts dense arrays or sparse
-    struct<idx, val, dim> vectors."""
-    first = col.iloc[0] if len(col) else None
-    # Structs arrive as dicts through Arrow and as Rows without it.
-    if isinstance(first, dict) or hasattr(first, "asDict"):
-        dim = int(first["dim"])
-        out = np.zeros((len(col), dim), dtype=np.float64)
-        for r, v in enumerate(col):
-            idx = np.asarray(v["idx"], dtype=np.int64)
-            if len(idx):
-                out[r, idx] = np.asarray(v["val"], dtype=np.float64)
+def to_matrix(col: pa.Array) -> np.ndarray:
+    """Vectors of an Arrow column, dense arrays or sparse struct<idx, val, dim>, as a float64 matrix; null is 0."""
+    if not pa.types.is_struct(col.type):
+        flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(col), 0))
+        dim = int(sizes.max(initial=0))
+        if (sizes[sizes > 0] != dim).any():
+            raise ValueError("vectors of different lengths")
+        out = np.zeros((len(col), dim))
+        out[sizes > 0] = np.nan_to_num(flat).reshape(-1, dim) if dim else 0.0
         return out
-    return np.stack(col.to_numpy()).astype(np.float64)
+    dims = np.asarray(pc.fill_null(col.field("dim"), 0))
+    out = np.zeros((len(col), int(dims.max(initial=0))))
+    idx, val = col.field("idx"), col.field("val")
+    rows = np.repeat(np.arange(len(col)), np.asarray(pc.fill_null(pc.list_value_length(idx), 0)))
+    out[rows, idx.flatten().to_numpy(zero_copy_only=False)] = val.flatten().to_numpy(zero_copy_only=False)
+    return out
 
 
 # --- R4: exact cosine top-k -------------------------------------------------
@@ -89,66 +91,122 @@ def _micro(cos: np.ndarray) -> np.ndarray:
                     dtype=np.int64)[at]
 
 
-def _allowed(docs: pd.DataFrame, filters: pd.DataFrame) -> np.ndarray:
+def _allowed(docs: pa.Table, filters: pa.Table) -> np.ndarray:
     """Documents x queries: whether a query's own filter lets the document through."""
-    ok = docs["question_score"].fillna(0).to_numpy(np.float64)[:, None] >= filters["min_vote_score"].to_numpy(np.float64)[None, :]
-    dates = docs["creation_date"].fillna("").to_numpy(dtype=str)
-    ok &= dates[:, None] >= filters["after_date"].fillna("").to_numpy(dtype=str)[None, :]
-    wanted = [frozenset(t) if t is not None else frozenset() for t in filters["tags"]]
-    held = [set(t) if t is not None else set() for t in docs["tags_list"]]
+    def of(table, name, empty):
+        return np.asarray(pc.fill_null(table.column(name), empty).to_numpy(zero_copy_only=False))
+
+    ok = of(docs, "question_score", 0).astype(np.float64)[:, None] >= of(filters, "min_vote_score", 0).astype(np.float64)[None, :]
+    ok &= of(docs, "creation_date", "").astype(str)[:, None] >= of(filters, "after_date", "").astype(str)[None, :]
+    wanted = [frozenset(t or ()) for t in filters.column("tags").to_pylist()]
+    held = [set(t or ()) for t in docs.column("tags_list").to_pylist()]
     for tags in set(wanted) - {frozenset()}:   # one pass a distinct tag set
         cols = np.array([w == tags for w in wanted])
         ok[:, cols] &= np.array([not tags.isdisjoint(h) for h in held])[:, None]
     return ok
 
 
-def _task_topk(doc_key: str, vec_col: str, qkeys: pd.DataFrame, qmat: np.ndarray,
-               k: int, margin: float = 1e-6, block_rows: int = 2048, filters: pd.DataFrame | None = None):
-    """A task's k best documents of every query, by rounded score and ``doc_key``;
-    with ``filters`` (a row a query) of the documents that the query's filter lets through.
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: pa.Buffer) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
 
-    Blocks of documents are multiplied by the query matrix; of a block only the
-    rows within ``margin`` of the best k so far are looked at, and the held rows
-    never exceed k a query, however many documents tie.
-    """
-    qnorm = np.sqrt((qmat * qmat).sum(axis=1))
 
+def _block(table: pa.Table, vec_col: str) -> tuple[bytes, bytes, int]:
+    """A block's other columns, its matrix as bytes, and the matrix's width."""
+    column = table.column(vec_col).combine_chunks()
+    m = to_matrix(pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column)
+    return _packed(table.drop_columns([vec_col]).combine_chunks()), m.tobytes(), m.shape[1]
+
+
+def document_blocks(docs: DataFrame, vec_col: str, rows: int) -> DataFrame:
+    """keys, matrix, dim: runs of up to ``rows`` rows of a partition, without a shuffle."""
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, rows - n)
+                held.append(part)
+                n += part.num_rows
+                at += part.num_rows
+                if n == rows:
+                    yield _rows([_block(pa.Table.from_batches(held), vec_col)])
+                    held, n = [], 0
+        if held:
+            yield _rows([_block(pa.Table.from_batches(held), vec_col)])
+
+    return docs.mapInArrow(run, "keys binary, matrix binary, dim int")
+
+
+def _rows(found: list) -> pa.RecordBatch:
+    keys, matrix, dim = zip(*found)
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(matrix, pa.binary()), pa.array(dim, pa.int32())],
+                                      ["keys", "matrix", "dim"])
+
+
+def query_blocks(queries: DataFrame, key_cols: list[str], vec_col: str, blocks: int) -> DataFrame:
+    """block, q_keys, q_matrix, q_dim: the queries dealt over ``blocks`` by a hash of key and vector."""
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64(*key_cols, vec_col), F.lit(blocks)).cast("int"))
+
+    def run(table: pa.Table) -> pa.Table:
+        number = table.column("block")[0].as_py()
+        keys, matrix, dim = _block(table.drop_columns(["block"]), vec_col)
+        return pa.table({"block": pa.array([number], pa.int32()), "q_keys": pa.array([keys], pa.binary()),
+                         "q_matrix": pa.array([matrix], pa.binary()), "q_dim": pa.array([dim], pa.int32())})
+
+    return dealt.groupBy("block").applyInArrow(run, "block int, q_keys binary, q_matrix binary, q_dim int")
+
+
+def _best(cos: np.ndarray, order: np.ndarray, k: int, margin: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """(document, query) places of each query's k best by rounded score, ties by ``order``; -inf is no match."""
+    n = len(cos)
+    kth = np.partition(cos, n - k, axis=0)[n - k] if n > k else np.full(cos.shape[1], -np.inf)
+    rows, cols = np.nonzero((cos >= (kth - margin)[None, :]) & np.isfinite(cos))
+    rank = np.lexsort((order[rows], -_micro(cos[rows, cols]), cols))
+    rows, cols = rows[rank], cols[rank]
+    start = np.flatnonzero(np.concatenate([[True], cols[1:] != cols[:-1]])) if len(cols) else np.zeros(0, int)
+    place = np.arange(len(cols)) - np.repeat(start, np.diff(np.append(start, len(cols))))
+    return rows[place < k], cols[place < k]
+
+
+def _cosines(dmat: np.ndarray, qmat: np.ndarray) -> np.ndarray:
+    norms = np.sqrt((dmat * dmat).sum(axis=1))[:, None] * np.sqrt((qmat * qmat).sum(axis=1))[None, :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(norms > 0, (dmat @ qmat.T) / norms, 0.0)
+
+
+def _meet(doc_key: str, key_cols: list[str], k: int, filtered: bool):
+    """Each pair of a document and a query block: its k best documents of every query."""
     def run(batches):
-        held = None
-        floor = np.full(len(qmat), -np.inf)
-        for pdf in batches:
-            for lo in range(0, len(pdf), block_rows):
-                blk = pdf.iloc[lo:lo + block_rows]
-                dmat = _to_matrix(blk[vec_col])
-                dnorm = np.sqrt((dmat * dmat).sum(axis=1))
-                dots = dmat @ qmat.T                       # docs x queries
-                denom = dnorm[:, None] * qnorm[None, :]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    cos = np.where(denom > 0, dots / denom, 0.0)
-                if filters is not None:
-                    cos = np.where(_allowed(blk, filters), cos, -np.inf)
-                n = cos.shape[0]
-                kth = np.partition(cos, n - k, axis=0)[n - k] if n > k else np.full(len(qmat), -np.inf)
-                rows, cols = np.nonzero((cos >= (np.maximum(kth, floor) - margin)[None, :]) & np.isfinite(cos))
-                if not len(rows):
-                    continue
-                near = pd.DataFrame({"q": cols, doc_key: blk[doc_key].to_numpy()[rows], "cos": cos[rows, cols]})
-                near["micro"] = _micro(near["cos"].to_numpy())
-                held = near if held is None else pd.concat([held, near], ignore_index=True)
-                held = held.sort_values(["q", "micro", doc_key], ascending=[True, False, True]).groupby("q").head(k)
-                full = held.groupby("q")["cos"].agg(["size", "min"])
-                full = full[full["size"] >= k]
-                floor[full.index.to_numpy()] = full["min"].to_numpy()
-        if held is not None and len(held):
-            out = qkeys.iloc[held["q"].to_numpy()].reset_index(drop=True)
-            out[doc_key], out["cos"] = held[doc_key].to_numpy(), held["cos"].to_numpy()
-            yield out
+        for batch in batches:
+            keys, matrix, dim, q_keys, q_matrix, q_dim = batch.columns
+            for i in range(batch.num_rows):
+                docs, queries = _unpacked(keys[i].as_buffer()), _unpacked(q_keys[i].as_buffer())
+                dmat = np.frombuffer(matrix[i].as_buffer()).reshape(docs.num_rows, dim[i].as_py())
+                qmat = np.frombuffer(q_matrix[i].as_buffer()).reshape(queries.num_rows, q_dim[i].as_py())
+                if not (dmat.size and qmat.size):   # nothing but null vectors on a side
+                    dmat, qmat = np.zeros((docs.num_rows, 1)), np.zeros((queries.num_rows, 1))
+                cos = _cosines(dmat, qmat)
+                if filtered:
+                    cos = np.where(_allowed(docs, queries), cos, -np.inf)
+                at, of = _best(cos, np.unique(docs.column(doc_key).to_numpy(), return_inverse=True)[1], k)
+                if len(at):
+                    found = docs.select([doc_key]).take(pa.array(at)).append_column("cos", pa.array(cos[at, of]))
+                    for c in key_cols:
+                        found = found.append_column(c, queries.column(c).take(pa.array(of)))
+                    yield from found.combine_chunks().to_batches()
     return run
 
 
 def dense_search(docs: DataFrame, queries: DataFrame, top_k: int = 10,
                  doc_key: str = "seq", key_cols: list[str] | None = None,
-                 vec_col: str = "embedding", per_query_filters: bool = False) -> DataFrame:
+                 vec_col: str = "embedding", per_query_filters: bool = False, block_cells: int = BLOCK_CELLS) -> DataFrame:
     """(key..., rank, seq, score) by cosine, score DECIMAL(18,6).
 
     With ``per_query_filters`` each query has ``min_vote_score``, ``tags`` and ``after_date``, and the documents
@@ -156,40 +214,21 @@ def dense_search(docs: DataFrame, queries: DataFrame, top_k: int = 10,
     fcols = QUERY_FILTERS if per_query_filters else []
     dcols = DOC_FILTERS if per_query_filters else []
     key_cols = key_cols or ["query_id"]
-    spark = docs.sparkSession
-    # Counted, sized and collected below: fill it once.
     q = materialize(queries.select(*key_cols, vec_col, *fcols))
-    n_q = q.count()
-    first = q.select(vec_col).first()[0] if n_q else None
-    dim = (first["dim"] if hasattr(first, "asDict") else len(first)) if first is not None else 1
-    chunk_rows = max(1, MAX_QUERY_CELLS // max(dim, 1))
-    n_chunks = max(1, -(-n_q // chunk_rows))
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
-                           for f in q.schema.fields if f.name in key_cols)
-    doc_type = docs.schema[doc_key].dataType.simpleString()
-    schema = f"`{doc_key}` {doc_type}, cos double, {key_schema}"
-    parts = []
-    for c in range(n_chunks):
-        chunk = q if n_chunks == 1 else q.where(
-            F.pmod(F.xxhash64(*key_cols), F.lit(n_chunks)) == c)
-        pdf = chunk.toPandas()
-        if pdf.empty:
-            continue
-        qmat = _to_matrix(pdf[vec_col])
-        bc = spark.sparkContext.broadcast((pdf[key_cols].reset_index(drop=True), qmat, pdf[fcols] if fcols else None))
-
-        def run(batches, bc=bc):
-            qkeys, qm, filters = bc.value
-            yield from _task_topk(doc_key, vec_col, qkeys, qm, top_k, filters=filters)(batches)
-
-        parts.append(docs.select(doc_key, vec_col, *dcols).mapInPandas(run, schema))
-    if not parts:
-        return spark.createDataFrame([], f"{key_schema}, rank int, {doc_key} {doc_type}, "
-                                         f"score {SCORE_OUT}")
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    scored = cand.select(*key_cols, doc_key, F.col("cos").cast(SCORE_OUT).alias("score"))
+    size = F.col(f"{vec_col}.dim") if isinstance(q.schema[vec_col].dataType, StructType) else F.size(vec_col)
+    others = F.sum(F.octet_length(F.to_json(F.struct(*key_cols, *fcols))).cast("bigint"))
+    n_q, dim, n_bytes = q.agg(F.count(F.lit(1)), F.coalesce(F.max(size), F.lit(1)), F.coalesce(others, F.lit(0))).first()
+    per_block = max(1, block_cells // max(dim, 1))
+    n_blocks = max(1, -(-n_q // per_block))
+    blocks = query_blocks(q, key_cols, vec_col, n_blocks)
+    # A query side within the bound goes to every task, and documents stay where they are.
+    blocks = F.broadcast(blocks) if 8 * n_q * dim + n_bytes <= BROADCAST_MAX_BYTES else blocks
+    grid = document_blocks(docs.select(doc_key, vec_col, *dcols), vec_col, per_block)
+    grid = grid.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "block")
+    schema = StructType([docs.schema[doc_key], StructField("cos", DoubleType()), *(q.schema[c] for c in key_cols)])
+    met = grid.select("keys", "matrix", "dim", "q_keys", "q_matrix", "q_dim").mapInArrow(
+        _meet(doc_key, key_cols, top_k, per_query_filters), schema)
+    scored = met.select(*key_cols, doc_key, F.col("cos").cast(SCORE_OUT).alias("score"))
     w = Window.partitionBy(*key_cols).orderBy(F.col("score").desc(), F.col(doc_key).asc())
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
 

@@ -1,5 +1,6 @@
 """No caps: long inputs and large values come through whole."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillrank.functions.html import html_code_blocks, html_to_text, html_without_code
@@ -55,10 +56,9 @@ def test_unclosed_pre_ends_with_the_text(spark):
 def test_dense_ties_never_exceed_k_rows_a_task(spark):
     docs = spark.range(4096).select(F.col("id").alias("seq"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding")).coalesce(1)
     queries = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "query_id long, embedding array<double>")
-    run = dense._task_topk("seq", "embedding", queries.select("query_id").toPandas(),
-                           dense._to_matrix(queries.toPandas()["embedding"]), 10)
-    task = docs.mapInPandas(run, "query_id long, seq long, cos double")
-    assert task.count() == 20
+    cos = dense._cosines(np.tile([1.0, 0.0], (4096, 1)), np.array([[0.0, 0.0], [1.0, 0.0]]))
+    at, of = dense._best(cos, np.arange(4096), 10)
+    assert at.tolist() == 2 * list(range(10)) and of.tolist() == 10 * [0] + 10 * [1]
     got = dense.dense_search(docs.repartition(3), queries, 10).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.seq) for r in got] == [(q, i) for q in (1, 2) for i in range(10)]
 
