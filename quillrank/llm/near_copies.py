@@ -2,8 +2,9 @@
 
 A document's set is its distinct word shingles (64-bit hashes).  Equal sets form
 one class first, so a text that a third of all rows copy is compared once.  The
-sketch of a set spreads the hashes over buckets and keeps of each bucket's least
-value the number of leading zeros and some mantissa bits.  Classes that agree in
+sketch of a set spreads the hashes over buckets (in as many rounds as it takes to
+fill them) and keeps of each bucket's least value the number of leading zeros and
+some mantissa bits.  Classes that agree in
 all registers of a band meet in that band's group:
 
 1. Each member is paired with the least member of its group (linear in the
@@ -99,21 +100,51 @@ def shingle_sets(column: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
     return out
 
 
+def _least(own: np.ndarray) -> np.ndarray:
+    """Per bucket (the top bits of a hash) the least remaining bits.
+
+    Buckets that stay empty are filled by hashing the set anew, round after round.
+    So a bucket's least is by (first round that hits the bucket, bits) over the whole
+    set, one order for all sets, and two sets agree in a bucket as often as
+    they are similar, however few shingles they have.
+    """
+    shift = 64 - (BUCKETS - 1).bit_length()
+    top, rest = np.uint64(shift), np.uint64((1 << shift) - 1)
+    bucket = own >> top
+    start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    least, empty = np.zeros(BUCKETS, np.uint64), np.ones(BUCKETS, bool)
+    least[bucket[start]], empty[bucket[start]] = own[start] & rest, False
+    done, many = 1, -(-8 * BUCKETS // len(own))
+    # A word of the sort: bucket, round, and the topmost of the remaining bits.
+    bits = np.uint64(shift - many.bit_length())
+    drop = top - bits
+    while empty.any():
+        seeds = _mix(np.arange(done, done + many, dtype=np.uint64) * _GOLD)
+        h = _mix(own[None, :] ^ seeds[:, None])
+        place = (h >> top << np.uint64(many.bit_length())) | np.arange(many, dtype=np.uint64)[:, None]
+        found = np.sort((place << bits | (h & rest) >> drop).ravel())
+        bucket = found >> top
+        start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        start = start[empty[bucket[start]]]
+        least[bucket[start]] = (found[start] & ((np.uint64(1) << bits) - np.uint64(1))) << drop
+        empty[bucket[start]] = False
+        done += many
+    return least
+
+
 def registers(own: np.ndarray) -> np.ndarray:
-    """Per bucket (the top bits of a hash): leading zeros and mantissa of the least remaining bits; 0 if empty."""
-    out = np.zeros(BUCKETS, np.uint16)
-    shift = np.uint64(64 - (BUCKETS - 1).bit_length())
-    bucket = (own >> shift).astype(np.int64)
-    start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(own) else []
-    least = own[start] & ((np.uint64(1) << shift) - np.uint64(1))
+    """Per bucket: leading zeros and mantissa of its least bits; 0 for an empty set."""
+    if not len(own):
+        return np.zeros(BUCKETS, np.uint16)
+    shift = 64 - (BUCKETS - 1).bit_length()
+    least = _least(own)
     _, exponent = np.frexp(np.maximum(least, np.uint64(1)).astype(np.float64))
     exponent = exponent.astype(np.int64)  # least < 2 ** exponent, up to rounding
-    zeros = np.clip(int(shift) - exponent, 0, 36)
+    zeros = np.clip(shift - exponent, 0, 36)
     down = np.maximum(0, exponent - 1 - MANTISSA)
     up = np.maximum(0, MANTISSA - exponent + 1)
     mantissa = ((least >> down.astype(np.uint64)) << up.astype(np.uint64)) & np.uint64((1 << MANTISSA) - 1)
-    out[bucket[start]] = ((zeros.astype(np.uint64) + np.uint64(1)) << np.uint64(MANTISSA) | mantissa).astype(np.uint16)
-    return out
+    return ((zeros.astype(np.uint64) + np.uint64(1)) << np.uint64(MANTISSA) | mantissa).astype(np.uint16)
 
 
 def band_keys(sketch: np.ndarray) -> np.ndarray:
@@ -260,7 +291,8 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     named = signed.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
     classes = named.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
-    rows = banded(classes)
+    # A set with fewer shingles than this differs from any other set by too much.
+    rows = banded(classes.where(100 * F.col("n") >= percent * (F.col("n") + 1)))
     groups = rows.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("other")).where("center <> other").drop("other")
     hits = stored(rows.join(groups, "key"), "near-groups")
 

@@ -3,6 +3,7 @@
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from quillrank.llm import near_copies
@@ -48,3 +49,26 @@ def test_given_documents_equal_all_pairs(spark):
     assert links
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_copies.op4(spark, SMALL).collect()}
     assert got == {d: (len(s), top(d), top(d) == d) for d, s in sets.items()}
+
+
+def test_short_sets_fill_their_registers_and_agree_by_similarity():
+    rng = np.random.default_rng(3)
+    for n, shared in ((1, 0), (4, 3), (9, 8), (30, 25), (200, 150), (3000, 2500)):
+        agree, wanted, chance = [], shared / (2 * n - shared), []
+        for _ in range(40):
+            both = rng.integers(0, 2 ** 64, 2 * n - shared, dtype=np.uint64)
+            with np.errstate(over="ignore"):
+                a, b, c = (near_copies.registers(np.sort(x)) for x in (both[:n], both[n - shared:], rng.integers(0, 2 ** 64, n, dtype=np.uint64)))
+            assert (a > 0).all() and (b > 0).all()
+            agree.append((a == b).mean())
+            chance.append((a == c).mean())
+        assert abs(np.mean(agree) - wanted) < 0.05, (n, np.mean(agree), wanted)
+        assert np.mean(chance) < 0.005
+    assert not near_copies.registers(np.zeros(0, np.uint64)).any()
+
+
+def test_unrelated_short_texts_share_no_band():
+    rng = np.random.default_rng(4)
+    with np.errstate(over="ignore"):
+        keys = np.concatenate([near_copies.band_keys(near_copies.registers(np.sort(rng.integers(0, 2 ** 64, 12, dtype=np.uint64)))) for _ in range(3000)])
+    assert len(np.unique(keys)) == len(keys)
