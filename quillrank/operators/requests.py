@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrank.operators.bm25 import _negative_allowance, score_matches
+from quillrank.operators.bm25 import _negative_allowance, match_scores
 from quillrank.operators.dense import DOC_FILTERS, QUERY_FILTERS
 from quillrank.operators.index import Bm25Index
 from quillrank.operators.validate import request_errors
@@ -46,13 +46,14 @@ def lets_through() -> Column:
 def bm25_requests(index: Bm25Index, requests: DataFrame, top_k: int, key_cols: list[str] | None = None) -> DataFrame:
     """R2 with each request's own filter: (key..., rank, seq, score_micro, score).
 
-    Scores of matching pairs are filtered before the cut.  Only requests that are then short of ``top_k``
+    Each filter holds before the cut.  Only requests that are then short of ``top_k``
     documents are completed with unmatched ones in corpus order (score 0): these few filters are held
     against all documents, and a task keeps ``top_k`` of each.
     """
     key = key_cols or ["query_id"]
     params = requests.select(*key, *QUERY_FILTERS)
-    parts = score_matches(index, requests, key, "question")
+    docs = index.doc_terms.where(F.col("seq").isNotNull())
+    parts = match_scores(index, requests, key, "question", top_k, docs, QUERY_FILTERS)
     sums = parts.groupBy(*key, "seq").agg(F.sum("c").alias("nano"))
     scores = (sums.join(index.docs.select("seq", *DOC_FILTERS), "seq").join(params, key)
               .where(lets_through()).select(*key, "seq", "nano"))
