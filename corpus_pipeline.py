@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from quillrank.llm import near_copies, pow2_packing, quality, surrogates, toxicity
 from quillrank.llm.common import documents, scratch, shared_folder
+from quillrank.session import apply_defaults
 
 
 def quality_stage(spark, docs, sf_dir):
@@ -21,19 +22,23 @@ def quality_stage(spark, docs, sf_dir):
 
 
 def toxicity_stage(spark, docs, sf_dir):
+    apply_defaults(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.toxicity_filter(docs, model)
 
 
 def near_copy_stage(spark, docs, sf_dir):
+    apply_defaults(spark)
     return near_copies.near_copy_filter(docs)
 
 
 def surrogate_stage(spark, docs, sf_dir):
+    apply_defaults(spark)
     return surrogates.pseudonymise(docs)
 
 
 def packing_stage(spark, docs, sf_dir):
+    apply_defaults(spark)   # a stage can run by itself; workers then take small batches
     return pow2_packing.pack(docs, ids=False)
 
 

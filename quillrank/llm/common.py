@@ -101,4 +101,6 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sc
         for batch in batches:
             for part in slices(batch, limit=limit):
                 yield fn(part)
+        # the worker lives on and serves other stages: give back what Arrow keeps for later
+        pa.default_memory_pool().release_unused()
     return df.mapInArrow(run, schema)
