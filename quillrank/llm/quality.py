@@ -161,8 +161,9 @@ def seconds(sample: DataFrame, found: list[Rule], by: Column, trials: int = TRIA
     best = [float("inf")] * len(jobs)
     for _ in range(trials):
         for i, job in enumerate(jobs):
+            again = job.select("*")   # a plan of its own: a plan that has run keeps its result
             began = time.perf_counter()
-            job.collect()
+            again.collect()
             best[i] = min(best[i], time.perf_counter() - began)
     return [max(t - best[0], CLOCK) for t in best[1:]]
 
