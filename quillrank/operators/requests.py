@@ -52,7 +52,7 @@ def bm25_requests(index: Bm25Index, requests: DataFrame, top_k: int, key_cols: l
     """
     key = key_cols or ["query_id"]
     params = requests.select(*key, *QUERY_FILTERS)
-    docs = index.doc_terms.where(F.col("seq").isNotNull())
+    docs = index.scored.where(F.col("seq").isNotNull())
     parts = match_scores(index, requests, key, "question", top_k, docs, QUERY_FILTERS)
     sums = parts.groupBy(*key, "seq").agg(F.sum("c").alias("nano"))
     scores = (sums.join(index.docs.select("seq", *DOC_FILTERS), "seq").join(params, key)
